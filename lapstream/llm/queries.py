@@ -1,9 +1,13 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import minhash, repeats
+from . import language, minhash, mixing, packing, repeats, urls
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1,
     "op3_substring_dedup": repeats.op3,
+    "op4_mix_sources": mixing.op4,
+    "op5_pack_sequences": packing.op5,
+    "op6_language_id": language.op6,
+    "op7_url_filter": urls.op7,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op7_url_filter": urls.SQL}
