@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from .common import stash
 
 
-def components(nodes: DataFrame, links: DataFrame, jumps: int = 2) -> DataFrame:
+def components(nodes: DataFrame | None, links: DataFrame, labels: DataFrame | None = None, jumps: int = 1) -> DataFrame:
     """(node, comp): the smallest node reachable over ``links`` (a, b), itself included.
 
     Each round reads both ends' labels, hooks every label to the smallest label beside it, shortens the
     chains of hooks by pointer jumping, and relabels. Only labels that still have an open link take part,
     so a round costs joins on the links that remain. Both sides of every join are read from a checkpoint,
     so that an end which a third of all links share is split by the skew join.
+    ``labels`` (a checkpointed result of this function) is taken as the start instead of single nodes.
     Null nodes are left out; repeated nodes, repeated links, loops and empty tables are allowed.
     """
-    labels = stash(nodes.select("node").where("node is not null").distinct().withColumn("comp", F.col("node")))
+    if labels is None:
+        labels = stash(nodes.select("node").where("node is not null").distinct().withColumn("comp", F.col("node")))
     rest = links.select("a", "b").where("a <> b")
     while True:
         at_a = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))

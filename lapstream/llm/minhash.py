@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, seeded, slices, stash, table, word_hashes, word_spans
@@ -86,6 +86,35 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "rep long, items binary")
 
 
+TOKEN_BUCKETS = 32
+
+
+def _cores(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, core, cells): how many items of a set are in any other set of ``ids``, in all and for each of
+    ``TOKEN_BUCKETS`` ranges of hashes. No intersection has more, in all or in a range."""
+
+    def deal(batches):
+        for batch in batches:
+            items = [np.frombuffer(x.as_buffer(), _U) for x in batch.column("items")]
+            token = np.concatenate([np.zeros(0, _U), *items])
+            owner = np.repeat(batch.column("rep").to_numpy(), [len(x) for x in items])
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            cuts = [*np.searchsorted(token, [_U((b << 64) // TOKEN_BUCKETS) for b in range(TOKEN_BUCKETS)]).tolist(), len(token)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(TOKEN_BUCKETS), pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (token, owner))], names=["bucket", "tokens", "owners"])
+
+    def count(group: pa.Table) -> pa.Table:
+        token = np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in group.column("tokens")])
+        owner = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group.column("owners")])
+        _, back, often = np.unique(token, return_inverse=True, return_counts=True)
+        rep, core = np.unique(owner[often[back] > 1], return_counts=True)
+        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()] * len(rep), pa.int32()), "rep": pa.array(rep, pa.int64()), "core": pa.array(core, pa.int64())})
+
+    dealt = sets.join(ids, "rep", "left_semi").select("rep", "items").mapInArrow(deal, "bucket int, tokens binary, owners binary")
+    cells = F.array(*(F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col("core"))), F.lit(0)).cast("int") for b in range(TOKEN_BUCKETS)))
+    return dealt.groupBy("bucket").applyInArrow(count, "bucket int, rep long, core long").groupBy("rep").agg(F.sum("core").alias("core"), cells.alias("cells"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of (a, b) with 100 * |A and B| >= percent * |A or B|, by their full sets."""
 
@@ -102,7 +131,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, peers: int = 16, rounds: int = 3) -> DataFrame:
+def _hubs(left: DataFrame, hubs: int) -> DataFrame:
+    """The members of each bucket with the largest share of common items, picked in two steps so that a large
+    bucket is ranked in parts."""
+    order = [(F.col("core") / F.col("n")).desc(), "rep"]
+    part = left.withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / (16 * hubs))))
+    some = part.withColumn("r", F.row_number().over(Window.partitionBy("h", "part").orderBy(*order))).where(F.col("r") <= hubs)
+    return some.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(*order))).where(F.col("r") <= hubs)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hubs: int = 16) -> DataFrame:
     """Groups of near-duplicate documents over ``docs`` (doc_id, text).
 
     Returns one row per input row: doc_id, n_shingles, component_id, kept.
@@ -111,10 +149,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, peers: i
       a large group of copies is one row in everything that follows.
     * Candidates come from ``BANDS`` bands of ``ROWS`` coordinates of a circulant MinHash. At a Jaccard
       similarity of 0.85 a pair shares no band with a chance below 1e-6, at 0.8 below 1e-4.
-    * In each bucket every member is first held against the smallest one, then (``rounds`` times) against
-      about ``peers`` hash-dealt members of other components, and at last all members that are still in
-      different components are held against each other: no candidate link between components is left
-      out, and a bucket of g similar texts costs about g comparisons rather than g * g.
+    * Items that no other candidate has bound what two sets can share, so a text with too many of its own
+      is ruled out without a comparison.
+    * In each bucket every member is first held against the smallest one; members of other components then
+      against the ``hubs`` members with the fewest items of their own, with which a text links if with any;
+      and at last all members that are still in different components against each other. So no candidate
+      link between components is left out, and a bucket of g similar texts costs about g comparisons.
     * A link is confirmed on full sets of 64-bit shingle hashes.
 
     A null or blank text has an empty set and links with nothing. A null doc_id gets a null component_id
@@ -128,28 +168,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, peers: i
     full = stash(rows.groupBy("h").agg(F.min("rep").alias("center"), F.count("*").alias("size")).where("size > 1"))
     members = stash(rows.join(full, "h"))
     sets = stash(_sets(docs, members.select("rep").distinct(), words).dropDuplicates(["rep"]))
-    fits = F.expr(f"100 * least(n, m) >= {int(percent)} * greatest(n, m)")
     star = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stash(_verified(star, sets, percent))
-    nodes = members.select(F.col("rep").alias("node"))
-    comps = components(nodes, links)
-    for k in range(rounds + 1):
+    comps = components(members.select(F.col("rep").alias("node")), stash(_verified(star, sets, percent)))
+    need = F.lit(int(percent)) * (F.col("n") + F.col("m"))
+    ranges = [F.least(F.get("cells", F.lit(i)), F.get("cells2", F.lit(i))) for i in range(TOKEN_BUCKETS)]
+    fits = (F.least("core", "core2") * (100 + int(percent)) >= need) & (sum(ranges[1:], ranges[0]) * (100 + int(percent)) >= need)
+    cores = None
+    for last in (False, True):
         labelled = stash(members.select("h", "rep", "n", "size").join(comps.withColumnRenamed("node", "rep"), "rep"))
-        mixed = stash(labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h"))
-        if mixed.isEmpty():
+        open_ = stash(labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h"))
+        if open_.isEmpty():
             break
-        left = labelled.join(mixed, "h")
-        if k < rounds:
-            salt = F.pmod(F.xxhash64("rep", F.lit(k)), F.greatest(F.lit(1), F.ceil(F.col("size") / peers)))
-        else:
-            salt = F.lit(0)
-        left = stash(left.withColumn("salt", salt.cast("long")))
-        other = left.select("h", "salt", F.col("rep").alias("rep2"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-        pairs = left.join(other, ["h", "salt"]).where("comp < comp2").where(fits).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-        more = stash(_verified(pairs, sets, percent))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = components(nodes, links)
+        left = labelled.join(open_, "h")
+        if cores is None:
+            cores = stash(_cores(sets, left.select("rep").distinct()))
+        left = stash(left.join(cores, "rep").where(f"100 * core >= {int(percent)} * n").select("h", "rep", "n", "size", "core", "cells", "comp"))
+        other = left if last else stash(_hubs(left, hubs))
+        other = other.select("h", F.col("rep").alias("rep2"), F.col("n").alias("m"), F.col("core").alias("core2"), F.col("cells").alias("cells2"), F.col("comp").alias("comp2"))
+        apart = F.col("comp") < F.col("comp2") if last else F.col("comp") != F.col("comp2")
+        pairs = left.join(other, "h").where(apart).where(fits).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+        comps = components(None, stash(_verified(pairs, sets, percent)), comps)
     by_class = stash(reps.select("cls", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp")))
     named = every.where("cls is not null and doc_id is not null").select("doc_id", "n", "cls").join(by_class, "cls", "left").select("doc_id", "n", "comp")
     alone = every.where("cls is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("comp"))
