@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import language, minhash, mixing, packing, repeats, urls
+from . import language, minhash, mixing, packing, repeats, urls, vectors
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1,
@@ -9,5 +9,7 @@ QUERIES = {
     "op5_pack_sequences": packing.op5,
     "op6_language_id": language.op6,
     "op7_url_filter": urls.op7,
+    "op8_embedding_near_dedup": vectors.op8,
+    "op9_nearest_neighbours": vectors.op9,
 }
 ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op7_url_filter": urls.SQL}
