@@ -1,9 +1,12 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import language, minhash, mixing, packing, repeats, urls, vectors
+import corpus_pipeline
+
+from . import language, minhash, mixing, packing, repeats, secrets, toxicity, urls, vectors
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_substring_dedup": repeats.op3,
     "op4_mix_sources": mixing.op4,
     "op5_pack_sequences": packing.op5,
@@ -11,5 +14,7 @@ QUERIES = {
     "op7_url_filter": urls.op7,
     "op8_embedding_near_dedup": vectors.op8,
     "op9_nearest_neighbours": vectors.op9,
+    "op10_secret_scan": secrets.op10,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op7_url_filter": urls.SQL}
