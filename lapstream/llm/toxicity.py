@@ -23,6 +23,8 @@ FEATURE_BITS = 18
 TRAIN_DOCS = 20_000
 #: Of a bucket against the labels; below it a bucket has no weight. Hundreds of thousands of buckets are tried.
 CHI_SQUARE = 30.0
+#: Log odds below which a bucket is left out: twelve times likelier in one class.
+LEAST_WEIGHT = 2.5
 _SYMBOLS = "0-9@$!|+€"
 SUSPECT = re.compile(
     rf"[^\W\d_]+[{_SYMBOLS}]+[^\W_{_SYMBOLS}][\w{_SYMBOLS}]*|(?<!\w)[{_SYMBOLS}]+[^\W\d_][\w{_SYMBOLS}]*"  # letters and symbols mixed
@@ -110,8 +112,8 @@ def features(texts: list[str]) -> Iterator[np.ndarray]:
             yield np.unique(np.concatenate([h[i:j] for h in hashes])).astype(np.int64)
 
 
-def learned(docs: DataFrame, labels: DataFrame, lm: np.ndarray, most: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
-    """Weights of the feature buckets and a base value, from at most ``most`` labelled documents.
+def learned(docs: DataFrame, labels: DataFrame, lm: np.ndarray, most: int = TRAIN_DOCS) -> tuple[np.ndarray, float, float]:
+    """Weights of the feature buckets, and slope and base of the score, from at most ``most`` labelled documents.
 
     Log odds of a bucket's document frequencies, for buckets that tell the classes apart well beyond chance."""
     some = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -139,8 +141,30 @@ def learned(docs: DataFrame, labels: DataFrame, lm: np.ndarray, most: int = TRAI
     n, both = total.sum(), count.sum(axis=0)
     cross = count[1] * (total[0, 0] - count[0]) - count[0] * (total[1, 0] - count[1])
     chance = np.maximum(total[0, 0] * total[1, 0] * both * (n - both), 1.0)
-    weight[(np.abs(weight) < 1.0) | (n * cross**2 / chance < CHI_SQUARE)] = 0.0
-    return weight[:-1].astype(np.float32), float(np.log((total[1, 0] + 1) / (total[0, 0] + 1)))
+    weight[(np.abs(weight) < LEAST_WEIGHT) | (n * cross**2 / chance < CHI_SQUARE)] = 0.0
+    weight = weight[:-1].astype(np.float32)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, str] = {}
+        for batch in batches:
+            texts = [restore(x or "", lm, cache) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([float(weight[f].sum()) for f in features(texts)], pa.float64()), batch.column("toxic")], names=["x", "toxic"])
+
+    sample = rows.mapInArrow(evidence, "x double, toxic int").toArrow()
+    return weight, *_platt(sample.column("x").to_numpy(), (sample.column("toxic").to_numpy() > 0).astype(float))
+
+
+def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and base of the logistic curve from evidence to label; lightly held to slope 1."""
+    slope, base = 1.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(slope * x + base, -40, 40)))
+        v = p * (1 - p)
+        g = np.array([((y - p) * x).sum() - (slope - 1), (y - p).sum()])
+        h = np.array([[(v * x * x).sum() + 1, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-3]])
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        slope, base = slope + step[0], base + step[1]
+    return float(slope), float(base)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -154,7 +178,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are scored each; of labels repeated with one doc_id the higher counts; without labels every score is 0.5.
     """
     lm = language_model(docs)
-    weight, base = learned(docs, labels, lm)
+    weight, slope, base = learned(docs, labels, lm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, str] = {}
@@ -164,7 +188,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 texts = [restore(x or "", lm, cache) for x in column.slice(i, 256).to_pylist()]
                 out[i : i + len(texts)] = [weight[f].sum() for f in features(texts)]
-            score = 1 / (1 + np.exp(-np.clip(out + base, -40, 40)))
+            score = 1 / (1 + np.exp(-np.clip(slope * out + base, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
