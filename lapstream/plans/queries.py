@@ -11,6 +11,9 @@ from ..functions import scalars as S
 from ..operators import decisions as D
 from ..operators import evaluation as E
 from ..operators import laps as L
+from ..operators import ml as M
+from ..operators.pit_cycles import pit_cycles
+from ..sources import io as IO
 from .fixtures import fixture, with_clause
 
 QUERIES: dict[str, Callable] = {}
@@ -231,3 +234,21 @@ q("v8_decision_contract", "suggestions pit_evals", contract, RULES + " SELECT *
 q("v10_gate", "suggestions pit_evals", lambda f: E.gate(contract(f)), RULES + " SELECT COUNT(*) AS checks, COUNT(*) FILTER (status = 'PASS') AS passed, CASE WHEN bool_or(status = 'FAIL') THEN 'NO_GO' ELSE 'GO' END AS decision FROM rt")
 q("v7_split_integrity", "oof", lambda f: E.rules(f("oof"), [("score_in_range", ~C("raw_proba").between(0, 1)), ("binary_target", ~C("target_y").isin(0, 1)), ("year_in_race", S.year_of_race(C("race")).isNull()), ("null_fold", C("fold").isNull())]), "SELECT unnest(['score_in_range', 'binary_target', 'year_in_race', 'null_fold']) AS \"check\", unnest([COUNT(*) FILTER (raw_proba NOT BETWEEN 0 AND 1), COUNT(*) FILTER (target_y NOT IN (0, 1)), COUNT(*) FILTER (NOT regexp_matches(race, '^[0-9]{4} :: ')), COUNT(*) FILTER (fold IS NULL)]) AS value, 'PASS' AS status FROM oof")
 q("v12_stream_audit", "laps", lambda f: E.rules(f("laps"), [("negative_gap", C("gapToCarAhead") < 0), ("lap_without_time", C("lapTime").isNull()), ("position_range", ~C("position").between(1, 20))]), "SELECT unnest(['negative_gap', 'lap_without_time', 'position_range']) AS \"check\", unnest([COUNT(*) FILTER (gapToCarAhead < 0), COUNT(*) FILTER (lapTime IS NULL), COUNT(*) FILTER (position NOT BETWEEN 1 AND 20)]) AS value, unnest(['PASS', CASE WHEN COUNT(*) FILTER (lapTime IS NULL) > 0 THEN 'FAIL' ELSE 'PASS' END, 'PASS']) AS status FROM laps")
+
+# Stops, splits and feeds
+q("k2_pit_cycles", "laps", lambda f: pit_cycles(f("laps")))
+q("k3_resolutions", "laps", lambda f: pit_cycles(f("laps")).groupBy("resolution", "result").agg(F.count("*").alias("n")))
+q("s6_merge_seasons", "laps suggestions", lambda f: IO.merge_seasons({2022: f("suggestions").where("race like '2022%'").withColumn("race", S.strip_year_prefix(C("race"))), 2023: f("suggestions").where("race like '2023%'").withColumn("race", S.strip_year_prefix(C("race")))}, D.KEY, "eventTimeMillis").select(*D.KEY, "suggestionLabel"),
+  f"SELECT {KEY}, suggestionLabel FROM suggestions WHERE substr(race, 1, 4) IN ('2022', '2023') QUALIFY ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY eventTimeMillis DESC) = 1")
+q("s10_alert_feed", "laps pit_evals suggestions", lambda f: IO.alert_feed({"pit_eval": f("pit_evals"), "suggestion": f("suggestions").select("race", "driver", "suggestionLabel")}),
+  "SELECT race, driver, pitLapNumber, result, NULL AS suggestionLabel, 'pit_eval' AS kind FROM pit_evals UNION ALL SELECT race, driver, NULL, NULL, suggestionLabel, 'suggestion' FROM suggestions")
+q("m1_grouped_folds", "oof", lambda f: M.grouped_folds(f("oof"), "race", 5), "SELECT race, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INT) AS fold FROM (SELECT race, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, race) - 1 AS r FROM oof GROUP BY race) x")
+q("m1_rolling_years", "laps", lambda f: M.split_plan(f("laps").withColumn("year", S.year_of_race(C("race"))), "race", "rolling_year", order="year"),
+  ", k AS (SELECT race, DENSE_RANK() OVER (ORDER BY substr(race, 1, 4)) - 1 AS i FROM (SELECT DISTINCT race FROM laps) x) SELECT t.i AS fold, k.race, CASE WHEN k.i = t.i THEN 'test' ELSE 'train' END AS role FROM k JOIN (SELECT DISTINCT i FROM k) t ON k.i <= t.i WHERE t.i > 0")
+q("m1_leave_one_out", "laps", lambda f: M.split_plan(f("laps"), "race", "leave_one_out"), ", k AS (SELECT race, ROW_NUMBER() OVER (ORDER BY race) - 1 AS i FROM (SELECT DISTINCT race FROM laps) x) SELECT t.i AS fold, k.race, CASE WHEN k.i = t.i THEN 'test' ELSE 'train' END AS role FROM k, k t")
+q("m2_leakage", "oof", lambda f: M.leaks(M.split_plan(f("oof"), "race", "grouped"), "race").agg(F.count("*").alias("leaks")), "SELECT 0 AS leaks")
+q("w21_calendar_sort", "laps", lambda f: f("laps").select(*D.KEY, S.year_of_race(C("race")).alias("year")).orderBy("year", "race", "lapNumber", "driver"), f"SELECT {KEY}, CAST(substr(race, 1, 4) AS INT) AS year FROM laps")
+q("w30_chronological_windows", "laps", lambda f: f("laps").groupBy("race", "lapNumber").agg(F.count("*").alias("n"), F.min("eventTimeMillis").alias("t")).withColumn("i", F.row_number().over(L.Window.partitionBy("race").orderBy("t", "lapNumber")) - 1).withColumn("window", F.floor(C("i") * 4 / F.count("*").over(L.Window.partitionBy("race")))).groupBy("race", "window").agg(F.sum("n").alias("n"), F.min("t").alias("since")),
+  ", g AS (SELECT race, lapNumber, COUNT(*) AS n, MIN(eventTimeMillis) AS t FROM laps GROUP BY ALL), i AS (SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY race ORDER BY t, lapNumber) - 1) * 4 / COUNT(*) OVER (PARTITION BY race)) AS BIGINT) AS w FROM g) SELECT race, w AS \"window\", CAST(SUM(n) AS BIGINT) AS n, MIN(t) AS since FROM i GROUP BY race, w")
+q("k7_caution_rescore", "laps track_status", lambda f: L.asof_backward(f("track_status").where(S.is_caution(C("status"))).select("race", "eventTimeMillis", "status"), f("laps").where("position = 1"), ["race"], "eventTimeMillis", ["lapNumber", "driver"]),
+  "SELECT s.race, s.eventTimeMillis, s.status, l.lapNumber AS asof_lapNumber, l.driver AS asof_driver FROM (SELECT * FROM track_status WHERE status IN ('4', '6', '7')) s ASOF LEFT JOIN (SELECT * FROM laps WHERE position = 1) l ON s.race = l.race AND s.eventTimeMillis >= l.eventTimeMillis")
