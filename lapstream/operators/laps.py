@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 UNBOUNDED, CURRENT = Window.unboundedPreceding, Window.currentRow
-RACE_DRIVER = Window.partitionBy("race", "driver").orderBy("lapNumber")
-RACE_LAP = Window.partitionBy("race", "lapNumber").orderBy("position")
 CLEAN = ("lapTime", "pitInTime", "pitOutTime", "trackStatus")
 
 
+def race_driver():
+    return Window.partitionBy("race", "driver").orderBy("lapNumber")
+
+
+def race_lap():
+    return Window.partitionBy("race", "lapNumber").orderBy("position")
+
+
 def clean() -> Column:
     return S.clean_lap(*(F.col(c) for c in CLEAN))
 
@@ -36,28 +42,28 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, valu
 
 
 def gap_to_car_ahead(laps: DataFrame) -> DataFrame:
-    total = F.sum("lapTime").over(RACE_DRIVER.rowsBetween(UNBOUNDED, CURRENT))
-    return laps.withColumn("cumTime", total).withColumn("gap", F.round(F.col("cumTime") - F.lag("cumTime").over(RACE_LAP), 3))
+    total = F.sum("lapTime").over(race_driver().rowsBetween(UNBOUNDED, CURRENT))
+    return laps.withColumn("cumTime", total).withColumn("gap", F.round(F.col("cumTime") - F.lag("cumTime").over(race_lap()), 3))
 
 
 def rivals(laps: DataFrame) -> DataFrame:
     return laps.select(
         "race", "driver", "lapNumber", "position",
-        F.lag("driver").over(RACE_LAP).alias("driverAhead"), F.lead("driver").over(RACE_LAP).alias("driverBehind"),
-        F.when(F.lag("driver").over(RACE_LAP).isNotNull(), F.abs("gapToCarAhead")).alias("gapAhead"), F.abs(F.lead("gapToCarAhead").over(RACE_LAP)).alias("gapBehind"),
+        F.lag("driver").over(race_lap()).alias("driverAhead"), F.lead("driver").over(race_lap()).alias("driverBehind"),
+        F.when(F.lag("driver").over(race_lap()).isNotNull(), F.abs("gapToCarAhead")).alias("gapAhead"), F.abs(F.lead("gapToCarAhead").over(race_lap())).alias("gapBehind"),
     )
 
 
 def drs_trains(laps: DataFrame, gap: float = 1.0, least: int = 3) -> DataFrame:
     """Runs of cars each less than ``gap`` seconds behind the next, as rows of race and lap."""
     start = F.when(F.coalesce(F.col("gapToCarAhead") < gap, F.lit(False)), 0).otherwise(1)
-    runs = laps.withColumn("train", F.sum(start).over(RACE_LAP.rowsBetween(UNBOUNDED, CURRENT)))
+    runs = laps.withColumn("train", F.sum(start).over(race_lap().rowsBetween(UNBOUNDED, CURRENT)))
     cars = F.array_sort(F.collect_list(F.struct("position", "driver")))
     return runs.groupBy("race", "lapNumber", "train").agg(F.count("*").alias("size"), F.min("position").alias("head"), cars.alias("cars")).where(F.col("size") >= least).select("race", "lapNumber", "head", "size", F.array_join(F.col("cars.driver"), ",").alias("drivers"))
 
 
 def stint_segments(laps: DataFrame) -> DataFrame:
-    w = RACE_DRIVER
+    w = race_driver()
     new = F.lag("lapNumber").over(w).isNull() | F.coalesce(F.col("tyreLife") < F.lag("tyreLife").over(w), F.lit(False)) | ~F.col("compound").eqNullSafe(F.lag("compound").over(w))
     return laps.withColumn("stintId", F.sum(new.cast("int")).over(w.rowsBetween(UNBOUNDED, CURRENT)))
 
@@ -69,7 +75,7 @@ def stint_features(laps: DataFrame) -> DataFrame:
 
 
 def lag2_trend(df: DataFrame, column: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.coalesce(F.col(column) - F.lag(column, 2).over(RACE_DRIVER), F.lit(0.0)))
+    return df.withColumn(out, F.coalesce(F.col(column) - F.lag(column, 2).over(race_driver()), F.lit(0.0)))
 
 
 def expanding_z(laps: DataFrame, column: str, out: str) -> DataFrame:
@@ -81,7 +87,7 @@ def expanding_z(laps: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def driver_prev_mean_ratio(laps: DataFrame) -> DataFrame:
-    return laps.withColumn("driverPrevMeanRatio", S.clip_ratio(F.col("lapTime") / F.avg("lapTime").over(RACE_DRIVER.rowsBetween(UNBOUNDED, -1)), 1.0, 0.5, 2.0))
+    return laps.withColumn("driverPrevMeanRatio", S.clip_ratio(F.col("lapTime") / F.avg("lapTime").over(race_driver().rowsBetween(UNBOUNDED, -1)), 1.0, 0.5, 2.0))
 
 
 def bucket_prev_ratio(laps: DataFrame, keys: list[str], out: str) -> DataFrame:
@@ -106,7 +112,7 @@ def tire_drops(laps: DataFrame) -> DataFrame:
 def ladder(laps: DataFrame) -> DataFrame:
     """Running sum of gaps down the order of a lap, and the number of unknown gaps so far: two cars are
     comparable if no unknown gap lies between them, and then the difference of sums is the distance."""
-    w = RACE_LAP.rowsBetween(UNBOUNDED, CURRENT)
+    w = race_lap().rowsBetween(UNBOUNDED, CURRENT)
     return laps.withColumn("gapSum", F.coalesce(F.sum("gapToCarAhead").over(w), F.lit(0.0))).withColumn("gapBlock", F.sum(F.col("gapToCarAhead").isNull().cast("int")).over(w))
 
 
@@ -137,7 +143,7 @@ def pace_state(laps: DataFrame) -> DataFrame:
     x = x.withColumn("paceDelta", F.coalesce(F.col("paceRatio") - F.col("held"), F.lit(0.0))).withColumn("slow", (F.col("paceRatio") > 0.005).cast("int"))
     x = x.withColumn("run", F.sum(F.when(F.col("slow") == 0, 1).otherwise(0)).over(w.rowsBetween(UNBOUNDED, CURRENT)))
     x = x.withColumn("slowLaps", F.coalesce(F.sum("slow").over(Window.partitionBy("race", "driver", "stint", "run").orderBy("lapNumber").rowsBetween(UNBOUNDED, CURRENT)), F.lit(0)))
-    gap = F.coalesce(F.col("gapToCarAhead") - F.lag("gapToCarAhead").over(RACE_DRIVER), F.lit(0.0))
+    gap = F.coalesce(F.col("gapToCarAhead") - F.lag("gapToCarAhead").over(race_driver()), F.lit(0.0))
     pace = F.coalesce("paceRatio", "held", F.lit(0.0))
     return x.withColumn("gapDelta", gap).withColumn("pace", pace).drop("ct", "held", "slow", "run", "paceRatio")
 
@@ -147,7 +153,7 @@ def pit_scores(laps: DataFrame) -> DataFrame:
     c = F.col
     x = pace_state(laps).select("race", "driver", "lapNumber", "slowLaps", "paceDelta", "gapDelta", "pace")
     seen = F.max("tyreLife").over(Window.partitionBy("race", "compound").orderBy("lapNumber").rangeBetween(UNBOUNDED, CURRENT))
-    boxed = lambda f: F.coalesce(f("pitInTime").over(RACE_LAP).isNotNull(), F.lit(False))
+    boxed = lambda f: F.coalesce(f("pitInTime").over(race_lap()).isNotNull(), F.lit(False))
     rival = F.when(S.is_green(c("trackStatus")), F.least(F.lit(12.0), F.when(boxed(F.lag), 10.0).otherwise(0.0) + F.when(boxed(F.lead), 6.0).otherwise(0.0))).otherwise(0.0)
     e = emergence(laps.withColumn("maxStint", seen.cast("double")).withColumn("rival", rival)).join(x, ["race", "driver", "lapNumber"])
     e = e.withColumn("paceScore", S.pace_score(c("pace"), c("slowLaps"))).withColumn("urgency", S.urgency_score(c("tyreLife"), F.greatest(c("maxStint"), S.choose(F.upper("compound"), S.MAX_STINT, 30.0))))
@@ -186,7 +192,7 @@ def baseline_laps(laps: DataFrame, safe: float = 95.0) -> DataFrame:
 
 def moving_pace(laps: DataFrame, n: int = 4) -> DataFrame:
     x = laps.where(clean())
-    return x.select("race", "driver", "lapNumber", F.avg("lapTime").over(RACE_DRIVER.rowsBetween(-(n - 1), CURRENT)).alias("pace"))
+    return x.select("race", "driver", "lapNumber", F.avg("lapTime").over(race_driver().rowsBetween(-(n - 1), CURRENT)).alias("pace"))
 
 
 def race_snapshots(laps: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .laps import RACE_DRIVER, baseline_laps, clean, directed_gap, rival_at
+from .laps import baseline_laps, clean, directed_gap, race_driver, rival_at
 
 SETTLE, WARMUP, SEARCH, OFFSET = 4, 2, 3, 0.4
 
@@ -48,7 +48,7 @@ def pit_cycles(laps: DataFrame) -> DataFrame:
     """
     ahead, behind = rival_at(laps, -1).withColumnRenamed("rival", "ahead"), rival_at(laps, 1).withColumnRenamed("rival", "behind")
     base = baseline_laps(laps)
-    after = F.lead("compound").over(RACE_DRIVER)
+    after = F.lead("compound").over(race_driver())
     stops = laps.withColumn("compoundAfter", F.coalesce(after, "compound")).where("pitInTime is not null").join(ahead, ["race", "driver", "lapNumber"]).join(behind, ["race", "driver", "lapNumber"]).join(base, ["race", "driver", "lapNumber"])
     stops = stops.select("race", "driver", F.col("lapNumber").alias("pitLap"), "position", "trackStatus", "compoundAfter", "totalLaps", "baseline", F.coalesce("ahead", "behind").alias("rival"))
     window = F.ceil((F.col("totalLaps") - F.col("pitLap")) * OFFSET)

@@ -216,7 +216,7 @@ q("u2_key_sets", "laps suggestions", lambda f: f("laps").select(*D.KEY).exceptAl
 
 # State over sequences, audits
 q("k1_lift_coast", "telemetry", lambda f: L.lift_coast(f("telemetry")))
-q("k4_classify_stop", "laps", lambda f: f("laps").select(*D.KEY, S.classify_stop(C("gapToCarAhead"), F.lag("gapToCarAhead").over(L.RACE_DRIVER), F.coalesce("lapTime", F.lit(0.0)), C("position") % 2 == 0, C("trackStatus"), C("compound"), C("tyreLife") > 12).alias("result")),
+q("k4_classify_stop", "laps", lambda f: f("laps").select(*D.KEY, S.classify_stop(C("gapToCarAhead"), F.lag("gapToCarAhead").over(L.race_driver()), F.coalesce("lapTime", F.lit(0.0)), C("position") % 2 == 0, C("trackStatus"), C("compound"), C("tyreLife") > 12).alias("result")),
   f""", x AS (SELECT *, gapToCarAhead AS a, LAG(gapToCarAhead) OVER (PARTITION BY race, driver ORDER BY lapNumber) AS b, COALESCE(lapTime, 0.0) AS bl FROM laps)
   SELECT {KEY}, CASE WHEN compound = 'INTERMEDIATE' THEN 'WEATHER_SURVIVAL_STOP' WHEN a IS NULL THEN 'UNRESOLVED_MISSING_PRE_GAP' WHEN b IS NULL THEN 'UNRESOLVED_MISSING_POST_GAP' WHEN bl <= 0 THEN 'UNRESOLVED_INVALID_BASELINE' WHEN abs(a) > 60 OR abs(b) > 60 OR abs(b - a) > 45 THEN 'UNRESOLVED_MISSING_POST_GAP'
   WHEN abs((b - a) / bl * 100) > 20 THEN 'UNRESOLVED_INCIDENT_FILTER' WHEN trackStatus IN ('4','6','7') AND abs((b - a) / bl * 100) < 1 THEN 'SUCCESS_FREE_STOP' WHEN (b - a) / bl * 100 < -0.5 THEN CASE WHEN position % 2 = 0 THEN 'SUCCESS_UNDERCUT' ELSE 'SUCCESS_OVERCUT' END
