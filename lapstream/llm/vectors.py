@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +48,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def sample_of(rows: DataFrame, n: int) -> np.ndarray:
     """At most n unit vectors, those whose ids hash lowest; one bounded matrix on the driver."""
     got = rows.select("vec_id", "v").withColumn("k", F.xxhash64("vec_id")).orderBy("k", "vec_id").limit(n).select("v").toArrow()
+    got = got.filter(pc.equal(pc.list_value_length(got.column("v")), pc.list_value_length(got.column("v"))[0])) if len(got) else got
     return _unit(_matrix(got.column("v"))) if len(got) else np.zeros((0, 1))
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Unit centroids."""
+    """Unit centroids; one of zeros where there is nothing to fit."""
+    if not len(x):
+        return np.zeros((1, x.shape[1]))
     k = max(1, min(k, len(x)))
     c = x[np.argsort(mix(np.arange(len(x), dtype=_U) + _U(17)))[:k]].copy()
     for _ in range(rounds):
