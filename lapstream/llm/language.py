@@ -88,11 +88,16 @@ def profiles(docs: DataFrame, learn) -> dict[str, np.ndarray]:
             counts.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                g = trigrams(text.as_py())
-                if len(counts) >= 8 and lang not in counts:
-                    bundle()
-                counts.setdefault(lang, np.zeros(LETTERS**3, np.float64))[:] += 0 if not len(g) else np.bincount(g, minlength=LETTERS**3)
+            for i in range(0, batch.num_rows, 512):
+                some = batch.slice(i, 512)
+                held: dict[str, list[np.ndarray]] = {}
+                for lang, text in zip(some.column("lang").to_pylist(), some.column("text"), strict=True):
+                    held.setdefault(lang, []).append(trigrams(text.as_py()))
+                for lang, grams in held.items():
+                    if len(counts) >= 8 and lang not in counts:
+                        bundle()
+                    counts.setdefault(lang, np.zeros(LETTERS**3, np.float64))
+                    counts[lang] += np.bincount(np.concatenate(grams), minlength=LETTERS**3)
         bundle()
         names = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array([x for x in names for _ in range(DIMENSION)], pa.string()), pa.array(list(range(DIMENSION)) * len(names), pa.int32()), pa.array(np.concatenate([np.zeros(0), *(sums[x] for x in names)]), pa.float64())], names=["lang", "place", "value"])
@@ -127,8 +132,7 @@ def identify(docs: DataFrame, learn=None, keep: bool = False) -> DataFrame:
                 g = trigrams(text.as_py())
                 best, score = len(names) - 1, 0.0
                 if len(g) and matrix.shape[1]:
-                    count = np.bincount(g)
-                    used = np.flatnonzero(count)
+                    used, count = np.unique(g, return_counts=True)
                     new = used[place[used] < 0]
                     if len(new):
                         if len(cache) > 20_000:
@@ -137,7 +141,7 @@ def identify(docs: DataFrame, learn=None, keep: bool = False) -> DataFrame:
                             new = used
                         place[new] = np.arange(len(cache), len(cache) + len(new))
                         cache = np.concatenate([cache, bound(new)])
-                    v = count[used].astype(np.float32) @ cache[place[used]]
+                    v = count.astype(np.float32) @ cache[place[used]]
                     cosine = v @ matrix / max(float(np.linalg.norm(v)), 1e-12)
                     best = int(np.argmax(cosine))
                     score = min(1.0, max(0.0, float(cosine[best])))
