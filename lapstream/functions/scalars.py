@@ -208,3 +208,20 @@ def classify_stop(pre_gap: Column, post_gap: Column, baseline: Column, first: Co
         .when(F.abs(delta) <= 0.5, "SUCCESS_DEFEND")
         .otherwise("FAILURE_PACE_DEFICIT")
     )
+
+
+#: Seconds that a stop costs under green, virtual safety car and safety car.
+PIT_LOSS_BY_RACE = {
+    "Bahrain Grand Prix": (22.0, 13.0, 10.0), "Saudi Arabian Grand Prix": (24.0, 14.5, 11.5), "Australian Grand Prix": (23.0, 14.0, 11.0), "Japanese Grand Prix": (24.0, 14.5, 11.5),
+    "Chinese Grand Prix": (23.5, 14.0, 11.0), "Miami Grand Prix": (23.0, 14.0, 11.0), "Emilia Romagna Grand Prix": (23.0, 13.5, 10.5), "Monaco Grand Prix": (20.0, 12.0, 9.5),
+    "Spanish Grand Prix": (22.5, 13.5, 10.5), "Canadian Grand Prix": (21.5, 13.0, 10.0), "Austrian Grand Prix": (21.0, 12.5, 9.5), "British Grand Prix": (22.5, 13.5, 10.5),
+    "Hungarian Grand Prix": (21.5, 13.0, 10.0), "Belgian Grand Prix": (23.5, 14.0, 11.0), "Dutch Grand Prix": (21.5, 13.0, 10.0), "Italian Grand Prix": (25.0, 15.0, 12.0),
+    "Azerbaijan Grand Prix": (24.5, 15.0, 12.0), "Singapore Grand Prix": (23.0, 14.0, 11.0), "United States Grand Prix": (22.5, 13.5, 10.5), "Mexico City Grand Prix": (22.0, 13.0, 10.0),
+    "São Paulo Grand Prix": (23.0, 14.0, 11.0), "Las Vegas Grand Prix": (24.0, 14.5, 11.5), "Qatar Grand Prix": (22.5, 13.5, 10.5), "Abu Dhabi Grand Prix": (23.0, 14.0, 11.0),
+    "French Grand Prix": (23.0, 14.0, 11.0), "Portuguese Grand Prix": (22.5, 13.5, 10.5),
+}
+
+
+def pit_losses(race: Column) -> list[Column]:
+    """Green, virtual-safety-car and safety-car losses of a race name without its year; defaults for others."""
+    return [choose(race, {k: v[i] for k, v in PIT_LOSS_BY_RACE.items()}, PIT_LOSS_DEFAULT[i]) for i in range(3)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import decisions as D
 from ..operators import evaluation as E
+from ..operators import features as X
 from ..operators import laps as L
 from ..operators import ml as M
 from ..operators.pit_cycles import pit_cycles
@@ -252,3 +253,21 @@ q("w30_chronological_windows", "laps", lambda f: f("laps").groupBy("race", "lapN
   ", g AS (SELECT race, lapNumber, COUNT(*) AS n, MIN(eventTimeMillis) AS t FROM laps GROUP BY ALL), i AS (SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY race ORDER BY t, lapNumber) - 1) * 4 / COUNT(*) OVER (PARTITION BY race)) AS BIGINT) AS w FROM g) SELECT race, w AS \"window\", CAST(SUM(n) AS BIGINT) AS n, MIN(t) AS since FROM i GROUP BY race, w")
 q("k7_caution_rescore", "laps track_status", lambda f: L.asof_backward(f("track_status").where(S.is_caution(C("status"))).select("race", "eventTimeMillis", "status"), f("laps").where("position = 1"), ["race"], "eventTimeMillis", ["lapNumber", "driver"]),
   "SELECT s.race, s.eventTimeMillis, s.status, l.lapNumber AS asof_lapNumber, l.driver AS asof_driver FROM (SELECT * FROM track_status WHERE status IN ('4', '6', '7')) s ASOF LEFT JOIN (SELECT * FROM laps WHERE position = 1) l ON s.race = l.race AND s.eventTimeMillis >= l.eventTimeMillis")
+q("f11_pit_losses", "laps", lambda f: f("laps").select("race").distinct().select("race", *(c.alias(n) for c, n in zip(S.pit_losses(F.when(C("race").like("%GP1%"), "Monaco Grand Prix").otherwise(S.strip_year_prefix(C("race")))), ("green", "vsc", "sc"), strict=True))),
+  "SELECT DISTINCT race, CASE WHEN race LIKE '%GP1%' THEN 20.0 ELSE 22.0 END AS green, CASE WHEN race LIKE '%GP1%' THEN 12.0 ELSE 14.0 END AS vsc, CASE WHEN race LIKE '%GP1%' THEN 9.5 ELSE 11.0 END AS sc FROM laps")
+q("f18_feature_plan", "laps", lambda f: f("laps").select(X.feature_plan(f("laps").columns, ["lapTime"], ["pitLoss", "vscPitLoss", "scPitLoss"], ["eventTimeMillis", "team", "trackTemp", "pitInTime", "pitOutTime", "gapToCarAhead"])),
+  "SELECT race, driver, lapNumber, position, stint, tyreLife, compound, lapTime, trackStatus, totalLaps FROM laps")
+q("f20_align_schema", "laps", lambda f: X.align_schema(f("laps").select("lapNumber", "lapTime", "position"), ["lapTime", "lapNumber", "unseen"]), "SELECT COALESCE(lapTime, 0.0) AS lapTime, CAST(lapNumber AS DOUBLE) AS lapNumber, 0.0 AS unseen FROM laps")
+q("f28_coast_seconds", "telemetry", lambda f: L.lift_coast(f("telemetry")).agg(F.count("*").alias("n"), D.count_if((C("startMillis") < C("liftMillis")) & (C("liftMillis") < C("brakeMillis"))).alias("in_order"), F.round(F.avg(C("coastMillis") / 1000), 6).alias("mean_seconds")))
+q("j10_outcome_profile", "laps suggestions pit_evals", lambda f: matched(f).join(f("laps").select(*D.KEY, "compound", "tyreLife"), D.KEY).where("outcome <> 'EXCLUDED'").groupBy("compound", "outcome").agg(F.count("*").alias("n"), F.round(F.avg("tyreLife"), 6).alias("tyre_life")),
+  MATCH + f"SELECT compound, outcome, COUNT(*) AS n, ROUND(AVG(tyreLife), 6) AS tyre_life FROM m JOIN laps USING ({KEY}) WHERE outcome <> 'EXCLUDED' GROUP BY 1, 2")
+q("j11_error_context", "laps suggestions pit_evals", lambda f: matched(f).where("outcome = '0'").select(*D.KEY).join(f("laps").where("lapTime is not null").select(*D.KEY, "trackStatus"), D.KEY, "left"),
+  MATCH + f"SELECT m.race, m.driver, m.lapNumber, l.trackStatus FROM m LEFT JOIN (SELECT * FROM laps WHERE lapTime IS NOT NULL) l USING ({KEY}) WHERE outcome = '0'")
+q("v9_feature_parity", "laps", lambda f: X.feature_parity(f("laps"), f("laps").withColumn("lapTime", F.round("lapTime", 1)), D.KEY, ["lapTime", "position"], 0.02),
+  "SELECT 'lapTime' AS feature, COUNT(*) AS n, ROUND(COUNT(*) FILTER (lapTime IS NULL OR abs(lapTime - ROUND(lapTime, 1)) <= 0.02) / COUNT(*), 6) AS match_rate FROM laps UNION ALL SELECT 'position', COUNT(*), 1.0 FROM laps")
+q("v11_consistency", "suggestions pit_evals", lambda f: X.consistency(D.decision_metrics(matched(f), ["race"]), D.decision_metrics(matched(f), ["race"]).withColumn("precision", F.floor(C("precision") * 100) / 100), ["race"], "precision", 0.003),
+  MATCH + f", g AS (SELECT race, {RATES} FROM m GROUP BY race) SELECT race, precision AS computed, FLOOR(precision * 100) / 100 AS published, CASE WHEN abs(precision - FLOOR(precision * 100) / 100) <= 0.003 THEN 'PASS' ELSE 'FAIL' END AS status FROM g")
+q("v13_extreme_gaps", "laps pit_evals", lambda f: f("pit_evals").join(f("laps").select("race", "driver", C("lapNumber").alias("pitLapNumber"), "gapToCarAhead"), ["race", "driver", "pitLapNumber"]).groupBy("result").agg(F.count("*").alias("n"), D.count_if(C("gapToCarAhead").isNull()).alias("null_gap"), F.round(F.max("gapToCarAhead"), 3).alias("max_gap")),
+  "SELECT result, COUNT(*) AS n, COUNT(*) FILTER (gapToCarAhead IS NULL) AS null_gap, ROUND(MAX(gapToCarAhead), 3) AS max_gap FROM pit_evals e JOIN laps l ON e.race = l.race AND e.driver = l.driver AND e.pitLapNumber = l.lapNumber GROUP BY 1")
+q("v14_review_sheet", "suggestions pit_evals", lambda f: matched(f).where("outcome <> '1'").select(*D.KEY, F.when(C("outcome") == "0", "scored_fp").otherwise("excluded").alias("origin"), S.near_miss_bucket(C("nextPitLap") - C("lapNumber")).alias("subtype")).orderBy(F.md5(F.concat_ws("|", *D.KEY)), *D.KEY).limit(30),
+  MATCH + f"SELECT {KEY}, CASE WHEN outcome = '0' THEN 'scored_fp' ELSE 'excluded' END AS origin, CASE WHEN nextPitLap IS NULL THEN 'no_future' WHEN nextPitLap - lapNumber <= 2 THEN 'unexpected_within_horizon' WHEN nextPitLap - lapNumber <= 5 THEN 'near_miss_3_5' ELSE 'far_miss_6_plus' END AS subtype FROM m WHERE outcome <> '1' ORDER BY md5(race || '|' || driver || '|' || lapNumber), {KEY} LIMIT 30")
