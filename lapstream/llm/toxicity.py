@@ -26,10 +26,12 @@ CHI_SQUARE = 30.0
 #: Log odds below which a bucket is left out: twelve times likelier in one class.
 LEAST_WEIGHT = 2.5
 _SYMBOLS = "0-9@$!|+€"
+# A match that begins with a letter begins its run of letters, so inside a run no search starts.
 SUSPECT = re.compile(
-    rf"[^\W\d_]+[{_SYMBOLS}]+[^\W_{_SYMBOLS}][\w{_SYMBOLS}]*|(?<!\w)[{_SYMBOLS}]+[^\W\d_][\w{_SYMBOLS}]*"  # letters and symbols mixed
-    r"|(?<!\w)[^\W\d_](?:[ ._\-*][^\W\d_]){3,}(?!\w)"  # single letters, spaced out
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # a letter three times or more
+    r"(?<![^\W\d_])(?:"
+    rf"[^\W\d_]+[{_SYMBOLS}]+[^\W_{_SYMBOLS}][\w{_SYMBOLS}]*|(?<!\w)[^\W\d_](?:[ ._\-*][^\W\d_]){{3,}}(?!\w)"  # letters and symbols mixed; single letters, spaced out
+    r"|[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*"  # a letter three times or more
+    rf"|(?<!\w)[{_SYMBOLS}]+[^\W\d_][\w{_SYMBOLS}]*)"  # mixed, a symbol first
 )
 
 
