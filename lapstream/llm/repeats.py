@@ -46,13 +46,19 @@ def recompress(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, n))
-    long = size > LONGEST
+    long, runs = size > LONGEST, size
     if long.any():
         new[np.repeat(long, size)] = True
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, n))
     name = np.where(size > 1, mix(h[at] * _U(_RUN) + size.astype(_U)), h[at])
     c0, c1 = at - 1, at + size + 1
+    if long.any():
+        # A word of a long run stands alone wherever LONGEST + 1 of the run's words are in sight: those around it.
+        i = np.flatnonzero(np.repeat(long, runs)[at])
+        begin = np.repeat(np.cumsum(runs) - runs, runs)[at[i]]
+        c0[i] = np.clip(at[i] - LONGEST // 2, begin, begin + np.repeat(runs, runs)[at[i]] - LONGEST - 1)
+        c1[i] = c0[i] + LONGEST + 1
     own = doc[at]
     for k in range(PAIR_ROUNDS):
         left = (mix(name ^ _CLASS[k]) & _U(1)) == 0
