@@ -275,9 +275,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, parts: int = 16, recall:
                 break
             rough = norms - 2 * (c @ v)
             rough[own == qid] = np.inf
-            want = min(k + 16, len(c))
-            near = np.argpartition(rough, want - 1)[:want]
-            near = np.sort(near[own[near] != qid])
+            # No rough distance is off by more than slack, so whatever may be among the k nearest or tie with the last of them is measured.
+            slack = 4 * (len(v) + 8) * np.finfo(float).eps * (norms + v @ v)
+            near = np.flatnonzero(~(rough - slack > np.partition(rough + slack, min(k, len(c)) - 1)[min(k, len(c)) - 1]))
+            near = near[own[near] != qid]
             d = np.sqrt(((c[near] - v) ** 2).sum(axis=1))
             top = np.argsort(d, kind="stable")[:k]
             q_out.append(np.full(len(top), qid))
