@@ -17,8 +17,10 @@ from .language import LETTERS, held_out, trigrams
 #: What a symbol may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
 #: Costs (negative logarithms) of the channel: a stand-in, a symbol that is no letter, a repeated letter, a blank that was lost.
-STAND_IN, NO_LETTER, REPEATED, LOST_BLANK = 0.7, 7.0, 0.3, 6.0
+STAND_IN, NO_LETTER, REPEATED, LOST_BLANK = 0.7, 7.0, 1.0, 6.0
 FEATURE_BITS = 18
+#: Folds of the labelled documents that calibrate the scores.
+FOLDS = 5
 #: Labelled documents that the weights are fitted on: those whose ids hash lowest, at most so many.
 TRAIN_DOCS = 20_000
 #: Of a bucket against the labels; below it a bucket has no weight. Hundreds of thousands of buckets are tried.
@@ -26,13 +28,28 @@ CHI_SQUARE = 30.0
 #: Log odds below which a bucket is left out: twelve times likelier in one class.
 LEAST_WEIGHT = 2.5
 _SYMBOLS = "0-9@$!|+€"
-# A match that begins with a letter begins its run of letters, so inside a run no search starts.
-SUSPECT = re.compile(
-    r"(?<![^\W\d_])(?:"
-    rf"[^\W\d_]+[{_SYMBOLS}]+[^\W_{_SYMBOLS}][\w{_SYMBOLS}]*|(?<!\w)[^\W\d_](?:[ ._\-*][^\W\d_]){{3,}}(?!\w)"  # letters and symbols mixed; single letters, spaced out
-    r"|[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*"  # a letter three times or more
-    rf"|(?<!\w)[{_SYMBOLS}]+[^\W\d_][\w{_SYMBOLS}]*)"  # mixed, a symbol first
-)
+_BETWEEN = r"[ ._\-*]"
+
+
+def _suspects(letter: str, sign: str) -> re.Pattern:
+    """Spans of lower-case text whose lattices have more than one path, sought only where a run of letters and signs
+    begins, and never twice in one run: the time grows with the text's length.
+
+    Single letters or stand-ins, three or more, with one to three separators between them; runs in which letters and
+    stand-ins meet (letters before nothing but ``!`` are plain); and runs of letters with a letter doubled.
+    """
+    lone = rf"(?:{sign}|[@$!|+€])(?!{sign}|[@$!|+€])"
+    return re.compile(
+        r"(?<![\w@$!|+€])(?:"
+        rf"{lone}(?:{_BETWEEN}{{1,3}}+{lone}){{2,}}+"
+        rf"|(?:{letter}++(?!!++(?![\w@$|+€]))[{_SYMBOLS}]|[{_SYMBOLS}]++{letter}|{letter}*?({letter})\1)[\w@$!|+€]*+)"
+    )
+
+
+SUSPECT = _suspects(r"[^\W\d_]", r"[^\W_]")
+#: The same for texts of ASCII alone.
+SUSPECT_ASCII = _suspects("[a-z]", "[a-z0-9]")
+_SPACED = re.compile(rf"(?:[^\W_]|[@$!|+€])(?:{_BETWEEN}{{1,3}}(?:[^\W_]|[@$!|+€]))+")
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
@@ -60,44 +77,71 @@ def _letter(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else int(trigrams(c)[0]) // LETTERS % LETTERS if c.isalpha() else 0
 
 
+def lattice(span: str) -> tuple[list[list[tuple[str, int, float]]], bool]:
+    """For each sign of a span what it may be: (letter or blank, its number, cost); and whether blanks may be lost."""
+    spaced = _SPACED.fullmatch(span) is not None
+    out = []
+    for c in span:
+        if spaced and c in " ._-*":
+            continue
+        may = [(c, 0.0)] if c.isalpha() else [(x, STAND_IN) for x in LEET.get(c, "")] + [(" ", NO_LETTER)]
+        out.append([(x, _letter(x), fee) for x, fee in may])
+    return out, spaced
+
+
 def decode(span: str, lm: np.ndarray) -> str:
-    """The likeliest text behind a suspect span: Viterbi over the two last letters of what is restored."""
-    spaced = bool(re.fullmatch(r"[^\W\d_](?:[ ._\-*][^\W\d_]){2,}", span))
-    signs = [c for c in span.lower() if not spaced or c.isalpha()]
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for c in signs:
-        choices = [(c, 0.0)] if c.isalpha() else [(x, STAND_IN) for x in LEET.get(c, "")] + [(" ", NO_LETTER)]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+    """The likeliest text behind a suspect span: Viterbi over the two last letters of what is restored, all of them.
+
+    A span without a letter or a stand-in for one is left as it is. ``!`` at the end of a run stays punctuation."""
+    body = span.rstrip("!")
+    tail = span[len(body) :]
+    if not any(c.isalpha() for c in body):
+        return span
+    signs, spaced = lattice(body)
+    # state: the last two letters; value: cost, and the restored text as a linked list.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for choices in signs:
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
         def put(key, cost, text, new=new):
             if key not in new or cost < new[key][0]:
                 new[key] = (cost, text)
 
         for (a, b), (cost, text) in states.items():
-            for x, fee in choices:
-                n = _letter(x)
+            for x, n, fee in choices:
                 if n and n == b:
                     put((a, b), cost + fee + REPEATED, text)
                 if n or b:
-                    put((b, n), cost + fee + float(lm[a, b, n]), text + x)
+                    put((b, n), cost + fee + float(lm[a, b, n]), (text, x))
                 else:
                     put((a, b), cost + fee, text)
                 if spaced and b and n:
-                    put((0, n), cost + LOST_BLANK + float(lm[a, b, 0]) + float(lm[0, 0, n]), text + " " + x)
-        states = dict(sorted(new.items(), key=lambda s: s[1][0])[:64])
-    return min((cost + float(lm[a, b, 0]), text) for (a, b), (cost, text) in states.items())[1]
+                    put((0, n), cost + LOST_BLANK + fee + float(lm[a, b, 0]) + float(lm[0, 0, n]), (text, " " + x))
+        states = new
+    best = min(((cost + float(lm[a, b, 0]), (a, b)) for (a, b), (cost, _) in states.items()))[1]
+    node, back = states[best][1], []
+    while node is not None:
+        node, x = node
+        back.append(x)
+    return "".join(reversed(back)) + tail
 
 
 def restore(text: str, lm: np.ndarray, cache: dict[str, str]) -> str:
+    """The lower-cased text with its suspect spans decoded."""
+
     def one(m: re.Match) -> str:
         s = m[0]
-        if s not in cache:
-            if len(cache) > 50_000:
-                cache.clear()
-            cache[s] = decode(s, lm)
-        return cache[s]
+        got = cache.get(s)
+        if got is None:
+            got = decode(s, lm)
+            if len(s) <= 64:
+                if len(cache) > 50_000:
+                    cache.clear()
+                cache[s] = got
+        return got
 
-    return SUSPECT.sub(one, text)
+    text = text.lower()
+    return (SUSPECT_ASCII if text.isascii() else SUSPECT).sub(one, text)
 
 
 _NO_WORD = np.ones(256, dtype=bool)
@@ -114,46 +158,60 @@ def features(texts: list[str]) -> Iterator[np.ndarray]:
             yield np.unique(np.concatenate([h[i:j] for h in hashes])).astype(np.int64)
 
 
+def weights_of(count: np.ndarray) -> np.ndarray:
+    """Log odds of each bucket from its document frequencies in the two classes (2 x buckets, the last one all
+    documents), for buckets that tell the classes apart well beyond chance."""
+    total = count[:, -1:]
+    p = (count + 0.5) / (total + 1.0)
+    weight = np.log(p[1] / p[0])
+    n, both = total.sum(), count.sum(axis=0)
+    cross = count[1] * (total[0, 0] - count[0]) - count[0] * (total[1, 0] - count[1])
+    chance = np.maximum(total[0, 0] * total[1, 0] * both * (n - both), 1.0)
+    weight[(np.abs(weight) < LEAST_WEIGHT) | (n * cross**2 / chance < CHI_SQUARE)] = 0.0
+    return weight[:-1].astype(np.float32)
+
+
 def learned(docs: DataFrame, labels: DataFrame, lm: np.ndarray, most: int = TRAIN_DOCS) -> tuple[np.ndarray, float, float]:
     """Weights of the feature buckets, and slope and base of the score, from at most ``most`` labelled documents.
 
-    Log odds of a bucket's document frequencies, for buckets that tell the classes apart well beyond chance."""
+    The curve from evidence to score is fitted on evidence of documents that the weights behind it have not seen:
+    each of ``FOLDS`` folds is weighed by the others. The weights returned are those of all folds together."""
     some = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = F.broadcast(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(some, "doc_id").select("text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(some, "doc_id")
+    rows = rows.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros((2, (1 << FEATURE_BITS) + 1), dtype=np.int64)
+        count = np.zeros((FOLDS, 2, (1 << FEATURE_BITS) + 1), dtype=np.int32)
         cache: dict[str, str] = {}
         for batch in batches:
             texts = [restore(x or "", lm, cache) for x in batch.column("text").to_pylist()]
-            for f, y in zip(features(texts), batch.column("toxic").to_pylist(), strict=True):
-                count[int(y > 0), f] += 1
-                count[int(y > 0), -1] += 1
-        used = np.flatnonzero(count.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(count[0, used]), pa.array(count[1, used])], names=["bucket", "clean", "toxic"])
-
-    got = rows.mapInArrow(run, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
-    count = np.zeros((2, (1 << FEATURE_BITS) + 1))
-    count[0, got.column("bucket").to_numpy()] = got.column("clean").to_numpy()
-    count[1, got.column("bucket").to_numpy()] = got.column("toxic").to_numpy()
-    total = count[:, -1:]
-    p = (count + 0.5) / (total + 1.0)
-    weight = np.log(p[1] / p[0])
-    n, both = total.sum(), count.sum(axis=0)
-    cross = count[1] * (total[0, 0] - count[0]) - count[0] * (total[1, 0] - count[1])
-    chance = np.maximum(total[0, 0] * total[1, 0] * both * (n - both), 1.0)
-    weight[(np.abs(weight) < LEAST_WEIGHT) | (n * cross**2 / chance < CHI_SQUARE)] = 0.0
-    weight = weight[:-1].astype(np.float32)
+            for f, y, k in zip(features(texts), batch.column("toxic").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+                count[k, int(y > 0), f] += 1
+                count[k, int(y > 0), -1] += 1
+        fold, used = np.nonzero(count.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int32()), pa.array(used, pa.int32()), pa.array(count[fold, 0, used], pa.int64()), pa.array(count[fold, 1, used], pa.int64())], names=["fold", "bucket", "clean", "toxic"])
+
+    got = rows.mapInArrow(run, "fold int, bucket int, clean long, toxic long").groupBy("fold", "bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    count = np.zeros((FOLDS, 2, (1 << FEATURE_BITS) + 1))
+    fold, bucket = got.column("fold").to_numpy(), got.column("bucket").to_numpy()
+    count[fold, 0, bucket] = got.column("clean").to_numpy()
+    count[fold, 1, bucket] = got.column("toxic").to_numpy()
+    whole = count.sum(axis=0)
+    unseen = [weights_of(whole - c) for c in count]
+    kept = [(np.flatnonzero(w), w[w != 0]) for w in unseen]
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, str] = {}
+        weight = np.zeros((FOLDS, 1 << FEATURE_BITS), np.float32)
+        for k, (at, w) in enumerate(kept):
+            weight[k, at] = w
         for batch in batches:
             texts = [restore(x or "", lm, cache) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([float(weight[f].sum()) for f in features(texts)], pa.float64()), batch.column("toxic")], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([float(weight[k, f].sum()) for f, k in zip(features(texts), batch.column("fold").to_pylist(), strict=True)], pa.float64()), batch.column("toxic")], names=["x", "toxic"])
 
     sample = rows.mapInArrow(evidence, "x double, toxic int").toArrow()
-    return weight, *_platt(sample.column("x").to_numpy(), (sample.column("toxic").to_numpy() > 0).astype(float))
+    return weights_of(whole), *_platt(sample.column("x").to_numpy(), (sample.column("toxic").to_numpy() > 0).astype(float))
 
 
 def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -173,9 +231,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (score >= 0.5) for every text of ``docs`` (doc_id, text), learned from
     ``labels`` (doc_id, toxic).
 
-    Suspect spans of each whole text (letters mixed with stand-ins, spaced-out letters, letters repeated three times
-    or more) are restored by Viterbi decoding of their lattices under a letter model of all texts; a plain word has
-    one path and stays. Weights of the restored words and word beginnings are fitted on at most ``TRAIN_DOCS``
+    Suspect spans of each whole text (letters that meet stand-ins, spaced-out letters and stand-ins, doubled letters)
+    are restored by Viterbi decoding of their lattices under a letter model of all texts; any other word has one path
+    and stays. Very long texts and very long spans cost time in proportion to their length. Weights of the restored words and word beginnings are fitted on at most ``TRAIN_DOCS``
     labelled documents. Null and empty texts get the score of a text without evidence; rows repeated with one doc_id
     are scored each; of labels repeated with one doc_id the higher counts; without labels every score is 0.5.
     """

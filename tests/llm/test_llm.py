@@ -225,8 +225,3 @@ def test_pipeline_keeps_ids(spark):
     kept = stages["near_dedup"](spark, d, DATA)
     want = minhash.near_duplicates(d).where("kept").select("doc_id")
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in want.collect()) and kept.columns == d.columns
-
-
-def test_suspect_spans():
-    text = "plain words, y0u and 1diot, i d i o t. stuuupid çç no 42 x y id10ts a_b"
-    assert [m[0] for m in toxicity.SUSPECT.finditer(text)] == ["y0u", "1diot", "i d i o t", "stuuupid", "id10ts"]
