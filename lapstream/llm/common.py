@@ -21,15 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the session's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that driver and executors share: the one in ``spark.checkpoint.dir``.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where none is set (a local session,
-    as in tests) is a temporary one chosen.
-    """
-    sc = df.sparkSession.sparkContext
+    Only on a local master, where they are one process, is a temporary one chosen if none is set."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

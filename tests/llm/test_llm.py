@@ -39,7 +39,7 @@ def test_odd_and_empty_tables(spark):
     for k in ("minhash", "repeats", "mix", "language", "toxicity", "redacted"):
         assert len(got[k]) == len(ODD), k
     comp = {r["doc_id"]: r["component_id"] for r in got["minhash"]}
-    assert comp[5] == comp[6] == 5 and comp[4] == comp[7] == 4 and comp[2] == 2 and comp[None] is None
+    assert comp[5] == comp[6] == 5 and comp[4] == comp[7] == comp[None] == 4 and comp[2] == 2
     assert {r["doc_id"] for r in got["language"] if r["lang_pred"] == "und"} == {1, 2, 3}
     for k, f in all_ops(df.where("false")).items():
         assert f().collect() == [], k
