@@ -130,24 +130,41 @@ def feature_effects(rows: DataFrame, columns: list[str], positive: Column) -> Da
     return g.select("feature", "n_tp", "n_fp", F.round("m1", 6).alias("mean_tp"), F.round("m0", 6).alias("mean_fp"), F.round(F.sqrt("v1"), 6).alias("std_tp"), F.round(F.sqrt("v0"), 6).alias("std_fp"), F.round(d, 6).alias("cohens_d"))
 
 
-def emit_gate(snapshots: DataFrame, least: float = 40.0, delta: float = 10.0, repeat: int = 2) -> DataFrame:
-    """Scores worth telling again: a new stint, another class or status, a jump, or every ``repeat`` laps while
-    actionable. A fold over each driver's laps, since what was told last decides what is told next."""
+def emit_gate(scores: DataFrame, least: float = 40.0, delta: float = 10.0, repeat: int = 2, peak: float = 70.0, slow: float = 0.005) -> DataFrame:
+    """Scores worth telling (again), of ``pit_scores``: a new stint, a label other than the class of the last told score,
+    another status, a jump of the score, a rise of timing pressure by 2 while action is called for, or every ``repeat``
+    laps while it is. Once a stint, a slow car whose score fell from ``peak`` or above to below ``least`` is a LOST_CHANCE.
+
+    A fold over each driver's moments, which a race bounds, since what was told last decides what is told next."""
     c = F.col
-    per = snapshots.groupBy("race", "driver").agg(F.array_sort(F.collect_list(F.struct("lapNumber", "stint", "score", F.coalesce("trackStatus", F.lit("1")).alias("status")))).alias("rows"))
+    per = scores.groupBy("race", "driver").agg(F.array_sort(F.collect_list(F.struct("snapMillis", "lapNumber", "stint", "score", "label", c("now").alias("status"), "timing", "action", "pace"))).alias("rows"))
 
     def step(acc, r):
-        cls = S.score_class(r["score"])
-        first = acc["stint"].isNull() | (acc["stint"] != r["stint"])
-        tell = (r["score"] >= least) & (first | (acc["cls"] != cls) | (acc["status"] != r["status"]) | (F.abs(r["score"] - acc["score"]) >= delta) | ((cls != "MONITOR") & (r["lapNumber"] - acc["lap"] >= repeat)))
-        tell = F.coalesce(tell, F.lit(False))
-        told = F.struct(r["lapNumber"].alias("lapNumber"), r["score"].alias("score"), cls.alias("label"))
+        same = F.coalesce(acc["on"] == r["stint"], F.lit(False))
+        high = F.greatest(F.when(same, acc["peak"]).otherwise(0.0), r["score"])
+        lost = F.when(same, acc["lost"]).otherwise(F.lit(False))
+        gone = ~lost & (high >= peak) & (r["score"] < least) & (r["pace"] > slow)
+        calls = r["label"].isin("PIT_NOW", "GOOD_PIT")
+        told = S.score_class(acc["score"])
+        again = (
+            F.coalesce(acc["stint"] != r["stint"], F.lit(True))
+            | (told != r["label"])
+            | (acc["status"] != r["status"])
+            | (F.abs(r["score"] - acc["score"]) >= delta)
+            | (calls & (r["action"] >= 10) & (r["timing"] - acc["timing"] >= 2))
+            | (calls & (r["lapNumber"] - acc["lap"] >= repeat))
+        )
+        tell = ~gone & (r["score"] >= least) & again
+        row = F.struct(r["lapNumber"].alias("lapNumber"), r["snapMillis"].alias("snapMillis"), r["score"].alias("score"), F.when(gone, "LOST_CHANCE").otherwise(r["label"]).alias("label"))
         keep = lambda new, name: F.when(tell, new).otherwise(acc[name]).alias(name)
-        return F.struct(keep(r["stint"], "stint"), keep(cls, "cls"), keep(r["status"], "status"), keep(r["score"], "score"), keep(r["lapNumber"], "lap"), F.when(tell, F.concat(acc["out"], F.array(told))).otherwise(acc["out"]).alias("out"))
+        return F.struct(
+            r["stint"].alias("on"), high.alias("peak"), (lost | gone).alias("lost"), keep(r["stint"], "stint"), keep(r["status"], "status"), keep(r["score"], "score"),
+            keep(r["timing"], "timing"), keep(r["lapNumber"], "lap"), F.when(tell | gone, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
+        )
 
     none = lambda t, n: F.lit(None).cast(t).alias(n)
-    zero = F.struct(none("int", "stint"), none("string", "cls"), none("string", "status"), none("double", "score"), none("int", "lap"), F.array().cast("array<struct<lapNumber:int,score:double,label:string>>").alias("out"))
-    return per.select("race", "driver", F.explode(F.aggregate("rows", zero, step)["out"]).alias("o")).select("race", "driver", c("o.lapNumber").alias("lapNumber"), c("o.score").alias("score"), c("o.label").alias("label"))
+    zero = F.struct(none("int", "on"), F.lit(0.0).alias("peak"), F.lit(False).alias("lost"), none("int", "stint"), none("string", "status"), none("double", "score"), none("double", "timing"), none("int", "lap"), F.array().cast("array<struct<lapNumber:int,snapMillis:bigint,score:double,label:string>>").alias("out"))
+    return per.select("race", "driver", F.explode(F.aggregate("rows", zero, step)["out"]).alias("o")).select("race", "driver", "o.*")
 
 
 def suggest_error_tag(row: dict[str, Column]) -> Column:

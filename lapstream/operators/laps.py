@@ -98,9 +98,10 @@ def bucket_prev_ratio(laps: DataFrame, keys: list[str], out: str) -> DataFrame:
 
 
 def tire_drops(laps: DataFrame) -> DataFrame:
-    """Second, fourth, .. slow lap in a row against the stint's best, by compound, fuel and track temperature."""
+    """Second, fourth, .. slow lap in a row against the stint's best, by compound, fuel and track temperature; the first
+    two laps of a race count for nothing."""
     w = Window.partitionBy("race", "driver", "stint").orderBy("lapNumber")
-    x = laps.where(clean() & (F.col("lapNumber") >= 2)).withColumn("prevBest", F.min("lapTime").over(w.rowsBetween(UNBOUNDED, -1))).withColumn("best", F.min("lapTime").over(w.rowsBetween(UNBOUNDED, CURRENT)))
+    x = laps.where(clean() & (F.col("lapNumber") > 2)).withColumn("prevBest", F.min("lapTime").over(w.rowsBetween(UNBOUNDED, -1))).withColumn("best", F.min("lapTime").over(w.rowsBetween(UNBOUNDED, CURRENT)))
     limit = F.greatest(F.lit(0.005), S.choose(F.upper("compound"), S.BASE_THRESHOLD, 0.015) - F.when(F.col("totalLaps") > 0, 0.003 * F.least(F.col("lapNumber") / F.col("totalLaps"), F.lit(1.0))).otherwise(0.0) - F.when(F.col("trackTemp") > 40, 0.002).otherwise(0.0))
     odd = F.coalesce(F.col("lapTime") > F.col("prevBest") * 1.07, F.lit(False))
     x = x.withColumn("slow", (~odd & (F.col("lapTime") > F.col("best") * (1.0 + limit))).cast("int"))
@@ -109,69 +110,138 @@ def tire_drops(laps: DataFrame) -> DataFrame:
     return x.withColumn("place", place).where("slow = 1 and place % 2 = 0").select("race", "driver", "lapNumber", "compound", "tyreLife", "lapTime", F.col("best").alias("stintBest"), (F.col("lapTime") - F.col("best")).alias("delta"), "trackStatus")
 
 
-def ladder(laps: DataFrame) -> DataFrame:
+def ladder(laps: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Running sum of gaps down the order of a lap, and the number of unknown gaps so far: two cars are
     comparable if no unknown gap lies between them, and then the difference of sums is the distance."""
-    w = race_lap().rowsBetween(UNBOUNDED, CURRENT)
-    return laps.withColumn("gapSum", F.coalesce(F.sum("gapToCarAhead").over(w), F.lit(0.0))).withColumn("gapBlock", F.sum(F.col("gapToCarAhead").isNull().cast("int")).over(w))
+    w = Window.partitionBy(*(keys or ["race", "lapNumber"])).orderBy("position", "driver").rowsBetween(UNBOUNDED, CURRENT)
+    return laps.withColumn("gapSum", F.round(F.coalesce(F.sum("gapToCarAhead").over(w), F.lit(0.0)), 6)).withColumn("gapBlock", F.sum(F.col("gapToCarAhead").isNull().cast("int")).over(w)).withColumn("place", F.row_number().over(w))
 
 
-def emergence(laps: DataFrame) -> DataFrame:
+#: Laps that a car's latest row may lie behind the leader's to be in a grid.
+RECENT = 3
+MOMENT = ["race", "snapMillis"]
+
+
+def race_snapshots(laps: DataFrame) -> DataFrame:
+    """When a snapshot is taken: (race, snapMillis, snapLap, floorLap) at each moment that raises a race's highest lap,
+    from the second lap on. Events of one millisecond are one moment."""
+    at = laps.where("driver is not null and lapNumber > 0").groupBy("race", F.col("eventTimeMillis").alias("snapMillis")).agg(F.max("lapNumber").alias("snapLap"))
+    before = F.max("snapLap").over(Window.partitionBy("race").orderBy("snapMillis").rowsBetween(UNBOUNDED, -1))
+    return at.withColumn("before", before).where("snapLap > coalesce(before, 0) and snapLap > 1").select(*MOMENT, "snapLap", (F.col("snapLap") - RECENT).alias("floorLap"))
+
+
+def caution_snapshots(laps: DataFrame, status: DataFrame) -> DataFrame:
+    """The same at each status under caution: scores are taken again for the last completed lap."""
+    top = laps.groupBy("race", "eventTimeMillis").agg(F.max("lapNumber").alias("top"))
+    top = top.withColumn("top", F.max("top").over(Window.partitionBy("race").orderBy("eventTimeMillis").rowsBetween(UNBOUNDED, CURRENT)))
+    calls = status.where(S.is_caution(F.col("status"))).select("race", "eventTimeMillis").distinct()
+    done = F.col("asof_top") - 1
+    return asof_backward(calls, top, ["race"], "eventTimeMillis", ["top"]).where("asof_top > 1").select("race", F.col("eventTimeMillis").alias("snapMillis"), done.alias("snapLap"), (done - RECENT).alias("floorLap"))
+
+
+def grid_at(laps: DataFrame, moments: DataFrame) -> DataFrame:
+    """The grid at each of ``moments``: every driver's latest lap row by then, if not older than ``floorLap``.
+
+    A moment meets each driver of its race once, and one as-of window by driver finds the row."""
+    asked = moments.join(laps.select("race", "driver").distinct(), "race").withColumnRenamed("snapMillis", "eventTimeMillis")
+    rows = laps.select("race", "driver", "eventTimeMillis", F.struct("*").alias("row"))
+    found = asof_backward(asked, rows, ["race", "driver"], "eventTimeMillis", ["row"]).where("asof_row.lapNumber >= floorLap")
+    return found.select(F.col("eventTimeMillis").alias("snapMillis"), "snapLap", "asof_row.*")
+
+
+def emergence(grid: DataFrame, status: Column) -> DataFrame:
     """Each car after a stop now: the car it would come out behind, the gap to it, and the places lost.
 
-    Joins a car with the cars behind it on the same race and lap, which a field bounds.
-    """
-    loss = S.select_pit_loss(F.col("trackStatus"), F.col("pitLoss"), F.col("vscPitLoss"), F.col("scPitLoss"))
-    a = ladder(laps).withColumn("loss", loss)
-    b = ladder(laps).select("race", "lapNumber", F.col("position").alias("p2"), F.col("gapSum").alias("s2"), F.col("gapBlock").alias("b2"), F.col("driver").alias("carAhead"), F.col("tyreLife").alias("carTyreLife"))
-    behind = a.join(b, ["race", "lapNumber"]).where("p2 > position and b2 = gapBlock and s2 - gapSum < loss")
-    last = behind.groupBy("race", "lapNumber", "driver").agg(F.max_by(F.struct("p2", "s2", "carAhead", "carTyreLife"), "p2").alias("m"))
-    out = a.join(last, ["race", "lapNumber", "driver"], "left")
-    return out.select(*laps.columns, "loss", F.col("m.carAhead").alias("carAhead"), F.col("m.carTyreLife").alias("carTyreLife"), F.coalesce(F.col("m.p2") + 1, F.col("position")).alias("emergencePosition"), (F.col("loss") - (F.col("m.s2") - F.col("gapSum"))).alias("gapToCar"))
+    A grid is one array of at most a field of cars; gaps are summed down it until they reach the loss of a stop under
+    ``status`` or one is unknown."""
+    x = ladder(grid, MOMENT)
+    boxed = F.col("pitInTime").isNotNull()
+    keep = ["place", "position", "driver", "lapNumber", "gapSum", "gapBlock", "compound", "tyreLife", boxed.alias("boxed")]
+    cars = x.withColumn("loss", S.select_pit_loss(status, F.col("pitLoss"), F.col("vscPitLoss"), F.col("scPitLoss"))).groupBy(*MOMENT).agg(F.array_sort(F.collect_list(F.struct(*keep))).alias("cars"), F.collect_list(F.struct("place", F.struct(*grid.columns, "gapSum", "gapBlock", "loss").alias("row"))).alias("rows"))
+    each = cars.select("cars", F.explode("rows").alias("one")).select("cars", "one.place", "one.row.*")
+    here = {c: F.col(c) for c in ("gapBlock", "gapSum", "loss", "place")}
+    behind = F.filter(F.slice("cars", F.col("place") + 1, F.size("cars")), lambda c: c["gapBlock"] == here["gapBlock"])
+    beyond = F.get(F.filter(behind, lambda c: c["gapSum"] - here["gapSum"] >= here["loss"]), F.lit(0))
+    inside = F.try_element_at(F.when(beyond.isNull(), behind).otherwise(F.filter(behind, lambda c: c["place"] < beyond["place"])), F.lit(-1))
+    each = each.withColumn("m", F.when(F.col("loss").isNotNull(), inside)).withColumn("ahead", F.when(F.col("place") > 1, F.get("cars", F.col("place") - 2))).withColumn("behind", F.get("cars", F.col("place")))
+    m = F.col("m")
+    return each.select(
+        *grid.columns, "loss", "ahead", "behind", m["driver"].alias("carAhead"), m["compound"].alias("carCompound"), m["tyreLife"].alias("carTyreLife"),
+        F.coalesce(m["position"] + 1, F.col("position")).alias("emergencePosition"), (F.col("loss") - (m["gapSum"] - F.col("gapSum"))).alias("gapToCar"),
+    )
 
 
 def drop_zones(laps: DataFrame, least_tyre_life: int = 8) -> DataFrame:
-    e = emergence(laps).where((F.col("tyreLife") >= least_tyre_life) & F.col("carAhead").isNotNull())
-    return e.select("race", "driver", "lapNumber", "position", "emergencePosition", (F.col("emergencePosition") - F.col("position")).alias("positionsLost"), "carAhead", F.round("gapToCar", 3).alias("gapToCar"), "loss")
+    """At each new lap of a race: who would come out of a stop behind whom, by each car's own track status."""
+    e = emergence(grid_at(laps, race_snapshots(laps)), F.col("trackStatus")).where((F.col("tyreLife") >= least_tyre_life) & F.col("carAhead").isNotNull())
+    return e.select(
+        "race", "driver", "lapNumber", "snapLap", "position", "emergencePosition", (F.col("emergencePosition") - F.col("position")).alias("positionsLost"), F.col("ahead.driver").alias("netRival"),
+        "carAhead", F.round("gapToCar", 3).alias("gapToCar"), "carCompound", "carTyreLife", S.normalize_or_green(F.col("trackStatus")).alias("status"), "loss",
+    )
 
 
 def pace_state(laps: DataFrame) -> DataFrame:
-    """Stint best, pace ratio and its change, slow laps in a row and the change of the gap ahead."""
+    """Stint best, pace ratio and its change, slow laps in a row and the change of the gap ahead, all within a stint;
+    gaps count on green laps without a stop."""
     w = Window.partitionBy("race", "driver", "stint").orderBy("lapNumber")
     x = laps.withColumn("ct", F.when(clean(), F.col("lapTime"))).withColumn("best", F.min("ct").over(w.rowsBetween(UNBOUNDED, CURRENT)))
     x = x.withColumn("paceRatio", F.when(F.col("ct").isNotNull(), F.col("ct") / F.col("best") - 1.0)).withColumn("held", F.last("paceRatio", ignorenulls=True).over(w.rowsBetween(UNBOUNDED, -1)))
     x = x.withColumn("paceDelta", F.coalesce(F.col("paceRatio") - F.col("held"), F.lit(0.0))).withColumn("slow", (F.col("paceRatio") > 0.005).cast("int"))
     x = x.withColumn("run", F.sum(F.when(F.col("slow") == 0, 1).otherwise(0)).over(w.rowsBetween(UNBOUNDED, CURRENT)))
     x = x.withColumn("slowLaps", F.coalesce(F.sum("slow").over(Window.partitionBy("race", "driver", "stint", "run").orderBy("lapNumber").rowsBetween(UNBOUNDED, CURRENT)), F.lit(0)))
-    gap = F.coalesce(F.col("gapToCarAhead") - F.lag("gapToCarAhead").over(race_driver()), F.lit(0.0))
+    free = F.col("pitInTime").isNull() & F.col("pitOutTime").isNull() & S.is_green(F.col("trackStatus")) & (F.col("gapToCarAhead") >= 0)
+    x = x.withColumn("freeGap", F.when(free, F.col("gapToCarAhead")))
+    gap = F.coalesce(F.col("freeGap") - F.last("freeGap", ignorenulls=True).over(w.rowsBetween(UNBOUNDED, -1)), F.lit(0.0))
     pace = F.coalesce("paceRatio", "held", F.lit(0.0))
-    return x.withColumn("gapDelta", gap).withColumn("pace", pace).drop("ct", "held", "slow", "run", "paceRatio")
+    return x.withColumn("gapDelta", gap).withColumn("pace", pace).drop("ct", "held", "slow", "run", "paceRatio", "freeGap")
+
+
+def _stints_seen(laps: DataFrame, moments: DataFrame) -> DataFrame:
+    """(race, snapMillis, seen): the longest tyre life by then of each compound, as a map."""
+    by_time = laps.where("compound is not null").groupBy("race", "compound", "eventTimeMillis").agg(F.max("tyreLife").alias("longest"))
+    by_time = by_time.withColumn("longest", F.max("longest").over(Window.partitionBy("race", "compound").orderBy("eventTimeMillis").rowsBetween(UNBOUNDED, CURRENT)))
+    asked = moments.select("race", F.col("snapMillis").alias("eventTimeMillis")).join(by_time.select("race", "compound").distinct(), "race")
+    found = asof_backward(asked, by_time, ["race", "compound"], "eventTimeMillis", ["longest"]).where("asof_longest is not null")
+    return found.groupBy("race", F.col("eventTimeMillis").alias("snapMillis")).agg(F.map_from_entries(F.collect_list(F.struct("compound", "asof_longest"))).alias("seen"))
 
 
-def pit_scores(laps: DataFrame) -> DataFrame:
-    """The components of the score of a stop now, the score (0 to 100), the decision and its reasons."""
+def pit_scores(laps: DataFrame, status: DataFrame, moments: DataFrame | None = None, least_tyre_life: int = 8) -> DataFrame:
+    """The components of the score of a stop now, the score (0 to 100), the decision and its reasons, for each car of
+    the grid at each moment (by default ``race_snapshots``) that is not in the pits and has worn tyres.
+
+    ``status`` (race, eventTimeMillis, status) is the track's status, green before its first; a car's own laps decide
+    on its pace and on the rivals' stops."""
     c = F.col
-    x = pace_state(laps).select("race", "driver", "lapNumber", "slowLaps", "paceDelta", "gapDelta", "pace")
-    seen = F.max("tyreLife").over(Window.partitionBy("race", "compound").orderBy("lapNumber").rangeBetween(UNBOUNDED, CURRENT))
-    boxed = lambda f: F.coalesce(f("pitInTime").over(race_lap()).isNotNull(), F.lit(False))
-    rival = F.when(S.is_green(c("trackStatus")), F.least(F.lit(12.0), F.when(boxed(F.lag), 10.0).otherwise(0.0) + F.when(boxed(F.lead), 6.0).otherwise(0.0))).otherwise(0.0)
-    e = emergence(laps.withColumn("maxStint", seen.cast("double")).withColumn("rival", rival)).join(x, ["race", "driver", "lapNumber"])
-    e = e.withColumn("paceScore", S.pace_score(c("pace"), c("slowLaps"))).withColumn("urgency", S.urgency_score(c("tyreLife"), F.greatest(c("maxStint"), S.choose(F.upper("compound"), S.MAX_STINT, 30.0))))
-    e = e.withColumn("penalty", S.strategy_penalty(c("lapNumber"), c("totalLaps"), S.choose(S.choose(F.upper("compound"), S.NEXT_COMPOUND, "MEDIUM"), S.MAX_STINT, 30.0)))
-    e = e.withColumn("ending", S.end_of_race_penalty(c("lapNumber"), c("totalLaps"))).withColumn("status", S.track_status_score(c("trackStatus"))).withColumn("traffic", F.when(c("loss").isNull(), F.lit(0.0)).otherwise(S.traffic_score(c("gapToCar"), c("carTyreLife"))))
+    moments = race_snapshots(laps) if moments is None else moments
+    now = asof_backward(moments.withColumnRenamed("snapMillis", "eventTimeMillis"), status, ["race"], "eventTimeMillis", ["status"])
+    now = now.select("race", c("eventTimeMillis").alias("snapMillis"), "snapLap", "floorLap", S.normalize_or_green(c("asof_status")).alias("now"))
+    rich = pace_state(laps)
+    grid = grid_at(rich, now.drop("now")).join(now.select(*MOMENT, "now"), MOMENT).join(_stints_seen(laps, moments), MOMENT, "left")
+    e = emergence(grid, c("now")).where((c("tyreLife") >= least_tyre_life) & c("pitInTime").isNull() & c("pitOutTime").isNull())
+    boost = lambda car, points: F.when(c(car)["boxed"] & (F.abs(c("lapNumber") - c(car)["lapNumber"]) <= 1), points).otherwise(0.0)
+    e = e.withColumn("rival", F.when(S.is_green(c("trackStatus")), F.least(F.lit(12.0), boost("ahead", 10.0) + boost("behind", 6.0))).otherwise(0.0))
+    stint = lambda compound: F.coalesce(F.try_element_at("seen", compound).cast("double"), S.choose(F.upper(compound), S.MAX_STINT, 30.0))
+    e = e.withColumn("paceScore", F.when(c("lapTime").isNotNull(), S.pace_score(c("pace"), c("slowLaps"))).otherwise(0.0)).withColumn("urgency", S.urgency_score(c("tyreLife"), F.when(c("compound").isNull(), 30.0).otherwise(stint(c("compound")))))
+    e = e.withColumn("action", F.least(F.lit(30.0), c("urgency") + c("rival"))).withColumn("penalty", S.strategy_penalty(c("lapNumber"), c("totalLaps"), stint(S.choose(F.upper("compound"), S.NEXT_COMPOUND, "MEDIUM"))))
+    e = e.withColumn("ending", S.end_of_race_penalty(c("lapNumber"), c("totalLaps"))).withColumn("status", S.track_status_score(c("now"))).withColumn("traffic", F.when(c("loss").isNull(), F.lit(0.0)).otherwise(S.traffic_score(c("gapToCar"), c("carTyreLife"))))
     e = e.withColumn("timing", S.timing_pressure(c("paceDelta"), c("gapDelta"), c("urgency"), c("penalty"), c("traffic"), c("status"), c("rival")))
-    e = e.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), c("paceScore") + c("urgency") + c("penalty") + c("ending") + c("status") + c("traffic") + c("rival") + c("timing"))))
-    label = S.decision_label(c("score"), c("paceScore"), c("urgency"), c("urgency") + c("rival"), c("traffic"), c("status"), c("penalty"), c("rival"), c("timing"), c("paceDelta"))
-    why = S.explain_score(c("paceScore"), c("status"), c("traffic"), c("penalty"), c("urgency"), c("ending"), c("rival"), c("timing"))
-    return e.withColumn("label", label).withColumn("why", why)
+    e = e.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), c("paceScore") + c("status") + c("traffic") + c("penalty") + c("action") + c("timing") + c("ending"))))
+    label = S.decision_label(c("score"), c("paceScore"), c("urgency"), c("action"), c("traffic"), c("status"), c("penalty"), c("rival"), c("timing"), c("paceDelta"))
+    why = S.explain_score(c("paceScore"), c("status"), c("traffic"), c("penalty"), c("action"), c("ending"), c("rival"), c("timing"))
+    return e.withColumn("label", label).withColumn("why", why).drop("ahead", "behind", "seen")
 
 
 def rival_at(laps: DataFrame, step: int) -> DataFrame:
-    """The driver ``step`` places away on the same lap, else on the lap before, never the driver itself."""
-    b = laps.select("race", F.col("lapNumber").alias("l2"), F.col("position").alias("p2"), F.col("driver").alias("d2"))
-    j = laps.join(b, "race").where((F.col("p2") == F.col("position") + step) & F.col("l2").between(F.col("lapNumber") - 1, F.col("lapNumber")) & (F.col("d2") != F.col("driver")))
-    best = j.groupBy("race", "driver", "lapNumber").agg(F.max_by("d2", "l2").alias("rival"))
-    return laps.select("race", "driver", "lapNumber").join(best, ["race", "driver", "lapNumber"], "left")
+    """The driver ``step`` places away on the same lap, else on the lap before, never the driver itself: two
+    equi-joins on race, lap and position."""
+    key = ["race", "lapNumber", "position"]
+    own = laps.select(*key, "driver")
+    found = own
+    for back, name in ((0, "now"), (1, "past")):
+        b = laps.select("race", (F.col("lapNumber") + back).alias("lapNumber"), (F.col("position") - step).alias("position"), F.col("driver").alias(name))
+        found = found.join(b, key, "left")
+    other = lambda n: F.when(F.col(n) != F.col("driver"), F.col(n))
+    return found.groupBy("race", "driver", "lapNumber").agg(F.max(F.coalesce(other("now"), other("past"))).alias("rival"))
 
 
 def directed_gap(laps: DataFrame, most: int = 6) -> DataFrame:
@@ -195,12 +265,6 @@ def moving_pace(laps: DataFrame, n: int = 4) -> DataFrame:
     return x.select("race", "driver", "lapNumber", F.avg("lapTime").over(race_driver().rowsBetween(-(n - 1), CURRENT)).alias("pace"))
 
 
-def race_snapshots(laps: DataFrame) -> DataFrame:
-    """Laps in event order that are the first to raise the race's highest lap: when a snapshot is taken."""
-    w = Window.partitionBy("race").orderBy("eventTimeMillis", "lapNumber", "driver").rowsBetween(UNBOUNDED, -1)
-    return laps.withColumn("before", F.max("lapNumber").over(w)).where("before is null or lapNumber > before").drop("before")
-
-
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str], n: int = 1) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order)))
     return df.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
@@ -214,16 +278,19 @@ def dedup_keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return latest_per_key(df.where(whole), keys, order).unionByName(df.where(~whole))
 
 
-def lift_coast(telemetry: DataFrame, window_ms: int = 4000, least_ms: int = 550) -> DataFrame:
-    """Full throttle, then a lift, then the brake, in that order within ``window_ms``; matches do not overlap.
+def lift_coast(telemetry: DataFrame, window_ms: int = 4000, least_ms: int = 550, first_lap: int = 5) -> DataFrame:
+    """Full throttle, then a lift, then the brake, in that order within ``window_ms``, in green samples after
+    lap ``first_lap``; matches do not overlap, so no lift and brake come twice.
 
     For each start the first lift after it and the first brake after that. The walk over a driver's candidate ends,
     in time order, accepts at each end the earliest start that no accepted match has passed."""
     c = F.col
-    w = Window.partitionBy("race", "driver").orderBy("eventTimeMillis").rowsBetween(1, Window.unboundedFollowing)
-    x = telemetry.withColumn("nextBrake", F.first(F.when(c("brake") == 1, c("eventTimeMillis")), ignorenulls=True).over(w))
+    green = telemetry.where(S.is_green(c("trackStatus")) & (c("lapNumber") > first_lap))
+    # Backwards in time, so that what comes next is what came last.
+    w = Window.partitionBy("race", "driver").orderBy(c("eventTimeMillis").desc()).rowsBetween(UNBOUNDED, -1)
+    x = green.withColumn("nextBrake", F.last(F.when(c("brake") == 1, c("eventTimeMillis")), ignorenulls=True).over(w))
     lift = (c("throttle") < 5) & (c("brake") == 0)
-    x = x.withColumn("lift", F.first(F.when(lift, F.struct(c("eventTimeMillis").alias("l"), c("nextBrake").alias("b"))), ignorenulls=True).over(w))
+    x = x.withColumn("lift", F.last(F.when(lift, F.struct(c("eventTimeMillis").alias("l"), c("nextBrake").alias("b"))), ignorenulls=True).over(w))
     starts = x.where("throttle >= 95 and speed >= 250 and nGear >= 6 and brake = 0 and lift.b is not null").where(c("lift.b") - c("eventTimeMillis") < window_ms)
     ends = starts.groupBy("race", "driver", c("lift.b").alias("b")).agg(F.array_sort(F.collect_list(F.struct(c("eventTimeMillis").alias("f"), c("lift.l").alias("l")))).alias("cand"))
     walk = ends.groupBy("race", "driver").agg(F.array_sort(F.collect_list(F.struct("b", "cand"))).alias("ends"))

@@ -51,7 +51,8 @@ SQL["telemetry"] = """
 WITH b AS (SELECT event_id, value, CAST(FLOOR(event_id / 250.0) AS BIGINT) AS g, event_id % 250 AS i FROM events),
 p AS (SELECT *, (i + g) % 20 AS ph FROM b)
 SELECT '2024 :: GP' || CAST(CAST(FLOOR(g / 4.0) AS BIGINT) AS STRING) AS race, 'D' || CAST(g % 4 AS STRING) AS driver,
-       CAST(1704067200000 + i * 250 AS BIGINT) AS eventTimeMillis, CAST(6 + FLOOR(i / 100.0) AS INT) AS lapNumber,
+       CAST(1704067200000 + i * 250 AS BIGINT) AS eventTimeMillis, CAST(5 + FLOOR(i / 50.0) AS INT) AS lapNumber,
+       CASE WHEN g % 3 = 2 AND i >= 200 THEN '4' ELSE '1' END AS trackStatus,
        CAST(CASE WHEN ph < 10 THEN 240 + FLOOR(LEAST(value, 60.0)) ELSE 220 END AS INT) AS speed,
        CASE WHEN ph < 10 THEN 100 WHEN ph < 17 THEN 0 ELSE 50 END AS throttle,
        CASE WHEN ph >= 15 AND ph < 17 THEN 1 ELSE 0 END AS brake,

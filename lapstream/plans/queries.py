@@ -78,8 +78,9 @@ q("f27_status_time", "track_status", lambda f: f("track_status").select("race",
   "SELECT race, eventTimeMillis AS ms, status AS code FROM track_status")
 
 # Joins
-q("j1_asof_nearest", "telemetry", lambda f: L.asof_nearest(f("telemetry").where("eventTimeMillis % 1000 = 0").withColumn("eventTimeMillis", C("eventTimeMillis") + 90), f("telemetry"), ["race", "driver"], "eventTimeMillis", "speed", 100, ["race", "driver", "eventTimeMillis"]).select("race", "driver", "eventTimeMillis", "nearest_speed"),
-  "SELECT race, driver, eventTimeMillis + 90 AS eventTimeMillis, speed AS nearest_speed FROM telemetry WHERE eventTimeMillis % 1000 = 0")
+q("j1_asof_nearest", "telemetry", lambda f: L.asof_nearest(f("telemetry").withColumn("eventTimeMillis", C("eventTimeMillis") + C("speed") % 7 * 60), f("telemetry"), ["race", "driver"], "eventTimeMillis", "speed", 200, ["race", "driver", "eventTimeMillis"]).distinct().select("race", "driver", "eventTimeMillis", "nearest_speed"),
+  """, x AS (SELECT DISTINCT race, driver, eventTimeMillis + speed % 7 * 60 AS eventTimeMillis FROM telemetry)
+  SELECT x.race, x.driver, x.eventTimeMillis, arg_min(t.speed, struct_pack(d := abs(t.eventTimeMillis - x.eventTimeMillis), e := t.eventTimeMillis)) AS nearest_speed FROM x LEFT JOIN telemetry t ON t.race = x.race AND t.driver = x.driver AND abs(t.eventTimeMillis - x.eventTimeMillis) <= 200 GROUP BY ALL""")
 q("j2_lap_of_sample", "laps telemetry", lambda f: L.asof_backward(f("telemetry").select("driver", "eventTimeMillis", "speed", F.substring("race", 9, 9).alias("gp")), f("laps").select(F.substring("race", 9, 9).alias("gp"), "driver", (C("eventTimeMillis") % 86400000 + 1704067200000).alias("eventTimeMillis"), "lapNumber"), ["gp", "driver"], "eventTimeMillis", ["lapNumber"]),
   ", l AS (SELECT substr(race, 9, 9) AS gp, driver, eventTimeMillis % 86400000 + 1704067200000 AS ms, lapNumber FROM laps) SELECT t.driver, t.eventTimeMillis, t.speed, t.gp, l.lapNumber AS asof_lapNumber FROM (SELECT *, substr(race, 9, 9) AS gp FROM telemetry) t ASOF LEFT JOIN l ON t.gp = l.gp AND t.driver = l.driver AND t.eventTimeMillis >= l.ms")
 q("j3_enrich_status", "laps track_status", lambda f: L.asof_backward(f("laps").select("race", "driver", "lapNumber", "eventTimeMillis"), f("track_status"), ["race"], "eventTimeMillis", ["status"]).withColumn("asof_status", F.coalesce("asof_status", F.lit("1"))),
@@ -177,23 +178,88 @@ q("w7_expanding_z", "laps", lambda f: L.expanding_z(f("laps"), "trackTemp", "z")
 q("w8_driver_prev_mean", "laps", lambda f: L.driver_prev_mean_ratio(f("laps")).select(*D.KEY, F.round("driverPrevMeanRatio", 6).alias("r")), f"SELECT {KEY}, ROUND(GREATEST(0.5::DOUBLE, LEAST(2.0::DOUBLE, COALESCE(lapTime / AVG(lapTime) OVER (PARTITION BY race, driver ORDER BY lapNumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0::DOUBLE))), 6) AS r FROM laps")
 q("w9_team_prev_bucket", "laps", lambda f: L.bucket_prev_ratio(f("laps"), ["race", "team"], "r").select(*D.KEY, F.round("r", 6).alias("r")), f", m AS (SELECT race, team, lapNumber, AVG(lapTime) AS m FROM laps GROUP BY ALL), p AS (SELECT *, AVG(m) OVER (PARTITION BY race, team ORDER BY lapNumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM m) SELECT race, driver, lapNumber, ROUND(GREATEST(0.5::DOUBLE, LEAST(2.0::DOUBLE, COALESCE(lapTime / past, 1.0::DOUBLE))), 6) AS r FROM laps JOIN p USING (race, team, lapNumber)")
 q("w10_race_progress", "laps", lambda f: f("laps").select(*D.KEY, F.round(F.least(F.lit(1.5), C("lapNumber") / C("totalLaps")), 6).alias("progress")), f"SELECT {KEY}, ROUND(LEAST(1.5::DOUBLE, lapNumber / totalLaps), 6) AS progress FROM laps")
-q("w11_tire_drops", "laps", lambda f: L.tire_drops(f("laps")).withColumn("delta", F.round("delta", 6)), f""", c AS (SELECT *, MIN(lapTime) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb, MIN(lapTime) OVER (w ROWS UNBOUNDED PRECEDING) AS best FROM laps WHERE {CLEANQ} AND lapNumber >= 2 WINDOW w AS (PARTITION BY race, driver, stint ORDER BY lapNumber)),
+q("w11_tire_drops", "laps", lambda f: L.tire_drops(f("laps")).withColumn("delta", F.round("delta", 6)), f""", c AS (SELECT *, MIN(lapTime) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb, MIN(lapTime) OVER (w ROWS UNBOUNDED PRECEDING) AS best FROM laps WHERE {CLEANQ} AND lapNumber > 2 WINDOW w AS (PARTITION BY race, driver, stint ORDER BY lapNumber)),
 s AS (SELECT *, CASE WHEN lapTime > pb * 1.07::DOUBLE THEN 0 WHEN lapTime > best * (1.0::DOUBLE + GREATEST(0.005::DOUBLE, CASE compound WHEN 'SOFT' THEN 0.012 WHEN 'HARD' THEN 0.02 WHEN 'INTERMEDIATE' THEN 0.025 ELSE 0.015 END::DOUBLE - 0.003::DOUBLE * LEAST(lapNumber / totalLaps, 1.0::DOUBLE) - CASE WHEN trackTemp > 40 THEN 0.002 ELSE 0.0 END::DOUBLE)) THEN 1 ELSE 0 END AS slow FROM c),
 r AS (SELECT *, SUM(1 - slow) OVER (PARTITION BY race, driver, stint ORDER BY lapNumber ROWS UNBOUNDED PRECEDING) AS run FROM s), p AS (SELECT *, SUM(slow) OVER (PARTITION BY race, driver, stint, run ORDER BY lapNumber ROWS UNBOUNDED PRECEDING) AS place FROM r)
 SELECT {KEY}, compound, tyreLife, lapTime, best AS stintBest, ROUND(lapTime - best, 6) AS delta, trackStatus FROM p WHERE slow = 1 AND place % 2 = 0""")
-q("w12_race_snapshots", "laps", lambda f: L.race_snapshots(f("laps")).select(*D.KEY, "eventTimeMillis"), f"SELECT {KEY}, eventTimeMillis FROM (SELECT *, MAX(lapNumber) OVER (PARTITION BY race ORDER BY eventTimeMillis, lapNumber, driver ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM laps) x WHERE b IS NULL OR lapNumber > b")
-EMERGE = f""", ld AS (SELECT *, COALESCE(SUM(gapToCarAhead) OVER w, 0) AS s, COUNT(*) FILTER (gapToCarAhead IS NULL) OVER w AS b, CASE trackStatus WHEN '4' THEN scPitLoss WHEN '6' THEN vscPitLoss WHEN '7' THEN vscPitLoss WHEN '1' THEN pitLoss END AS loss FROM laps WINDOW w AS (PARTITION BY race, lapNumber ORDER BY position)),
-bh AS (SELECT x.race, x.lapNumber, x.driver, MAX(y.position) AS p2, arg_max(y.s, y.position) AS s2, arg_max(y.driver, y.position) AS carAhead, arg_max(y.tyreLife, y.position) AS carTyreLife FROM ld x JOIN ld y ON x.race = y.race AND x.lapNumber = y.lapNumber AND y.position > x.position AND y.b = x.b AND y.s - x.s < x.loss GROUP BY ALL),
-em AS (SELECT ld.*, bh.carAhead, bh.carTyreLife, COALESCE(bh.p2 + 1, position) AS emergencePosition, loss - (s2 - s) AS gapToCar FROM ld LEFT JOIN bh USING (race, lapNumber, driver))"""
-q("w13_drop_zones", "laps", lambda f: L.drop_zones(f("laps")), EMERGE + f" SELECT {KEY}, position, emergencePosition, emergencePosition - position AS positionsLost, carAhead, ROUND(gapToCar, 3) AS gapToCar, loss FROM em WHERE tyreLife >= 8 AND carAhead IS NOT NULL")
-q("w14_pace_state", "laps", lambda f: L.pace_state(f("laps")).select(*D.KEY, "best", F.round("pace", 6).alias("pace"), F.round("paceDelta", 6).alias("paceDelta"), "slowLaps", F.round("gapDelta", 6).alias("gapDelta")), f""", a AS (SELECT *, CASE WHEN {CLEANQ} THEN lapTime END AS ct FROM laps), b AS (SELECT *, MIN(ct) OVER (PARTITION BY race, driver, stint ORDER BY lapNumber ROWS UNBOUNDED PRECEDING) AS best FROM a),
-c AS (SELECT *, ct / best - 1.0 AS pr, LAST_VALUE(CASE WHEN ct IS NOT NULL THEN ct / best - 1.0 END IGNORE NULLS) OVER (PARTITION BY race, driver, stint ORDER BY lapNumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM b),
-d AS (SELECT *, SUM(CASE WHEN pr <= 0.005 THEN 1 ELSE 0 END) OVER (PARTITION BY race, driver, stint ORDER BY lapNumber ROWS UNBOUNDED PRECEDING) AS run FROM c)
-SELECT {KEY}, best, ROUND(COALESCE(pr, held, 0.0), 6) AS pace, ROUND(COALESCE(pr - held, 0.0), 6) AS paceDelta, CAST(SUM(CASE WHEN pr > 0.005 THEN 1 ELSE 0 END) OVER (PARTITION BY race, driver, stint, run ORDER BY lapNumber ROWS UNBOUNDED PRECEDING) AS BIGINT) AS slowLaps, ROUND(COALESCE(gapToCarAhead - LAG(gapToCarAhead) OVER (PARTITION BY race, driver ORDER BY lapNumber), 0.0), 6) AS gapDelta FROM d""")
+# Grids at moments, and the scores on them
+TRIGGERS = """, gm AS (SELECT race, eventTimeMillis AS t, MAX(lapNumber) AS L FROM laps GROUP BY 1, 2),
+gp AS (SELECT *, MAX(L) OVER (PARTITION BY race ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM gm),
+trig AS (SELECT race, t, L, L - 3 AS floorLap FROM gp WHERE L > COALESCE(before, 0) AND L > 1)"""
+CAUTIONS = """, trig AS (SELECT s.race, s.t, MAX(l.lapNumber) - 1 AS L, MAX(l.lapNumber) - 4 AS floorLap FROM (SELECT DISTINCT race, eventTimeMillis AS t FROM track_status WHERE status IN ('4', '6', '7')) s JOIN laps l ON l.race = s.race AND l.eventTimeMillis <= s.t GROUP BY 1, 2 HAVING MAX(l.lapNumber) > 1)"""
+GRID = """, rk AS (SELECT trig.race, trig.t, trig.L, l.driver, MAX(l.eventTimeMillis) AS e FROM trig JOIN laps l ON l.race = trig.race AND l.eventTimeMillis <= trig.t GROUP BY ALL),
+gr AS (SELECT rk.t, rk.L, l.* FROM rk JOIN laps l ON l.race = rk.race AND l.driver = rk.driver AND l.eventTimeMillis = rk.e JOIN trig ON trig.race = rk.race AND trig.t = rk.t WHERE l.lapNumber >= trig.floorLap)"""
+NOW = """, nw AS (SELECT trig.race, trig.t, COALESCE(arg_max(s.status, s.eventTimeMillis), '1') AS now FROM trig LEFT JOIN track_status s ON s.race = trig.race AND s.eventTimeMillis <= trig.t GROUP BY ALL)"""
+
+
+def emerging(source: str, status: str) -> str:
+    return f""", ld AS (SELECT *, ROUND(COALESCE(SUM(gapToCarAhead) OVER w, 0), 6) AS s, COUNT(*) FILTER (gapToCarAhead IS NULL) OVER w AS b, ROW_NUMBER() OVER w AS k, LAG(driver) OVER w AS netRival,
+  LAG(pitInTime) OVER w AS pitAhead, LAG(lapNumber) OVER w AS lapAhead, LEAD(pitInTime) OVER w AS pitBehind, LEAD(lapNumber) OVER w AS lapBehind,
+  CASE {status} WHEN '4' THEN scPitLoss WHEN '6' THEN vscPitLoss WHEN '7' THEN vscPitLoss WHEN '1' THEN pitLoss END AS loss FROM {source} WINDOW w AS (PARTITION BY race, t ORDER BY position, driver ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ov AS (SELECT x.race, x.t, x.driver, MIN(y.k) FILTER (y.s - x.s >= x.loss) AS beyond, MAX(y.k) AS furthest FROM ld x JOIN ld y ON x.race = y.race AND x.t = y.t AND y.b = x.b AND y.k > x.k GROUP BY ALL),
+em AS (SELECT x.*, m.driver AS carAhead, m.compound AS carCompound, m.tyreLife AS carTyreLife, COALESCE(m.position + 1, x.position) AS emergencePosition, x.loss - (m.s - x.s) AS gapToCar
+  FROM ld x LEFT JOIN ov ON ov.race = x.race AND ov.t = x.t AND ov.driver = x.driver LEFT JOIN ld m ON m.race = x.race AND m.t = x.t AND x.loss IS NOT NULL AND m.k = COALESCE(ov.beyond - 1, ov.furthest) AND m.k > x.k)"""
+
+
+PACE = f""", pa AS (SELECT *, CASE WHEN {CLEANQ} THEN lapTime END AS ct, CASE WHEN pitInTime IS NULL AND pitOutTime IS NULL AND {GREENQ} AND gapToCarAhead >= 0 THEN gapToCarAhead END AS fg FROM laps),
+pb AS (SELECT *, MIN(ct) OVER w AS best, LAST_VALUE(fg IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prevGap FROM pa WINDOW w AS (PARTITION BY race, driver, stint ORDER BY lapNumber)),
+pc AS (SELECT *, ct / best - 1.0 AS pr, LAST_VALUE(CASE WHEN ct IS NOT NULL THEN ct / best - 1.0 END IGNORE NULLS) OVER (PARTITION BY race, driver, stint ORDER BY lapNumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM pb),
+pd AS (SELECT *, SUM(CASE WHEN pr <= 0.005 THEN 1 ELSE 0 END) OVER (PARTITION BY race, driver, stint ORDER BY lapNumber ROWS UNBOUNDED PRECEDING) AS run FROM pc),
+ps AS (SELECT {KEY}, best, COALESCE(pr, held, 0.0) AS pace, COALESCE(pr - held, 0.0) AS paceDelta, CAST(SUM(CASE WHEN pr > 0.005 THEN 1 ELSE 0 END) OVER (PARTITION BY race, driver, stint, run ORDER BY lapNumber ROWS UNBOUNDED PRECEDING) AS BIGINT) AS slowLaps, COALESCE(fg - prevGap, 0.0) AS gapDelta FROM pd)"""
+NEXTSTINT = "CASE upper(compound) WHEN 'MEDIUM' THEN 40.0 ELSE 30.0 END::DOUBLE"
+SCORES = GRID + NOW + ", gs AS (SELECT gr.*, nw.now FROM gr JOIN nw ON nw.race = gr.race AND nw.t = gr.t)" + emerging("gs", "now") + PACE + f""", sn AS (SELECT trig.race, trig.t, z.compound, MAX(z.tyreLife)::DOUBLE AS m FROM trig JOIN laps z ON z.race = trig.race AND z.eventTimeMillis <= trig.t WHERE z.compound IS NOT NULL GROUP BY ALL),
+s1 AS (SELECT em.*, ps.pace, ps.paceDelta, ps.slowLaps, ps.gapDelta, COALESCE(a.m, {MAXSTINT.replace("upper(compound)", "upper(em.compound)")}) AS stintSeen, COALESCE(n.m, {NEXTSTINT.replace("upper(compound)", "upper(em.compound)")}) AS nextStint, CAST(totalLaps - em.lapNumber AS DOUBLE) AS lapsLeft
+  FROM em JOIN ps ON ps.race = em.race AND ps.driver = em.driver AND ps.lapNumber = em.lapNumber LEFT JOIN sn a ON a.race = em.race AND a.t = em.t AND a.compound = em.compound
+  LEFT JOIN sn n ON n.race = em.race AND n.t = em.t AND n.compound = CASE upper(em.compound) WHEN 'MEDIUM' THEN 'HARD' ELSE 'MEDIUM' END WHERE tyreLife >= 8 AND pitInTime IS NULL AND pitOutTime IS NULL),
+s2 AS (SELECT *, CASE WHEN {GREENQ} THEN LEAST(12.0, CASE WHEN pitAhead IS NOT NULL AND abs(lapNumber - lapAhead) <= 1 THEN 10.0 ELSE 0.0 END + CASE WHEN pitBehind IS NOT NULL AND abs(lapNumber - lapBehind) <= 1 THEN 6.0 ELSE 0.0 END) ELSE 0.0 END::DOUBLE AS rival,
+  CASE WHEN lapTime IS NOT NULL AND slowLaps >= 1 AND pace > 0 THEN 30.0::DOUBLE * LEAST(1.0::DOUBLE, pow(pace / 0.02::DOUBLE, 1.5::DOUBLE)) ELSE 0.0::DOUBLE END AS paceScore,
+  CASE WHEN tyreLife / stintSeen < 0.7::DOUBLE THEN 0.0::DOUBLE ELSE 30.0::DOUBLE * LEAST(1.0::DOUBLE, pow((tyreLife / stintSeen - 0.7::DOUBLE) / (1.0::DOUBLE - 0.7::DOUBLE), 2)) END AS urgency,
+  CASE WHEN totalLaps <= 0 OR lapsLeft <= 0 OR nextStint >= lapsLeft THEN 0.0::DOUBLE ELSE -15.0::DOUBLE * LEAST(1.0::DOUBLE, (lapsLeft - nextStint) / lapsLeft * 3.0::DOUBLE) END AS penalty,
+  CASE WHEN totalLaps <= 0 THEN 0.0::DOUBLE ELSE -100.0::DOUBLE / (1.0::DOUBLE + exp(-15.0::DOUBLE * (lapNumber / totalLaps - 0.92::DOUBLE))) END AS ending,
+  CASE WHEN now IN ('4', '6', '7') THEN 60.0 ELSE 0.0 END::DOUBLE AS status, CASE WHEN gapToCar IS NULL OR gapToCar >= 3 THEN 30.0::DOUBLE WHEN gapToCar >= 1 THEN 30.0::DOUBLE * (gapToCar - 1.0::DOUBLE) / 2.0::DOUBLE WHEN gapToCar >= 0 THEN -30.0::DOUBLE * (1.0::DOUBLE - gapToCar) ELSE -30.0::DOUBLE END AS road FROM s1),
+s3 AS (SELECT *, CASE WHEN loss IS NULL THEN 0.0::DOUBLE WHEN carTyreLife >= 25 AND road < 30 THEN LEAST(30.0::DOUBLE, road + 5.0::DOUBLE) ELSE road END AS traffic, LEAST(30.0::DOUBLE, urgency + rival) AS action FROM s2),
+s4 AS (SELECT *, CASE WHEN status > 0 OR (urgency < 8 AND rival <= 0) THEN 0.0::DOUBLE ELSE GREATEST(0.0::DOUBLE, LEAST(10.0::DOUBLE, 6.0::DOUBLE * LEAST(1.0::DOUBLE, GREATEST(0.0::DOUBLE, paceDelta) / 0.003::DOUBLE) + 4.0::DOUBLE * LEAST(1.0::DOUBLE, GREATEST(0.0::DOUBLE, gapDelta) / 0.8::DOUBLE)
+  + CASE WHEN penalty < 0 THEN 2.0::DOUBLE * LEAST(1.0::DOUBLE, abs(penalty) / 8.0::DOUBLE) ELSE 0.0::DOUBLE END + LEAST(2.5::DOUBLE, rival * 0.25::DOUBLE) + CASE WHEN traffic < 0 THEN -1.5 WHEN traffic >= 20 THEN 1.0 ELSE 0.0 END::DOUBLE)) END AS timing FROM s3),
+s5 AS (SELECT *, GREATEST(0.0::DOUBLE, LEAST(100.0::DOUBLE, paceScore + status + traffic + penalty + action + timing + ending)) AS score FROM s4),
+s6 AS (SELECT *, CASE WHEN score >= 80 THEN 'PIT_NOW' WHEN score >= 60 THEN 'GOOD_PIT' WHEN status <= 0 AND score >= 52 AND paceScore >= 8 AND action >= 10 THEN 'GOOD_PIT' ELSE 'MONITOR' END AS l1 FROM s5),
+s7 AS (SELECT *, CASE WHEN l1 <> 'MONITOR' AND traffic < 0 AND urgency < 28 THEN 'MONITOR' ELSE l1 END AS l2 FROM s6),
+sc AS (SELECT *, CASE WHEN l2 = 'MONITOR' OR status > 0 OR rival > 0 THEN l2 WHEN action >= 12 AND (penalty <= -3 OR timing >= 3.5 OR paceScore >= 18) THEN l2 WHEN paceScore >= 18 AND penalty <= -3 AND (timing >= 3.5 OR paceDelta >= 0.001) THEN l2 ELSE 'MONITOR' END AS label FROM s7)"""
+WHY = """COALESCE(NULLIF(concat_ws(' + ', CASE WHEN paceScore > 5 THEN 'pace drop' END, CASE WHEN rival > 0 THEN 'rival boxed' END, CASE WHEN timing >= 6 THEN 'window tightening' WHEN timing >= 3 THEN 'window forming' END, CASE WHEN status > 0 THEN 'SC/VSC opportunity' END,
+  CASE WHEN traffic >= 25 THEN 'clean air' WHEN traffic > 0 THEN 'decent gap' WHEN traffic < -10 THEN 'traffic risk' END, CASE WHEN penalty < -5 THEN 'tight tire window' END, CASE WHEN action >= 20 THEN 'tire cliff' WHEN action >= 10 THEN 'closing window' END, CASE WHEN ending < -30 THEN 'race ending' END), ''), 'general')"""
+scores = lambda f: L.pit_scores(f("laps"), f("track_status"))
+AT = [*D.KEY, "snapMillis"]
+PARTS = ["score", "paceScore", "urgency", "action", "penalty", "ending", "status", "traffic", "rival", "timing"]
+ROUNDED = ", ".join(f"ROUND({c}, 6) AS {c}" for c in PARTS)
+rounded = lambda df: df.select(*AT, "label", "why", *(F.round(c, 6).alias(c) for c in PARTS))
+q("w12_race_snapshots", "laps", lambda f: L.grid_at(f("laps"), L.race_snapshots(f("laps"))).select(*AT, "snapLap", "position"), TRIGGERS + GRID + f" SELECT {KEY}, t AS snapMillis, L AS snapLap, position FROM gr")
+q("w13_drop_zones", "laps", lambda f: L.drop_zones(f("laps")), TRIGGERS + GRID + emerging("gr", "trackStatus") + f" SELECT {KEY}, L AS snapLap, position, emergencePosition, emergencePosition - position AS positionsLost, netRival, carAhead, ROUND(gapToCar, 3) AS gapToCar, carCompound, carTyreLife, trackStatus AS status, loss FROM em WHERE tyreLife >= 8 AND carAhead IS NOT NULL")
+q("w14_pace_state", "laps", lambda f: L.pace_state(f("laps")).select(*D.KEY, "best", F.round("pace", 6).alias("pace"), F.round("paceDelta", 6).alias("paceDelta"), "slowLaps", F.round("gapDelta", 6).alias("gapDelta")), PACE + f" SELECT {KEY}, best, ROUND(pace, 6) AS pace, ROUND(paceDelta, 6) AS paceDelta, slowLaps, ROUND(gapDelta, 6) AS gapDelta FROM ps")
+q("w16_neighbor_pit_boost", "laps track_status", lambda f: scores(f).select(*AT, "rival"), TRIGGERS + SCORES + f" SELECT {KEY}, t AS snapMillis, rival FROM sc")
+q("w17_traffic_score", "laps track_status", lambda f: scores(f).select(*AT, F.round("traffic", 6).alias("traffic"), "emergencePosition"), TRIGGERS + SCORES + f" SELECT {KEY}, t AS snapMillis, ROUND(traffic, 6) AS traffic, emergencePosition FROM sc")
+q("w18_pit_scores", "laps track_status", lambda f: rounded(scores(f)), TRIGGERS + SCORES + f" SELECT {KEY}, t AS snapMillis, label, {WHY} AS why, {ROUNDED} FROM sc")
+q("f21_decision_labels", "laps track_status", lambda f: scores(f).groupBy("race", "label").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most")), TRIGGERS + SCORES + " SELECT race, label, COUNT(*) AS n, ROUND(MIN(score), 6) AS least, ROUND(MAX(score), 6) AS most FROM sc GROUP BY 1, 2")
+q("f23_explained_scores", "laps track_status", lambda f: scores(f).groupBy("why", "label").agg(F.count("*").alias("n")), TRIGGERS + SCORES + f" SELECT {WHY} AS why, label, COUNT(*) AS n FROM sc GROUP BY 1, 2")
+q("k7_caution_rescore", "laps track_status", lambda f: rounded(L.pit_scores(f("laps"), f("track_status"), L.caution_snapshots(f("laps"), f("track_status")))), CAUTIONS + SCORES + f" SELECT {KEY}, t AS snapMillis, label, {WHY} AS why, {ROUNDED} FROM sc")
+EMIT = f""", er AS (SELECT race, driver, ROW_NUMBER() OVER (PARTITION BY race, driver ORDER BY t) AS rn, t, lapNumber, stint, score, label, now, timing, action, pace FROM sc),
+ew AS (SELECT race, driver, CAST(0 AS BIGINT) AS rn, NULL::INT AS onStint, 0.0::DOUBLE AS peak, FALSE AS lost, NULL::INT AS stint, NULL::VARCHAR AS status, NULL::DOUBLE AS score, NULL::DOUBLE AS timing, NULL::INT AS lap, NULL::VARCHAR AS told, NULL::INT AS lapNumber, NULL::BIGINT AS t, NULL::DOUBLE AS s FROM (SELECT DISTINCT race, driver FROM er) x
+ UNION ALL SELECT race, driver, rn, stint2, peak2, lost2 OR gone, CASE WHEN tell THEN stint2 ELSE stint END, CASE WHEN tell THEN now ELSE status END, CASE WHEN tell THEN s2 ELSE score END, CASE WHEN tell THEN timing2 ELSE timing END, CASE WHEN tell THEN lap2 ELSE lap END, CASE WHEN gone THEN 'LOST_CHANCE' WHEN tell THEN label END, lap2, t2, s2
+ FROM (SELECT *, NOT gone AND s2 >= 40 AND (stint IS NULL OR stint <> stint2 OR label <> CASE WHEN score >= 80 THEN 'PIT_NOW' WHEN score >= 60 THEN 'GOOD_PIT' ELSE 'MONITOR' END OR status <> now OR abs(s2 - score) >= 10 OR (label <> 'MONITOR' AND ((action >= 10 AND timing2 - timing >= 2) OR lap2 - lap >= 2))) AS tell
+ FROM (SELECT *, NOT lost2 AND peak2 >= 70 AND s2 < 40 AND pace > 0.005 AS gone FROM (SELECT w.race, w.driver, r.rn, w.stint, w.status, w.score, w.timing, w.lap, r.stint AS stint2, r.now, r.score AS s2, r.timing AS timing2, r.lapNumber AS lap2, r.t AS t2, r.label, r.action, r.pace,
+   GREATEST(CASE WHEN w.onStint = r.stint THEN w.peak ELSE 0.0::DOUBLE END, r.score) AS peak2, CASE WHEN w.onStint = r.stint THEN w.lost ELSE FALSE END AS lost2 FROM ew w JOIN er r ON r.race = w.race AND r.driver = w.driver AND r.rn = w.rn + 1) a) b) c)"""
+q("k6_emit_gate", "laps track_status", lambda f: D.emit_gate(scores(f)).withColumn("score", F.round("score", 6)), TRIGGERS + SCORES + EMIT + f" SELECT {KEY}, t AS snapMillis, ROUND(s, 6) AS score, told AS label FROM ew WHERE told IS NOT NULL")
+COAST = f""", tg AS (SELECT * FROM telemetry WHERE {GREENQ} AND lapNumber > 5),
+br AS (SELECT race, driver, eventTimeMillis AS b FROM tg WHERE brake = 1),
+li AS (SELECT l.race, l.driver, l.eventTimeMillis AS l, MIN(b.b) AS b FROM tg l JOIN br b ON b.race = l.race AND b.driver = l.driver AND b.b > l.eventTimeMillis WHERE throttle < 5 AND brake = 0 GROUP BY ALL),
+st AS (SELECT s.race, s.driver, s.eventTimeMillis AS f, MIN(l.l) AS l FROM tg s JOIN (SELECT l.race, l.driver, l.eventTimeMillis AS l FROM tg l WHERE throttle < 5 AND brake = 0) l ON l.race = s.race AND l.driver = s.driver AND l.l > s.eventTimeMillis WHERE throttle >= 95 AND speed >= 250 AND nGear >= 6 AND brake = 0 GROUP BY ALL),
+cd AS (SELECT st.race, st.driver, st.f, st.l, li.b FROM st JOIN li ON li.race = st.race AND li.driver = st.driver AND li.l = st.l WHERE li.b - st.f < 4000),
+wk AS (SELECT race, driver, CAST(-1 AS BIGINT) AS b FROM (SELECT DISTINCT race, driver FROM cd) x UNION ALL SELECT w.race, w.driver, arg_min(c.b, c.f) AS b FROM wk w JOIN cd c ON c.race = w.race AND c.driver = w.driver AND c.f > w.b GROUP BY w.race, w.driver),
+hit AS (SELECT c.race, c.driver, c.b, MIN(c.f) AS f, arg_min(c.l, c.f) AS l FROM cd c JOIN wk ON wk.race = c.race AND wk.driver = c.driver AND wk.b = c.b
+  WHERE c.f > COALESCE((SELECT MAX(p.b) FROM wk p WHERE p.race = c.race AND p.driver = c.driver AND p.b < c.b), -1) GROUP BY ALL),
+co AS (SELECT race, driver, f AS startMillis, l AS liftMillis, b AS brakeMillis, b - l AS coastMillis FROM hit WHERE b - l >= 550)"""
+q("k1_lift_coast", "telemetry", lambda f: L.lift_coast(f("telemetry")), COAST + " SELECT * FROM co")
+q("f28_coast_seconds", "telemetry", lambda f: L.lift_coast(f("telemetry")).groupBy("race", "driver").agg(F.count("*").alias("n"), F.round(F.avg(C("coastMillis") / 1000), 6).alias("coast_seconds"), F.round(F.avg((C("liftMillis") - C("startMillis")) / 1000), 6).alias("full_to_lift_seconds"), F.round(F.avg((C("brakeMillis") - C("startMillis")) / 1000), 6).alias("full_to_brake_seconds")),
+  COAST + " SELECT race, driver, COUNT(*) AS n, ROUND(AVG(coastMillis / 1000), 6) AS coast_seconds, ROUND(AVG((liftMillis - startMillis) / 1000), 6) AS full_to_lift_seconds, ROUND(AVG((brakeMillis - startMillis) / 1000), 6) AS full_to_brake_seconds FROM co GROUP BY 1, 2")
 q("w15_compound_max_stint", "laps", lambda f: f("laps").select(*D.KEY, F.max("tyreLife").over(L.Window.partitionBy("race", "compound").orderBy("lapNumber", "driver").rowsBetween(L.UNBOUNDED, 0)).alias("seen")), f"SELECT {KEY}, MAX(tyreLife) OVER (PARTITION BY race, compound ORDER BY lapNumber, driver ROWS UNBOUNDED PRECEDING) AS seen FROM laps")
-q("w16_neighbor_pit_boost", "laps", lambda f: L.pit_scores(f("laps")).select(*D.KEY, "rival"), f"SELECT {KEY}, CASE WHEN trackStatus = '1' THEN LEAST(12.0, CASE WHEN LAG(pitInTime) OVER w IS NOT NULL THEN 10.0 ELSE 0.0 END + CASE WHEN LEAD(pitInTime) OVER w IS NOT NULL THEN 6.0 ELSE 0.0 END) ELSE 0.0 END AS rival FROM laps WINDOW w AS (PARTITION BY race, lapNumber ORDER BY position)")
-q("w17_traffic_score", "laps", lambda f: L.pit_scores(f("laps")).select(*D.KEY, F.round("traffic", 6).alias("traffic")), EMERGE + f", t AS (SELECT *, CASE WHEN gapToCar IS NULL OR gapToCar >= 3 THEN 30.0 WHEN gapToCar >= 1 THEN 30.0 * (gapToCar - 1.0) / 2.0 WHEN gapToCar >= 0 THEN -30.0 * (1.0 - gapToCar) ELSE -30.0 END AS raw FROM em) SELECT {KEY}, ROUND(CASE WHEN loss IS NULL THEN 0.0 WHEN carTyreLife >= 25 AND raw < 30 THEN LEAST(30.0, raw + 5.0) ELSE raw END, 6) AS traffic FROM t")
-q("w18_pit_scores", "laps", lambda f: L.pit_scores(f("laps")).select(*D.KEY, "score", "label", "why", "paceScore", "urgency", "penalty", "ending", "status", "timing"))
 q("w20_moving_pace", "laps", lambda f: L.moving_pace(f("laps")).withColumn("pace", F.round("pace", 6)), f"SELECT {KEY}, ROUND(AVG(lapTime) OVER (PARTITION BY race, driver ORDER BY lapNumber ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS pace FROM laps WHERE {CLEANQ}")
 q("w22_dedup_keep_last", "suggestions", lambda f: L.dedup_keep_last(f("suggestions"), D.KEY, ["eventTimeMillis"]).select(*D.KEY, "suggestionLabel"), f"SELECT {KEY}, suggestionLabel FROM suggestions QUALIFY ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY eventTimeMillis DESC) = 1")
 q("w23_dedup_priority", "suggestions", lambda f: D.dedup_priority(f("suggestions")).select(*D.KEY, "suggestionLabel", "totalScore"), f"SELECT {KEY}, suggestionLabel, totalScore FROM suggestions QUALIFY ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY CASE suggestionLabel WHEN 'PIT_NOW' THEN 4 WHEN 'GOOD_PIT' THEN 3 ELSE 1 END DESC, totalScore DESC, eventTimeMillis DESC) = 1")
@@ -216,13 +282,11 @@ q("u1_event_union", "laps track_status", lambda f: f("laps").select("race", "eve
 q("u2_key_sets", "laps suggestions", lambda f: f("laps").select(*D.KEY).exceptAll(f("suggestions").select(*D.KEY).distinct()).withColumn("set", F.lit("only_laps")).unionByName(f("laps").select(*D.KEY).intersect(f("suggestions").select(*D.KEY)).withColumn("set", F.lit("both"))), f"SELECT {KEY}, CASE WHEN ({KEY}) IN (SELECT ({KEY}) FROM suggestions) THEN 'both' ELSE 'only_laps' END AS set FROM laps")
 
 # State over sequences, audits
-q("k1_lift_coast", "telemetry", lambda f: L.lift_coast(f("telemetry")))
 q("k4_classify_stop", "laps", lambda f: f("laps").select(*D.KEY, S.classify_stop(C("gapToCarAhead"), F.lag("gapToCarAhead").over(L.race_driver()), F.coalesce("lapTime", F.lit(0.0)), C("position") % 2 == 0, C("trackStatus"), C("compound"), C("tyreLife") > 12).alias("result")),
   f""", x AS (SELECT *, gapToCarAhead AS a, LAG(gapToCarAhead) OVER (PARTITION BY race, driver ORDER BY lapNumber) AS b, COALESCE(lapTime, 0.0) AS bl FROM laps)
   SELECT {KEY}, CASE WHEN compound = 'INTERMEDIATE' THEN 'WEATHER_SURVIVAL_STOP' WHEN a IS NULL THEN 'UNRESOLVED_MISSING_PRE_GAP' WHEN b IS NULL THEN 'UNRESOLVED_MISSING_POST_GAP' WHEN bl <= 0 THEN 'UNRESOLVED_INVALID_BASELINE' WHEN abs(a) > 60 OR abs(b) > 60 OR abs(b - a) > 45 THEN 'UNRESOLVED_MISSING_POST_GAP'
   WHEN abs((b - a) / bl * 100) > 20 THEN 'UNRESOLVED_INCIDENT_FILTER' WHEN trackStatus IN ('4','6','7') AND abs((b - a) / bl * 100) < 1 THEN 'SUCCESS_FREE_STOP' WHEN (b - a) / bl * 100 < -0.5 THEN CASE WHEN position % 2 = 0 THEN 'SUCCESS_UNDERCUT' ELSE 'SUCCESS_OVERCUT' END
   WHEN tyreLife > 12 THEN 'FAILURE_TRAFFIC' WHEN abs((b - a) / bl * 100) <= 0.5 THEN 'SUCCESS_DEFEND' ELSE 'FAILURE_PACE_DEFICIT' END AS result FROM x""")
-q("k6_emit_gate", "laps", lambda f: D.emit_gate(L.pit_scores(f("laps"))))
 q("v1_decisions_from_scores", "oof", lambda f: f("oof").where("raw_proba >= 0.8").select("race", "driver", "lapNumber", F.lit("PIT_NOW").alias("suggestionLabel"), (C("raw_proba") * 100).alias("totalScore")), f"SELECT {KEY}, 'PIT_NOW' AS suggestionLabel, raw_proba * 100 AS totalScore FROM oof WHERE raw_proba >= 0.8")
 q("v2_decode_codes", "oof", lambda f: f("oof").groupBy("fold", "target_y").agg(F.count("*").alias("n")).groupBy("fold").agg(F.max_by("target_y", "n").alias("label"), D.ratio(F.max("n"), F.sum("n")).alias("purity")), ", c AS (SELECT fold, target_y, COUNT(*) AS n FROM oof GROUP BY ALL) SELECT fold, arg_max(target_y, n) AS label, ROUND(MAX(n) / SUM(n), 6) AS purity FROM c GROUP BY fold")
 q("v3_intervals", "suggestions pit_evals", lambda f: (lambda m: m.select("race", E.wilson_interval(C("tp"), C("scored"))[0].alias("low"), E.wilson_interval(C("tp"), C("scored"))[1].alias("high"), E.two_proportion_z(C("tp"), C("scored"), F.lit(70.0), F.lit(100.0)).alias("z")))(D.decision_metrics(matched(f), ["race"]).where("scored > 0")),
@@ -239,8 +303,8 @@ q("v12_stream_audit", "laps", lambda f: E.rules(f("laps"), [("negative_gap", C("
 # Stops, splits and feeds
 q("k2_pit_cycles", "laps", lambda f: pit_cycles(f("laps")))
 q("k3_resolutions", "laps", lambda f: pit_cycles(f("laps")).groupBy("resolution", "result").agg(F.count("*").alias("n")))
-q("s6_merge_seasons", "laps suggestions", lambda f: IO.merge_seasons({2022: f("suggestions").where("race like '2022%'").withColumn("race", S.strip_year_prefix(C("race"))), 2023: f("suggestions").where("race like '2023%'").withColumn("race", S.strip_year_prefix(C("race")))}, D.KEY, "eventTimeMillis").select(*D.KEY, "suggestionLabel"),
-  f"SELECT {KEY}, suggestionLabel FROM suggestions WHERE substr(race, 1, 4) IN ('2022', '2023') QUALIFY ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY eventTimeMillis DESC) = 1")
+q("s6_merge_seasons", "laps suggestions", lambda f: IO.merge_seasons({y: f("suggestions").where(C("race").startswith(str(y))).withColumn("race", S.strip_year_prefix(C("race"))) for y in (2022, 2023, 2024, 2025)}, D.KEY, "eventTimeMillis").select(*D.KEY, "suggestionLabel"),
+  f"SELECT {KEY}, suggestionLabel FROM suggestions QUALIFY ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY eventTimeMillis DESC) = 1")
 q("s10_alert_feed", "laps pit_evals suggestions", lambda f: IO.alert_feed({"pit_eval": f("pit_evals"), "suggestion": f("suggestions").select("race", "driver", "suggestionLabel")}),
   "SELECT race, driver, pitLapNumber, result, NULL AS suggestionLabel, 'pit_eval' AS kind FROM pit_evals UNION ALL SELECT race, driver, NULL, NULL, suggestionLabel, 'suggestion' FROM suggestions")
 q("m1_grouped_folds", "oof", lambda f: M.grouped_folds(f("oof"), "race", 5), "SELECT race, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INT) AS fold FROM (SELECT race, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, race) - 1 AS r FROM oof GROUP BY race) x")
@@ -251,14 +315,11 @@ q("m2_leakage", "oof", lambda f: M.leaks(M.split_plan(f("oof"), "race", "grouped
 q("w21_calendar_sort", "laps", lambda f: f("laps").select(*D.KEY, S.year_of_race(C("race")).alias("year")).orderBy("year", "race", "lapNumber", "driver"), f"SELECT {KEY}, CAST(substr(race, 1, 4) AS INT) AS year FROM laps")
 q("w30_chronological_windows", "laps", lambda f: f("laps").groupBy("race", "lapNumber").agg(F.count("*").alias("n"), F.min("eventTimeMillis").alias("t")).withColumn("i", F.row_number().over(L.Window.partitionBy("race").orderBy("t", "lapNumber")) - 1).withColumn("window", F.floor(C("i") * 4 / F.count("*").over(L.Window.partitionBy("race")))).groupBy("race", "window").agg(F.sum("n").alias("n"), F.min("t").alias("since")),
   ", g AS (SELECT race, lapNumber, COUNT(*) AS n, MIN(eventTimeMillis) AS t FROM laps GROUP BY ALL), i AS (SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY race ORDER BY t, lapNumber) - 1) * 4 / COUNT(*) OVER (PARTITION BY race)) AS BIGINT) AS w FROM g) SELECT race, w AS \"window\", CAST(SUM(n) AS BIGINT) AS n, MIN(t) AS since FROM i GROUP BY race, w")
-q("k7_caution_rescore", "laps track_status", lambda f: L.asof_backward(f("track_status").where(S.is_caution(C("status"))).select("race", "eventTimeMillis", "status"), f("laps").where("position = 1"), ["race"], "eventTimeMillis", ["lapNumber", "driver"]),
-  "SELECT s.race, s.eventTimeMillis, s.status, l.lapNumber AS asof_lapNumber, l.driver AS asof_driver FROM (SELECT * FROM track_status WHERE status IN ('4', '6', '7')) s ASOF LEFT JOIN (SELECT * FROM laps WHERE position = 1) l ON s.race = l.race AND s.eventTimeMillis >= l.eventTimeMillis")
 q("f11_pit_losses", "laps", lambda f: f("laps").select("race").distinct().select("race", *(c.alias(n) for c, n in zip(S.pit_losses(F.when(C("race").like("%GP1%"), "Monaco Grand Prix").otherwise(S.strip_year_prefix(C("race")))), ("green", "vsc", "sc"), strict=True))),
   "SELECT DISTINCT race, CASE WHEN race LIKE '%GP1%' THEN 20.0 ELSE 22.0 END AS green, CASE WHEN race LIKE '%GP1%' THEN 12.0 ELSE 14.0 END AS vsc, CASE WHEN race LIKE '%GP1%' THEN 9.5 ELSE 11.0 END AS sc FROM laps")
 q("f18_feature_plan", "laps", lambda f: f("laps").select(X.feature_plan(f("laps").columns, ["lapTime"], ["pitLoss", "vscPitLoss", "scPitLoss"], ["eventTimeMillis", "team", "trackTemp", "pitInTime", "pitOutTime", "gapToCarAhead"])),
   "SELECT race, driver, lapNumber, position, stint, tyreLife, compound, lapTime, trackStatus, totalLaps FROM laps")
 q("f20_align_schema", "laps", lambda f: X.align_schema(f("laps").select("lapNumber", "lapTime", "position"), ["lapTime", "lapNumber", "unseen"]), "SELECT COALESCE(lapTime, 0.0) AS lapTime, CAST(lapNumber AS DOUBLE) AS lapNumber, 0.0 AS unseen FROM laps")
-q("f28_coast_seconds", "telemetry", lambda f: L.lift_coast(f("telemetry")).agg(F.count("*").alias("n"), D.count_if((C("startMillis") < C("liftMillis")) & (C("liftMillis") < C("brakeMillis"))).alias("in_order"), F.round(F.avg(C("coastMillis") / 1000), 6).alias("mean_seconds")))
 q("j10_outcome_profile", "laps suggestions pit_evals", lambda f: matched(f).join(f("laps").select(*D.KEY, "compound", "tyreLife"), D.KEY).where("outcome <> 'EXCLUDED'").groupBy("compound", "outcome").agg(F.count("*").alias("n"), F.round(F.avg("tyreLife"), 6).alias("tyre_life")),
   MATCH + f"SELECT compound, outcome, COUNT(*) AS n, ROUND(AVG(tyreLife), 6) AS tyre_life FROM m JOIN laps USING ({KEY}) WHERE outcome <> 'EXCLUDED' GROUP BY 1, 2")
 q("j11_error_context", "laps suggestions pit_evals", lambda f: matched(f).where("outcome = '0'").select(*D.KEY).join(f("laps").where("lapTime is not null").select(*D.KEY, "trackStatus"), D.KEY, "left"),

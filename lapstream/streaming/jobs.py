@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scalars import BASE_THRESHOLD
 from ..operators.laps import asof_backward
 
 LATENESS = "5 seconds"
@@ -45,7 +46,6 @@ def enrich_each_batch(stream: DataFrame, status: Callable[[], DataFrame], sink:
 
 
 TIRE_ALERT = "race string, driver string, lapNumber int, lapTime double, stintBest double, delta double"
-_BASE = {"SOFT": 0.012, "MEDIUM": 0.015, "HARD": 0.020, "WET": 0.025, "INTERMEDIATE": 0.025}
 
 
 def tire_drop_step(state: tuple, lap: tuple) -> tuple[tuple, tuple | None]:
@@ -57,7 +57,7 @@ def tire_drop_step(state: tuple, lap: tuple) -> tuple[tuple, tuple | None]:
     if time > best * 1.07:
         return (stint, best, 0), None
     best = min(best, time)
-    limit = _BASE.get((compound or "").upper(), 0.015) - (0.003 * min(number / total, 1.0) if total > 0 else 0.0) - (0.002 if temp is not None and temp > 40 else 0.0)
+    limit = BASE_THRESHOLD.get((compound or "").upper(), 0.015) - (0.003 * min(number / total, 1.0) if total > 0 else 0.0) - (0.002 if temp is not None and temp > 40 else 0.0)
     if time <= best * (1.0 + max(0.005, limit)):
         return (stint, best, 0), None
     if slow + 1 < 2:
@@ -84,7 +84,7 @@ def tire_drops_stream(laps: DataFrame, ttl_ms: int = 2 * 3600 * 1000) -> DataFra
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["eventTimeMillis"].max())) + ttl_ms)
         yield pd.DataFrame(out, columns=["race", "driver", "lapNumber", "lapTime", "stintBest", "delta"])
 
-    clean = timed(laps).where("lapTime > 0 and pitInTime is null and pitOutTime is null and coalesce(nullif(trim(trackStatus), ''), '1') = '1' and lapNumber >= 2")
+    clean = timed(laps).where("lapTime > 0 and pitInTime is null and pitOutTime is null and coalesce(nullif(trim(trackStatus), ''), '1') = '1' and lapNumber > 2")
     return clean.groupBy("race", "driver").applyInPandasWithState(step, TIRE_ALERT, "stint int, best double, slow int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
