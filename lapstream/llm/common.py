@@ -74,6 +74,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 
 
 _BYTES = seeded(256, 11)
+_BYTES_AGAIN = seeded(256, 13)
 _BYTES_LOWER = _BYTES.copy()
 _BYTES_LOWER[65:91] = _BYTES[97:123]
 
@@ -118,10 +119,10 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of the words, A-Z as a-z where asked for."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, again: bool = False) -> np.ndarray:
+    """64-bit hashes of the words, A-Z as a-z where asked for; ``again`` gives a second, independent one."""
     if len(starts) == 0:
         return np.zeros(0, _U)
     sums = np.zeros(len(raw) + 1, dtype=_U)
-    np.cumsum((_BYTES_LOWER if lower else _BYTES)[raw] * powers(len(raw)), out=sums[1:])
+    np.cumsum((_BYTES_AGAIN if again else _BYTES_LOWER if lower else _BYTES)[raw] * powers(len(raw)), out=sums[1:])
     return mix((sums[ends] - sums[starts]) * powers(len(raw), inverse=True)[starts] + (ends - starts).astype(_U))

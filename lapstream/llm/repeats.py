@@ -7,13 +7,14 @@ exchanging a dictionary. Beside each symbol goes its context: the stretch of wor
 the symbol is there. A symbol whose context lies inside a window occurs in every copy of that window.
 
 Spark counts the top symbols over the whole corpus. Only a window all of whose inner symbols are shared can
-occur twice; those windows are then counted by 128-bit hashes of their words, which settles them.
+occur twice; those windows are then counted by 128 bits of two independent hashes of their words, which settles them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,11 @@ from .common import mix, powers, seeded, slices, table, word_hashes, word_spans
 PAIR_ROUNDS = 6
 #: No symbol gets longer than this, so that a window of a few dozen words always holds some.
 LONGEST = 12
-CHUNK_DOCS = 1000
+#: Bytes of text in a chunk on average; a longer text is in a chunk with the others that its hash deals there.
+CHUNK_BYTES = 2 << 20
 _U = np.uint64
 _CLASS = seeded(64, 23)
-_RUN, _LEFT, _RIGHT, _SECOND = (int(x) | 1 for x in seeded(4, 29))
+_RUN, _LEFT, _RIGHT = (int(x) | 1 for x in seeded(3, 29))
 
 
 def recompress(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,11 +93,11 @@ def recompress(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def parsed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, tuple]]:
-    """Word hashes, each row's first word, and the top symbols, for consecutive rows."""
+    """Word hashes, each row's first word, the top symbols, and second word hashes on demand, for consecutive rows."""
     for _, _, raw, offsets in slices(column, 1 << 19):
         starts, ends, first = word_spans(raw, offsets)
         h = word_hashes(raw, starts, ends)
-        yield h, first, recompress(h, np.repeat(np.arange(len(first) - 1), np.diff(first)))
+        yield h, first, recompress(h, np.repeat(np.arange(len(first) - 1), np.diff(first))), partial(word_hashes, raw, starts, ends, again=True)
 
 
 def window_starts(first: np.ndarray, words: int) -> np.ndarray:
@@ -107,12 +109,13 @@ def window_starts(first: np.ndarray, words: int) -> np.ndarray:
     return ok
 
 
-def window_hashes(h: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the windows that start at ``at``."""
+def window_hashes(h: np.ndarray, again: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the windows that start at ``at``, from two independent hashes of their words: windows that
+    agree in both have the same words but for a chance of 2 to the power of -128."""
     out = []
-    for salt in (1, _SECOND):
-        sums = np.zeros(len(h) + 1, dtype=_U)
-        np.cumsum(mix(h * _U(salt)) * powers(len(h)), out=sums[1:])
+    for x in (h, again):
+        sums = np.zeros(len(x) + 1, dtype=_U)
+        np.cumsum(mix(x) * powers(len(x)), out=sums[1:])
         out.append(mix((sums[at + words] - sums[at]) * powers(len(h), inverse=True)[at]))
     return out[0], out[1]
 
@@ -173,8 +176,8 @@ def _together(names: np.ndarray, flags: dict[int, np.ndarray], buckets: int) ->
 
 
 def _candidates(texts: pa.Table, shared: np.ndarray, names: np.ndarray, words: int):
-    """For each stretch of rows: word hashes, first words, and the starts of windows that may occur twice."""
-    for h, first, (sym, _, c0, c1) in parsed(texts.column("text")):
+    """For each stretch of rows: word hashes (and second ones), first words, and the starts of windows that may occur twice."""
+    for h, first, (sym, _, c0, c1), again in parsed(texts.column("text")):
         alone = ~shared[np.searchsorted(names, sym)] if len(sym) else np.zeros(0, bool)
         # A window from p holds symbol s for sure if c1 - words <= p <= c0; one unshared symbol rules it out.
         gone = np.zeros(len(h) + 2, dtype=np.int64)
@@ -182,7 +185,7 @@ def _candidates(texts: pa.Table, shared: np.ndarray, names: np.ndarray, words: i
         ok = lo <= hi
         np.add.at(gone, lo[ok], 1)
         np.add.at(gone, hi[ok] + 1, -1)
-        yield h, first, np.flatnonzero((np.cumsum(gone)[: len(h)] == 0) & window_starts(first, words))
+        yield h, again, first, np.flatnonzero((np.cumsum(gone)[: len(h)] == 0) & window_starts(first, words))
 
 
 def _windows(texts: pa.Table, masks: pa.Table, words: int, buckets: int):
@@ -190,8 +193,8 @@ def _windows(texts: pa.Table, masks: pa.Table, words: int, buckets: int):
     names = np.unique(np.concatenate([np.zeros(0, _U), *(x[2][0] for x in parsed(texts.column("text")))]))
     shared = _together(names, _flags(masks, 0), buckets)
     parts, a, b = [], [], []
-    for h, first, at in _candidates(texts, shared, names, words):
-        x, y = window_hashes(h, at, words) if len(at) else (np.zeros(0, _U), np.zeros(0, _U))
+    for h, again, first, at in _candidates(texts, shared, names, words):
+        x, y = window_hashes(h, again(), at, words) if len(at) else (np.zeros(0, _U), np.zeros(0, _U))
         parts.append((first, at, x, y))
         a.append(x)
         b.append(y)
@@ -219,7 +222,8 @@ def remove_repeats(docs: DataFrame, words: int = 50, chunks: int | None = None,
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     if chunks is None:
-        chunks = max(1, -(-docs.count() // CHUNK_DOCS))
+        size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+        chunks = max(1, -(-size // CHUNK_BYTES))
     if buckets is None:
         buckets = max(4, chunks // 4)
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 200), F.length("text")), F.lit(chunks)).cast("long"))

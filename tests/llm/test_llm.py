@@ -208,6 +208,21 @@ def test_urls(spark):
     assert urls.judge_urls(pages, rules.where("false")).count() == 8 and urls.judge_urls(pages.where("false"), rules).collect() == []
 
 
+def test_many_nested_url_rules(spark):
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("ab/"), n))
+    hosts = ["x", "a.x", "b.a.x", "c.x", "y", "a.y", "xx"]
+    rules = sorted({(str(rng.choice(hosts)), "/" + word(int(rng.integers(0, 4))), "block" if i % 2 else "allow") for i in range(60)})
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    pages = [(i, f"http://{rng.choice([*hosts, 'z', 'w.b.a.x'])}{'/' + word(5) if i % 9 else ''}") for i in range(500)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    for i, url in pages:
+        host, _, path = url.removeprefix("http://").partition("/")
+        path = "/" + path if url.count("/") > 2 else ""
+        fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if ("." + host).endswith("." + h) and path.startswith(p)]
+        assert got[i] == (max(fit)[2:] if fit else (None, urls.DEFAULT))
+
+
 def test_pipeline_keeps_ids(spark):
     import corpus_pipeline
 
