@@ -33,14 +33,24 @@ TRAIN_FINDINGS = 10_000
 MASK = "[SECRET]"
 
 
+def _apart(texts: DataFrame) -> DataFrame:
+    """(h, gaps, hits) of each row of (h, text) that has a match of the pattern: what matches and what stands between.
+
+    One pass puts a mark around each match and the text is split there. A mark holds the text's own MD5 ``h``."""
+    mark = F.concat(F.lit("\x01"), F.col("h"), F.lit("\x01"))
+    marked = F.regexp_replace("text", F.lit(CANDIDATE), F.concat(mark, F.lit("$0"), mark))
+    parts = texts.where(F.col("text").rlike(CANDIDATE)).select("h", F.split(marked, mark, -1).alias("parts"))
+    return parts.select("h", F.filter("parts", lambda _, i: i % 2 == 0).alias("gaps"), F.filter("parts", lambda _, i: i % 2 == 1).alias("hits"))
+
+
 def findings(texts: DataFrame) -> DataFrame:
     """(h, nth, before, value, left, right) for each candidate of each row of (h, text): the name and sign before it
     and up to 60 characters on both sides. ``nth`` counts the matches of the pattern, candidates or not."""
-    hit = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    around = F.split("text", CANDIDATE, -1)
-    rows = texts.where(F.col("text").rlike(CANDIDATE)).select("h", F.posexplode(F.arrays_zip(hit.alias("hit"), F.slice(around, F.lit(1), F.size(around) - 1).alias("left"), F.slice(around, F.lit(2), F.size(around) - 1).alias("right"))).alias("nth", "c"))
+    ends = [F.transform("gaps", lambda g: F.right(g, F.lit(60))), F.transform("gaps", lambda g: F.left(g, F.lit(60)))]
+    rows = _apart(texts).select("h", F.col("hits").alias("hit"), ends[0].alias("left"), F.slice(ends[1], F.lit(2), F.size("hits")).alias("right"))
+    rows = rows.select("h", F.posexplode_outer(F.arrays_zip("hit", F.slice("left", F.lit(1), F.size("hit")).alias("left"), "right")).alias("nth", "c"))
     group = lambda *n: F.concat(*(F.regexp_extract("hit", f"^(?:{CANDIDATE})", i) for i in n))
-    found = rows.select("h", "nth", F.col("c.hit").alias("hit"), F.right("c.left", F.lit(60)).alias("left"), F.left("c.right", F.lit(60)).alias("right"))
+    found = rows.select("h", "nth", F.col("c.hit").alias("hit"), F.col("c.left").alias("left"), F.col("c.right").alias("right"))
     found = found.select("h", "nth", group(1, 3).alias("before"), group(2, 4, 5).alias("value"), "left", "right")
     return found.where((F.length("value") >= LONG) | F.col("before").rlike(CREDENTIAL))
 
@@ -114,7 +124,7 @@ def judged(docs: DataFrame, labelled: DataFrame | None = None, most: int = TRAIN
     text = F.col("text").cast("string")
     held = docs.select(F.md5(text).alias("h"), text.alias("text")).where("text is not null")
     words = dictionary(held)
-    found = findings(held).dropDuplicates(["h", "nth"]).withColumn("key", F.concat_ws(":", "h", "nth"))
+    found = stash(findings(held).dropDuplicates(["h", "nth"]).withColumn("key", F.concat_ws(":", "h", "nth")))
     found = stash(described(found, words))
     if labelled is None:
         taught = weak_labels(found)
@@ -160,8 +170,7 @@ def redacted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.struct("*").alias("row"), F.md5(text).alias("h"))
     texts = docs.select(F.md5(text).alias("h"), text.alias("text")).join(secret.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
-    parts = F.arrays_zip(F.split("text", CANDIDATE, -1).alias("gap"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("hit"))
-    parts = texts.select("h", F.posexplode(parts).alias("nth", "c")).select("h", "nth", F.col("c.gap").alias("gap"), F.coalesce("c.hit", F.lit("")).alias("hit"))
+    parts = _apart(texts).select("h", F.posexplode_outer(F.arrays_zip(F.col("gaps").alias("gap"), F.col("hits").alias("hit"))).alias("nth", "c")).select("h", "nth", F.col("c.gap").alias("gap"), F.coalesce("c.hit", F.lit("")).alias("hit"))
     masked = parts.join(secret, ["h", "nth"], "left").select("h", "nth", F.concat("gap", F.when(F.col("value").isNull(), F.col("hit")).otherwise(F.replace("hit", F.col("value"), F.lit(MASK)))).alias("part"))
     again = masked.groupBy("h").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "part"))), lambda p: p["part"]), "").alias("masked"))
     return rows.join(again, "h", "left").select(F.col("row").withField("text", F.coalesce("masked", F.col("row.text").cast("string"))).alias("row")).select("row.*")
