@@ -122,12 +122,12 @@ def fp_overlap_sets(sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def feature_effects(rows: DataFrame, columns: list[str], positive: Column) -> DataFrame:
-    """For each feature: size, mean and spread among true and false positives, and Cohen's d."""
+    """For each feature: size, mean, spread, median and outer tenths among true and false positives, and Cohen's d."""
     long = rows.select(positive.alias("tp"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("f")).select("tp", "f.*")
     of = lambda t, f: f(F.when(F.col("tp") == t, F.col("v")))
-    g = long.groupBy("feature").agg(of(True, F.count).alias("n_tp"), of(False, F.count).alias("n_fp"), of(True, F.avg).alias("m1"), of(False, F.avg).alias("m0"), of(True, F.var_pop).alias("v1"), of(False, F.var_pop).alias("v0"))
+    g = long.groupBy("feature").agg(of(True, F.count).alias("n_tp"), of(False, F.count).alias("n_fp"), of(True, F.avg).alias("m1"), of(False, F.avg).alias("m0"), of(True, F.var_pop).alias("v1"), of(False, F.var_pop).alias("v0"), *(of(t, lambda c, p=p: F.round(F.percentile(c, p), 6)).alias(f"{n}_{k}") for t, k in ((True, "tp"), (False, "fp")) for n, p in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))))
     d = F.try_divide(F.col("m1") - F.col("m0"), F.sqrt((F.col("v1") + F.col("v0")) / 2))
-    return g.select("feature", "n_tp", "n_fp", F.round("m1", 6).alias("mean_tp"), F.round("m0", 6).alias("mean_fp"), F.round(F.sqrt("v1"), 6).alias("std_tp"), F.round(F.sqrt("v0"), 6).alias("std_fp"), F.round(d, 6).alias("cohens_d"))
+    return g.select("feature", "n_tp", "n_fp", F.round("m1", 6).alias("mean_tp"), F.round("m0", 6).alias("mean_fp"), F.round(F.sqrt("v1"), 6).alias("std_tp"), F.round(F.sqrt("v0"), 6).alias("std_fp"), F.round(d, 6).alias("cohens_d"), *(f"{n}_{k}" for k in ("tp", "fp") for n in ("median", "p10", "p90")))
 
 
 def emit_gate(scores: DataFrame, least: float = 40.0, delta: float = 10.0, repeat: int = 2, peak: float = 70.0, slow: float = 0.005) -> DataFrame:
@@ -183,3 +183,31 @@ def suggest_error_tag(row: dict[str, Column]) -> Column:
         .otherwise("Unclassified Exclusion")
     )
     return F.when(scored, fp).otherwise(ex)
+
+
+def decisions_from_scores(scores: DataFrame, threshold: float) -> DataFrame:
+    """Scores from the threshold on as decisions; the total is the score in per cent."""
+    return scores.where(F.col("raw_proba") >= threshold).select(*KEY, F.lit("PIT_NOW").alias("suggestionLabel"), (F.col("raw_proba") * 100).alias("totalScore"))
+
+
+def decode_codes(df: DataFrame, code: str, target: str, purity: float) -> DataFrame:
+    """``df`` with ``decoded``, the target that most rows of its code have (ties to the larger); null where their share
+    is below ``purity``. Codes are counted first, so one row for each code meets the rows."""
+    counts = df.groupBy(code, target).agg(F.count("*").alias("n"))
+    mapping = counts.groupBy(code).agg(F.max_by(target, F.struct("n", target)).alias("decoded"), (F.max("n") / F.sum("n")).alias("share")).select(code, F.when(F.col("share") >= purity, F.col("decoded")).alias("decoded"))
+    return df.join(mapping, code, "left")
+
+
+def drop_zone_join(rows: DataFrame, zones: DataFrame) -> DataFrame:
+    """``rows`` with their drop zone: position (0 without one), gap to the car ahead (999), and whether there is one.
+
+    ``zones`` (race, driver, lapNumber, position, gap) must have a key once; ``duplicate_key_stats`` tells."""
+    hit = zones.select(*KEY, F.col("position").alias("dropPosition"), F.col("gap").alias("dropGap"), F.lit(True).alias("hit"))
+    return rows.join(hit, KEY, "left").withColumns({"dropPosition": F.coalesce("dropPosition", F.lit(0)), "dropGap": F.coalesce("dropGap", F.lit(999.0)), "hasDropZone": F.coalesce("hit", F.lit(False))}).drop("hit")
+
+
+def key_membership(timeline: DataFrame, decided: DataFrame, available: DataFrame) -> DataFrame:
+    """``timeline`` keys with ``prediction``: 1 where decided, 0 where available only, null where neither."""
+    flag = lambda df, name: df.select(*KEY).distinct().withColumn(name, F.lit(1))
+    j = timeline.select(*KEY).join(flag(decided, "d"), KEY, "left").join(flag(available, "a"), KEY, "left")
+    return j.select(*KEY, F.when(F.col("d") == 1, 1).when(F.col("a") == 1, 0).alias("prediction"))

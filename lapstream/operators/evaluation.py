@@ -25,13 +25,13 @@ def binary_metrics(df: DataFrame, threshold: float = 0.5, keys: list[str] | None
     return with_rates(df.groupBy(*(keys or [])).agg(*confusion(F.col(Y), F.col(P) >= threshold)))
 
 
-def threshold_sweep(df: DataFrame, thresholds: list[float]) -> DataFrame:
+def threshold_sweep(df: DataFrame, thresholds: list[float], keys: list[str] | None = None) -> DataFrame:
     """Metrics at every threshold. Rows are counted by (target, score) first; only counts meet the grid."""
-    counts = df.groupBy(Y, P).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*(keys or []), Y, P).agg(F.count("*").alias("n"))
     t = counts.withColumn("threshold", F.explode(F.array(*(F.lit(float(x)) for x in thresholds))))
     hit, y, n = F.col(P) >= F.col("threshold"), F.col(Y), F.col("n")
     cell = lambda c, name: F.sum(F.when(c, n).otherwise(0)).alias(name)
-    return with_rates(t.groupBy("threshold").agg(cell((y == 1) & hit, "tp"), cell((y == 0) & hit, "fp"), cell((y == 0) & ~hit, "tn"), cell((y == 1) & ~hit, "fn")))
+    return with_rates(t.groupBy(*(keys or []), "threshold").agg(cell((y == 1) & hit, "tp"), cell((y == 0) & hit, "fp"), cell((y == 0) & ~hit, "tn"), cell((y == 1) & ~hit, "fn")))
 
 
 def best_threshold(sweep: DataFrame, floor: float = 0.0) -> DataFrame:
@@ -39,9 +39,50 @@ def best_threshold(sweep: DataFrame, floor: float = 0.0) -> DataFrame:
     return sweep.where(F.col("precision") >= floor).agg(F.max_by("threshold", F.struct("f1", "precision", "threshold")).alias("threshold"), F.max("f1").alias("f1"))
 
 
+def locked_threshold(calibration: DataFrame, test: DataFrame, thresholds: list[float], floor: float = 0.0) -> DataFrame:
+    """Metrics of ``test`` at the threshold that is best on ``calibration`` (0.5 if none reaches the precision floor)."""
+    best = best_threshold(threshold_sweep(calibration, thresholds), floor).select(F.coalesce("threshold", F.lit(0.5)).alias("threshold"))
+    counts = test.groupBy(Y, P).agg(F.count("*").alias("n")).crossJoin(F.broadcast(best))  # one row
+    hit, y = F.col(P) >= F.col("threshold"), F.col(Y)
+    cell = lambda c, name: F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name)
+    return with_rates(counts.groupBy("threshold").agg(cell((y == 1) & hit, "tp"), cell((y == 0) & hit, "fp"), cell((y == 0) & ~hit, "tn"), cell((y == 1) & ~hit, "fn")))
+
+
+def fold_metrics(df: DataFrame, thresholds: list[float], floor: float, keys: list[str]) -> DataFrame:
+    """For each fold: average precision, its lift over the prevalence, Brier score, F1 at 0.5, and the thresholds of the
+    best F1 without and with the precision floor. Scores are counted before they are ranked."""
+    g = df.groupBy(*keys, P).agg(F.count("*").alias("n"), F.sum(Y).alias("pos"))
+    w = Window.partitionBy(*keys).orderBy(F.col(P).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n, pos, p = F.col("n"), F.col("pos"), F.col(P)
+    ap, base = F.sum(pos * F.col("pr")) / F.sum("pos"), F.sum("pos") / F.sum("n")
+    ranked = g.withColumn("pr", F.sum("pos").over(w) / F.sum("n").over(w)).groupBy(*keys).agg(
+        F.round(ap, 6).alias("average_precision"), F.round(base, 6).alias("prevalence"), F.round(ap / base, 6).alias("lift"), F.round(F.sum(pos * (1 - p) * (1 - p) + (n - pos) * p * p) / F.sum("n"), 6).alias("brier")
+    )
+    order, enough = F.struct("f1", "precision", "threshold"), F.col("precision") >= floor
+    chosen = threshold_sweep(df, thresholds, keys).groupBy(*keys).agg(
+        F.max_by("threshold", order).alias("threshold_free"), F.max("f1").alias("f1_free"), F.max_by("threshold", F.when(enough, order)).alias("threshold_floor"), F.max(F.when(enough, F.col("f1"))).alias("f1_floor")
+    )
+    fixed = binary_metrics(df, 0.5, keys).select(*keys, F.col("f1").alias("f1_baseline"))
+    return ranked.join(chosen, keys).join(fixed, keys)
+
+
 def reliability_bins(df: DataFrame, bins: int = 10, keys: list[str] | None = None) -> DataFrame:
+    """Size, mean score and frequency of each of ``bins`` equal ranges of the score; empty ones have n = 0."""
+    keys = keys or []
     b = F.least(F.floor(F.col(P) * bins), F.lit(bins - 1)).cast("int")
-    return df.groupBy(*(keys or []), b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(P), 6).alias("confidence"), F.round(F.avg(F.col(Y).cast("double")), 6).alias("frequency"))
+    g = df.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(P), 6).alias("confidence"), F.round(F.avg(F.col(Y).cast("double")), 6).alias("frequency"))
+    spine = g.groupBy(*keys).agg(F.count("*")).select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return spine.join(g, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"), "confidence", "frequency")
+
+
+def quantile_bins(df: DataFrame, bins: int) -> DataFrame:
+    """Reliability in ranges between quantiles of the score; equal edges are one, the ends are 0 and 1."""
+    inner = F.percentile(P, F.array(*(F.lit(i / bins) for i in range(1, bins))))
+    edges = df.agg(inner.alias("e")).select(F.array_distinct(F.concat(F.array(F.lit(0.0)), F.coalesce("e", F.array().cast("array<double>")), F.array(F.lit(1.0)))).alias("e"))
+    counts = df.groupBy(P).agg(F.count("*").alias("n"), F.sum(Y).alias("pos")).crossJoin(F.broadcast(edges))  # one row
+    i = F.least(F.size(F.filter("e", lambda x: x <= F.col(P))), F.size("e") - 1)
+    rows = counts.select((i - 1).alias("bin"), F.round(F.element_at("e", i), 6).alias("lo"), F.round(F.element_at("e", i + 1), 6).alias("hi"), P, "n", "pos")
+    return rows.groupBy("bin", "lo", "hi").agg(F.sum("n").alias("n"), F.round(F.sum(F.col(P) * F.col("n")) / F.sum("n"), 6).alias("confidence"), F.round(F.sum("pos") / F.sum("n"), 6).alias("frequency"))
 
 
 def calibration_errors(df: DataFrame, bins: int = 10, keys: list[str] | None = None) -> DataFrame:
@@ -94,6 +135,25 @@ def null_profile(df: DataFrame) -> DataFrame:
     return counts.select(pairs.alias("x")).select("x.*")
 
 
+def top_nulls(df: DataFrame, top: int = 8) -> DataFrame:
+    """The columns with the most nulls, most first, ties by name."""
+    return null_profile(df).orderBy(F.col("null_pct").desc(), "column").limit(top)
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """How many rows repeat an earlier one in all columns."""
+    return df.groupBy(*df.columns).agg(F.count("*").alias("__n")).agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
+
+
+def latency_summary(df: DataFrame, components: list[str], total: str, warmup: int, keys: list[str]) -> DataFrame:
+    """For each component of the events after the warm-up: percentiles, mean and maximum of the good ones in ms, the share
+    of good events, and the component's share of the total time."""
+    ok = F.col("status") == "ok"
+    long = df.where(F.col("event_index") > warmup).select(*keys, ok.alias("ok"), F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.when(ok, F.col(c).cast("double")).alias("v"), F.when(ok, F.col(total).cast("double")).alias("all")) for c in components))).alias("x")).select(*keys, "ok", "x.*")
+    q = lambda p: F.round(F.percentile("v", p), 3)
+    return long.groupBy(*keys, "component").agg(F.count("v").alias("n"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.round(F.avg("v"), 3).alias("mean"), F.round(F.max("v"), 3).alias("max"), ratio(count_if(F.col("ok")), F.count("*")).alias("availability"), F.round(F.sum("v") / F.sum("all"), 6).alias("share"))
+
+
 def duplicate_key_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().agg(count_if(F.col("count") > 1).alias("duplicate_keys"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("excess_rows"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -92,3 +92,42 @@ def save_bundle(model: PipelineModel, path: str, threshold: float, columns: list
 
 def load_bundle(spark, path: str):
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/meta").first()
+
+
+def calibrator(rows: DataFrame, label: str, method: str = "auto", least: int = 1000):
+    """A fitted transformer from ``raw_proba`` to a calibrated score, and the method: isotonic or sigmoid; ``auto`` takes
+    isotonic from ``least`` positive rows on. With the sigmoid the score is element 1 of ``probability``."""
+    if method == "auto":
+        method = "isotonic" if (rows.agg(F.sum(label).alias("n")).first()["n"] or 0) >= least else "sigmoid"
+    if method == "isotonic":
+        return IsotonicRegression(featuresCol="raw_proba", labelCol=label, predictionCol="calibrated").fit(rows), method
+    logit = LogisticRegression(featuresCol="__raw", labelCol=label)
+    return Pipeline(stages=[VectorAssembler(inputCols=["raw_proba"], outputCol="__raw"), logit]).fit(rows), method
+
+
+def surrogate_sweep(train: DataFrame, test: DataFrame, numeric: list[str], label: str, delta: float = 0.0) -> DataFrame:
+    """Fidelity of fixed candidates to ``label``, best first by F1, balanced accuracy and accuracy; ``chosen`` is the best
+    one if its F1 beats the baseline's (logistic regression) by at least ``delta``, else the baseline."""
+    candidates = {"logistic": LogisticRegression(labelCol=label), "forest": RandomForestClassifier(labelCol=label, seed=7), "boosted": GBTClassifier(labelCol=label, maxIter=10, seed=7)}
+    vector = VectorAssembler(inputCols=numeric, outputCol="features", handleInvalid="keep")
+    out = None
+    for name, model in candidates.items():
+        scored = Pipeline(stages=[vector, model]).fit(train).transform(test)
+        y, p = F.col(label), F.col("prediction")
+        cell = lambda a, b, y=y, p=p: F.sum(((y == a) & (p == b)).cast("long"))
+        one = scored.agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(0, 0).alias("tn"), cell(1, 0).alias("fn")).withColumn("candidate", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    rates = out.select("candidate", F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"), ((F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2).alias("balanced_accuracy"), ((tp + tn) / (tp + fp + tn + fn)).alias("accuracy"))
+    best = Window.partitionBy()  # one row for each candidate
+    gain = F.col("top.f1") - F.col("base")
+    ranked = rates.withColumn("top", F.max(F.struct("f1", "balanced_accuracy", "accuracy", "candidate")).over(best)).withColumn("base", F.max(F.when(F.col("candidate") == "logistic", F.col("f1"))).over(best))
+    chosen = F.when(gain >= delta, F.col("top.candidate")).otherwise("logistic")
+    return ranked.select(*rates.columns, (F.col("candidate") == chosen).alias("chosen")).orderBy(F.col("f1").desc(), F.col("balanced_accuracy").desc(), F.col("accuracy").desc(), "candidate")
+
+
+def export_matrix(matrix: DataFrame, path: str, label: str, kind: str = "parquet") -> None:
+    """Writes the matrix (parquet or csv) and beside it a manifest: a row for each column with place, type and role."""
+    matrix.write.mode("overwrite").option("header", True).format(kind).save(f"{path}/matrix")
+    rows = [(i, f.name, f.dataType.simpleString(), "label" if f.name == label else "feature") for i, f in enumerate(matrix.schema.fields)]
+    matrix.sparkSession.createDataFrame(rows, "place int, name string, type string, role string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.register import register_sql
 from ..operators import decisions as D
 from ..operators import evaluation as E
 from ..operators import features as X
@@ -87,8 +88,8 @@ q("j3_enrich_status", "laps track_status", lambda f: L.asof_backward(f("laps").s
   "SELECT l.race, l.driver, l.lapNumber, l.eventTimeMillis, COALESCE(s.status, '1') AS asof_status FROM laps l ASOF LEFT JOIN track_status s ON l.race = s.race AND l.eventTimeMillis >= s.eventTimeMillis")
 q("j4_weather_join", "laps", lambda f: f("laps").select("race", "driver", "lapNumber").join(f("laps").where("position % 3 = 0").select("race", "driver", "lapNumber", "trackTemp"), D.KEY, "left"),
   f"SELECT {KEY}, CASE WHEN position % 3 = 0 THEN trackTemp END AS trackTemp FROM laps")
-q("j5_drop_zone_join", "laps", lambda f: f("laps").select("race", "driver", "lapNumber").join(f("laps").where("tyreLife >= 8").select(*D.KEY, "position", F.lit(True).alias("hit")), D.KEY, "left").select(*D.KEY, F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("hit", F.lit(False)).alias("hasDropZone")),
-  f"SELECT {KEY}, CASE WHEN tyreLife >= 8 THEN position ELSE 0 END AS position, tyreLife >= 8 AS hasDropZone FROM laps")
+q("j5_drop_zone_join", "laps", lambda f: D.drop_zone_join(f("laps").select(*D.KEY), f("laps").where("tyreLife >= 8").select(*D.KEY, "position", F.coalesce("gapToCarAhead", F.lit(0.0)).alias("gap"))),
+  f"SELECT {KEY}, CASE WHEN tyreLife >= 8 THEN position ELSE 0 END AS dropPosition, CASE WHEN tyreLife >= 8 THEN COALESCE(gapToCarAhead, 0.0) ELSE 999.0 END AS dropGap, tyreLife >= 8 AS hasDropZone FROM laps")
 q("j6_future_window_label", "laps pit_evals", lambda f: D.future_window_label(f("laps").select(*D.KEY), f("pit_evals")),
   f""", m AS (SELECT l.race, l.driver, l.lapNumber, MIN(struct_pack(p := e.pitLapNumber, r := e.result)) AS m FROM laps l LEFT JOIN pit_evals e ON l.race = e.race AND l.driver = e.driver AND e.pitLapNumber BETWEEN l.lapNumber + 1 AND l.lapNumber + 2 AND e.pitLapNumber IS NOT NULL GROUP BY ALL)
   SELECT {KEY}, m.p AS matchedPitLap, m.r AS matchedResult, CASE WHEN m.r IN ({POS}) THEN 1 ELSE 0 END AS target_y FROM m""")
@@ -116,8 +117,8 @@ q("j12_parity_join", "laps", lambda f: f("laps").select(*D.KEY, C("lapTime").ali
 q("j13_ladder", "laps", lambda f: L.directed_gap(f("laps")),
   f""", x AS (SELECT {KEY}, position, COALESCE(SUM(gapToCarAhead) OVER w, 0) AS s, COUNT(*) FILTER (gapToCarAhead IS NULL) OVER w AS b FROM laps WINDOW w AS (PARTITION BY race, lapNumber ORDER BY position))
   SELECT x.race, x.lapNumber, x.driver, y.driver AS other, CASE WHEN x.b = y.b THEN ROUND(x.s - y.s, 3) END AS gap FROM x JOIN x y ON x.race = y.race AND x.lapNumber = y.lapNumber AND abs(x.position - y.position) BETWEEN 1 AND 6""")
-q("j14_key_membership", "laps suggestions", lambda f: f("laps").select(*D.KEY).join(f("suggestions").select(*D.KEY).distinct().withColumn("hit", F.lit(1)), D.KEY, "left").select(*D.KEY, F.coalesce("hit", F.lit(0)).alias("decided")),
-  f"SELECT l.race, l.driver, l.lapNumber, CASE WHEN s.race IS NULL THEN 0 ELSE 1 END AS decided FROM laps l LEFT JOIN (SELECT DISTINCT {KEY} FROM suggestions) s USING ({KEY})")
+q("j14_key_membership", "laps suggestions", lambda f: D.key_membership(f("laps"), f("suggestions").where("suggestionLabel in ('PIT_NOW', 'GOOD_PIT')"), f("suggestions")),
+  f"SELECT l.race, l.driver, l.lapNumber, s.prediction FROM laps l LEFT JOIN (SELECT {KEY}, MAX(CAST(suggestionLabel IN ('PIT_NOW', 'GOOD_PIT') AS INT)) AS prediction FROM suggestions GROUP BY ALL) s USING ({KEY})")
 q("j15_rival_at_position", "laps", lambda f: L.rival_at(f("laps"), -1),
   f", c AS (SELECT a.race, a.driver, a.lapNumber, arg_max(b.driver, b.lapNumber) AS rival FROM laps a JOIN laps b ON a.race = b.race AND b.position = a.position - 1 AND b.lapNumber BETWEEN a.lapNumber - 1 AND a.lapNumber AND b.driver <> a.driver GROUP BY ALL) SELECT {KEY}, c.rival FROM laps LEFT JOIN c USING ({KEY})")
 q("j16_fill_roster", "laps suggestions", lambda f: f("laps").select("race", "driver").distinct().join(L.latest_per_key(f("suggestions"), ["race", "driver"], ["lapNumber", "totalScore", "suggestionLabel"]).select("race", "driver", "suggestionLabel", "totalScore"), ["race", "driver"], "left").select("race", "driver", F.coalesce("suggestionLabel", F.lit("MONITOR")).alias("label"), F.coalesce("totalScore", F.lit(0.0)).alias("score")),
@@ -137,7 +138,7 @@ q("a6_exclusions", "suggestions pit_evals", lambda f: D.exclusion_distribution(m
 CONF = "COUNT(*) FILTER (target_y = 1 AND raw_proba >= {t}) AS tp, COUNT(*) FILTER (target_y = 0 AND raw_proba >= {t}) AS fp, COUNT(*) FILTER (target_y = 0 AND raw_proba < {t}) AS tn, COUNT(*) FILTER (target_y = 1 AND raw_proba < {t}) AS fn"
 BR = "*, ROUND(tp / NULLIF(tp + fp, 0), 6) AS precision, ROUND(tp / NULLIF(tp + fn, 0), 6) AS recall, ROUND(2 * tp / NULLIF(2 * tp + fp + fn, 0), 6) AS f1, ROUND((tp + fp) / (tp + fp + tn + fn), 6) AS positive_rate"
 q("a7_binary_metrics", "oof", lambda f: E.binary_metrics(f("oof"), 0.5, ["fold"]), f"SELECT {BR} FROM (SELECT fold, {CONF.format(t=0.5)} FROM oof GROUP BY fold) x")
-q("a8_reliability", "oof", lambda f: E.reliability_bins(f("oof"), 10, ["fold"]), "SELECT fold, CAST(LEAST(FLOOR(raw_proba * 10), 9) AS INT) AS bin, COUNT(*) AS n, ROUND(AVG(raw_proba), 6) AS confidence, ROUND(AVG(target_y), 6) AS frequency FROM oof GROUP BY 1, 2")
+q("a8_reliability", "oof", lambda f: E.reliability_bins(f("oof"), 2000, ["fold"]), "SELECT fold, bin, COALESCE(n, 0) AS n, confidence, frequency FROM (SELECT * FROM (SELECT DISTINCT fold FROM oof) x, (SELECT CAST(unnest(range(2000)) AS INT) AS bin) y) s LEFT JOIN (SELECT fold, CAST(LEAST(FLOOR(raw_proba * 2000), 1999) AS INT) AS bin, COUNT(*) AS n, ROUND(AVG(raw_proba), 6) AS confidence, ROUND(AVG(target_y), 6) AS frequency FROM oof GROUP BY 1, 2) g USING (fold, bin)")
 q("a8_calibration", "oof", lambda f: E.calibration_errors(f("oof"), 10, ["fold"]), "SELECT fold, CAST(SUM(n) AS BIGINT) AS n, ROUND(SUM(abs(c - f) * n) / SUM(n), 6) AS ece, ROUND(MAX(abs(c - f)), 6) AS mce, ROUND(SUM(sq) / SUM(n), 6) AS brier FROM (SELECT fold, LEAST(FLOOR(raw_proba * 10), 9) AS b, COUNT(*) AS n, AVG(raw_proba) AS c, AVG(target_y) AS f, SUM((raw_proba - target_y) * (raw_proba - target_y)) AS sq FROM oof GROUP BY 1, 2) x GROUP BY fold")
 q("a9_quantile_edges", "oof", lambda f: f("oof").agg(F.percentile("raw_proba", F.array(*(F.lit(i / 5) for i in range(1, 5)))).alias("e")).select(F.posexplode("e").alias("i", "edge")).select("i", F.round("edge", 6).alias("edge")),
   "SELECT unnest([0, 1, 2, 3]) AS i, unnest([ROUND(x, 6) FOR x IN quantile_cont(raw_proba, [0.2, 0.4, 0.6, 0.8])]) AS edge FROM oof")
@@ -151,7 +152,7 @@ q("a11_frontier_grid", "suggestions pit_evals", lambda f: D.threshold_frontier(s
 q("a12_policy_table", "oof", lambda f: E.binary_metrics(f("oof"), 0.3).withColumn("policy", F.lit("fixed_0.3")).unionByName(E.binary_metrics(f("oof"), 0.7).withColumn("policy", F.lit("fixed_0.7"))), f"SELECT {BR} FROM (SELECT 'fixed_0.3' AS policy, {CONF.format(t=0.3)} FROM oof UNION ALL SELECT 'fixed_0.7', {CONF.format(t=0.7)} FROM oof) x")
 q("a13_fp_overlap", "suggestions pit_evals", lambda f: D.fp_overlap_sets({"a": matched(f), "b": matched(f).where("lapNumber <= 30"), "c": matched(f).where("lapNumber > 10")}), MATCH + "SELECT 1 AS in_a, CAST(lapNumber <= 30 AS INT) AS in_b, CAST(lapNumber > 10 AS INT) AS in_c, COUNT(*) AS n FROM m WHERE outcome = '0' GROUP BY 1, 2, 3")
 q("a14_feature_effects", "oof", lambda f: D.feature_effects(f("oof").where("raw_proba >= 0.5"), ["raw_proba", "lapNumber"], C("target_y") == 1),
-  ", x AS (SELECT target_y, unnest(['raw_proba', 'lapNumber']) AS feature, unnest([raw_proba, CAST(lapNumber AS DOUBLE)]) AS v FROM oof WHERE raw_proba >= 0.5), g AS (SELECT feature, COUNT(*) FILTER (target_y = 1) AS n_tp, COUNT(*) FILTER (target_y = 0) AS n_fp, AVG(v) FILTER (target_y = 1) AS m1, AVG(v) FILTER (target_y = 0) AS m0, var_pop(v) FILTER (target_y = 1) AS v1, var_pop(v) FILTER (target_y = 0) AS v0 FROM x GROUP BY 1) SELECT feature, n_tp, n_fp, ROUND(m1, 6) AS mean_tp, ROUND(m0, 6) AS mean_fp, ROUND(sqrt(v1), 6) AS std_tp, ROUND(sqrt(v0), 6) AS std_fp, ROUND((m1 - m0) / sqrt((v1 + v0) / 2), 6) AS cohens_d FROM g")
+  ", x AS (SELECT target_y, unnest(['raw_proba', 'lapNumber']) AS feature, unnest([raw_proba, CAST(lapNumber AS DOUBLE)]) AS v FROM oof WHERE raw_proba >= 0.5), g AS (SELECT feature, COUNT(*) FILTER (target_y = 1) AS n_tp, COUNT(*) FILTER (target_y = 0) AS n_fp, AVG(v) FILTER (target_y = 1) AS m1, AVG(v) FILTER (target_y = 0) AS m0, var_pop(v) FILTER (target_y = 1) AS v1, var_pop(v) FILTER (target_y = 0) AS v0, ROUND(quantile_cont(v, 0.5) FILTER (target_y = 1), 6) AS median_tp, ROUND(quantile_cont(v, 0.1) FILTER (target_y = 1), 6) AS p10_tp, ROUND(quantile_cont(v, 0.9) FILTER (target_y = 1), 6) AS p90_tp, ROUND(quantile_cont(v, 0.5) FILTER (target_y = 0), 6) AS median_fp, ROUND(quantile_cont(v, 0.1) FILTER (target_y = 0), 6) AS p10_fp, ROUND(quantile_cont(v, 0.9) FILTER (target_y = 0), 6) AS p90_fp FROM x GROUP BY 1) SELECT median_tp, p10_tp, p90_tp, median_fp, p10_fp, p90_fp, feature, n_tp, n_fp, ROUND(m1, 6) AS mean_tp, ROUND(m0, 6) AS mean_fp, ROUND(sqrt(v1), 6) AS std_tp, ROUND(sqrt(v0), 6) AS std_fp, ROUND((m1 - m0) / sqrt((v1 + v0) / 2), 6) AS cohens_d FROM g")
 q("a15_near_misses", "suggestions pit_evals", lambda f: D.near_miss_distribution(matched(f)), MATCH + "SELECT CASE WHEN nextPitLap IS NULL THEN 'no_future' WHEN nextPitLap - lapNumber <= 2 THEN 'unexpected_within_horizon' WHEN nextPitLap - lapNumber <= 5 THEN 'near_miss_3_5' ELSE 'far_miss_6_plus' END AS bucket, COUNT(*) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS rate FROM m WHERE matchedPitLap IS NULL GROUP BY 1")
 q("a16_latency", "timings", lambda f: E.numeric_profile(f("timings").where("status = 'ok' and event_index > 50"), "total_ms", ["year"]), f"SELECT year, {PROFILE('total_ms')} FROM timings WHERE status = 'ok' AND event_index > 50 GROUP BY year")
 q("a17_class_balance", "oof", lambda f: f("oof").agg(D.count_if(C("target_y") == 1).alias("positives"), D.count_if(C("target_y") == 0).alias("negatives")).withColumn("weight", D.ratio(C("negatives"), C("positives"))), "SELECT *, ROUND(negatives / positives, 6) AS weight FROM (SELECT COUNT(*) FILTER (target_y = 1) AS positives, COUNT(*) FILTER (target_y = 0) AS negatives FROM oof) x")
@@ -287,8 +288,8 @@ q("k4_classify_stop", "laps", lambda f: f("laps").select(*D.KEY, S.classify_stop
   SELECT {KEY}, CASE WHEN compound = 'INTERMEDIATE' THEN 'WEATHER_SURVIVAL_STOP' WHEN a IS NULL THEN 'UNRESOLVED_MISSING_PRE_GAP' WHEN b IS NULL THEN 'UNRESOLVED_MISSING_POST_GAP' WHEN bl <= 0 THEN 'UNRESOLVED_INVALID_BASELINE' WHEN abs(a) > 60 OR abs(b) > 60 OR abs(b - a) > 45 THEN 'UNRESOLVED_MISSING_POST_GAP'
   WHEN abs((b - a) / bl * 100) > 20 THEN 'UNRESOLVED_INCIDENT_FILTER' WHEN trackStatus IN ('4','6','7') AND abs((b - a) / bl * 100) < 1 THEN 'SUCCESS_FREE_STOP' WHEN (b - a) / bl * 100 < -0.5 THEN CASE WHEN position % 2 = 0 THEN 'SUCCESS_UNDERCUT' ELSE 'SUCCESS_OVERCUT' END
   WHEN tyreLife > 12 THEN 'FAILURE_TRAFFIC' WHEN abs((b - a) / bl * 100) <= 0.5 THEN 'SUCCESS_DEFEND' ELSE 'FAILURE_PACE_DEFICIT' END AS result FROM x""")
-q("v1_decisions_from_scores", "oof", lambda f: f("oof").where("raw_proba >= 0.8").select("race", "driver", "lapNumber", F.lit("PIT_NOW").alias("suggestionLabel"), (C("raw_proba") * 100).alias("totalScore")), f"SELECT {KEY}, 'PIT_NOW' AS suggestionLabel, raw_proba * 100 AS totalScore FROM oof WHERE raw_proba >= 0.8")
-q("v2_decode_codes", "oof", lambda f: f("oof").groupBy("fold", "target_y").agg(F.count("*").alias("n")).groupBy("fold").agg(F.max_by("target_y", "n").alias("label"), D.ratio(F.max("n"), F.sum("n")).alias("purity")), ", c AS (SELECT fold, target_y, COUNT(*) AS n FROM oof GROUP BY ALL) SELECT fold, arg_max(target_y, n) AS label, ROUND(MAX(n) / SUM(n), 6) AS purity FROM c GROUP BY fold")
+q("v1_decisions_from_scores", "oof", lambda f: D.decisions_from_scores(f("oof"), 0.8), f"SELECT {KEY}, 'PIT_NOW' AS suggestionLabel, raw_proba * 100 AS totalScore FROM oof WHERE raw_proba >= 0.8")
+q("v2_decode_codes", "oof", lambda f: D.decode_codes(f("oof").withColumn("code", F.floor(C("raw_proba") * 10).cast("int")), "code", "target_y", 0.7).groupBy("code", "decoded").agg(F.count("*").alias("n")), ", x AS (SELECT CAST(FLOOR(raw_proba * 10) AS INT) AS code, target_y FROM oof), c AS (SELECT code, target_y, COUNT(*) AS n FROM x GROUP BY ALL) SELECT code, CASE WHEN MAX(n) / SUM(n) >= 0.7 THEN arg_max(target_y, struct_pack(n := n, t := target_y)) END AS decoded, CAST(SUM(n) AS BIGINT) AS n FROM c GROUP BY code")
 q("v3_intervals", "suggestions pit_evals", lambda f: (lambda m: m.select("race", E.wilson_interval(C("tp"), C("scored"))[0].alias("low"), E.wilson_interval(C("tp"), C("scored"))[1].alias("high"), E.two_proportion_z(C("tp"), C("scored"), F.lit(70.0), F.lit(100.0)).alias("z")))(D.decision_metrics(matched(f), ["race"]).where("scored > 0")),
   MATCH + f", g AS (SELECT race, {RATES} FROM m GROUP BY race), c AS (SELECT race, tp, scored AS n, tp / scored AS p, 1.959963984540054::DOUBLE AS z FROM g WHERE scored > 0) SELECT race, ROUND((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low, ROUND((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high, ROUND((p - 0.7::DOUBLE) / sqrt(((tp + 70) / (n + 100)) * (1 - (tp + 70) / (n + 100)) * (1 / n + 0.01::DOUBLE)), 6) AS z FROM c")
 q("v5_ap_bootstrap", "oof", lambda f: E.ap_bootstrap(f("oof").withColumn("other", F.floor(C("raw_proba") * 100) / 100), "other", 20))
@@ -332,3 +333,30 @@ q("v13_extreme_gaps", "laps pit_evals", lambda f: f("pit_evals").join(f("laps").
   "SELECT result, COUNT(*) AS n, COUNT(*) FILTER (gapToCarAhead IS NULL) AS null_gap, ROUND(MAX(gapToCarAhead), 3) AS max_gap FROM pit_evals e JOIN laps l ON e.race = l.race AND e.driver = l.driver AND e.pitLapNumber = l.lapNumber GROUP BY 1")
 q("v14_review_sheet", "suggestions pit_evals", lambda f: matched(f).where("outcome <> '1'").select(*D.KEY, F.when(C("outcome") == "0", "scored_fp").otherwise("excluded").alias("origin"), S.near_miss_bucket(C("nextPitLap") - C("lapNumber")).alias("subtype")).orderBy(F.md5(F.concat_ws("|", *D.KEY)), *D.KEY).limit(30),
   MATCH + f"SELECT {KEY}, CASE WHEN outcome = '0' THEN 'scored_fp' ELSE 'excluded' END AS origin, CASE WHEN nextPitLap IS NULL THEN 'no_future' WHEN nextPitLap - lapNumber <= 2 THEN 'unexpected_within_horizon' WHEN nextPitLap - lapNumber <= 5 THEN 'near_miss_3_5' ELSE 'far_miss_6_plus' END AS subtype FROM m WHERE outcome <> '1' ORDER BY md5(race || '|' || driver || '|' || lapNumber), {KEY} LIMIT 30")
+
+# Selection on scores, export and SQL names
+q("a9_quantile_bins", "oof", lambda f: E.quantile_bins(f("oof"), 5),
+  ", e AS (SELECT list_sort(list_distinct(list_concat([0.0::DOUBLE], quantile_cont(raw_proba, [0.2, 0.4, 0.6, 0.8]), [1.0::DOUBLE]))) AS e FROM oof), b AS (SELECT CAST(LEAST(len([x FOR x IN e.e IF x <= raw_proba]), len(e.e) - 1) AS INT) - 1 AS bin, e.e AS edges, raw_proba, target_y FROM oof, e) SELECT bin, ROUND(edges[bin + 1], 6) AS lo, ROUND(edges[bin + 2], 6) AS hi, COUNT(*) AS n, ROUND(AVG(raw_proba), 6) AS confidence, ROUND(AVG(target_y), 6) AS frequency FROM b GROUP BY ALL")
+q("a4_top_nulls", "laps", lambda f: E.top_nulls(f("laps").select("lapTime", "gapToCarAhead", "pitInTime", "pitOutTime"), 3),
+  "SELECT * FROM (SELECT unnest(['lapTime', 'gapToCarAhead', 'pitInTime', 'pitOutTime']) AS \"column\", unnest([ROUND(100.0 * AVG(CAST(lapTime IS NULL AS INT)), 3), ROUND(100.0 * AVG(CAST(gapToCarAhead IS NULL AS INT)), 3), ROUND(100.0 * AVG(CAST(pitInTime IS NULL AS INT)), 3), ROUND(100.0 * AVG(CAST(pitOutTime IS NULL AS INT)), 3)]) AS null_pct FROM laps) x ORDER BY null_pct DESC, \"column\" LIMIT 3")
+q("a4_duplicate_rows", "laps", lambda f: E.duplicate_rows(f("laps").select("race", "lapNumber", "compound")), "SELECT CAST(SUM(n - 1) AS BIGINT) AS duplicate_rows FROM (SELECT COUNT(*) AS n FROM laps GROUP BY race, lapNumber, compound) x")
+q("a16_latency_components", "timings", lambda f: E.latency_summary(f("timings"), ["feature_ms", "total_ms"], "total_ms", 50, ["year"]),
+  ", x AS (SELECT year, status = 'ok' AS ok, unnest(['feature_ms', 'total_ms']) AS component, CASE WHEN status = 'ok' THEN unnest([CAST(feature_ms AS DOUBLE), CAST(total_ms AS DOUBLE)]) END AS v, CASE WHEN status = 'ok' THEN CAST(total_ms AS DOUBLE) END AS t FROM timings WHERE event_index > 50) SELECT year, component, COUNT(v) AS n, ROUND(quantile_cont(v, 0.5), 3) AS p50, ROUND(quantile_cont(v, 0.95), 3) AS p95, ROUND(quantile_cont(v, 0.99), 3) AS p99, ROUND(AVG(v), 3) AS mean, ROUND(MAX(v), 3) AS max, ROUND(COUNT(*) FILTER (ok) / COUNT(*), 6) AS availability, ROUND(SUM(v) / SUM(t), 6) AS share FROM x GROUP BY year, component")
+q("m5_locked_threshold", "oof", lambda f: E.locked_threshold(f("oof").where("fold = 5"), f("oof").where("fold <> 5"), OOFTH, 0.5),
+  SWEEP.replace("FROM oof,", "FROM (SELECT * FROM oof WHERE fold = 5) c,") + f", b AS (SELECT threshold FROM sw WHERE precision >= 0.5 ORDER BY f1 DESC, precision DESC, threshold DESC LIMIT 1) SELECT {BR} FROM (SELECT b.threshold, {CONF.format(t='b.threshold')} FROM oof, b WHERE fold <> 5 GROUP BY b.threshold) x")
+BEST = "arg_max(threshold, struct_pack(a := f1, b := precision, c := threshold))"
+q("m6_fold_metrics", "oof", lambda f: E.fold_metrics(f("oof"), OOFTH, 0.5, ["fold"]),
+  f""", g AS (SELECT fold, raw_proba, COUNT(*) AS n, SUM(target_y) AS pos FROM oof GROUP BY 1, 2), p AS (SELECT *, SUM(pos) OVER w / SUM(n) OVER w AS pr FROM g WINDOW w AS (PARTITION BY fold ORDER BY raw_proba DESC ROWS UNBOUNDED PRECEDING)),
+  a AS (SELECT fold, ROUND(SUM(pos * pr) / SUM(pos), 6) AS average_precision, ROUND(SUM(pos) / SUM(n), 6) AS prevalence, ROUND(SUM(pos * pr) / SUM(pos) / (SUM(pos) / SUM(n)), 6) AS lift, ROUND(SUM(pos * (1 - raw_proba) * (1 - raw_proba) + (n - pos) * raw_proba * raw_proba) / SUM(n), 6) AS brier FROM p GROUP BY fold),
+  s AS (SELECT {BR} FROM (SELECT fold, threshold, {CONF.format(t='threshold')} FROM oof, {TH} t GROUP BY fold, threshold) x), u AS (SELECT fold, {BEST} AS threshold_free, MAX(f1) AS f1_free FROM s GROUP BY fold), c AS (SELECT fold, {BEST} AS threshold_floor, MAX(f1) AS f1_floor FROM s WHERE precision >= 0.5 GROUP BY fold),
+  f AS (SELECT fold, f1 AS f1_baseline FROM s WHERE threshold = 0.5) SELECT * FROM a JOIN u USING (fold) LEFT JOIN c USING (fold) JOIN f USING (fold)""")
+
+
+def _named(f):
+    laps = f("laps")
+    register_sql(laps.sparkSession)
+    return laps.sparkSession.sql("SELECT race, driver, lapNumber, canonical_status(concat(trackStatus, '2')) AS code, is_caution(trackStatus) AS caution, year_of_race(race) AS year, compound_max_stint(compound) AS stint, next_compound(compound) AS following FROM {laps}", laps=laps)
+
+
+q("x1_sql_functions", "laps", _named,
+  f"SELECT {KEY}, CASE WHEN s LIKE '%5%' THEN '5' WHEN s LIKE '%4%' THEN '4' WHEN s LIKE '%7%' THEN '7' WHEN s LIKE '%6%' THEN '6' WHEN s LIKE '%2%' THEN '2' ELSE '1' END AS code, COALESCE(trackStatus IN ('4', '6', '7'), FALSE) AS caution, CAST(substr(race, 1, 4) AS INT) AS year, {MAXSTINT} AS stint, CASE upper(compound) WHEN 'MEDIUM' THEN 'HARD' ELSE 'MEDIUM' END AS following FROM (SELECT *, trackStatus || '2' AS s FROM laps) x")

@@ -85,3 +85,13 @@ def test_training(spark):
     out = M.train_oof(rows, plan, "race", ["x"], ["c"], "y")
     assert out.count() == 400
     assert out.where((F.col("calibrated") > 0.5).cast("int") == F.col("y")).count() == 400
+
+
+def test_calibration_surrogates_and_export(spark, tmp_path):
+    rows = spark.range(300).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 / 7.0).alias("raw_proba"), (F.col("id") % 7 > 3).cast("int").alias("y"))
+    assert M.calibrator(rows, "y", least=10)[1] == "isotonic" and M.calibrator(rows, "y", least=1000)[1] == "sigmoid"
+    sweep = M.surrogate_sweep(rows, rows, ["x"], "y", delta=0.5).collect()
+    assert [r["candidate"] for r in sweep if r["chosen"]] == ["logistic"] and all(r["f1"] > 0.9 for r in sweep)
+    M.export_matrix(rows, str(tmp_path / "out"), "y")
+    assert spark.read.parquet(str(tmp_path / "out" / "matrix")).count() == 300
+    assert [r["role"] for r in spark.read.parquet(str(tmp_path / "out" / "manifest")).orderBy("place").collect()] == ["feature", "feature", "label"]
