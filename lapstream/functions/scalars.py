@@ -63,7 +63,7 @@ def normalize_label(value: Column) -> Column:
 
 
 def year_of_race(race: Column) -> Column:
-    return F.regexp_extract(race, r"^(\d{4}) :: ", 1).cast("int")
+    return F.regexp_extract(race, r"^(\d{4}) :: ", 1).try_cast("int")
 
 
 def strip_year_prefix(race: Column) -> Column:

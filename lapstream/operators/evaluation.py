@@ -205,15 +205,20 @@ def gate(checks: DataFrame) -> DataFrame:
     return checks.agg(F.count("*").alias("checks"), count_if(F.col("status") == "PASS").alias("passed"), F.when(worst == 2, "NO_GO").when(worst == 1, "GO_WITH_CONDITIONS").otherwise("GO").alias("decision"))
 
 
+def hash_draw(*parts: Column) -> Column:
+    """A number in [0, 1) from the MD5 digest of the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") / 4294967296.0
+
+
 def ap_bootstrap(df: DataFrame, other: str, reps: int, seed: int = 12345) -> DataFrame:
     """Average-precision difference of two scores for each repetition of a bootstrap over races.
 
-    Draws come from an arithmetic generator; a repetition weighs each race by how often it was drawn, so the work
-    is reps times the per-race score histograms, never reps times the rows.
+    Draws come from hashes of the repetition and the draw, so reruns agree; a repetition weighs each race by how often
+    it was drawn, so the work is reps times the per-race score histograms, never reps times the rows.
     """
     races = df.select("race").distinct().withColumn("i", F.row_number().over(Window.orderBy("race")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    draws = races.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).select("rep", F.pmod((F.col("rep") * F.col("n") + F.col("i") + 1).cast("long") * 1103515245 + seed, F.lit(2147483648)).alias("u"), "n")
-    weights = draws.select("rep", F.floor(F.col("u") / 2147483648.0 * F.col("n")).cast("int").alias("i")).groupBy("rep", "i").agg(F.count("*").alias("w")).join(races, "i")
+    draws = races.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).select("rep", hash_draw(F.lit(seed), F.col("rep"), F.col("i")).alias("u"), "n")
+    weights = draws.select("rep", F.floor(F.col("u") * F.col("n")).cast("int").alias("i")).groupBy("rep", "i").agg(F.count("*").alias("w")).join(races, "i")
     long = df.select("race", Y, F.explode(F.array(*(F.struct(F.lit(n).alias("model"), F.col(c).alias("s")) for n, c in (("a", P), ("b", other))))).alias("m")).select("race", Y, "m.*")
     hist = long.groupBy("race", "model", "s").agg(F.count("*").alias("n"), F.sum(Y).alias("pos"))
     g = hist.join(weights.select("rep", "race", "w"), "race").groupBy("rep", "model", "s").agg(F.sum(F.col("n") * F.col("w")).alias("n"), F.sum(F.col("pos") * F.col("w")).alias("pos"))
@@ -221,3 +226,9 @@ def ap_bootstrap(df: DataFrame, other: str, reps: int, seed: int = 12345) -> Dat
     x = g.withColumn("precision", F.sum("pos").over(w) / F.sum("n").over(w))
     ap = x.groupBy("rep").agg(*(F.sum(F.when(F.col("model") == m, F.col("pos") * F.col("precision"))).alias(f"s{m}") for m in "ab"), *(F.sum(F.when(F.col("model") == m, F.col("pos"))).alias(f"p{m}") for m in "ab"))
     return ap.select("rep", F.round(F.try_divide(F.col("sb"), F.col("pb")) - F.try_divide(F.col("sa"), F.col("pa")), 6).alias("delta"))
+
+
+def ap_interval(deltas: DataFrame, level: float = 0.95) -> DataFrame:
+    """Repetitions, mean and percentile interval of the differences of ``ap_bootstrap``, and how often they are above 0."""
+    d, tail = F.col("delta"), (1 - level) / 2
+    return deltas.agg(F.count(d).alias("reps"), F.round(F.avg(d), 6).alias("mean"), F.round(F.percentile(d, tail), 6).alias("low"), F.round(F.percentile(d, 1 - tail), 6).alias("high"), ratio(count_if(d > 0), F.count(d)).alias("above_zero"))
