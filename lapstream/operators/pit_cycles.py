@@ -1,69 +1,169 @@
-"""Outcome of stops: each stop with its rival, the laps on which both have settled, and the change of the gap."""
+"""Outcome of stops: each stop with its rival, when both have settled, and the change of the gap or of what stands for it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .laps import baseline_laps, clean, directed_gap, race_driver, rival_at
+from .laps import CURRENT, UNBOUNDED, baseline_laps, clean, ladder, race_driver, race_lap, rival_at
 
-SETTLE, WARMUP, SEARCH, OFFSET = 4, 2, 3, 0.4
+#: Green laps until settled, laps without an evaluation, laps searched around one, laps looked back for the
+#: rival's stop, share of the laps left until strategies count as different, milliseconds and laps of the safety timer.
+SETTLE, WARMUP, SEARCH, LOOKBACK, OFFSET, TIMER, TIMER_LAPS = 4, 2, 3, 6, 0.4, 900_000, 5
+#: Laps and least samples of a pace, laps of a recent pace, least gap and most places of an order that counts.
+SPAN, SAMPLES, RECENT_LAPS, LEAST_GAP, MOST_PLACES = 4, 2, 3, 0.3, 6
+NEAR = [0, *(s * o for o in range(1, SEARCH + 1) for s in (-1, 1))]
 
 
-def rival_pit_search(laps: DataFrame, stops: DataFrame) -> DataFrame:
-    """The rival's stop nearest to each stop, within the rest of the race."""
-    pits = laps.where("pitInTime is not null").select("race", F.col("driver").alias("rival"), F.col("lapNumber").alias("rivalPitLap"))
-    j = stops.join(pits, ["race", "rival"])
-    best = j.groupBy("race", "driver", "pitLap").agg(F.min_by("rivalPitLap", F.struct(F.abs(F.col("rivalPitLap") - F.col("pitLap")), "rivalPitLap")).alias("rivalPitLap"))
-    return stops.join(best, ["race", "driver", "pitLap"], "left")
+def lap_lines(laps: DataFrame) -> DataFrame:
+    """(race, driver, line): a car's laps in order as one array, which a race bounds, with what the evaluation of stops
+    looks up: time, place, stops, green laps so far, ladder of gaps, paces, the leader's lap, traffic ahead, compound."""
+    c = F.col
+    x = ladder(laps).withColumn("ct", F.when(clean(), c("lapTime"))).withColumn("green", S.is_green(c("trackStatus")))
+    span = race_driver().rangeBetween(-(SPAN - 1), 0)
+    so_far = race_driver().rowsBetween(UNBOUNDED, CURRENT)
+    x = x.withColumn("mark", c("pitInTime").isNotNull() | F.coalesce(c("stint") > F.lag("stint").over(race_driver()), F.lit(False)))
+    x = x.withColumn("greens", F.sum(c("green").cast("int")).over(so_far)).withColumn("pace", F.when(F.count("ct").over(span) >= SAMPLES, F.avg("ct").over(span)))
+    # The mean of the last clean laps, on every lap: clean laps are numbered, and the number of the last one finds it.
+    x = x.withColumn("k", F.count("ct").over(so_far))
+    recent = Window.partitionBy("race", "driver").orderBy("k").rangeBetween(-(RECENT_LAPS - 1), 0)
+    x = x.withColumn("recent", F.when(c("k") > 0, F.avg("ct").over(recent)))
+    old = F.lag("tyreLife").over(race_lap()) >= 25
+    x = x.withColumn("traffic", F.coalesce(old & (c("gapToCarAhead") < 2.0), F.lit(False)))
+    lead = x.where("position = 1").groupBy("race", "lapNumber").agg(F.max("ct").alias("led")).where("led is not null")
+    known = lead.select("race", "led", F.posexplode(F.array(*(c("lapNumber") + i for i in range(3)))).alias("back", "lapNumber"))
+    x = x.join(known.groupBy("race", "lapNumber").agg(F.min_by("led", "back").alias("leader")), ["race", "lapNumber"], "left")
+    fields = [c("lapNumber").alias("lap"), c("eventTimeMillis").alias("t"), "position", "mark", "pitInTime", "green", "greens", "gapSum", "gapBlock", "pace", "recent", "leader", "traffic", "compound"]
+    return x.groupBy("race", "driver").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("line"))
+
+
+def at(line: Column, lap: Column) -> Column:
+    return F.get(F.filter(line, lambda x: x["lap"] == lap), F.lit(0))
+
+
+def first_of(values: Column) -> Column:
+    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
+
+
+def gap_of(own: Column, rival: Column) -> Column:
+    """Signed distance of two cars on a lap (negative: ahead of the rival), null across unknown gaps or over six places."""
+    return F.when((own["gapBlock"] == rival["gapBlock"]) & (F.abs(own["position"] - rival["position"]) <= MOST_PLACES), F.round(own["gapSum"] - rival["gapSum"], 3))
+
+
+def near(lap: Column, offsets: list[int], value, until: Column | None = None) -> Column:
+    """The first known value(own, rival) on the laps ``lap`` + offset, in that order; rows after ``until`` are not seen."""
 
+    def one(o: Column) -> Column:
+        a, b = at(F.col("line"), lap + o), at(F.col("rivalLine"), lap + o)
+        return value(a, b) if until is None else F.when((a["t"] <= until) & (b["t"] <= until), value(a, b))
 
-def settle_lap(laps: DataFrame, stops: DataFrame, driver: str, pit: str, out: str) -> DataFrame:
-    """The first clean lap at least ``SETTLE`` laps after a stop and before the next one."""
-    c = laps.where(clean()).select("race", F.col("driver").alias(driver), F.col("lapNumber").alias("__l"))
-    j = stops.join(c, ["race", driver]).where(F.col("__l").between(F.col(pit) + SETTLE, F.col(pit) + SETTLE + SEARCH))
-    best = j.groupBy("race", "driver", "pitLap").agg(F.min("__l").alias(out))
-    return stops.join(best, ["race", "driver", "pitLap"], "left")
+    return first_of(F.transform(F.array(*(F.lit(o) for o in offsets)), one))
 
 
-def emergence_traffic(laps: DataFrame) -> DataFrame:
-    """Whether a lap after a stop is spent less than two seconds behind a car on old tyres."""
-    w = Window.partitionBy("race", "lapNumber").orderBy("position")
-    old = F.lag("tyreLife").over(w) >= 25
-    return laps.select("race", "driver", F.col("lapNumber").alias("__l"), F.coalesce(old & (F.col("gapToCarAhead") < 2.0), F.lit(False)).alias("traffic"))
+def settle_lap(line: Column, pit: Column) -> Column:
+    """The row of the fourth green lap after a stop."""
+    since = at(line, pit)["greens"]
+    return F.get(F.filter(line, lambda x: x["green"] & (x["lap"] > pit) & (x["greens"] >= since + SETTLE)), F.lit(0))
 
 
-def _gap_at(gaps: DataFrame, out: str) -> DataFrame:
-    return gaps.select("race", "driver", F.col("other").alias("rival"), F.col("lapNumber").alias("__g"), F.col("gap").alias(out))
+def rival_pit_search(line: Column, pit: Column) -> tuple[Column, Column]:
+    """The rival's first stop in the laps before (the stop's own included), and its first one after."""
+    before = F.get(F.filter(line, lambda x: x["pitInTime"].isNotNull() & x["lap"].between(pit - LOOKBACK, pit)), F.lit(0))["lap"]
+    return before, F.get(F.filter(line, lambda x: x["mark"] & (x["lap"] > pit)), F.lit(0))["lap"]
+
+
+def pct_of(pre: Column, post: Column, baseline: Column) -> Column:
+    """Change of a gap in per cent of a lap; null for gaps over a minute or changes over 45 seconds."""
+    whole = (F.abs(pre) <= 60) & (F.abs(post) <= 60) & (F.abs(post - pre) <= 45) & (baseline > 0)
+    return F.when(whole, (post - pre) / baseline * 100)
 
 
 def pit_cycles(laps: DataFrame) -> DataFrame:
-    """One row for each stop: rival, gaps before and after both have settled, delta in per cent of a lap, label and how
-    it was resolved (RIVAL_PIT, OFFSET_TIMEOUT, EARLY_LAP_FILTER, INSUFFICIENT_DATA).
+    """One row for each stop: rival, gaps, delta in per cent of a lap, label, and how it was resolved.
 
-    The rival is the car ahead, or behind for the leader. If it stops within the offset window (40 per cent of the
-    laps left), gaps are compared on the later of the two settled laps; if not, on the first settled lap of the
-    driver, and the label says whether the offset paid. Everything is joins and windows within a race.
+    The rival is the car ahead, or the one behind where that has no known gap or the leader stops. If the rival stopped in
+    the six laps before, or stops before the offset lap (40 per cent of the laps left), gaps are compared on the later of
+    the two settled laps (RIVAL_PIT). If it does not stop by then, the gap there decides (OFFSET_TIMEOUT). What neither
+    settles within 15 minutes is compared in the five laps after the driver settled (SAFETY_TIMER). Where no gap is known,
+    the change of relative pace stands for it (.._PACE_SHIFT), then a change of order (POSITIONAL_FALLBACK); without any
+    rival, pace against the leader (REFERENCE_FALLBACK). Else EARLY_LAP_FILTER or INSUFFICIENT_DATA.
+
+    Every stop is evaluated, also one within 15 minutes of the driver's last. A car's laps become one array, so two joins
+    bring a stop all it looks up; a lap that has no row has no pace. Laps with neither race nor driver are left out.
     """
-    ahead, behind = rival_at(laps, -1).withColumnRenamed("rival", "ahead"), rival_at(laps, 1).withColumnRenamed("rival", "behind")
-    base = baseline_laps(laps)
-    after = F.lead("compound").over(race_driver())
-    stops = laps.withColumn("compoundAfter", F.coalesce(after, "compound")).where("pitInTime is not null").join(ahead, ["race", "driver", "lapNumber"]).join(behind, ["race", "driver", "lapNumber"]).join(base, ["race", "driver", "lapNumber"])
-    stops = stops.select("race", "driver", F.col("lapNumber").alias("pitLap"), "position", "trackStatus", "compoundAfter", "totalLaps", "baseline", F.coalesce("ahead", "behind").alias("rival"))
-    window = F.ceil((F.col("totalLaps") - F.col("pitLap")) * OFFSET)
-    s = rival_pit_search(laps, stops).withColumn("answered", F.coalesce(F.abs(F.col("rivalPitLap") - F.col("pitLap")) <= window, F.lit(False)))
-    s = settle_lap(laps, s, "driver", "pitLap", "ownSettled")
-    s = settle_lap(laps, s.withColumn("__rp", F.when(F.col("answered"), F.col("rivalPitLap")).otherwise(F.col("pitLap"))), "rival", "__rp", "rivalSettled")
-    s = s.withColumn("compareLap", F.when(F.col("answered"), F.greatest("ownSettled", "rivalSettled")).otherwise(F.col("ownSettled"))).drop("__rp")
-    gaps = directed_gap(laps)
-    pre = _gap_at(gaps, "preGap").withColumn("pitLap", F.col("__g") + 1).drop("__g")
-    post = _gap_at(gaps, "postGap").withColumnRenamed("__g", "compareLap")
-    s = s.join(pre, ["race", "driver", "rival", "pitLap"], "left").join(post, ["race", "driver", "rival", "compareLap"], "left")
-    s = s.join(emergence_traffic(laps).withColumn("pitLap", F.col("__l") - 1).drop("__l"), ["race", "driver", "pitLap"], "left")
-    c = F.col
-    label = S.classify_stop(c("preGap"), c("postGap"), c("baseline"), c("answered") & (c("pitLap") <= c("rivalPitLap")), c("trackStatus"), c("compoundAfter"), F.coalesce("traffic", F.lit(False)))
-    offset = F.when(F.startswith(label, F.lit("UNRESOLVED_")) | (label == "WEATHER_SURVIVAL_STOP"), label).when(c("postGap") < c("preGap"), "OFFSET_ADVANTAGE").otherwise("OFFSET_DISADVANTAGE")
-    how = F.when(c("pitLap") <= WARMUP, "EARLY_LAP_FILTER").when(c("rival").isNull() | c("compareLap").isNull(), "INSUFFICIENT_DATA").when(c("answered"), "RIVAL_PIT").otherwise("OFFSET_TIMEOUT")
-    result = F.when(c("pitLap") <= WARMUP, "UNRESOLVED_EARLY_LAP").when(c("answered") | c("compareLap").isNull(), label).otherwise(offset)
-    return s.select("race", "driver", "pitLap", "rival", "rivalPitLap", "compareLap", F.round("preGap", 3).alias("preGap"), F.round("postGap", 3).alias("postGap"), F.round((c("postGap") - c("preGap")) / c("baseline") * 100, 4).alias("gapDeltaPct"), how.alias("resolution"), (~c("answered")).alias("offsetStrategy"), result.alias("result"))
+    c, lit = F.col, F.lit
+    key = ["race", "driver", "lapNumber"]
+    lines = lap_lines(laps)
+    stops = laps.where("pitInTime is not null").select(*key, "position", "trackStatus", "totalLaps", c("eventTimeMillis").alias("t0"))
+    for step, name in ((-1, "ahead"), (1, "behind")):
+        stops = stops.join(rival_at(laps, step).withColumnRenamed("rival", name), key, "left")
+    stops = stops.join(baseline_laps(laps), key, "left").withColumnRenamed("lapNumber", "pitLap").join(lines, ["race", "driver"])
+    pit = c("pitLap")
+
+    # Both neighbours with the gap before the stop; the first one whose gap is known is the rival.
+    both = stops.select("*", F.posexplode_outer(F.array_compact(F.array("ahead", "behind"))).alias("turn", "rival"))
+    both = both.join(lines.select("race", c("driver").alias("rival"), c("line").alias("rivalLine")), ["race", "rival"], "left").withColumn("preGap", near(pit, NEAR, gap_of))
+    one = Window.partitionBy("race", "driver", "pitLap").orderBy(c("preGap").isNull(), "turn")
+    s = both.withColumn("__r", F.row_number().over(one)).where("__r = 1").drop("__r", "turn", "ahead", "behind")
+
+    before, after = rival_pit_search(c("rivalLine"), pit)
+    s = s.withColumn("own", settle_lap(c("line"), pit)).withColumn("settled", F.coalesce(c("own")["lap"], pit + SETTLE)).withColumn("before", before).withColumn("after", after)
+    s = s.withColumn("offsetLap", F.greatest(pit + F.ceil(F.greatest(lit(1), c("totalLaps") - pit) * OFFSET), c("own")["lap"]).cast("int"))
+    s = s.withColumn("answered", c("before").isNotNull() | F.coalesce(c("after") <= c("offsetLap"), lit(False))).withColumn("rivalPitLap", F.coalesce("before", "after"))
+    s = s.withColumn("other", F.when(c("answered"), settle_lap(c("rivalLine"), c("rivalPitLap"))))
+    laps_begin = laps.groupBy("race", "lapNumber").agg(F.min("eventTimeMillis").alias("begun")).withColumnRenamed("lapNumber", "offsetLap")
+    s = s.join(laps_begin, ["race", "offsetLap"], "left")
+    due, own_t = c("t0") + TIMER, c("own")["t"]
+    ready = F.when(c("own").isNotNull() & c("other").isNotNull(), F.greatest(own_t, c("other")["t"]))
+    timeout = F.when(c("own").isNotNull() & c("begun").isNotNull(), F.greatest(own_t, c("begun")))
+    case = F.when(pit <= WARMUP, "early").when(c("preGap").isNull(), "alone").when(c("answered") & (ready <= due), "rival").when(~c("answered") & (timeout <= due), "offset").otherwise("timer")
+    s = s.withColumn("case", case).withColumn("seen", F.when(c("case") == "rival", ready).otherwise(timeout))
+    is_ = lambda name: c("case") == name
+    s = s.withColumn("compareLap", F.when(is_("rival"), F.greatest(c("own")["lap"], c("other")["lap"])).when(is_("offset"), c("offsetLap")).otherwise(c("settled")))
+
+    lap = c("compareLap")
+    gap = F.when(is_("rival"), F.coalesce(near(lap, NEAR, gap_of, c("seen")), near(lap, NEAR, gap_of), near(c("settled"), NEAR, gap_of)))
+    gap = gap.when(is_("offset"), near(lap, [*NEAR, -SEARCH - 1], gap_of, c("seen"))).when(is_("timer"), near(lap, list(range(TIMER_LAPS, -1, -1)), gap_of))
+    apart = lambda a, b: a["pace"] - b["pace"]
+    s = s.withColumn("gap", gap).withColumn("paceBefore", near(F.greatest(lit(1), pit - 1), NEAR, apart)).withColumn("paceAfter", near(lap, NEAR, apart))
+    mine = lambda n: at(c("line"), n)
+    against = lambda n: mine(n)["recent"] - F.coalesce(mine(n)["leader"], mine(n - 1)["recent"])
+    s = s.withColumn("refBefore", F.when(is_("alone"), against(F.greatest(lit(1), pit - 1)))).withColumn("refAfter", F.when(is_("alone"), against(lap)))
+    places = near(lap, NEAR, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct((a["position"] < b["position"]).alias("ahead"), (a["green"] & b["green"] & (F.abs(a["position"] - b["position"]) <= MOST_PLACES)).alias("fair"))))
+    stopped = c("before").isNotNull() | F.coalesce(c("after") <= lap + SEARCH, lit(False))
+    flipped = places["fair"] & (F.abs(c("preGap")) >= LEAST_GAP) & ((c("preGap") < 0) != places["ahead"]) & (is_("rival") | (is_("timer") & stopped))
+    s = s.withColumn("flip", F.when(flipped, places["ahead"]))
+
+    base, traffic = c("baseline"), F.coalesce(mine(c("settled"))["traffic"], lit(False))
+    compound = F.get(F.filter(c("line"), lambda x: x["lap"] > pit), lit(0))["compound"]
+    s = s.withColumn("byGap", pct_of(c("preGap"), c("gap"), base)).withColumn("byPace", pct_of(c("paceBefore"), c("paceAfter"), base)).withColumn("byRef", pct_of(c("refBefore"), c("refAfter"), base))
+    first = c("answered") & (pit <= c("rivalPitLap"))
+    stop = lambda pre, post: S.classify_stop(pre, post, base, first, c("trackStatus"), compound, traffic)
+    band = lambda d: F.when(F.abs(d) > 20, "UNRESOLVED_INCIDENT_FILTER").when(d < -0.5, "OFFSET_ADVANTAGE").when(d > 0.5, "OFFSET_DISADVANTAGE").otherwise("SUCCESS_DEFEND")
+    ref = F.when(F.upper(compound).isin("INTERMEDIATE", "WET"), "WEATHER_SURVIVAL_STOP").when(c("byRef").isNull(), "UNRESOLVED_MISSING_POST_GAP").when(F.abs(c("byRef")) > 20, "UNRESOLVED_INCIDENT_FILTER")
+    ref = ref.when(S.is_caution(c("trackStatus")) & (F.abs(c("byRef")) < 1), "SUCCESS_FREE_STOP").when(c("byRef") <= 0.5, "SUCCESS_DEFEND").otherwise("FAILURE_PACE_DEFICIT")
+    by_order = F.when(c("flip"), F.when(first, "SUCCESS_UNDERCUT").otherwise("SUCCESS_OVERCUT")).otherwise(F.when(traffic, "FAILURE_TRAFFIC").otherwise("FAILURE_PACE_DEFICIT"))
+    answer = lambda result, how, post=lit(None), delta=lit(None): F.struct(result.alias("result"), lit(how).alias("how"), post.cast("double").alias("post"), delta.cast("double").alias("delta"))
+    lacking = lambda what: answer(lit(what), "INSUFFICIENT_DATA")
+    got = (
+        F.when(is_("early"), answer(lit("UNRESOLVED_EARLY_LAP"), "EARLY_LAP_FILTER"))
+        .when(is_("alone") & c("refBefore").isNull() & c("rival").isNull(), lacking("UNRESOLVED_MISSING_RIVAL"))
+        .when(is_("alone") & c("refBefore").isNull(), lacking("UNRESOLVED_MISSING_PRE_GAP"))
+        .when(is_("alone") & c("refAfter").isNull(), lacking("UNRESOLVED_MISSING_POST_GAP"))
+        .when(is_("alone"), answer(ref, "REFERENCE_FALLBACK", c("refAfter"), c("byRef")))
+        .when(is_("offset") & c("byGap").isNotNull(), answer(band(c("byGap")), "OFFSET_TIMEOUT", c("gap"), c("byGap")))
+        .when(is_("offset") & c("byPace").isNotNull(), answer(band(c("byPace")), "OFFSET_TIMEOUT_PACE_SHIFT", c("paceAfter"), c("byPace")))
+        .when(is_("offset"), answer(lit("UNRESOLVED_MISSING_POST_GAP"), "OFFSET_TIMEOUT", c("gap")))
+        .when(is_("rival") & c("gap").isNotNull(), answer(stop(c("preGap"), c("gap")), "RIVAL_PIT", c("gap"), c("byGap")))
+        .when(is_("timer") & c("gap").isNotNull(), answer(stop(c("preGap"), c("gap")), "SAFETY_TIMER", c("gap"), c("byGap")))
+        .when(is_("rival") & c("byPace").isNotNull(), answer(stop(c("paceBefore"), c("paceAfter")), "RIVAL_PIT_PACE_SHIFT", c("paceAfter"), c("byPace")))
+        .when(c("byPace").isNotNull(), answer(stop(c("paceBefore"), c("paceAfter")), "SAFETY_TIMER_PACE_SHIFT", c("paceAfter"), c("byPace")))
+        .when(c("flip").isNotNull(), answer(by_order, "POSITIONAL_FALLBACK"))
+        .otherwise(lacking("UNRESOLVED_MISSING_POST_GAP"))
+    )
+    s = s.withColumn("got", got)
+    return s.select(
+        "race", "driver", "pitLap", "rival", F.when(c("answered"), c("rivalPitLap")).alias("rivalPitLap"), "compareLap", "preGap", F.round("got.post", 3).alias("postGap"), F.round("got.delta", 4).alias("gapDeltaPct"),
+        F.col("got.how").alias("resolution"), is_("offset").alias("offsetStrategy"), F.coalesce(first, lit(False)).alias("pittedFirst"), F.col("got.result").alias("result"),
+    )
