@@ -144,7 +144,7 @@ def pit_cycles(laps: DataFrame) -> DataFrame:
     ref = F.when(F.upper(compound).isin("INTERMEDIATE", "WET"), "WEATHER_SURVIVAL_STOP").when(c("byRef").isNull(), "UNRESOLVED_MISSING_POST_GAP").when(F.abs(c("byRef")) > 20, "UNRESOLVED_INCIDENT_FILTER")
     ref = ref.when(S.is_caution(c("trackStatus")) & (F.abs(c("byRef")) < 1), "SUCCESS_FREE_STOP").when(c("byRef") <= 0.5, "SUCCESS_DEFEND").otherwise("FAILURE_PACE_DEFICIT")
     by_order = F.when(c("flip"), F.when(first, "SUCCESS_UNDERCUT").otherwise("SUCCESS_OVERCUT")).otherwise(F.when(traffic, "FAILURE_TRAFFIC").otherwise("FAILURE_PACE_DEFICIT"))
-    answer = lambda result, how, post=lit(None), delta=lit(None): F.struct(result.alias("result"), lit(how).alias("how"), post.cast("double").alias("post"), delta.cast("double").alias("delta"))
+    answer = lambda result, how, post=lit(None), delta=lit(None): F.struct(result.alias("result"), (lit(how) if isinstance(how, str) else how).alias("how"), post.cast("double").alias("post"), delta.cast("double").alias("delta"))
     lacking = lambda what: answer(lit(what), "INSUFFICIENT_DATA")
     got = (
         F.when(is_("early"), answer(lit("UNRESOLVED_EARLY_LAP"), "EARLY_LAP_FILTER"))
@@ -155,10 +155,8 @@ def pit_cycles(laps: DataFrame) -> DataFrame:
         .when(is_("offset") & c("byGap").isNotNull(), answer(band(c("byGap")), "OFFSET_TIMEOUT", c("gap"), c("byGap")))
         .when(is_("offset") & c("byPace").isNotNull(), answer(band(c("byPace")), "OFFSET_TIMEOUT_PACE_SHIFT", c("paceAfter"), c("byPace")))
         .when(is_("offset"), answer(lit("UNRESOLVED_MISSING_POST_GAP"), "OFFSET_TIMEOUT", c("gap")))
-        .when(is_("rival") & c("gap").isNotNull(), answer(stop(c("preGap"), c("gap")), "RIVAL_PIT", c("gap"), c("byGap")))
-        .when(is_("timer") & c("gap").isNotNull(), answer(stop(c("preGap"), c("gap")), "SAFETY_TIMER", c("gap"), c("byGap")))
-        .when(is_("rival") & c("byPace").isNotNull(), answer(stop(c("paceBefore"), c("paceAfter")), "RIVAL_PIT_PACE_SHIFT", c("paceAfter"), c("byPace")))
-        .when(c("byPace").isNotNull(), answer(stop(c("paceBefore"), c("paceAfter")), "SAFETY_TIMER_PACE_SHIFT", c("paceAfter"), c("byPace")))
+        .when(c("gap").isNotNull(), answer(stop(c("preGap"), c("gap")), F.when(is_("rival"), "RIVAL_PIT").otherwise("SAFETY_TIMER"), c("gap"), c("byGap")))
+        .when(c("byPace").isNotNull(), answer(stop(c("paceBefore"), c("paceAfter")), F.when(is_("rival"), "RIVAL_PIT_PACE_SHIFT").otherwise("SAFETY_TIMER_PACE_SHIFT"), c("paceAfter"), c("byPace")))
         .when(c("flip").isNotNull(), answer(by_order, "POSITIONAL_FALLBACK"))
         .otherwise(lacking("UNRESOLVED_MISSING_POST_GAP"))
     )
