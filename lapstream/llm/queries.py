@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import language, licences, manifest, minhash, mixing, packing, repeats, secrets, toxicity, urls, vectors
+from . import divergence, language, licences, manifest, minhash, mixing, packing, repeats, secrets, toxicity, urls, vectors
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_embedding_near_dedup": vectors.op8,
     "op9_nearest_neighbours": vectors.op9,
     "op10_secret_scan": secrets.op10,
+    "op11_source_divergence": divergence.op11,
     "op12_licence_scan": licences.op12,
     "op13_merkle_manifest": manifest.op13,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op7_url_filter": urls.SQL, "op12_licence_scan": licences.SQL, "op13_merkle_manifest": manifest.SQL}
+ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op7_url_filter": urls.SQL, "op11_source_divergence": divergence.SQL, "op12_licence_scan": licences.SQL, "op13_merkle_manifest": manifest.SQL}
