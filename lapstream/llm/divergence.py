@@ -181,7 +181,7 @@ def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     times = np.ones(len(distinct) + 1, dtype=np.int64)
     times[-1] = heads["terms"].iloc[0] - len(distinct)  # the terms that no source of the two tiles has
     a, b = frame["a"].iloc[0], frame["b"].iloc[0]
-    tile, names = heads["ix"].to_numpy() // TILE, heads["source"].to_numpy()
+    tile, names = heads["tile"].to_numpy(), heads["source"].to_numpy()
     right = np.flatnonzero(tile == b)
     out = []
     for g in np.flatnonzero(tile == a):
@@ -236,7 +236,7 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     heads = heads.join(sizes, ["lang", "block"], "left").select("lang", "source", "ix", "sources", "p", "block", F.lit(None).cast("binary").alias("term"), F.coalesce("terms", F.lit(0).cast("long")).alias("terms"))
     cells = heads.unionByName(dealt.select("lang", F.lit(None).cast("string").alias("source"), "ix", "sources", "p", block("term"), "term", F.lit(None).cast("long").alias("terms")))
     tile, other = F.floor(F.col("ix") / TILE).cast("int"), F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / TILE).cast("int"))
-    met = cells.select("lang", "source", "ix", "p", "block", "term", "terms", tile.alias("tile"), F.explode(other).alias("other")).withColumn("a", F.least("tile", "other")).withColumn("b", F.greatest("tile", "other")).drop("tile", "other")
+    met = cells.select("lang", "source", "ix", "p", "block", "term", "terms", tile.alias("tile"), F.explode(other).alias("other")).withColumn("a", F.least("tile", "other")).withColumn("b", F.greatest("tile", "other")).drop("other")
     pairs = met.groupBy("lang", "block", "a", "b").applyInPandas(_tile_pairs, "lang string, source string, item string, value long").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     pairs_part = pairs.withColumn("rank", place).withColumn("part", F.lit("pair"))
     cols = ["lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank")]
