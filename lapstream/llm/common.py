@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,23 +67,22 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
 
 
-_BASE = _U(0x5851F42D4C957F2D)
-_BASE_INV = _U(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-_POWERS: dict[int, np.ndarray] = {}
+_BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
+_POWERS: dict[tuple[bool, bool], np.ndarray] = {}
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    key = int(inverse)
-    have = _POWERS.get(key)
+def powers(n: int, inverse: bool = False, again: bool = False) -> np.ndarray:
+    """Powers of one of two bases (``again``: the other one) modulo 2^64, or of its inverse."""
+    have = _POWERS.get((inverse, again))
     if have is None or len(have) < n:
-        out = np.full(max(n, SLICE_BYTES + (1 << 17)), _BASE_INV if inverse else _BASE, dtype=_U)
+        base = _BASES[again]
+        out = np.full(max(n, SLICE_BYTES + (1 << 17)), _U(pow(base, -1, 1 << 64) if inverse else base), dtype=_U)
         out[0] = 1
-        have = _POWERS[key] = np.multiply.accumulate(out)
+        have = _POWERS[inverse, again] = np.multiply.accumulate(out)
     return have[:n]
 
 
 _BYTES = seeded(256, 11)
-_BYTES_AGAIN = seeded(256, 13)
 _BYTES_LOWER = _BYTES.copy()
 _BYTES_LOWER[65:91] = _BYTES[97:123]
 
@@ -127,10 +127,44 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, again: bool = False) -> np.ndarray:
-    """64-bit hashes of the words, A-Z as a-z where asked for; ``again`` gives a second, independent one."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the words for features, A-Z as a-z where asked for: sums over letters and places, so that long
+    words can be made to agree. What must tell words apart takes ``word_keys``."""
     if len(starts) == 0:
         return np.zeros(0, _U)
     sums = np.zeros(len(raw) + 1, dtype=_U)
-    np.cumsum((_BYTES_AGAIN if again else _BYTES_LOWER if lower else _BYTES)[raw] * powers(len(raw)), out=sums[1:])
+    np.cumsum((_BYTES_LOWER if lower else _BYTES)[raw] * powers(len(raw)), out=sums[1:])
     return mix((sums[ends] - sums[starts]) * powers(len(raw), inverse=True)[starts] + (ends - starts).astype(_U))
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SEEDS = seeded(2, 41)
+#: Bytes of a word up to which it is hashed block by block with all others; longer ones are digested one by one.
+LONG_WORD = 256
+
+
+def word_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, again: bool = False) -> np.ndarray:
+    """64-bit keys of the words, A-Z as a-z where asked for: each block of eight bytes is mixed into what the blocks
+    before it gave, from a start that depends on the length. ``again`` starts from another seed, so that words that
+    agree by chance in one key do not in the other."""
+    if lower:
+        raw = _LOWER[raw]
+    size = ends - starts
+    padded = np.zeros(len(raw) + 8, dtype=np.uint8)
+    padded[: len(raw)] = raw
+    blocks = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    seed = _SEEDS[int(again)]
+    keys = mix(size.astype(_U) * _U(0x9E3779B97F4A7C15) + seed)
+    live, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        rest = size[live] - at
+        block = blocks[starts[live] + at]
+        short = rest < 8
+        block[short] &= (_U(1) << (rest[short] * 8).astype(_U)) - _U(1)
+        keys[live] = mix((keys[live] ^ block) + seed)
+        live, at = live[rest > 8], at + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.tobytes()).digest()
+        keys[i] = np.frombuffer(digest, dtype="<u8")[0]
+    return keys

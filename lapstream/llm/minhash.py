@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, seeded, slices, stash, table, word_hashes, word_spans
+from .common import mix, seeded, slices, stash, table, word_keys, word_spans
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -44,7 +44,7 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Each text's sorted set of hashed shingles of that many lower-cased words; a shorter text is one shingle."""
     for _, _, raw, offsets in slices(column):
         starts, ends, first = word_spans(raw, offsets)
-        h = word_hashes(raw, starts, ends, lower=True)
+        h = word_keys(raw, starts, ends, lower=True)
         whole = np.zeros(max(0, len(h) - words + 1), dtype=_U)
         for k in range(words):
             whole += h[k : k + len(whole)] * _LANES[k]

@@ -7,7 +7,7 @@ exchanging a dictionary. Beside each symbol goes its context: the stretch of wor
 the symbol is there. A symbol whose context lies inside a window occurs in every copy of that window.
 
 Spark counts the top symbols over the whole corpus. Only a window all of whose inner symbols are shared can
-occur twice; those windows are then counted by 128 bits of two independent hashes of their words, which settles them.
+occur twice; those windows are then counted by 128 bits, two hashes with keys and bases of their own.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, seeded, slices, table, word_hashes, word_spans
+from .common import mix, powers, seeded, slices, table, word_keys, word_spans
 
 PAIR_ROUNDS = 6
 #: No symbol gets longer than this, so that a window of a few dozen words always holds some.
@@ -96,8 +96,8 @@ def parsed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, tuple]]:
     """Word hashes, each row's first word, the top symbols, and second word hashes on demand, for consecutive rows."""
     for _, _, raw, offsets in slices(column, 1 << 19):
         starts, ends, first = word_spans(raw, offsets)
-        h = word_hashes(raw, starts, ends)
-        yield h, first, recompress(h, np.repeat(np.arange(len(first) - 1), np.diff(first))), partial(word_hashes, raw, starts, ends, again=True)
+        h = word_keys(raw, starts, ends)
+        yield h, first, recompress(h, np.repeat(np.arange(len(first) - 1), np.diff(first))), partial(word_keys, raw, starts, ends, again=True)
 
 
 def window_starts(first: np.ndarray, words: int) -> np.ndarray:
@@ -110,13 +110,14 @@ def window_starts(first: np.ndarray, words: int) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, again: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the windows that start at ``at``, from two independent hashes of their words: windows that
-    agree in both have the same words but for a chance of 2 to the power of -128."""
+    """Two 64-bit hashes of the windows that start at ``at``, from two keys of their words and with two bases: windows
+    of other words agree in both by chance only. Words themselves are not compared, so texts made against these
+    fixed hashes could be taken for equal."""
     out = []
-    for x in (h, again):
+    for x, other in ((h, False), (again, True)):
         sums = np.zeros(len(x) + 1, dtype=_U)
-        np.cumsum(mix(x) * powers(len(x)), out=sums[1:])
-        out.append(mix((sums[at + words] - sums[at]) * powers(len(h), inverse=True)[at]))
+        np.cumsum(mix(x) * powers(len(x), again=other), out=sums[1:])
+        out.append(mix((sums[at + words] - sums[at]) * powers(len(h), inverse=True, again=other)[at]))
     return out[0], out[1]
 
 
