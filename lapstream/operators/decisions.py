@@ -131,7 +131,7 @@ def feature_effects(rows: DataFrame, columns: list[str], positive: Column) -> Da
 
 
 def emit_gate(scores: DataFrame, least: float = 40.0, delta: float = 10.0, repeat: int = 2, peak: float = 70.0, slow: float = 0.005) -> DataFrame:
-    """Scores worth telling (again), of ``pit_scores``: a new stint, a label other than the class of the last told score,
+    """Scores worth telling (again), of ``pit_scores`` at new laps and under caution: a new stint, a label other than the class of the last told score,
     another status, a jump of the score, a rise of timing pressure by 2 while action is called for, or every ``repeat``
     laps while it is. Once a stint, a slow car whose score fell from ``peak`` or above to below ``least`` is a LOST_CHANCE.
 

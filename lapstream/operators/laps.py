@@ -149,37 +149,101 @@ def grid_at(laps: DataFrame, moments: DataFrame) -> DataFrame:
     return found.select(F.col("eventTimeMillis").alias("snapMillis"), "snapLap", "asof_row.*")
 
 
-def emergence(grid: DataFrame, status: Column) -> DataFrame:
-    """Each car after a stop now: the car it would come out behind, the gap to it, and the places lost.
-
-    A grid is one array of at most a field of cars; gaps are summed down it until they reach the loss of a stop under
-    ``status`` or one is unknown."""
-    x = ladder(grid, MOMENT)
-    boxed = F.col("pitInTime").isNotNull()
-    keep = ["place", "position", "driver", "lapNumber", "gapSum", "gapBlock", "compound", "tyreLife", boxed.alias("boxed")]
-    cars = x.withColumn("loss", S.select_pit_loss(status, F.col("pitLoss"), F.col("vscPitLoss"), F.col("scPitLoss"))).groupBy(*MOMENT).agg(F.array_sort(F.collect_list(F.struct(*keep))).alias("cars"), F.collect_list(F.struct("place", F.struct(*grid.columns, "gapSum", "gapBlock", "loss").alias("row"))).alias("rows"))
-    each = cars.select("cars", F.explode("rows").alias("one")).select("cars", "one.place", "one.row.*")
-    here = {c: F.col(c) for c in ("gapBlock", "gapSum", "loss", "place")}
-    behind = F.filter(F.slice("cars", F.col("place") + 1, F.size("cars")), lambda c: c["gapBlock"] == here["gapBlock"])
-    beyond = F.get(F.filter(behind, lambda c: c["gapSum"] - here["gapSum"] >= here["loss"]), F.lit(0))
-    inside = F.try_element_at(F.when(beyond.isNull(), behind).otherwise(F.filter(behind, lambda c: c["place"] < beyond["place"])), F.lit(-1))
-    each = each.withColumn("m", F.when(F.col("loss").isNotNull(), inside)).withColumn("ahead", F.when(F.col("place") > 1, F.get("cars", F.col("place") - 2))).withColumn("behind", F.get("cars", F.col("place")))
-    m = F.col("m")
+def snapshots(laps: DataFrame, status: DataFrame | None = None, of: tuple[str, ...] = ("lap",)) -> DataFrame:
+    """(race, kind, snapMillis, snapLap, now, seen, cars): the grid at each moment of a race, its cars in order.
+
+    Moments of kind ``lap`` are those of ``race_snapshots``, of kind ``caution`` those of ``caution_snapshots``. ``now`` is
+    the track's status by then (its own under caution), ``seen`` the longest tyre life by then of each compound. With both
+    kinds, a caution called in the millisecond of a new lap is no moment of its own.
+
+    Laps are dealt by race once; every window and the grouping behind it hold on to that. A race is one array in order of
+    time, a row of which counts until the driver's next one, so a moment's grid is a filter of that array."""
+    c = F.col
+    own, timed = Window.partitionBy("race", "driver").orderBy("eventTimeMillis", "lapNumber"), Window.partitionBy("race").orderBy("eventTimeMillis")
+    worn = Window.partitionBy("race", "compound").orderBy("eventTimeMillis").rangeBetween(UNBOUNDED, -1)
+    rows = [x for x in laps.columns if x not in ("__until", "__top", "__longest")]
+    x = laps.withColumn("__until", F.lead("eventTimeMillis").over(own)).withColumn("__top", F.max("lapNumber").over(timed.rangeBetween(UNBOUNDED, CURRENT))).withColumn("__before", F.max("lapNumber").over(timed.rangeBetween(UNBOUNDED, -1))).withColumn("__longest", F.max("tyreLife").over(worn))
+    real = c("driver").isNotNull() & (c("lapNumber") > 0)
+    raised = real & (c("lapNumber") > F.coalesce("__before", F.lit(0))) & (c("lapNumber") > 1) & (c("lapNumber") == c("__top"))
+    older = c("compound").isNotNull() & (c("tyreLife") > F.coalesce("__longest", F.lit(-1)))
+    when = c("eventTimeMillis").alias("t")
+    race = x.groupBy("race").agg(
+        F.collect_list(F.struct(when, c("__until").alias("until"), F.struct(*rows).alias("row"))).alias("rows"),
+        F.array_distinct(F.collect_list(F.when(raised, F.struct(when, c("lapNumber").alias("lap"))))).alias("raised"),
+        F.collect_list(F.when(older, F.struct("compound", when, c("tyreLife").alias("n")))).alias("older"),
+        F.array_sort(F.array_distinct(F.collect_list(F.struct(when, c("__top").alias("lap"))))).alias("tops"),
+    )
+    if status is None:
+        race = race.withColumn("calls", F.array().cast("array<struct<t:bigint,s:string>>"))
+    else:
+        calls = status.groupBy("race").agg(F.array_sort(F.collect_list(F.struct(when, c("status").alias("s")))).alias("calls"))
+        race = race.join(calls, "race", "left")
+    last = lambda xs, t: F.try_element_at(F.filter(xs, lambda e: e["t"] <= t), F.lit(-1))
+    moment = lambda kind, t, lap: F.struct(F.lit(kind).alias("kind"), t.alias("t"), lap.alias("lap"))
+    on_lap = F.transform("raised", lambda m: moment("lap", m["t"], m["lap"]))
+    called = F.array_distinct(F.transform(F.filter("calls", lambda e: S.is_caution(e["s"])), lambda e: e["t"]))
+    on_call = F.filter(F.transform(called, lambda t: moment("caution", t, last(c("tops"), t)["lap"] - 1)), lambda m: m["lap"] > 0)
+    if "lap" in of:  # events of one millisecond are one moment, under the status called then
+        on_call = F.filter(on_call, lambda m: ~F.exists("raised", lambda r: r["t"] == m["t"]))
+    moments = F.concat(*([on_lap] if "lap" in of else []), *([F.coalesce(on_call, F.array().cast("array<struct<kind:string,t:bigint,lap:int>>"))] if "caution" in of else []))
+    each = race.withColumn("m", F.explode(moments))
+    t, floor = c("m.t"), c("m.lap") - RECENT
+    cars = F.transform(F.filter("rows", lambda r: (r["t"] <= t) & (r["until"].isNull() | (r["until"] > t)) & (r["row"]["lapNumber"] >= floor)), lambda r: F.struct(r["row"]["position"].alias("p"), r["row"]["driver"].alias("d"), r["row"].alias("row")))
+    by_then = F.filter("older", lambda e: e["t"] <= t)
+    seen = F.map_from_entries(F.transform(F.array_distinct(F.transform(by_then, lambda e: e["compound"])), lambda k: F.struct(k, F.array_max(F.transform(F.filter(by_then, lambda e: e["compound"] == k), lambda e: e["n"])))))
+    now = S.normalize_or_green(last(c("calls"), t)["s"])
+    return each.select("race", c("m.kind").alias("kind"), t.alias("snapMillis"), c("m.lap").alias("snapLap"), now.alias("now"), seen.alias("seen"), F.transform(F.array_sort(cars), lambda r: r["row"]).alias("cars"))
+
+
+def emergence(grids: DataFrame, status) -> DataFrame:
+    """Each car of ``grids`` (.., cars in order) after a stop now: the car it would come out behind, the gap to it.
+
+    A grid is at most a field of cars; gaps are summed down it until they reach the loss of a stop under ``status`` (a
+    function of a car) or one is unknown. Only row by row: a stream may ask this of its grids as well."""
+    gap = lambda x: F.coalesce(x["gapToCarAhead"], F.lit(0.0))
+    upto = lambda i: F.slice("cars", F.lit(1), i + 1)
+    slim = lambda x, i: F.struct(
+        (i + 1).alias("place"), x["position"].alias("position"), x["driver"].alias("driver"), x["lapNumber"].alias("lapNumber"),
+        F.round(F.aggregate(upto(i), F.lit(0.0), lambda acc, y: acc + gap(y)), 6).alias("gapSum"), F.size(F.filter(upto(i), lambda y: y["gapToCarAhead"].isNull())).alias("gapBlock"),
+        x["compound"].alias("compound"), x["tyreLife"].alias("tyreLife"), x["pitInTime"].isNotNull().alias("boxed"),
+    )
+    others = [x for x in grids.columns if x not in ("race", "cars")]
+    each = grids.withColumn("line", F.transform("cars", slim)).select(*others, "line", F.posexplode("cars").alias("i", "car"))
+    each = each.select(*others, "line", "car.*", F.get("line", F.col("i")).alias("me"))
+    c = F.col
+    each = each.withColumn("loss", S.select_pit_loss(status(each), c("pitLoss"), c("vscPitLoss"), c("scPitLoss")))
+    place, here = c("me.place"), c("me")
+    behind = F.filter(F.slice("line", place + 1, F.size("line")), lambda x: x["gapBlock"] == here["gapBlock"])
+    beyond = F.get(F.filter(behind, lambda x: x["gapSum"] - here["gapSum"] >= c("loss")), F.lit(0))
+    inside = F.try_element_at(F.when(beyond.isNull(), behind).otherwise(F.filter(behind, lambda x: x["place"] < beyond["place"])), F.lit(-1))
+    each = each.withColumn("m", F.when(c("loss").isNotNull(), inside)).withColumn("ahead", F.when(place > 1, F.get("line", place - 2))).withColumn("behind", F.get("line", place))
+    m = c("m")
+    kept = [x for x in each.columns if x not in ("line", "me", "m")]
     return each.select(
-        *grid.columns, "loss", "ahead", "behind", m["driver"].alias("carAhead"), m["compound"].alias("carCompound"), m["tyreLife"].alias("carTyreLife"),
-        F.coalesce(m["position"] + 1, F.col("position")).alias("emergencePosition"), (F.col("loss") - (m["gapSum"] - F.col("gapSum"))).alias("gapToCar"),
+        *kept, here["gapSum"].alias("gapSum"), here["gapBlock"].alias("gapBlock"), m["driver"].alias("carAhead"), m["compound"].alias("carCompound"), m["tyreLife"].alias("carTyreLife"),
+        F.coalesce(m["position"] + 1, c("position")).alias("emergencePosition"), (c("loss") - (m["gapSum"] - here["gapSum"])).alias("gapToCar"),
     )
 
 
-def drop_zones(laps: DataFrame, least_tyre_life: int = 8) -> DataFrame:
-    """At each new lap of a race: who would come out of a stop behind whom, by each car's own track status."""
-    e = emergence(grid_at(laps, race_snapshots(laps)), F.col("trackStatus")).where((F.col("tyreLife") >= least_tyre_life) & F.col("carAhead").isNotNull())
+def by_race(laps: DataFrame) -> DataFrame:
+    """Dealt by race once: windows over a race and anything beside it need no exchange of their own."""
+    return laps.repartition("race")
+
+
+def zones_of(grids: DataFrame, least_tyre_life: int = 8) -> DataFrame:
+    """Who would come out of a stop behind whom at the moments of ``grids``, by each car's own track status."""
+    e = emergence(grids, lambda each: F.col("trackStatus")).where((F.col("tyreLife") >= least_tyre_life) & F.col("carAhead").isNotNull())
     return e.select(
         "race", "driver", "lapNumber", "snapLap", "position", "emergencePosition", (F.col("emergencePosition") - F.col("position")).alias("positionsLost"), F.col("ahead.driver").alias("netRival"),
         "carAhead", F.round("gapToCar", 3).alias("gapToCar"), "carCompound", "carTyreLife", S.normalize_or_green(F.col("trackStatus")).alias("status"), "loss",
     )
 
 
+def drop_zones(laps: DataFrame, least_tyre_life: int = 8) -> DataFrame:
+    """At each new lap of a race: who would come out of a stop behind whom."""
+    return zones_of(snapshots(by_race(laps)), least_tyre_life)
+
+
 def pace_state(laps: DataFrame) -> DataFrame:
     """Stint best, pace ratio and its change, slow laps in a row and the change of the gap ahead, all within a stint;
     gaps count on green laps without a stop."""
@@ -196,28 +260,11 @@ def pace_state(laps: DataFrame) -> DataFrame:
     return x.withColumn("gapDelta", gap).withColumn("pace", pace).drop("ct", "held", "slow", "run", "paceRatio", "freeGap")
 
 
-def _stints_seen(laps: DataFrame, moments: DataFrame) -> DataFrame:
-    """(race, snapMillis, seen): the longest tyre life by then of each compound, as a map."""
-    by_time = laps.where("compound is not null").groupBy("race", "compound", "eventTimeMillis").agg(F.max("tyreLife").alias("longest"))
-    by_time = by_time.withColumn("longest", F.max("longest").over(Window.partitionBy("race", "compound").orderBy("eventTimeMillis").rowsBetween(UNBOUNDED, CURRENT)))
-    asked = moments.select("race", F.col("snapMillis").alias("eventTimeMillis")).join(by_time.select("race", "compound").distinct(), "race")
-    found = asof_backward(asked, by_time, ["race", "compound"], "eventTimeMillis", ["longest"]).where("asof_longest is not null")
-    return found.groupBy("race", F.col("eventTimeMillis").alias("snapMillis")).agg(F.map_from_entries(F.collect_list(F.struct("compound", "asof_longest"))).alias("seen"))
-
-
-def pit_scores(laps: DataFrame, status: DataFrame, moments: DataFrame | None = None, least_tyre_life: int = 8) -> DataFrame:
+def scores_of(grids: DataFrame, least_tyre_life: int = 8) -> DataFrame:
     """The components of the score of a stop now, the score (0 to 100), the decision and its reasons, for each car of
-    the grid at each moment (by default ``race_snapshots``) that is not in the pits and has worn tyres.
-
-    ``status`` (race, eventTimeMillis, status) is the track's status, green before its first; a car's own laps decide
-    on its pace and on the rivals' stops."""
+    ``grids`` (with ``pace_state``) that is not in the pits and has worn tyres."""
     c = F.col
-    moments = race_snapshots(laps) if moments is None else moments
-    now = asof_backward(moments.withColumnRenamed("snapMillis", "eventTimeMillis"), status, ["race"], "eventTimeMillis", ["status"])
-    now = now.select("race", c("eventTimeMillis").alias("snapMillis"), "snapLap", "floorLap", S.normalize_or_green(c("asof_status")).alias("now"))
-    rich = pace_state(laps)
-    grid = grid_at(rich, now.drop("now")).join(now.select(*MOMENT, "now"), MOMENT).join(_stints_seen(laps, moments), MOMENT, "left")
-    e = emergence(grid, c("now")).where((c("tyreLife") >= least_tyre_life) & c("pitInTime").isNull() & c("pitOutTime").isNull())
+    e = emergence(grids, lambda each: c("now")).where((c("tyreLife") >= least_tyre_life) & c("pitInTime").isNull() & c("pitOutTime").isNull())
     boost = lambda car, points: F.when(c(car)["boxed"] & (F.abs(c("lapNumber") - c(car)["lapNumber"]) <= 1), points).otherwise(0.0)
     e = e.withColumn("rival", F.when(S.is_green(c("trackStatus")), F.least(F.lit(12.0), boost("ahead", 10.0) + boost("behind", 6.0))).otherwise(0.0))
     stint = lambda compound: F.coalesce(F.try_element_at("seen", compound).cast("double"), S.choose(F.upper(compound), S.MAX_STINT, 30.0))
@@ -231,6 +278,14 @@ def pit_scores(laps: DataFrame, status: DataFrame, moments: DataFrame | None = N
     return e.withColumn("label", label).withColumn("why", why).drop("ahead", "behind", "seen")
 
 
+def pit_scores(laps: DataFrame, status: DataFrame, of: tuple[str, ...] = ("lap",), least_tyre_life: int = 8) -> DataFrame:
+    """``scores_of`` the grids at the moments of these kinds.
+
+    ``status`` (race, eventTimeMillis, status) is the track's status, green before its first; a car's own laps decide
+    on its pace and on the rivals' stops."""
+    return scores_of(snapshots(pace_state(by_race(laps)), status, of), least_tyre_life)
+
+
 def rival_at(laps: DataFrame, step: int) -> DataFrame:
     """The driver ``step`` places away on the same lap, else on the lap before, never the driver itself: two
     equi-joins on race, lap and position."""

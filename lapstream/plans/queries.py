@@ -188,6 +188,7 @@ TRIGGERS = """, gm AS (SELECT race, eventTimeMillis AS t, MAX(lapNumber) AS L FR
 gp AS (SELECT *, MAX(L) OVER (PARTITION BY race ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM gm),
 trig AS (SELECT race, t, L, L - 3 AS floorLap FROM gp WHERE L > COALESCE(before, 0) AND L > 1)"""
 CAUTIONS = """, trig AS (SELECT s.race, s.t, MAX(l.lapNumber) - 1 AS L, MAX(l.lapNumber) - 4 AS floorLap FROM (SELECT DISTINCT race, eventTimeMillis AS t FROM track_status WHERE status IN ('4', '6', '7')) s JOIN laps l ON l.race = s.race AND l.eventTimeMillis <= s.t GROUP BY 1, 2 HAVING MAX(l.lapNumber) > 1)"""
+BOTH = TRIGGERS.replace("trig AS", "t1 AS") + CAUTIONS.replace("trig AS", "t2 AS") + ", trig AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 WHERE NOT EXISTS (SELECT 1 FROM t1 WHERE t1.race = t2.race AND t1.t = t2.t))"
 GRID = """, rk AS (SELECT trig.race, trig.t, trig.L, l.driver, MAX(l.eventTimeMillis) AS e FROM trig JOIN laps l ON l.race = trig.race AND l.eventTimeMillis <= trig.t GROUP BY ALL),
 gr AS (SELECT rk.t, rk.L, l.* FROM rk JOIN laps l ON l.race = rk.race AND l.driver = rk.driver AND l.eventTimeMillis = rk.e JOIN trig ON trig.race = rk.race AND trig.t = rk.t WHERE l.lapNumber >= trig.floorLap)"""
 NOW = """, nw AS (SELECT trig.race, trig.t, COALESCE(arg_max(s.status, s.eventTimeMillis), '1') AS now FROM trig LEFT JOIN track_status s ON s.race = trig.race AND s.eventTimeMillis <= trig.t GROUP BY ALL)"""
@@ -240,14 +241,14 @@ q("w17_traffic_score", "laps track_status", lambda f: scores(f).select(*AT, F.ro
 q("w18_pit_scores", "laps track_status", lambda f: rounded(scores(f)), TRIGGERS + SCORES + f" SELECT {KEY}, t AS snapMillis, label, {WHY} AS why, {ROUNDED} FROM sc")
 q("f21_decision_labels", "laps track_status", lambda f: scores(f).groupBy("race", "label").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most")), TRIGGERS + SCORES + " SELECT race, label, COUNT(*) AS n, ROUND(MIN(score), 6) AS least, ROUND(MAX(score), 6) AS most FROM sc GROUP BY 1, 2")
 q("f23_explained_scores", "laps track_status", lambda f: scores(f).groupBy("why", "label").agg(F.count("*").alias("n")), TRIGGERS + SCORES + f" SELECT {WHY} AS why, label, COUNT(*) AS n FROM sc GROUP BY 1, 2")
-q("k7_caution_rescore", "laps track_status", lambda f: rounded(L.pit_scores(f("laps"), f("track_status"), L.caution_snapshots(f("laps"), f("track_status")))), CAUTIONS + SCORES + f" SELECT {KEY}, t AS snapMillis, label, {WHY} AS why, {ROUNDED} FROM sc")
+q("k7_caution_rescore", "laps track_status", lambda f: rounded(L.pit_scores(f("laps"), f("track_status"), ("caution",))), CAUTIONS + SCORES + f" SELECT {KEY}, t AS snapMillis, label, {WHY} AS why, {ROUNDED} FROM sc")
 EMIT = f""", er AS (SELECT race, driver, ROW_NUMBER() OVER (PARTITION BY race, driver ORDER BY t) AS rn, t, lapNumber, stint, score, label, now, timing, action, pace FROM sc),
 ew AS (SELECT race, driver, CAST(0 AS BIGINT) AS rn, NULL::INT AS onStint, 0.0::DOUBLE AS peak, FALSE AS lost, NULL::INT AS stint, NULL::VARCHAR AS status, NULL::DOUBLE AS score, NULL::DOUBLE AS timing, NULL::INT AS lap, NULL::VARCHAR AS told, NULL::INT AS lapNumber, NULL::BIGINT AS t, NULL::DOUBLE AS s FROM (SELECT DISTINCT race, driver FROM er) x
  UNION ALL SELECT race, driver, rn, stint2, peak2, lost2 OR gone, CASE WHEN tell THEN stint2 ELSE stint END, CASE WHEN tell THEN now ELSE status END, CASE WHEN tell THEN s2 ELSE score END, CASE WHEN tell THEN timing2 ELSE timing END, CASE WHEN tell THEN lap2 ELSE lap END, CASE WHEN gone THEN 'LOST_CHANCE' WHEN tell THEN label END, lap2, t2, s2
  FROM (SELECT *, NOT gone AND s2 >= 40 AND (stint IS NULL OR stint <> stint2 OR label <> CASE WHEN score >= 80 THEN 'PIT_NOW' WHEN score >= 60 THEN 'GOOD_PIT' ELSE 'MONITOR' END OR status <> now OR abs(s2 - score) >= 10 OR (label <> 'MONITOR' AND ((action >= 10 AND timing2 - timing >= 2) OR lap2 - lap >= 2))) AS tell
  FROM (SELECT *, NOT lost2 AND peak2 >= 70 AND s2 < 40 AND pace > 0.005 AS gone FROM (SELECT w.race, w.driver, r.rn, w.stint, w.status, w.score, w.timing, w.lap, r.stint AS stint2, r.now, r.score AS s2, r.timing AS timing2, r.lapNumber AS lap2, r.t AS t2, r.label, r.action, r.pace,
    GREATEST(CASE WHEN w.onStint = r.stint THEN w.peak ELSE 0.0::DOUBLE END, r.score) AS peak2, CASE WHEN w.onStint = r.stint THEN w.lost ELSE FALSE END AS lost2 FROM ew w JOIN er r ON r.race = w.race AND r.driver = w.driver AND r.rn = w.rn + 1) a) b) c)"""
-q("k6_emit_gate", "laps track_status", lambda f: D.emit_gate(scores(f)).withColumn("score", F.round("score", 6)), TRIGGERS + SCORES + EMIT + f" SELECT {KEY}, t AS snapMillis, ROUND(s, 6) AS score, told AS label FROM ew WHERE told IS NOT NULL")
+q("k6_emit_gate", "laps track_status", lambda f: D.emit_gate(L.pit_scores(f("laps"), f("track_status"), ("lap", "caution"))).withColumn("score", F.round("score", 6)), BOTH + SCORES + EMIT + f" SELECT {KEY}, t AS snapMillis, ROUND(s, 6) AS score, told AS label FROM ew WHERE told IS NOT NULL")
 COAST = f""", tg AS (SELECT * FROM telemetry WHERE {GREENQ} AND lapNumber > 5),
 br AS (SELECT race, driver, eventTimeMillis AS b FROM tg WHERE brake = 1),
 li AS (SELECT l.race, l.driver, l.eventTimeMillis AS l, MIN(b.b) AS b FROM tg l JOIN br b ON b.race = l.race AND b.driver = l.driver AND b.b > l.eventTimeMillis WHERE throttle < 5 AND brake = 0 GROUP BY ALL),
