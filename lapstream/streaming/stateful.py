@@ -189,3 +189,113 @@ def drop_zones_stream(laps: DataFrame, status: DataFrame, lateness: str = LATENE
 def pit_scores_stream(laps: DataFrame, status: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """The rows of ``pit_scores`` at new laps and under caution."""
     return scores_of(grids_stream(laps, status, lateness))
+
+
+FEATURES = "race string, driver string, lapNumber int, stintId int, stintBest double, paceDropRatio double, tireLifeRatio double, paceTrend double, gapTrend double, lapTimeZ double, driverPrevMeanRatio double, teamPrevRatio double, racePrevRatio double"
+_FEATURE_NAMES = [x.split()[0] for x in FEATURES.split(", ")]
+
+
+def clipped(x: float | None, default: float, lo: float, hi: float) -> float:
+    """``clip_ratio`` of one value."""
+    return default if x is None or x != x or x in (float("inf"), float("-inf")) else min(max(x, lo), hi)
+
+
+def _over(a: float | None, b: float | None) -> float | None:
+    return a / b if a is not None and b else None
+
+
+def _mean(pairs: list[tuple[float, int]]) -> float | None:
+    """The mean of the means of (sum, count) pairs."""
+    means = [s / n for s, n in pairs if n]
+    return sum(means) / len(means) if means else None
+
+
+def stint_step(held: dict | None, row: dict) -> dict:
+    """Stint, its best lap and the last values of a driver after a lap, from those before it."""
+    held = held or {"lap": None, "id": 0, "tyre": None, "compound": None, "best": None, "pace": [], "gap": [], "sum": 0.0, "n": 0}
+    time, tyre = row.get("lapTime"), row.get("tyreLife")
+    new = held["lap"] is None or (tyre is not None and held["tyre"] is not None and tyre < held["tyre"]) or row.get("compound") != held["compound"]
+    best = None if new else held["best"]
+    if time is not None:
+        best = time if best is None else min(best, time)
+    ratio = clipped(_over(time, best), 1.0, 0.5, 2.0)
+    gap, before = row.get("gapToCarAhead"), held["gap"]
+    said = {
+        "stintId": held["id"] + new, "stintBest": best, "paceDropRatio": ratio, "paceTrend": ratio - held["pace"][-2] if len(held["pace"]) >= 2 else 0.0,
+        "tireLifeRatio": clipped(_over(tyre, S.MAX_STINT.get((row.get("compound") or "").upper(), 30.0)), 0.0, 0.0, 3.0),
+        "gapTrend": gap - before[-2] if len(before) >= 2 and gap is not None and before[-2] is not None else 0.0,
+        "driverPrevMeanRatio": clipped(_over(time, held["sum"] / held["n"] if held["n"] else None), 1.0, 0.5, 2.0),
+    }
+    return {
+        "lap": row["lapNumber"], "id": said["stintId"], "tyre": tyre, "compound": row.get("compound"), "best": best, "pace": [*held["pace"], ratio][-2:], "gap": [*before, gap][-2:],
+        "sum": held["sum"] + (time or 0.0), "n": held["n"] + (time is not None), "said": said,
+    }
+
+
+@dataclass
+class Features(StatefulProcessor):
+    """Serving features of a race's laps as they come: what ``stint_features``, ``lag2_trend``, ``expanding_z``,
+    ``driver_prev_mean_ratio`` and ``bucket_prev_ratio`` say of them, from running sums instead of the laps themselves.
+
+    Laps of one batch are taken in order of lap and driver. A lap that comes again replaces what it gave before. Each
+    state has a lifetime since it was last written: the store drops it without a word from here."""
+
+    lifetime: int = LIFETIME
+    state: dict = field(default_factory=dict, repr=False)
+
+    def init(self, handle):
+        life = self.lifetime
+        self.drivers = handle.getMapState("drivers", "driver string", "before string, after string", life)
+        self.laps = handle.getMapState("laps", "driver string, lap int", "time double, team string", life)
+        self.buckets = handle.getMapState("buckets", "team string, lap int", "sum double, n int", life)
+        self.sums = handle.getValueState("sums", "n int, sum double, squares double", life)
+
+    def handleInputRows(self, key, rows, timerValues):
+        events = [{k: v for k, v in r.items() if v is not None and v == v} for frame in rows for r in frame.to_dict("records")]
+        events = sorted((e for e in events if "driver" in e and "lapNumber" in e), key=lambda e: (e["lapNumber"], e["driver"]))
+        if not events:
+            return
+        buckets = {tuple(k): tuple(v) for k, v in self.buckets.iterator()}
+        n, total, squares = self.sums.get() if self.sums.exists() else (0, 0.0, 0.0)
+        out, touched = [], set()
+        for e in events:
+            driver, lap, time, team = e["driver"], int(e["lapNumber"]), e.get("lapTime"), e.get("team")
+            if self.laps.containsKey((driver, lap)):
+                old, old_team = self.laps.getValue((driver, lap))
+                if old is not None:
+                    n, total, squares = n - 1, total - old, squares - old * old
+                    for b in ((old_team, lap), (None, lap)) if old_team is not None else ((None, lap),):
+                        buckets[b] = (buckets.get(b, (0.0, 0))[0] - old, buckets.get(b, (0.0, 0))[1] - 1)
+                        touched.add(b)
+            before, after = (json.loads(x) for x in self.drivers.getValue((driver,))) if self.drivers.containsKey((driver,)) else (None, None)
+            base = before if after is not None and after["lap"] == lap else after
+            now = stint_step(base, e | {"lapNumber": lap})
+            said = now.pop("said")
+            if after is None or lap >= after["lap"]:
+                self.drivers.updateValue((driver,), (json.dumps(base), json.dumps(now)))
+            mean = total / n if n else 0.0
+            var = squares / n - mean * mean if n else 0.0
+            z = (time - mean) / var**0.5 if n >= 2 and var > 1e-12 and time is not None else 0.0 if n < 2 or var <= 1e-12 else None
+            past = lambda t: _mean([v for (name, k), v in buckets.items() if name == t and k < lap])
+            ratios = [clipped(_over(time, past(t)), 1.0, 0.5, 2.0) for t in (team, None)]
+            out.append((key[0], driver, lap, said["stintId"], said["stintBest"], said["paceDropRatio"], said["tireLifeRatio"], said["paceTrend"], said["gapTrend"], z, said["driverPrevMeanRatio"], ratios[0] if team is not None else 1.0, ratios[1]))
+            self.laps.updateValue((driver, lap), (time, team))
+            if time is not None:
+                n, total, squares = n + 1, total + time, squares + time * time
+                for b in ((team, lap), (None, lap)) if team is not None else ((None, lap),):
+                    s, k = buckets.get(b, (0.0, 0))
+                    buckets[b] = (s + time, k + 1)
+                    touched.add(b)
+        for b in touched:
+            self.buckets.updateValue(b, buckets[b])
+        self.sums.update((n, total, squares))
+        yield pd.DataFrame(out, columns=_FEATURE_NAMES)
+
+    def close(self):
+        pass
+
+
+def features_stream(laps: DataFrame, lifetime: int = LIFETIME) -> DataFrame:
+    """``Features`` of a stream of laps, keyed by race."""
+    read = laps.select("race", "driver", "lapNumber", "lapTime", "tyreLife", "compound", "gapToCarAhead", "team").where("driver is not null and lapNumber > 0")
+    return read.groupBy("race").transformWithStateInPandas(Features(lifetime), FEATURES, "Append", "ProcessingTime")

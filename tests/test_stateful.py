@@ -61,3 +61,49 @@ def test_scores_on_laps_and_under_caution(streams):
         want = L.pit_scores(laps, status, (kind,))
         assert want.count() > 0
         assert rounded(got.where(F.col("kind") == kind), *columns) == rounded(want, *columns)
+
+
+def batch_features(laps):
+    x = L.lag2_trend(L.lag2_trend(L.stint_features(laps), "paceDropRatio", "paceTrend"), "gapToCarAhead", "gapTrend")
+    x = L.driver_prev_mean_ratio(L.expanding_z(x, "lapTime", "lapTimeZ"))
+    x = L.bucket_prev_ratio(L.bucket_prev_ratio(x, ["race", "team"], "teamPrevRatio"), ["race"], "racePrevRatio")
+    return x.select(*T._FEATURE_NAMES)
+
+
+def test_features_as_served(spark, tmp_path):
+    """A feed in order of laps, one lap of it sent wrong first and then again, gives the batch features of the laps."""
+    T.with_state(spark)
+    laps = fixture(spark, DATA, "laps").where("lapNumber <= 24").cache()
+    path = str(tmp_path / "in")
+    for lo, hi in ((1, 6), (7, 12), (13, 18), (19, 24)):
+        laps.where(f"lapNumber between {lo} and {hi}").coalesce(1).write.mode("append").json(path)
+        if lo == 7:  # the last lap so far of each driver again, after a wrong time of it
+            laps.where("lapNumber = 12").withColumn("lapTime", F.col("lapTime") * 3).coalesce(1).write.mode("append").json(path)
+            laps.where("lapNumber = 12").coalesce(1).write.mode("append").json(path)
+    stream = spark.readStream.schema(IO.SCHEMAS["laps"]).option("maxFilesPerTrigger", 1).json(path)
+    got = drained(T.features_stream(stream), "features", str(tmp_path / "c"))
+    assert got.count() == laps.count() + 2 * laps.where("lapNumber = 12").count()
+    want = batch_features(laps)
+    once = got.where("lapNumber <> 12")
+    assert rounded(once, *T._FEATURE_NAMES) == rounded(want.where("lapNumber <> 12"), *T._FEATURE_NAMES)
+    right = got.where("lapNumber = 12").join(laps.select(*KEY), KEY).groupBy(*KEY).agg(F.count("*").alias("n"))
+    assert {r["n"] for r in right.collect()} == {3}
+
+
+def test_state_has_a_lifetime(spark, tmp_path):
+    """After the lifetime a race starts anew; within it, it goes on."""
+    import time
+
+    T.with_state(spark)
+    laps = fixture(spark, DATA, "laps").where("driver = 'D1' and lapNumber <= 9").cache()
+    schema, path = IO.SCHEMAS["laps"], str(tmp_path / "in")
+    laps.where("lapNumber <= 3").coalesce(1).write.mode("append").json(path)
+    run = lambda name, life, c: drained(T.features_stream(spark.readStream.schema(schema).json(path), life), name, str(tmp_path / c))
+    run("short", 1_000, "c1"), run("long", 3_600_000, "c2")
+    time.sleep(2)
+    laps.where("lapNumber between 4 and 6").coalesce(1).write.mode("append").json(path)
+    short, long = run("short2", 1_000, "c1"), run("long2", 3_600_000, "c2")
+    first = lambda df: df.where("lapNumber = 4").select("driverPrevMeanRatio", "stintId", "paceTrend").first()
+    assert tuple(first(short)) == (1.0, 1, 0.0)
+    want = batch_features(laps).where("lapNumber = 4").select("driverPrevMeanRatio", "stintId", "paceTrend").first()
+    assert tuple(round(x, 9) for x in first(long)) == tuple(round(x, 9) for x in want) and want[0] != 1.0
