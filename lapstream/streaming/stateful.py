@@ -296,6 +296,9 @@ class Features(StatefulProcessor):
 
 
 def features_stream(laps: DataFrame, lifetime: int = LIFETIME) -> DataFrame:
-    """``Features`` of a stream of laps, keyed by race."""
+    """``Features`` of a stream of laps, keyed by race.
+
+    A lifetime counts processing time, for which Spark makes batches without data as long as the query runs; a query that
+    is to end with its input (``availableNow``) needs ``spark.sql.streaming.noDataMicroBatches.enabled=false``."""
     read = laps.select("race", "driver", "lapNumber", "lapTime", "tyreLife", "compound", "gapToCarAhead", "team").where("driver is not null and lapNumber > 0")
     return read.groupBy("race").transformWithStateInPandas(Features(lifetime), FEATURES, "Append", "ProcessingTime")
