@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -10,6 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import evaluation as E
 
 def grouped_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, fold): groups dealt by size in a zigzag, so folds hold about the same number of rows."""
@@ -53,20 +58,57 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
     return df.crossJoin(F.broadcast(ratio)).withColumn("w", F.when(F.col(label) == 1, F.col("r")).otherwise(F.lit(1.0))).drop("r")
 
 
-def train_oof(df: DataFrame, plan: DataFrame, group: str, numeric: list[str], categorical: list[str], label: str) -> DataFrame:
-    """Out-of-fold scores, raw and calibrated: a model for each fold, calibrated on a fifth of its training groups."""
-    out = None
-    for (fold,) in plan.select("fold").distinct().orderBy("fold").collect():
-        roles = plan.where(F.col("fold") == fold).select(group, "role")
-        rows = df.join(roles, group)
-        inner = F.pmod(F.xxhash64(group), F.lit(5)) == 0
-        train, held = rows.where((F.col("role") == "train") & ~inner), rows.where((F.col("role") == "train") & inner)
-        model = pipeline(numeric, categorical, label).fit(weighted(train, label))
-        score = lambda x, m=model: m.transform(x.withColumn("w", F.lit(1.0))).withColumn("raw_proba", vector_to_array("probability")[1])
-        iso = IsotonicRegression(featuresCol="raw_proba", labelCol=label, predictionCol="calibrated").fit(score(held).select("raw_proba", label))
-        test = iso.transform(score(rows.where("role = 'test'")).select(*df.columns, "raw_proba")).withColumn("fold", F.lit(fold))
-        out = test if out is None else out.unionByName(test)
-    return out
+def train_oof(
+    df: DataFrame, plan: DataFrame, group: str, numeric: list[str], categorical: list[str], label: str, grid: list[dict] | None = None, parallel: int = 4, method: str = "auto", least: int = 1000, floor: float = 0.0
+) -> DataFrame:
+    """Out-of-fold rows of every configuration of ``grid`` (parameters of ``GBTClassifier``) and fold of ``plan``.
+
+    Each fit calibrates on a fifth of its training groups (``calibrator``), where the threshold of the best F1 with a
+    precision of at least ``floor`` is locked as well. The rows are joined with the plan and persisted once; at most
+    ``parallel`` fits run at a time. Returns the rows with config_id, fold, raw_proba, calibrated, threshold, decision and
+    calibration (its method); they are no longer tied to the persisted table, which is dropped at the end."""
+    configs = list(enumerate(grid or [{}]))
+    held = F.pmod(F.xxhash64(group), F.lit(5)) == 0
+    rows = df.join(plan.select(group, "fold", "role"), group).persist()
+    spark, points = df.sparkSession, [i / 100 for i in range(1, 100)]
+    try:
+        folds = [r["fold"] for r in plan.select("fold").distinct().orderBy("fold").collect()]
+
+        def one(task: tuple) -> DataFrame:
+            (number, params), fold = task
+            own = rows.where(F.col("fold") == fold)
+            steps = pipeline(numeric, categorical, label)
+            steps.getStages()[-1].setParams(**params)
+            model = steps.fit(weighted(own.where((F.col("role") == "train") & ~held), label))
+            score = lambda x: model.transform(x.withColumn("w", F.lit(1.0))).withColumn("raw_proba", vector_to_array("probability")[1])
+            inner = score(own.where((F.col("role") == "train") & held)).select("raw_proba", label)
+            fitted, how = calibrator(inner, label, method, least)
+            lock = calibrated(inner, fitted).select(F.col("calibrated").alias(E.P), F.col(label).alias(E.Y))
+            threshold = E.best_threshold(E.threshold_sweep(lock, points), floor).first()["threshold"]
+            threshold = 0.5 if threshold is None else threshold
+            test = calibrated(score(own.where("role = 'test'")).select(*df.columns, "fold", "raw_proba"), fitted)
+            told = {"config_id": F.lit(number), "threshold": F.lit(threshold), "decision": (F.col("calibrated") >= threshold).cast("int"), "calibration": F.lit(how)}
+            return test.select(*df.columns, "fold", "raw_proba", "calibrated").withColumns(told)
+
+        tasks = [(config, fold) for config in configs for fold in folds]
+        with ThreadPool(max(1, min(parallel, len(tasks)))) as pool:
+            out = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(one), tasks))
+        return out.checkpoint() if spark.sparkContext.getCheckpointDir() else out
+    finally:
+        rows.unpersist()
+
+
+def leaderboard(oof: DataFrame, label: str) -> DataFrame:
+    """A row for each configuration of ``train_oof``: folds, means over them of average precision (of raw and calibrated
+    scores), lift, Brier score, F1 of the locked threshold, and the share of folds calibrated by isotonic regression; best
+    calibrated average precision first."""
+    keys = ["config_id", "fold"]
+    said = lambda score, name: E.fold_metrics(oof.select(*keys, F.col(score).alias(E.P), F.col(label).cast("int").alias(E.Y)), [0.5], 0.0, keys).select(*keys, F.col("average_precision").alias(f"ap_{name}"), F.col("lift").alias(f"lift_{name}"), F.col("brier").alias(f"brier_{name}"))
+    y, d = F.col(label), F.col("decision")
+    locked = oof.groupBy(*keys).agg(F.try_divide(2 * F.sum(y * d), F.sum(y) + F.sum(d)).alias("f1_locked"), F.max("threshold").alias("threshold"), F.max((F.col("calibration") == "isotonic").cast("double")).alias("isotonic"))
+    j = said("raw_proba", "raw").join(said("calibrated", "calibrated"), keys).join(locked, keys)
+    means = [F.round(F.avg(c), 6).alias(c) for c in ("ap_raw", "ap_calibrated", "lift_calibrated", "brier_raw", "brier_calibrated", "f1_locked", "threshold", "isotonic")]
+    return j.groupBy("config_id").agg(F.count("*").alias("folds"), *means).orderBy(F.col("ap_calibrated").desc(), F.col("f1_locked").desc(), "config_id")
 
 
 def permutation_drop(model: PipelineModel, df: DataFrame, columns: list[str], label: str, key: list[str]) -> DataFrame:
@@ -84,14 +126,65 @@ def permutation_drop(model: PipelineModel, df: DataFrame, columns: list[str], la
     return df.sparkSession.createDataFrame(rows, "feature string, f1_drop double")
 
 
-def save_bundle(model: PipelineModel, path: str, threshold: float, columns: list[str], context: str) -> None:
+def permutation_by_window(model: PipelineModel, df: DataFrame, columns: list[str], label: str, key: list[str], window: str, repeats: int = 3) -> DataFrame:
+    """(window, feature, repeat, f1, f1_drop): how much F1 falls in each ``window`` (a column) when a feature's values are
+    dealt anew among the window's rows. All features and repeats are one table, scored once.
+
+    Rows of a window are dealt into 64 buckets by their key; within a bucket a second order by hash says whose value a
+    row gets. So a window of any length is permuted in 64 places for each feature and repeat."""
+    bucket = [window, "feature", "repeat", "__b"]
+    tasks = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat")) for c in columns for r in range(repeats)), F.struct(F.lit("").alias("feature"), F.lit(0).alias("repeat"))))
+    each = df.withColumn("__b", F.pmod(F.xxhash64(*key), F.lit(64))).withColumn("__t", tasks).select(*df.columns, "__b", "__t.*")
+    placed = each.withColumn("__i", F.row_number().over(Window.partitionBy(*bucket).orderBy(*key)))
+    values = F.struct(*columns)
+    given = each.select(*bucket, values.alias("__v"), F.row_number().over(Window.partitionBy(*bucket).orderBy(F.xxhash64(*key, "feature", "repeat"), *key)).alias("__i"))
+    mixed = placed.join(given, [*bucket, "__i"]).withColumns({c: F.when(F.col("feature") == c, F.col("__v")[c]).otherwise(F.col(c)) for c in columns})
+    y, p = F.col(label), F.col("prediction")
+    f1 = F.try_divide(2 * F.sum(y * p), F.sum(y) + F.sum(p))
+    scored = model.transform(mixed.withColumn("w", F.lit(1.0))).groupBy(window, "feature", "repeat").agg(F.coalesce(f1, F.lit(0.0)).alias("f1"))
+    whole = scored.where("feature = ''").select(window, F.col("f1").alias("whole"))
+    return scored.where("feature <> ''").join(whole, window).select(window, "feature", "repeat", F.round("f1", 9).alias("f1"), F.round(F.col("whole") - F.col("f1"), 9).alias("f1_drop"))
+
+
+def rank_agreement(drops: DataFrame, window: str) -> DataFrame:
+    """(a, b, spearman): rank correlation of the features' mean drops between each two windows, of ``permutation_by_window``.
+    There are as many rows as pairs of windows, each from one row a feature."""
+    mean = drops.groupBy(window, "feature").agg(F.avg("f1_drop").alias("m"))
+    same = Window.partitionBy(window)
+    ranked = mean.withColumn("r", F.rank().over(same.orderBy("m")) + (F.count("*").over(Window.partitionBy(window, "m")) - 1) / 2)
+    a, b = (ranked.select("feature", F.col(window).alias(n), F.col("r").alias(f"r{n}")) for n in ("a", "b"))
+    return a.join(b, "feature").where("a < b").groupBy("a", "b").agg(F.round(F.corr("ra", "rb"), 6).alias("spearman"))
+
+
+def save_bundle(model: PipelineModel, path: str, threshold: float, columns: list[str], context: str, version: int = 1, fitted=None) -> None:
+    """A version of a bundle: model, calibrator (``fitted``, a pipeline or an isotonic model, or none) and a row that
+    describes them. Written last, the row makes the version visible."""
     spark = SparkSession.getActiveSession()
-    model.write().overwrite().save(f"{path}/model")
-    spark.createDataFrame([(threshold, columns, context)], "threshold double, columns array<string>, context string").write.mode("overwrite").parquet(f"{path}/meta")
-
-
-def load_bundle(spark, path: str):
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/meta").first()
+    model.write().overwrite().save(f"{path}/version={version}/model")
+    if fitted is not None:
+        wrapped = fitted if isinstance(fitted, PipelineModel) else PipelineModel([fitted])
+        wrapped.write().overwrite().save(f"{path}/version={version}/calibrator")
+    row = (version, threshold, columns, context, fitted is not None)
+    spark.createDataFrame([row], "version int, threshold double, columns array<string>, context string, calibrated boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta/v{version}")
+
+
+def load_bundle(spark, path: str, version: int | None = None):
+    """(model, calibrator or none, meta) of a version, by default the newest."""
+    found = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/meta")
+    meta = found.where(F.lit(version is None) | (F.col("version") == (version or 0))).orderBy(F.col("version").desc()).first()
+    if meta is None:
+        raise ValueError(f"no version {version} in {path}")
+    top = f"{path}/version={meta['version']}"
+    return PipelineModel.load(f"{top}/model"), PipelineModel.load(f"{top}/calibrator") if meta["calibrated"] else None, meta
+
+
+def calibrated(scored: DataFrame, fitted) -> DataFrame:
+    """``scored`` (with raw_proba) with ``calibrated``, by a calibrator of either method; without one, the raw score."""
+    if fitted is None:
+        return scored.withColumn("calibrated", F.col("raw_proba"))
+    kept = [c for c in scored.columns if c not in ("probability", "rawPrediction", "prediction", "features", "calibrated", "__raw")]
+    out = fitted.transform(scored.select(*kept))
+    return out.select(*kept, (F.col("calibrated") if "calibrated" in out.columns else vector_to_array("probability")[1]).alias("calibrated"))
 
 
 def calibrator(rows: DataFrame, label: str, method: str = "auto", least: int = 1000):

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import BASE_THRESHOLD
 from ..operators.laps import asof_backward
+from ..operators.ml import calibrated, load_bundle
 
 LATENESS = "5 seconds"
 
@@ -20,18 +23,70 @@ def timed(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return stream.withColumn("ts", F.timestamp_millis("eventTimeMillis")).withWatermark("ts", lateness)
 
 
+#: What a session keeps of a car's lap: the columns of rivals and of feature rows.
+CAR = ["position", "driver", "gapToCarAhead", "tyreLife", "compound", "lapTime", "trackTemp", "pitLoss", "team", "trackStatus", "eventTimeMillis"]
+
+
 def session_laps(laps: DataFrame, gap: str = "30 seconds") -> DataFrame:
-    """All cars of a lap once no more has come for ``gap``: one session for each race and lap, cars by position."""
-    car = F.struct("position", "driver", "gapToCarAhead", "tyreLife", "compound")
-    return timed(laps).groupBy("race", "lapNumber", F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_list(car)).alias("cars")).select("race", "lapNumber", "cars")
+    """(race, lapNumber, w, cars): all cars of a lap once no more has come for ``gap``, cars by position."""
+    return timed(laps).groupBy("race", "lapNumber", F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_list(F.struct(*CAR))).alias("cars"))
+
+
+def _each_car(sessions: DataFrame) -> tuple[DataFrame, Column, Column, list[Column]]:
+    """A row for each car of a session, the cars ahead and behind, and its gaps."""
+    x = sessions.select("race", "lapNumber", "w", "cars", F.posexplode("cars").alias("i", "car"))
+    ahead, behind = F.get("cars", F.col("i") - 1), F.get("cars", F.col("i") + 1)
+    gaps = [F.when(ahead.isNotNull(), F.abs("car.gapToCarAhead")).alias("gapAhead"), F.abs(behind["gapToCarAhead"]).alias("gapBehind")]
+    return x, ahead, behind, gaps
 
 
 def session_rivals(sessions: DataFrame) -> DataFrame:
     """The car ahead and behind from a session's cars; the same rows as the batch operator."""
-    at = F.posexplode("cars").alias("i", "car")
-    x = sessions.select("race", "lapNumber", "cars", at)
-    ahead, behind = F.get("cars", F.col("i") - 1), F.get("cars", F.col("i") + 1)
-    return x.select("race", "car.driver", "lapNumber", "car.position", ahead["driver"].alias("driverAhead"), behind["driver"].alias("driverBehind"), F.when(ahead.isNotNull(), F.abs("car.gapToCarAhead")).alias("gapAhead"), F.abs(behind["gapToCarAhead"]).alias("gapBehind"))
+    x, ahead, behind, gaps = _each_car(sessions)
+    return x.select("race", "car.driver", "lapNumber", "car.position", ahead["driver"].alias("driverAhead"), behind["driver"].alias("driverBehind"), *gaps)
+
+
+def session_features(sessions: DataFrame) -> DataFrame:
+    """Feature rows of the same sessions: a car's lap with its gaps, and whether they are known."""
+    x, _, _, gaps = _each_car(sessions)
+    return x.select("race", "lapNumber", *(f"car.{c}" for c in CAR if c != "gapToCarAhead"), *gaps).withColumn("hasGapAhead", F.col("gapAhead").isNotNull()).withColumn("hasGapBehind", F.col("gapBehind").isNotNull())
+
+
+def session_trains(sessions: DataFrame, close: float = 1.0, least: int = 3, gap: str = "10 seconds") -> DataFrame:
+    """Trains of a lap from a second session window, ``gap`` behind the first one's output; the rows of ``drs_trains``.
+
+    Sessions of one lap that are closer than ``gap`` become one; a train is a run of cars, each less than ``close``
+    seconds behind the one before, found in the array of a lap's cars."""
+    again = sessions.groupBy("race", "lapNumber", F.session_window(F.window_time("w"), gap).alias("w2")).agg(F.array_sort(F.flatten(F.collect_list("cars"))).alias("cars"))
+    n = F.size("cars")
+    heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~F.coalesce(F.get("cars", i)["gapToCarAhead"] < close, F.lit(False)))
+    runs = F.transform(heads, lambda h, k: F.struct(h.alias("at"), (F.coalesce(F.get(heads, k + 1), n) - h).alias("size")))
+    x = again.select("race", "lapNumber", "cars", F.explode(F.filter(runs, lambda r: r["size"] >= least)).alias("run"))
+    own = F.slice("cars", F.col("run.at") + 1, F.col("run.size"))
+    return x.select("race", "lapNumber", own[0]["position"].alias("head"), F.col("run.size").alias("size"), F.array_join(F.transform(own, lambda c: c["driver"]), ",").alias("drivers"))
+
+
+class LateRows(StreamingQueryListener):
+    """Counts, for each query (its name, else its id), the rows that its watermarks have dropped so far.
+
+    Add it with ``spark.streams.addListener``; ``dropped`` then grows with every batch."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        self.dropped[p.name or str(p.id)] = self.dropped.get(p.name or str(p.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def enrich_each_batch(stream: DataFrame, status: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, every: str = "10 seconds"):
@@ -88,13 +143,23 @@ def tire_drops_stream(laps: DataFrame, ttl_ms: int = 2 * 3600 * 1000) -> DataFra
     return clean.groupBy("race", "driver").applyInPandasWithState(step, TIRE_ALERT, "stint int, best double, slow int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def score_each_batch(stream: DataFrame, model, threshold: float, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Live scoring with a saved pipeline: probability and decision of each event, as JSON messages."""
-    from pyspark.ml.functions import vector_to_array
+def serve(stream: DataFrame, bundle: str, path: str, checkpoint: str, version: int | None = None):
+    """Live scoring: features aligned with the bundle's columns, probability, calibrated score, decision, as JSON messages
+    (key, value) under ``path``.
+
+    The bundle (``save_bundle``) is read once, its newest version unless one is given. A batch writes the folder of its
+    own number and overwrites it if it is run again, so a restart from the checkpoint leaves each message once."""
+    model, fitted, meta = load_bundle(stream.sparkSession, bundle, version)
 
     def one(batch: DataFrame, number: int) -> None:
-        p = vector_to_array("probability")[1]
-        scored = model.transform(batch.withColumn("w", F.lit(1.0))).select(*batch.columns, p.alias("proba"), (p >= threshold).alias("decision"))
-        sink(scored.select(F.col("race").alias("key"), F.to_json(F.struct("*")).alias("value")), number)
+        kept = [c for c in batch.columns if c not in meta["columns"]]
+        text = {c for c, kind in batch.dtypes if kind == "string"}  # null is a category of its own
+        aligned = batch.select(*kept, *(F.lit(0.0).alias(c) if c not in batch.columns else F.col(c) if c in text else F.coalesce(F.col(c), F.lit(0)).alias(c) for c in meta["columns"]))
+        scored = calibrated(model.transform(aligned.withColumn("w", F.lit(1.0))).withColumn("raw_proba", vector_to_array("probability")[1]), fitted)
+        said = scored.select(
+            "race", "driver", "lapNumber", F.round("raw_proba", 6).alias("rawProba"), F.round("calibrated", 6).alias("predictionProba"), (F.col("calibrated") >= meta["threshold"]).cast("int").alias("prediction"),
+            F.lit(meta["threshold"]).alias("threshold"), F.lit(meta["version"]).alias("modelVersion"), F.lit("ML_PIT_PREDICTION").alias("type"),
+        )
+        said.select(F.col("race").alias("key"), F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").json(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
