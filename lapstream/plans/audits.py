@@ -9,6 +9,7 @@ from ..operators import decisions as D
 from ..operators import evaluation as E
 from ..operators import features as X
 from ..operators import laps as L
+from ..operators import policies as Y
 from .queries import KEY, NEG, ORACLES, POS, QUERIES, C, matched, q, scored
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -139,3 +140,26 @@ bp AS (SELECT *, SUM(pos) OVER w / SUM(n) OVER w AS pr FROM bg WINDOW w AS (PART
 bd AS (SELECT rep, ROUND(SUM(pos * pr) FILTER (model = 'b') / SUM(pos) FILTER (model = 'b') - SUM(pos * pr) FILTER (model = 'a') / SUM(pos) FILTER (model = 'a'), 6) AS delta FROM bp GROUP BY rep)"""
 q("v5_ap_interval", "oof", lambda f: E.ap_interval(E.ap_bootstrap(f("oof").withColumn("other", F.floor(C("raw_proba") * 100) / 100), "other", 100)),
   BOOT + " SELECT COUNT(delta) AS reps, ROUND(AVG(delta), 6) AS mean, ROUND(quantile_cont(delta, 0.025), 6) AS low, ROUND(quantile_cont(delta, 0.975), 6) AS high, ROUND(COUNT(*) FILTER (delta > 0) / COUNT(delta), 6) AS above_zero FROM bd")
+
+
+# Policies by fold
+GRID19 = [i / 20 for i in range(1, 20)]
+FLOOR, COST = 0.42, 0.5
+policies = lambda f: Y.threshold_policies(f("oof"), GRID19, FLOOR, COST, ["fold"])
+decided = lambda f: Y.with_policy(f("oof"), policies(f), ["fold"])
+CHOSEN = f""", sw AS (SELECT fold, t AS threshold, COUNT(*) FILTER (target_y = 1 AND raw_proba >= t) AS tp, COUNT(*) FILTER (target_y = 0 AND raw_proba >= t) AS fp, COUNT(*) FILTER (target_y = 1 AND raw_proba < t) AS fn FROM oof, (SELECT unnest({GRID19}::DOUBLE[]) AS t) g GROUP BY 1, 2),
+rt AS (SELECT *, COALESCE(ROUND(tp / NULLIF(tp + fp, 0), 6), 0) AS precision, COALESCE(ROUND(tp / NULLIF(tp + fn, 0), 6), 0) AS recall, COALESCE(ROUND(2 * tp / NULLIF(2 * tp + fp + fn, 0), 6), 0) AS f1, tp - {COST}::DOUBLE * fp AS utility FROM sw),
+rk AS (SELECT *, precision >= {FLOOR} AS met, ROW_NUMBER() OVER (PARTITION BY fold, precision >= {FLOOR} ORDER BY utility DESC, f1 DESC, recall DESC, precision DESC, threshold DESC) AS r1, ROW_NUMBER() OVER (PARTITION BY fold ORDER BY precision DESC, utility DESC, recall DESC, f1 DESC, threshold DESC) AS r2,
+  ROW_NUMBER() OVER (PARTITION BY fold ORDER BY f1 DESC, recall DESC, threshold) AS r3, bool_or(precision >= {FLOOR}) OVER (PARTITION BY fold) AS any_met, COUNT(*) FILTER (precision >= {FLOOR}) OVER (PARTITION BY fold) AS reachable, COUNT(*) OVER (PARTITION BY fold) AS candidates FROM rt),
+ch AS (SELECT a.fold, b.threshold AS threshold_free, a.threshold, CASE WHEN a.any_met THEN 'constrained_utility' ELSE 'fallback_max_precision' END AS mode, a.precision, ROUND(a.precision - {FLOOR}, 6) AS margin, a.utility, a.reachable, a.candidates
+  FROM rk a JOIN rk b ON a.fold = b.fold AND b.r3 = 1 WHERE CASE WHEN a.any_met THEN a.met AND a.r1 = 1 ELSE a.r2 = 1 END),
+dc AS (SELECT oof.*, ch.threshold AS ct, ch.mode, CAST(raw_proba >= ch.threshold AS INT) AS hit FROM oof JOIN ch USING (fold))"""
+q("a12_fold_policies", "oof", policies, CHOSEN + " SELECT * FROM ch")
+q("a12_policy_reference", "oof", lambda f: Y.policy_table(decided(f), [0.1, 0.5]),
+  CHOSEN + """, pl AS (SELECT 'constrained_policy' AS policy, target_y, hit FROM dc UNION ALL SELECT 'fixed_threshold_0.10', target_y, CAST(raw_proba >= 0.1 AS INT) FROM dc UNION ALL SELECT 'fixed_threshold_0.50', target_y, CAST(raw_proba >= 0.5 AS INT) FROM dc),
+  cf AS (SELECT policy, COUNT(*) FILTER (target_y = 1 AND hit = 1) AS tp, COUNT(*) FILTER (target_y = 0 AND hit = 1) AS fp, COUNT(*) FILTER (target_y = 0 AND hit = 0) AS tn, COUNT(*) FILTER (target_y = 1 AND hit = 0) AS fn FROM pl GROUP BY 1),
+  ra AS (SELECT *, ROUND(tp / NULLIF(tp + fp, 0), 6) AS precision, ROUND(tp / NULLIF(tp + fn, 0), 6) AS recall, ROUND(2 * tp / NULLIF(2 * tp + fp + fn, 0), 6) AS f1, ROUND((tp + fp) / (tp + fp + tn + fn), 6) AS positive_rate FROM cf)
+  SELECT ra.*, ROUND(o.positive_rate - ra.positive_rate, 6) AS delta_positive_rate, ROUND(o.precision - ra.precision, 6) AS delta_precision, ROUND(o.recall - ra.recall, 6) AS delta_recall FROM ra, (SELECT * FROM ra WHERE policy = 'constrained_policy') o""")
+q("a12_policy_summary", "oof", lambda f: Y.policy_summary(decided(f)),
+  CHOSEN + """ SELECT COUNT(*) AS rows, ROUND(AVG(ct), 6) AS threshold_mean, MIN(ct) AS threshold_min, MAX(ct) AS threshold_max, ROUND(quantile_cont(ct, 0.1), 6) AS threshold_p10, ROUND(quantile_cont(ct, 0.9), 6) AS threshold_p90,
+  COUNT(*) FILTER (mode = 'fallback_max_precision') AS fallback_rows, ROUND(COUNT(*) FILTER (mode = 'fallback_max_precision') / COUNT(*), 6) AS fallback_rate, (SELECT string_agg(mode || ':' || n, ';' ORDER BY mode) FROM (SELECT mode, COUNT(*) AS n FROM dc GROUP BY 1) z) AS modes FROM dc""")
