@@ -9,6 +9,7 @@ from ..operators import decisions as D
 from ..operators import evaluation as E
 from ..operators import features as X
 from ..operators import laps as L
+from ..operators import parity as V
 from ..operators import policies as Y
 from .queries import KEY, NEG, ORACLES, POS, QUERIES, C, matched, q, scored
 
@@ -163,3 +164,21 @@ q("a12_policy_reference", "oof", lambda f: Y.policy_table(decided(f), [0.1, 0.5]
 q("a12_policy_summary", "oof", lambda f: Y.policy_summary(decided(f)),
   CHOSEN + """ SELECT COUNT(*) AS rows, ROUND(AVG(ct), 6) AS threshold_mean, MIN(ct) AS threshold_min, MAX(ct) AS threshold_max, ROUND(quantile_cont(ct, 0.1), 6) AS threshold_p10, ROUND(quantile_cont(ct, 0.9), 6) AS threshold_p90,
   COUNT(*) FILTER (mode = 'fallback_max_precision') AS fallback_rows, ROUND(COUNT(*) FILTER (mode = 'fallback_max_precision') / COUNT(*), 6) AS fallback_rate, (SELECT string_agg(mode || ':' || n, ';' ORDER BY mode) FROM (SELECT mode, COUNT(*) AS n FROM dc GROUP BY 1) z) AS modes FROM dc""")
+
+
+# Parity with recomputation: one trend is right, one has seen two laps ahead; serving is off on every tenth lap
+def _served(f):
+    w = L.race_driver()
+    offline = L.lag2_trend(f("laps"), "lapTime", "paceTrend").withColumn("leakyTrend", F.coalesce(C("lapTime") - F.lead("lapTime", 2).over(w), F.lit(0.0)))
+    serving = offline.withColumn("lapTime", F.when(C("lapNumber") % 10 == 0, C("lapTime") + 0.01).otherwise(C("lapTime"))).drop("leakyTrend")
+    columns = ["lapTime", "tyreLife", "compound", "paceTrend", "leakyTrend"]
+    return V.parity_audit(offline, serving, columns, columns[:4], serving.columns, ["race", "driver", "lapNumber", "lapTime"], {"paceTrend": "lapTime", "leakyTrend": "lapTime"}, columns)
+
+
+q("v9_parity_audit", "laps", _served,
+  f""", o AS (SELECT {KEY}, lapTime, COALESCE(lapTime - LAG(lapTime, 2) OVER w, 0.0::DOUBLE) AS want, COALESCE(lapTime - LEAD(lapTime, 2) OVER w, 0.0::DOUBLE) AS leak, ROW_NUMBER() OVER w AS k FROM laps WINDOW w AS (PARTITION BY race, driver ORDER BY lapNumber)),
+  m AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (abs(want - leak) > 1e-6) + COUNT(*) FILTER (k <= 2 AND abs(leak) > 1e-6) AS bad, COUNT(*) FILTER (k <= 2 AND abs(want) > 1e-6) AS early, COUNT(*) FILTER (lapTime IS NOT NULL AND lapNumber % 10 = 0) AS off FROM o),
+  c AS (SELECT unnest(['schema_bundle_training_exact', 'schema_live_payload_required_fields', 'schema_serving_transform_feature_coverage', 'point_in_time_paceTrend', 'point_in_time_leakyTrend', 'feature_match_rate::lapTime', 'feature_match_rate::tyreLife', 'feature_match_rate::compound', 'feature_match_rate::paceTrend']) AS "check",
+    unnest([0, 1, 0.8, 1 - early / n, 1 - bad / n, 1 - off / n, 1, 1, 1]::DOUBLE[]) AS value, unnest([1, 1, 1, 1, 1, 0.99, 0.99, 0.99, 0.99]::DOUBLE[]) AS least FROM m),
+  a AS (SELECT * FROM c UNION ALL SELECT 'feature_parity_overall', AVG(value), 0.99 FROM c WHERE "check" LIKE 'feature_match%')
+  SELECT "check", ROUND(value, 6) AS value, CASE WHEN value >= least THEN 'PASS' ELSE 'FAIL' END AS status FROM a""")
