@@ -42,11 +42,19 @@ def stash(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet in the session's shared folder and read again: columns stay compressed."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, at_a_time: int | None = None) -> DataFrame:
+    """The same rows, written as Parquet in the session's shared folder and read again: columns stay compressed.
+
+    ``at_a_time``: rows that go to Python in one Arrow batch meanwhile, where rows are large."""
+    spark, path, most = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most)
+    try:
+        if at_a_time:
+            spark.conf.set(most, str(at_a_time))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(most, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tasks(df: DataFrame, least: int = 1) -> int:

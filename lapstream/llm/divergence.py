@@ -19,39 +19,79 @@ from .common import table, written
 #: A term's bytes: A-Z as a-z, a-z and whatever is not ASCII; all others stand between terms.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of the first level's prefixes; each level doubles them.
-FIRST_WIDTH = 2
+FIRST_WIDTH = 3
 #: Bits of the sieve that each level sends to the tasks of the next: 1 MB, whatever the data.
 SIEVE_BITS = 1 << 23
 #: Terms of a block and sources of a tile, of which a task compares two.
 BLOCK_TERMS, TILE = 512, 64
 SCALE = 1_000_000_000
-_SOME_TERMS = 200_000
-
-
-def document_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms, counts): each row's distinct terms and how often each stands in its whole text; nulls are
-    read as ''. Written to the shared folder, since every level reads it."""
+#: Different terms of rows, one by one, that make a chunk: some thousand rows, or one long one.
+CHUNK_TERMS = 400_000
+#: Counts of chunks that a task puts together before it hands them on, and rows of chunks sent to Python at a time.
+MERGED, CHUNKS_AT_A_TIME = 1_000_000, 4
+CHUNK = "lang string, terms array<binary>, ends array<int>, docs array<int>, sources array<string>, of array<int>, source array<int>, n array<long>"
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their values (neither negative). Both are sorted as one number where that
+    fits, which is several times faster than sorting places."""
+    if not len(keys):
+        return keys, values
+    most = int(values.max()) + 1
+    if (int(keys.max()) + 1) * most < 1 << 63:
+        both = np.sort(keys * most + values)
+        keys, values = both // most, both % most
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], values[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[at], np.add.reduceat(values, at)
+
+
+def _chunk(lang: list[str], source: list[str], terms: list[bytes], counts: list[int], sizes: list[int]) -> pa.RecordBatch:
+    """For each language of some rows: its terms in order with the rows that have them (``docs`` up to ``ends``), and
+    how often each stands in each source (term ``of``, number of the source, ``n``)."""
+    coded = pa.array(terms, pa.binary()).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy(zero_copy_only=False)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    term = rank[coded.indices.to_numpy(zero_copy_only=False)]
+    distinct = coded.dictionary.take(pa.array(order))
+    row, n = np.repeat(np.arange(len(sizes)), sizes), np.array(counts, dtype=np.int64)
+    names, code = np.unique(np.array(source, dtype=object), return_inverse=True)
+    known, of_row = np.unique(np.array(lang, dtype=object), return_inverse=True)
+    out = []
+    for g, name in enumerate(known):
+        pick = np.flatnonzero((of_row == g)[row])
+        pairs = np.sort(term[pick] * len(sizes) + row[pick])
+        own, seen = np.unique(pairs // len(sizes), return_counts=True)
+        key, total = summed(term[pick] * len(names) + code[row[pick]], n[pick])
+        here = np.unique(code[of_row == g])
+        out.append((name, distinct.take(pa.array(own)), np.cumsum(seen), pairs % len(sizes), names[here], np.searchsorted(own, key // len(names)), np.searchsorted(here, key % len(names)), total))
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+    lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(c) for c in col)]), pa.int32()), pa.concat_arrays([c if isinstance(c, pa.Array) else pa.array(c).cast(kind) for c in col])) for col, kind in zip(list(zip(*out))[1:], kinds)]
+    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), *lists], ["lang", "terms", "ends", "docs", "sources", "of", "source", "n"])
+
+
+def term_chunks(docs: DataFrame) -> DataFrame:
+    """Chunks of rows, one for each of their languages, with the terms of whole texts: what all levels read. Nulls are
+    read as ''. Written to the shared folder; a chunk is one row, so no task sees half of one."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = ([], [], [], [], [])
         for batch in batches:
-            rows, held = [], 0
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                counts = Counter(text.translate(_TERM_BYTES).split())
-                rows.append((lang, source, list(counts), list(counts.values())))
-                held += len(counts)
-                if held >= _SOME_TERMS:
-                    yield packed(rows)
-                    rows, held = [], 0
-            if rows:
-                yield packed(rows)
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["lang", "source", "terms", "counts"])
+            for lang, source, text in zip(*batch.columns):
+                found = Counter(text.as_py().translate(_TERM_BYTES).split())
+                for part, more in zip(held, ([lang.as_py()], [source.as_py()], found.keys(), found.values(), [len(found)])):
+                    part.extend(more)
+                if len(held[2]) >= CHUNK_TERMS:
+                    yield _chunk(*held)
+                    held = ([], [], [], [], [])
+        if held[0]:
+            yield _chunk(*held)
 
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    read = docs.select(*named).withColumn("text", F.col("text").cast("binary"))
-    return written(read.mapInArrow(split, "lang string, source string, terms array<binary>, counts array<long>"))
+    return written(docs.select(*named).withColumn("text", F.col("text").cast("binary")).mapInArrow(split, CHUNK), at_a_time=1000)
 
 
 def sieve_of(found: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
@@ -71,60 +111,86 @@ def _passes(sieve: np.ndarray, lang: str, prefixes: list[bytes]) -> np.ndarray:
     return (sieve[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _terms_of(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Row and number of each term of a batch, and the batch's distinct terms by number."""
-    lists = batch.column(k)
-    coded = lists.flatten().dictionary_encode()
-    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+def _numbers(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
 
+def _rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    for k in range(batch.num_rows):
+        yield {name: batch.column(i)[k].as_py() if name == "lang" else batch.column(i)[k].values for i, name in enumerate(batch.schema.names)}
 
-def _codes(column: pa.Array) -> tuple[np.ndarray, list]:
-    coded = column.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
+def _merged(held: dict, schema: list[str]) -> Iterator[pa.RecordBatch]:
+    """One row for each key of what several chunks of a task gave, in sums: (lang, tag) -> lists of (keys, counts)."""
+    for (lang, tag), parts in held.items():
+        number, keys = _numbers(pa.concat_arrays([k for k, _ in parts]))
+        total = np.zeros(len(keys), dtype=np.int64)
+        np.add.at(total, number, np.concatenate([n for _, n in parts]))
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(keys)), keys, pa.repeat(tag, len(keys)), pa.array(total)], schema)
 
-def prefix_counts(terms: DataFrame, width: int, before: int, sieve: np.ndarray | None) -> DataFrame:
+
+def prefix_counts(chunks: DataFrame, width: int, before: int, sieve: np.ndarray | None) -> DataFrame:
     """(lang, prefix, whole, docs): in how many rows of a language each prefix of ``width`` bytes begins a term
     (``whole``: is a term of at most so many bytes), of the terms longer than ``before`` bytes whose prefix of that
     length the sieve lets through."""
 
+    def prefixes_of(chunk: dict) -> tuple[pa.Array, np.ndarray] | None:
+        terms = chunk["terms"]
+        length = pc.binary_length(terms).to_numpy(zero_copy_only=False)
+        open_ = length > before
+        if sieve is not None:
+            begin, prefixes = _numbers(pc.binary_slice(terms, 0, before))
+            open_ &= _passes(sieve, chunk["lang"], prefixes.to_pylist())[begin]
+        open_ = np.flatnonzero(open_)
+        if not len(open_):
+            return None
+        ends = chunk["ends"].to_numpy()
+        rows = np.diff(ends, prepend=0)[open_]
+        begin, prefixes = _numbers(pc.binary_slice(terms.take(pa.array(open_)), 0, width))
+        number = begin * 2 + (length[open_] <= width)
+        seen = np.zeros(2 * len(prefixes), dtype=np.int64)
+        # A prefix of one term is in as many rows as the term; rows of several terms are put together.
+        alone = np.bincount(number, minlength=len(seen))[number] == 1
+        seen[number[alone]] = rows[alone]
+        many, n = open_[~alone], rows[~alone]
+        at = np.repeat(ends[many] - np.cumsum(n), n) + np.arange(n.sum())
+        docs = chunk["docs"].to_numpy()
+        top = int(docs.max()) + 1
+        pairs = np.unique(np.repeat(number[~alone], n) * top + docs[at])
+        return prefixes, seen + np.bincount(pairs // top, minlength=len(seen))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
         for batch in batches:
-            row, term, distinct = _terms_of(batch, 1)
-            lang, langs = _codes(batch.column(0))
-            length = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
-            open_ = length > before
-            row, term = row[open_[term]], term[open_[term]]
-            if sieve is not None and len(term):
-                pairs, back = np.unique(lang[row] * len(distinct) + term, return_inverse=True)
-                last, ok = pc.binary_slice(distinct, 0, before), np.zeros(len(pairs), dtype=bool)
-                for g, name in enumerate(langs):
-                    own = np.flatnonzero(pairs // len(distinct) == g)
-                    ok[own] = _passes(sieve, name, last.take(pa.array(pairs[own] % len(distinct))).to_pylist())
-                row, term = row[ok[back]], term[ok[back]]
-            if not len(term):
-                continue
-            whole = length <= width
-            begins, prefixes = _codes(pc.binary_slice(distinct, 0, width))
-            number = begins * 2 + whole
-            seen = np.unique(row * (2 * len(prefixes)) + number[term])
-            key, docs = np.unique(lang[seen // (2 * len(prefixes))] * (2 * len(prefixes)) + seen % (2 * len(prefixes)), return_counts=True)
-            of = key % (2 * len(prefixes))
-            yield pa.RecordBatch.from_arrays([pa.array([langs[g] for g in key // (2 * len(prefixes))], pa.string()), pa.array([prefixes[i] for i in of // 2], pa.binary()), pa.array(of % 2 == 1), pa.array(docs.astype(np.int64))], ["lang", "prefix", "whole", "docs"])
-
-    out = terms.select("lang", "terms").mapInArrow(count, "lang string, prefix binary, whole boolean, docs long")
+            for chunk in _rows_of(batch):
+                got = prefixes_of(chunk)
+                if got is None:
+                    continue
+                prefixes, seen = got
+                for whole in (False, True):
+                    found = np.flatnonzero(seen[whole::2])
+                    if len(found):
+                        held.setdefault((chunk["lang"], whole), []).append((prefixes.take(pa.array(found)), seen[whole::2][found]))
+                        size += len(found)
+                if size >= MERGED:
+                    yield from _merged(held, ["lang", "prefix", "whole", "docs"])
+                    held, size = {}, 0
+        yield from _merged(held, ["lang", "prefix", "whole", "docs"])
+
+    out = chunks.select("lang", "terms", "ends", "docs").mapInArrow(count, "lang string, prefix binary, whole boolean, docs long")
     return out.groupBy("lang", "prefix", "whole").agg(F.sum("docs").alias("docs"))
 
 
-def kept_terms(terms: DataFrame, least: int, width: int = FIRST_WIDTH) -> DataFrame:
+def kept_terms(chunks: DataFrame, least: int, width: int = FIRST_WIDTH) -> DataFrame:
     """(lang, prefix): the terms that stand in at least ``least`` rows of their language.
 
-    Prefixes of two bytes are counted first, each level doubles their length, and only what begins with a prefix that
+    Prefixes of three bytes are counted first, each level doubles them, and only what begins with a prefix that
     ``least`` rows have is extended: a term is in no more rows than each of its prefixes. A level counts rows, not
     terms, with partial sums in each task; terms as short as the level are complete and kept or dropped for good."""
     kept, before, sieve = [], 0, None
     while True:
-        found = written(prefix_counts(terms, width, before, sieve).where(F.col("docs") >= least))
+        found = written(prefix_counts(chunks, width, before, sieve).where(F.col("docs") >= least), at_a_time=CHUNKS_AT_A_TIME)
         kept.append(found.where("whole").select("lang", "prefix"))
         longer = found.where("not whole")
         if longer.isEmpty():
@@ -132,29 +198,29 @@ def kept_terms(terms: DataFrame, least: int, width: int = FIRST_WIDTH) -> DataFr
         before, width, sieve = width, 2 * width, sieve_of(longer)
 
 
-def term_counts(terms: DataFrame, kept: DataFrame) -> DataFrame:
+def term_counts(chunks: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, n): how often each kept term stands in each group that has it."""
     sieve = sieve_of(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
         for batch in batches:
-            row, term, distinct = _terms_of(batch, 2)
-            if not len(term):
-                continue
-            lang, langs = _codes(batch.column(0))
-            source, sources = _codes(batch.column(1))
-            key, back = np.unique((lang * len(sources) + source)[row] * len(distinct) + term, return_inverse=True)
-            n = np.zeros(len(key), dtype=np.int64)
-            np.add.at(n, back, batch.column(3).flatten().to_numpy(zero_copy_only=False))
-            ok = np.zeros(len(key), dtype=bool)
-            for g, name in enumerate(langs):
-                own = np.flatnonzero(key // (len(distinct) * len(sources)) == g)
-                ok[own] = _passes(sieve, name, distinct.take(pa.array(key[own] % len(distinct))).to_pylist())
-            key, n = key[ok], n[ok]
-            of = key // len(distinct)
-            yield pa.RecordBatch.from_arrays([pa.array([langs[g] for g in of // len(sources)], pa.string()), pa.array([sources[g] for g in of % len(sources)], pa.string()), distinct.take(pa.array(key % len(distinct))), pa.array(n)], ["lang", "source", "term", "n"])
-
-    out = terms.mapInArrow(count, "lang string, source string, term binary, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+            for chunk in _rows_of(batch):
+                of, source, n = chunk["of"].to_numpy(), chunk["source"].to_numpy(), chunk["n"].to_numpy()
+                ok = np.flatnonzero(_passes(sieve, chunk["lang"], chunk["terms"].to_pylist())[of])
+                ok = ok[np.argsort(source[ok], kind="stable")]
+                cuts = np.searchsorted(source[ok], np.arange(len(chunk["sources"]) + 1))
+                for name, i, j in zip(chunk["sources"].to_pylist(), cuts[:-1], cuts[1:]):
+                    if j > i:
+                        held.setdefault((chunk["lang"], name), []).append((chunk["terms"].take(pa.array(of[ok[i:j]])), n[ok[i:j]]))
+                size += len(ok)
+                if size >= MERGED:
+                    yield from _merged(held, ["lang", "term", "source", "n"])
+                    held, size = {}, 0
+        yield from _merged(held, ["lang", "term", "source", "n"])
+
+    read = chunks.select("lang", "terms", "sources", "of", "source", "n")
+    out = read.mapInArrow(count, "lang string, term binary, source string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     return out.join(kept.select("lang", F.col("prefix").alias("term")), ["lang", "term"]).select("lang", "source", "term", "n")
 
 
@@ -208,14 +274,14 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     Groups without terms are groups; a language with one source has no pairs. Repeated rows count as rows; an empty
     table gives an empty result; other columns are not read.
 
-    Every level adds up counts by prefix in its tasks first, so a language or source with a third of all rows, or a
-    word in every row, is one row of each task. For pairs, counts are dealt by blocks of 512 terms and pairs of tiles
+    Every level adds up counts by prefix in its chunks and tasks first, so a language or source with a third of all
+    rows, or a word in every row, is one row of each chunk. For pairs, counts are dealt by blocks of 512 terms and pairs of tiles
     of 64 sources; a task holds one block of two tiles. The result has a row for each two sources of a language.
     """
-    terms = document_terms(docs)
-    kept = written(kept_terms(terms, least))
-    counts = written(term_counts(terms, kept))
-    groups = terms.select("lang", "source").distinct()
+    chunks = term_chunks(docs)
+    kept = written(kept_terms(chunks, least))
+    counts = written(term_counts(chunks, kept), at_a_time=CHUNKS_AT_A_TIME)
+    groups = chunks.select("lang", F.explode("sources").alias("source")).distinct()
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     v = kept.groupBy("lang").agg(F.count("*").alias("v"))
     ranked = groups.join(sums, ["lang", "source"], "left").join(v, "lang", "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"), (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("ix"))
