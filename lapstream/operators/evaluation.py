@@ -180,18 +180,63 @@ def mcnemar_exact(only_a: int, only_b: int) -> float:
     return 1.0 if n == 0 else min(1.0, 2.0 * sum(math.comb(n, i) for i in range(k + 1)) / 2.0**n)
 
 
+def numbered(df: DataFrame, by: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with ``__i``, the place from 1 in its timeline ``by``, and for each of ``sums`` the sum up to the row.
+
+    Rows are ranged over all timelines, summed range by range, and moved up by what earlier ranges of the timeline hold,
+    so a timeline of any length is summed in as many places as it has ranges. The ranges are fixed (``settled``) before
+    they are read twice."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(df.withColumns({"__i": F.lit(1).cast("long"), **sums}).repartitionByRange(tasks, by, *order).withColumn("__range", F.spark_partition_id()))
+    names, w = ["__i", *sums], Window.partitionBy(by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    held = ranged.groupBy(by, "__range").agg(*(F.sum(c).alias(c) for c in names))
+    held = held.select(by, "__range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_held") for c in names))
+    inside = ranged.withColumns({c: F.sum(c).over(w) for c in names}).join(held, [by, "__range"])
+    return inside.withColumns({c: F.col(c) + F.col(f"{c}_held") for c in names}).drop("__range", *(f"{c}_held" for c in names))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows for good: a checkpoint in the session's folder for them where it has one, else kept in memory and
+    on disk (a local session)."""
+    spark = df.sparkSession
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(given)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+
+
 def rolling_agreement(df: DataFrame, by: str, order: list[str], window: int, least: int) -> DataFrame:
-    """Accuracy and Cohen's kappa of predictions over the last ``window`` rows of each timeline."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(-(window - 1), Window.currentRow)
+    """Accuracy and Cohen's kappa of predictions over the last ``window`` rows of each timeline.
+
+    A window is the difference of two prefix sums (``numbered``), the row's and that of the row ``window`` places before,
+    found by an equi-join; so a window may cross ranges, and one long timeline is not one task."""
     y, p = F.col(Y), F.col("pred")
-    n = F.count(p).over(w)
-    hit = F.sum((y == p).cast("int")).over(w) / n
-    ty, tp = F.sum(F.when(p.isNotNull(), y)).over(w) / n, F.sum(p).over(w) / n
+    flag = lambda x: F.coalesce(x.cast("long"), F.lit(0).cast("long"))
+    sums = {"__n": flag(p.isNotNull()), "__hit": flag(y == p), "__y": flag(F.when(p.isNotNull(), y)), "__p": flag(p)}
+    x = numbered(df.select(by, *order, Y, "pred"), by, order, sums)
+    before = x.select(by, (F.col("__i") + window).alias("__i"), *(F.col(c).alias(f"{c}0") for c in sums))
+    x = x.join(before, [by, "__i"], "left").withColumns({c: F.col(c) - F.coalesce(f"{c}0", F.lit(0)) for c in sums})
+    n = F.col("__n")
+    ty, tp = F.col("__y") / n, F.col("__p") / n
     chance = ty * tp + (1 - ty) * (1 - tp)
-    x = df.select(by, *order, n.alias("n"), hit.alias("acc"), chance.alias("chance")).where(F.col("n") >= least)
+    x = x.where(n >= least).select(by, *order, n.alias("n"), (F.col("__hit") / n).alias("acc"), chance.alias("chance"))
     return x.select(by, *order, "n", F.round("acc", 6).alias("accuracy"), F.round(F.try_divide(F.col("acc") - F.col("chance"), 1 - F.col("chance")), 6).alias("kappa"))
 
 
+def chronological_windows(df: DataFrame, by: str, order: list[str], windows: int, least: int = 1) -> DataFrame:
+    """``df`` with ``window``: each timeline ``by`` in ``windows`` slices of equal counts (0, 1, ..). Slices under ``least``
+    rows go; a timeline without any slice left is slice 0 whole. Places come from ``numbered``, so no timeline is a task."""
+    x = numbered(df, by, order, {})
+    total = x.groupBy(by).agg(F.max("__i").alias("__n"))
+    slot = F.floor((F.col("__i") - 1) * windows / F.col("__n")).cast("int")
+    x = x.join(total, by).withColumn("window", slot).drop("__i", "__n")
+    sizes = x.groupBy(by, "window").agg(F.count("*").alias("__size")).where(F.col("__size") >= least).select(by, "window", F.lit(True).alias("__kept"))
+    none = sizes.select(by).distinct().withColumn("__any", F.lit(True))
+    x = x.join(sizes, [by, "window"], "left").join(none, by, "left")
+    return x.where("__kept or __any is null").withColumn("window", F.when(F.col("__any"), F.col("window")).otherwise(F.lit(0))).drop("__kept", "__any")
+
+
 def rules(source: DataFrame, checks: list[tuple[str, Column]], threshold: int = 0) -> DataFrame:
     """One row for each rule: how many rows break it, and PASS or FAIL. One pass over the table."""
     one = source.agg(*(count_if(c).alias(n) for n, c in checks))

@@ -79,6 +79,21 @@ def pct_of(pre: Column, post: Column, baseline: Column) -> Column:
     return F.when(whole, (post - pre) / baseline * 100)
 
 
+def not_pending(stops: DataFrame) -> DataFrame:
+    """Without the stops (race, driver, pitLap, t0, resolvedAt) of a driver whose last evaluated stop is still open: a fold
+    over a driver's stops in order of time, since a stop that is left out keeps none open."""
+    stop = F.struct("t0", "pitLap", "resolvedAt")
+    start = F.struct(F.lit(None).cast("bigint").alias("open"), F.array().cast("array<int>").alias("laps"))
+
+    def step(acc, s):
+        free = acc["open"].isNull() | (s["t0"] > acc["open"])
+        taken = F.struct(s["resolvedAt"].alias("open"), F.concat(acc["laps"], F.array(s["pitLap"])).alias("laps"))
+        return F.when(free, taken).otherwise(acc)
+
+    kept = stops.groupBy("race", "driver").agg(F.aggregate(F.array_sort(F.collect_list(stop)), start, step)["laps"].alias("__laps"))
+    return stops.join(kept, ["race", "driver"]).where(F.array_contains("__laps", F.col("pitLap"))).drop("__laps")
+
+
 def pit_cycles(laps: DataFrame) -> DataFrame:
     """One row for each stop: rival, gaps, delta in per cent of a lap, label, and how it was resolved.
 
@@ -89,8 +104,9 @@ def pit_cycles(laps: DataFrame) -> DataFrame:
     the change of relative pace stands for it (.._PACE_SHIFT), then a change of order (POSITIONAL_FALLBACK); without any
     rival, pace against the leader (REFERENCE_FALLBACK). Else EARLY_LAP_FILTER or INSUFFICIENT_DATA.
 
-    Every stop is evaluated, also one within 15 minutes of the driver's last. A car's laps become one array, so two joins
-    bring a stop all it looks up; a lap that has no row has no pace. Laps with neither race nor driver are left out.
+    A stop while the driver's last one is still open is not evaluated (``not_pending``). A car's laps become one array, so
+    two joins bring a stop all it looks up; a lap that has no row has no pace. Laps with neither race nor driver are left
+    out.
     """
     c, lit = F.col, F.lit
     key = ["race", "driver", "lapNumber"]
@@ -118,13 +134,14 @@ def pit_cycles(laps: DataFrame) -> DataFrame:
     ready = F.when(c("own").isNotNull() & c("other").isNotNull(), F.greatest(own_t, c("other")["t"]))
     timeout = F.when(c("own").isNotNull() & c("begun").isNotNull(), F.greatest(own_t, c("begun")))
     case = F.when(pit <= WARMUP, "early").when(c("preGap").isNull(), "alone").when(c("answered") & (ready <= due), "rival").when(~c("answered") & (timeout <= due), "offset").otherwise("timer")
-    s = s.withColumn("case", case).withColumn("seen", F.when(c("case") == "rival", ready).otherwise(timeout))
+    s = s.withColumn("case", case).withColumn("resolvedAt", F.when(case == "early", c("t0")).when(case == "alone", F.coalesce(F.least(own_t, due), due)).when(case == "rival", ready).when(case == "offset", timeout).otherwise(due))
+    s = not_pending(s).withColumn("seen", F.when(c("case") == "rival", ready).otherwise(timeout))
     is_ = lambda name: c("case") == name
     s = s.withColumn("compareLap", F.when(is_("rival"), F.greatest(c("own")["lap"], c("other")["lap"])).when(is_("offset"), c("offsetLap")).otherwise(c("settled")))
 
     lap = c("compareLap")
     gap = F.when(is_("rival"), F.coalesce(near(lap, NEAR, gap_of, c("seen")), near(lap, NEAR, gap_of), near(c("settled"), NEAR, gap_of)))
-    gap = gap.when(is_("offset"), near(lap, [*NEAR, -SEARCH - 1], gap_of, c("seen"))).when(is_("timer"), near(lap, list(range(TIMER_LAPS, -1, -1)), gap_of))
+    gap = gap.when(is_("offset"), near(lap, [*NEAR, -SEARCH - 1], gap_of, c("seen"))).when(is_("timer"), near(lap, list(range(TIMER_LAPS, -1, -1)), gap_of, due))
     apart = lambda a, b: a["pace"] - b["pace"]
     s = s.withColumn("gap", gap).withColumn("paceBefore", near(F.greatest(lit(1), pit - 1), NEAR, apart)).withColumn("paceAfter", near(lap, NEAR, apart))
     mine = lambda n: at(c("line"), n)

@@ -89,7 +89,7 @@ def gate_checks(f):
     return A._stack([
         row(both, "B", "precision_delta", C("k1") / C("n1") - C("k0") / C("n0"), 0, "gte", True), row(both, "B", "two_proportion_z", E.two_proportion_z(C("k1"), C("n1"), C("k0"), C("n0")), 1.959964, "gte"),
         row(free, "C", "no_match_rate", C("v"), 0.5, "gte"), row(E.binary_metrics(f("oof"), 0.7), "D", "constrained_precision", C("precision"), 0.6, "gte"),
-        row(parity, "F", "parity", C("match_rate"), 0.99, "gte"), row(time, "G", "latency_p95_total_ms", C("p95"), 60, "lte", True, 80.0), row(time, "G", "availability", C("up"), 0.999, "gte", False, 0.98), row(time, "G", "failed_events", C("down"), 1e9, "lte"),
+        row(parity, "F", "parity", C("match_rate"), 0.99, "gte"), row(time, "G", "latency_p95_total_ms", C("p95"), 60, "lte", True, 80.0), row(time, "G", "availability", C("up"), 0.999, "gte", False, 0.98), row(time, "G", "failed_events", C("down"), 0, "lte"),
     ])
 
 
@@ -100,7 +100,7 @@ ck AS (SELECT 'B' AS layer, 'precision_delta' AS "check", k1 / n1 - k0 / n0 AS v
  UNION ALL SELECT 'C', 'no_match_rate', AVG(CASE WHEN pit IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE), 0.5, 'gte', FALSE, NULL FROM m WHERE outcome = 'EXCLUDED'
  UNION ALL SELECT 'D', 'constrained_precision', k2 / n2, 0.6, 'gte', FALSE, NULL FROM pr
  UNION ALL SELECT 'F', 'parity', COUNT(*) FILTER (lapTime IS NULL OR abs(lapTime - ROUND(lapTime, 1)) <= 0.05) / COUNT(*), 0.99, 'gte', FALSE, NULL FROM laps
- UNION ALL SELECT 'G', 'latency_p95_total_ms', p95, 60, 'lte', TRUE, 80 FROM ti UNION ALL SELECT 'G', 'availability', up, 0.999, 'gte', FALSE, 0.98 FROM ti UNION ALL SELECT 'G', 'failed_events', down, 1e9, 'lte', FALSE, NULL FROM ti),
+ UNION ALL SELECT 'G', 'latency_p95_total_ms', p95, 60, 'lte', TRUE, 80 FROM ti UNION ALL SELECT 'G', 'availability', up, 0.999, 'gte', FALSE, 0.98 FROM ti UNION ALL SELECT 'G', 'failed_events', down, 0, 'lte', FALSE, NULL FROM ti),
 cv AS (SELECT layer, "check", ROUND(value, 6) AS value, threshold, direction, strict, hold FROM ck), cs AS (SELECT *, CASE direction WHEN 'gte' THEN value - threshold ELSE threshold - value END AS mg, CASE direction WHEN 'gte' THEN value - hold ELSE hold - value END AS sp FROM cv),
 jd AS (SELECT layer, "check", value, threshold, direction, strict, hold, ROUND(mg, 6) AS margin, CASE WHEN (strict AND mg > 0) OR (NOT strict AND mg >= 0) THEN 'PASS' WHEN (strict AND sp > 0) OR (NOT strict AND sp >= 0) THEN 'HOLD' ELSE 'FAIL' END AS status FROM cs),
 ly AS (SELECT layer, COUNT(*) AS checks_total, COUNT(*) FILTER (status = 'PASS') AS checks_passed, COUNT(*) FILTER (status = 'HOLD') AS checks_hold, COUNT(*) FILTER (status = 'FAIL') AS checks_failed, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'HOLD') THEN 'HOLD' ELSE 'PASS' END AS status FROM jd GROUP BY layer)"""
