@@ -7,7 +7,8 @@ comes out does not depend on the order of arrival within the lateness that the w
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import scalars as S
+from ..operators import pit_cycles as C
 from ..operators.laps import RECENT, clean, scores_of, zones_of
 
 LATENESS = "5 seconds"
@@ -302,3 +304,151 @@ def features_stream(laps: DataFrame, lifetime: int = LIFETIME) -> DataFrame:
     is to end with its input (``availableNow``) needs ``spark.sql.streaming.noDataMicroBatches.enabled=false``."""
     read = laps.select("race", "driver", "lapNumber", "lapTime", "tyreLife", "compound", "gapToCarAhead", "team").where("driver is not null and lapNumber > 0")
     return read.groupBy("race").transformWithStateInPandas(Features(lifetime), FEATURES, "Append", "ProcessingTime")
+
+
+RESOLVED = "race string, driver string, pitLap int, resolvedAt long, laps string"
+
+
+class Field:
+    """What a race's laps so far say of a stop: rival, settled laps, and when it can be resolved."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.cars: dict[str, list[dict]] = {}
+        self.order: dict[int, dict[str, tuple]] = {}
+        by_lap: dict[int, list[dict]] = {}
+        for r in sorted(rows, key=lambda r: (r["lapNumber"], r["eventTimeMillis"])):
+            line = self.cars.setdefault(r["driver"], [])
+            r["mark"] = r.get("pitInTime") is not None or bool(line and (r.get("stint") or 0) > (line[-1].get("stint") or 0))
+            line.append(r)
+            by_lap.setdefault(r["lapNumber"], []).append(r)
+        self.begun = {n: min(r["eventTimeMillis"] for r in rs) for n, rs in by_lap.items()}
+        for n, rs in by_lap.items():
+            total, unknown, ladder = 0.0, 0, {}
+            for r in sorted(rs, key=lambda r: (r.get("position") or 0, r["driver"])):
+                gap = r.get("gapToCarAhead")
+                total, unknown = total + (gap or 0.0), unknown + (gap is None)
+                ladder[r["driver"]] = (total, unknown, r.get("position"))
+            self.order[n] = ladder
+
+    def gap_near(self, a: str, b: str, lap: int) -> bool:
+        """Whether a gap of two cars is known on a lap or near it."""
+        for o in C.NEAR:
+            x, y = (self.order.get(lap + o, {}).get(d) for d in (a, b))
+            if x and y and x[1] == y[1] and x[2] is not None and y[2] is not None and abs(x[2] - y[2]) <= C.MOST_PLACES:
+                return True
+        return False
+
+    def beside(self, driver: str, lap: int, position: int, step: int) -> str | None:
+        for n in (lap, lap - 1):
+            found = [d for d, (_, _, p) in self.order.get(n, {}).items() if p == position + step and d != driver]
+            if found:
+                return max(found)
+        return None
+
+    def settled(self, driver: str, lap: int) -> dict | None:
+        greens = [r for r in self.cars.get(driver, []) if r["lapNumber"] > lap and r["isGreen"]]
+        return greens[C.SETTLE - 1] if len(greens) >= C.SETTLE else None
+
+    def resolved_at(self, driver: str, lap: int) -> int | None:
+        """When a stop has been resolved by the laps so far; null while it is open. The safety timer is not in here."""
+        stop = next(r for r in self.cars[driver] if r["lapNumber"] == lap)
+        own = self.settled(driver, lap)
+        if own is None:
+            return None
+        near = [d for d in (self.beside(driver, lap, stop["position"], step) for step in (-1, 1)) if d is not None]
+        rival = next((d for d in near if self.gap_near(driver, d, lap)), None)
+        if rival is None:
+            return own["eventTimeMillis"]
+        line = self.cars[rival]
+        before = next((r["lapNumber"] for r in line if r.get("pitInTime") is not None and lap - C.LOOKBACK <= r["lapNumber"] <= lap), None)
+        after = next((r["lapNumber"] for r in line if r["mark"] and r["lapNumber"] > lap), None)
+        offset = max(lap + math.ceil(max(1, (stop.get("totalLaps") or 0) - lap) * C.OFFSET), own["lapNumber"])
+        if before is not None or (after is not None and after <= offset):
+            other = self.settled(rival, before if before is not None else after)
+            return None if other is None else max(own["eventTimeMillis"], other["eventTimeMillis"])
+        return max(own["eventTimeMillis"], self.begun[offset]) if offset in self.begun else None
+
+
+class Stops(InOrder):
+    """Open stops of a race, each with its safety timer. A stop leaves with the laps seen so far once it is resolved or its
+    timer is due; while it is open, another stop of its driver is passed over."""
+
+    def init(self, handle):
+        super().init(handle)
+        self.laps = handle.getListState("laps", "payload string")
+        self.open = handle.getMapState("open", "driver string", "lap int, t0 long")
+
+    def at(self, key, by_time):
+        rows = [json.loads(x[0]) for x in self.laps.get()]
+        pending = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        held, new, out = set(pending), [], []
+        for t, events in sorted(by_time.items()):
+            yield from self.due(key, rows, pending, t - 1)
+            fresh = [e for _, e in events if e.get("driver") is not None and e["lapNumber"] > 0]
+            rows += fresh
+            new += fresh
+            for r in fresh:
+                if r.get("pitInTime") is not None and r["driver"] not in pending:
+                    if r["lapNumber"] <= C.WARMUP:
+                        out.append(self.told(key, r["driver"], r["lapNumber"], t, rows))
+                    else:
+                        pending[r["driver"]] = (r["lapNumber"], t)
+                        self.handle.registerTimer(t + C.TIMER)
+            field_ = Field(rows) if pending else None
+            for driver, (lap, t0) in list(pending.items()):
+                done = field_.resolved_at(driver, lap)
+                if done is not None and done <= t0 + C.TIMER:
+                    out.append(self.told(key, driver, lap, done, rows))
+                    del pending[driver]
+        if new:
+            self.laps.appendList([(json.dumps(r),) for r in new])
+        for driver in held - set(pending):
+            self.open.removeKey((driver,))
+        for driver, stop in pending.items():
+            self.open.updateValue((driver,), stop)
+        if out:
+            yield pd.DataFrame(out, columns=["race", "driver", "pitLap", "resolvedAt", "laps"])
+
+    def told(self, key, driver, lap, t, rows):
+        return key[0], driver, lap, t, json.dumps([r for r in rows if r["eventTimeMillis"] <= t])
+
+    def due(self, key, rows, pending, now):
+        """Stops whose safety timer is over by ``now``."""
+        for driver, (lap, t0) in list(pending.items()):
+            if t0 + C.TIMER <= now:
+                del pending[driver]
+                yield pd.DataFrame([self.told(key, driver, lap, t0 + C.TIMER, rows)], columns=["race", "driver", "pitLap", "resolvedAt", "laps"])
+
+    def on_timer(self, key, due, now):
+        pending = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        if any(t0 + C.TIMER <= now for _, t0 in pending.values()):
+            before = set(pending)
+            yield from self.due(key, [json.loads(x[0]) for x in self.laps.get()], pending, now)
+            for driver in before - set(pending):
+                self.open.removeKey((driver,))
+
+    def forget(self):
+        super().forget()
+        self.laps.clear()
+        self.open.clear()
+
+
+def resolved_stops(laps: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """(race, driver, pitLap, resolvedAt, laps): stops of a stream as they are resolved, with the race's laps by then."""
+    marked = laps.withColumn("isGreen", S.is_green(F.col("trackStatus")))
+    return keyed_events({"lap": marked}, lateness).groupBy("race").transformWithStateInPandas(Stops(), RESOLVED, "Append", "EventTime")
+
+
+def evaluated(resolved: DataFrame, schema: str) -> DataFrame:
+    """``pit_cycles`` of resolved stops, each over the laps that had been seen when it was."""
+    stop = F.concat_ws("\x01", "race", "driver", F.col("pitLap").cast("string"))
+    x = resolved.select(F.col("race").alias("__race"), F.col("driver").alias("__driver"), "pitLap", stop.alias("__stop"), F.explode(F.from_json("laps", f"array<struct<{schema}>>")).alias("lap"))
+    laps = x.select(F.col("__stop").alias("race"), *(f"lap.{part.split()[0]}" for part in schema.split(", ") if part.split()[0] != "race"))
+    asked = x.select(F.col("__stop").alias("race"), F.col("__race").alias("name"), F.col("__driver").alias("driver"), "pitLap").distinct()
+    out = C.pit_cycles(laps).join(asked, ["race", "driver", "pitLap"])
+    return out.withColumn("race", F.col("name")).drop("name")
+
+
+def stops_each_batch(laps: DataFrame, schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str, lateness: str = LATENESS):
+    """Evaluates the stops that each batch resolves with the batch operator itself."""
+    return resolved_stops(laps, lateness).writeStream.foreachBatch(lambda batch, number: sink(evaluated(batch, schema), number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
