@@ -91,3 +91,12 @@ def test_texts_taken_apart_are_whole(spark):
     for r in parts:
         assert len(r["gaps"]) == len(r["hits"]) + 1
         assert "".join(g + h for g, h in zip(r["gaps"], [*r["hits"], ""], strict=True)) == r["text"]
+
+
+def test_prose_behind_a_header_is_no_key(spark):
+    text = "see\n-----BEGIN PRIVATE KEY-----\nand then the plain words of a page go on for a while, without any key at all"
+    key = f"-----BEGIN PRIVATE KEY-----\n{key64(11)}\n{key64(12)}\nabc=\n-----END PRIVATE KEY-----\nand then words go on"
+    found = secrets.findings(spark.createDataFrame([("a", text), ("b", key)], "h string, text string")).collect()
+    assert [(r["h"], r["value"].split()) for r in found] == [("b", [key64(11), key64(12), "abc="])]
+    alone = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r["text"] for r in secrets.redacted(alone).collect()] == [text]
