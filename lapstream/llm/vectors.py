@@ -265,8 +265,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, per_part: int = PER_PART,
 
     Returns query_id, rank (from 1), vec_id, score: the Euclidean distance of the original vectors in double
     precision, ties to the smaller vec_id. A row is no neighbour of itself. Rows that are null, zero or hold null or
-    non-finite components, and null ids, take no part; rows repeated with one vec_id are searched once (the first
-    by vector). Vectors must have one length; those of another length than the sample's first take no part. Other
+    non-finite components, and null ids, take no part; rows that share a vec_id are rows of their own, as candidates of
+    each other too and as queries, each with ranks of its own. Vectors must have one length; those of another length than the sample's first take no part. Other
     columns are not read; an empty table gives an empty result.
 
     A bounded sample gives a neighbour graph, cut into balanced parts of about ``per_part`` rows of the table; a
@@ -275,7 +275,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, per_part: int = PER_PART,
     Each part is searched in blocks whose number follows from its size, so that no task holds a large part whole, and
     each block sends k rows a query.
     """
-    rows = stash(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("q", F.coalesce(is_query, F.lit(False))))
+    rows = stash(usable(vectors).select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()).withColumn("q", F.coalesce(is_query, F.lit(False))))
     parts, n = centres(rows.count(), per_part)
     m = sample_of(rows, n, unit=False)
     dim = m.shape[1]
@@ -294,49 +294,50 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, per_part: int = PER_PART,
             lists = [o if q else o[:1] for o, q in zip(order, batch.column("q").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
 
-    routed = stash(rows.mapInArrow(route, "vec_id long, v array<double>, q boolean, parts array<int>"))
+    routed = stash(rows.mapInArrow(route, "vec_id long, v array<double>, row long, q boolean, parts array<int>"))
     home = F.get("parts", F.lit(0))
     # One number for each part: at most SAMPLE // PER_CENTRE of them.
     held = {r["p"]: r["n"] for r in routed.groupBy(home.alias("p")).agg(F.count("*").alias("n")).collect()}
     smallest = np.cumsum(sorted(held.get(p, 0) for p in range(w.shape[1])))
     probes = max(probes, int(np.searchsorted(smallest, min(k + 1, smallest[-1]))) + 1)
-    asking = routed.where("q").select("vec_id", "v", F.explode(F.slice("parts", 1, probes)).alias("part"))
+    asking = routed.where("q").select("vec_id", "v", "row", F.explode(F.slice("parts", 1, probes)).alias("part"))
     asked = {r["part"]: r["n"] for r in asking.groupBy("part").agg(F.count("*").alias("n")).collect()}
     blocks = {p: (max(1, -(-held.get(p, 0) // BLOCK)), max(1, -(-asked.get(p, 0) // BLOCK))) for p in {*held, *asked}}
     number = lambda i: F.get(F.array(*(F.lit(blocks.get(p, (1, 1))[i]) for p in range(w.shape[1]))), F.col("part"))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    stored = routed.select(home.alias("part"), "vec_id", "v").withColumns({"rows": number(0), "asks": number(1)})
-    stored = stored.select("part", dealt(F.col("rows")).alias("rb"), every(F.col("asks")).alias("qb"), F.lit(False).alias("asks"), "vec_id", "v")
+    dealt = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
+    stored = routed.select(home.alias("part"), "vec_id", "v", "row").withColumns({"rows": number(0), "asks": number(1)})
+    stored = stored.select("part", dealt(F.col("rows")).alias("rb"), every(F.col("asks")).alias("qb"), F.lit(False).alias("asks"), "vec_id", "v", "row")
     asking = asking.withColumns({"rows": number(0), "asks": number(1)})
-    asking = asking.select("part", every(F.col("rows")).alias("rb"), dealt(F.col("asks")).alias("qb"), F.lit(True).alias("asks"), "vec_id", "v")
+    asking = asking.select("part", every(F.col("rows")).alias("rb"), dealt(F.col("asks")).alias("qb"), F.lit(True).alias("asks"), "vec_id", "v", "row")
 
     def search(group: pa.Table) -> pa.Table:
         asks = np.array(group.column("asks").to_pylist(), dtype=bool)
-        ids, m = group.column("vec_id").to_numpy(), _matrix(group.column("v"))
+        ids, row, m = group.column("vec_id").to_numpy(), group.column("row").to_numpy(), _matrix(group.column("v"))
         order = np.argsort(ids[~asks], kind="stable")
-        own, c = ids[~asks][order], m[~asks][order]
-        q_out, i_out, s_out = [], [], []
+        own, own_row, c = ids[~asks][order], row[~asks][order], m[~asks][order]
+        q_out, r_out, i_out, s_out = [], [], [], []
         norms = (c * c).sum(axis=1)
-        for qid, v in zip(ids[asks].tolist(), m[asks], strict=True):
+        for qid, q_row, v in zip(ids[asks].tolist(), row[asks].tolist(), m[asks], strict=True):
             if not len(c):
                 break
             rough = norms - 2 * (c @ v)
-            rough[own == qid] = np.inf
+            rough[own_row == q_row] = np.inf
             # No rough distance is off by more than slack, so whatever may be among the k nearest or tie with the last of them is measured.
             slack = 4 * (len(v) + 8) * np.finfo(float).eps * (norms + v @ v)
             near = np.flatnonzero(~(rough - slack > np.partition(rough + slack, min(k, len(c)) - 1)[min(k, len(c)) - 1]))
-            near = near[own[near] != qid]
+            near = near[own_row[near] != q_row]
             d = np.sqrt(((c[near] - v) ** 2).sum(axis=1))
             top = np.argsort(d, kind="stable")[:k]
             q_out.append(np.full(len(top), qid))
+            r_out.append(np.full(len(top), q_row))
             i_out.append(own[near][top])
             s_out.append(d[top])
         cat = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(t)
-        return pa.table({"query_id": cat(q_out, np.int64), "vec_id": cat(i_out, np.int64), "score": cat(s_out, np.float64)})
+        return pa.table({"query_id": cat(q_out, np.int64), "row": cat(r_out, np.int64), "vec_id": cat(i_out, np.int64), "score": cat(s_out, np.float64)})
 
-    found = stored.unionByName(asking).groupBy("part", "rb", "qb").applyInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = stored.unionByName(asking).groupBy("part", "rb", "qb").applyInArrow(search, "query_id long, row long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

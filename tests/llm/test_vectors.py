@@ -76,3 +76,13 @@ def test_small_parts_give_all_candidates(spark):
     rows = [(i, [float(i % 5), 1.0], 0) for i in range(9)]
     got = vectors.nearest(frame(spark, rows), F.col("vec_id") == 0, per_part=2).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == brute_nearest(rows, [0], 10).__next__()[1]
+
+
+def test_rows_that_share_an_id_all_take_part(spark):
+    rows = [(100, [0.0, 1.0]), (1, [5.0, 5.0]), (1, [0.0, 2.0]), (200, [9.0, 9.0]), (200, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vectors.nearest(df, F.col("vec_id") % 100 == 0, k=10).collect()
+    of = lambda q: sorted((r["rank"], r["vec_id"], round(r["score"], 6)) for r in got if r["query_id"] == q)
+    far = lambda a: sorted((round(sum((x - y) ** 2 for x, y in zip(a, v)) ** 0.5, 6), i) for i, v in rows if v != a)
+    assert of(100) == [(k + 1, i, d) for k, (d, i) in enumerate(far([0.0, 1.0]))]
+    assert of(200) == sorted((k + 1, i, d) for a in ([9.0, 9.0], [0.0, 3.0]) for k, (d, i) in enumerate(far(a)))
