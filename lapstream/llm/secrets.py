@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .common import stash, table
 
-#: Where a candidate stands: the body of a private key, lines of sixteen or more of base64 (fewer only before its END
-#: line), so that words behind a header are no part of a key; or a name of up to 41 characters, a sign of assignment and at least eight characters
+#: Where a candidate stands: the body of a private key, lines of sixteen or more of base64 (fewer only at the end, before its END
+#: line or nothing), so that words behind a header are no part of a key; or a name of up to 41 characters, a sign of assignment and at least eight characters
 #: without blanks, quotes, commas or ``=?&``; or sixteen or more of letters, digits and ``+/_-.`` anywhere.
-KEY_BODY = r"(?:\s{1,8}[A-Za-z0-9+/]{16,}+={0,2})+(?:\s{1,8}[A-Za-z0-9+/]{1,15}+={0,2}(?=\s{0,8}-----END))?"
+KEY_BODY = r"(?:\s{1,8}[A-Za-z0-9+/]{16,}+={0,2})+(?:\s{1,8}[A-Za-z0-9+/]{1,15}+={0,2}(?=\s{0,8}(?:-----END|$)))?"
 KEY_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
 ASSIGNED = r"[\"']?(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_.\-]{1,40}+[\"']?[ \t]{0,2}(?:=>|:=|[=:])[ \t]{0,2}[\"'`]?"
 CANDIDATE = rf"({KEY_BLOCK})({KEY_BODY})|({ASSIGNED})([^\s\"'`<>,;=?&]{{8,}}+={{0,2}})|(?<![A-Za-z0-9+/_\-.])([A-Za-z0-9+/_\-.]{{15,}}[A-Za-z0-9+/_\-]={{0,2}})"
