@@ -1,6 +1,4 @@
-"""The registered queries of this subpackage, and their SQL where SQL can express them."""
-
-import corpus_pipeline
+"""The registered queries of this subpackage, and their SQL where SQL can express them. The entry point adds the pipeline."""
 
 from . import divergence, language, licences, manifest, minhash, mixing, packing, repeats, secrets, toxicity, urls, vectors
 
@@ -18,6 +16,5 @@ QUERIES = {
     "op11_source_divergence": divergence.op11,
     "op12_licence_scan": licences.op12,
     "op13_merkle_manifest": manifest.op13,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op4_mix_sources": mixing.SQL, "op7_url_filter": urls.SQL, "op11_source_divergence": divergence.SQL, "op12_licence_scan": licences.SQL, "op13_merkle_manifest": manifest.SQL}
