@@ -106,8 +106,20 @@ FROM lineitem
 """
 
 
+SQL["evaluated"] = """
+SELECT e.race, e.driver, e.pitLapNumber, e.result, l.compound, l.status AS trackStatusAtPit, l.pre AS prePitGapAhead, l.post AS postPitGapToRival, l.base AS baselineLapTime,
+       (l.post - l.pre) / l.base * 100 AS gapDeltaPct, l.rival AS rivalAhead, l.pos % 4 = 0 AS offsetStrategy,
+       CASE WHEN l.post IS NULL THEN 'SAFETY_TIMEOUT' WHEN (l.lap + l.pos) % 3 = 0 THEN 'RIVAL_PIT' ELSE 'SETTLED' END AS resolvedVia
+FROM (SELECT * FROM pit_evals) e JOIN (
+  SELECT race, driver, lapNumber AS lap, position AS pos, compound, NULLIF(trackStatus, '2') AS status, gapToCarAhead AS pre,
+         LEAD(gapToCarAhead, 3) OVER (PARTITION BY race, driver ORDER BY lapNumber) AS post, LAG(lapTime) OVER (PARTITION BY race, driver ORDER BY lapNumber) AS base,
+         LAG(driver) OVER (PARTITION BY race, lapNumber ORDER BY position) AS rival
+  FROM laps) l ON l.race = e.race AND l.driver = e.driver AND l.lap = e.pitLapNumber
+"""
+
+
 #: What each fixture reads besides the supplied tables.
-NEEDS = {"track_status": ["laps"], "pit_evals": ["laps"], "suggestions": ["laps"]}
+NEEDS = {"track_status": ["laps"], "pit_evals": ["laps"], "suggestions": ["laps"], "evaluated": ["laps", "pit_evals"]}
 
 
 def with_clause(*names: str) -> str:

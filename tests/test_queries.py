@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import DATA, rows_of
-from lapstream.plans.audits import ORACLES, QUERIES
+from lapstream.plans.reports import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
