@@ -86,6 +86,35 @@ def decision_contract(matched: DataFrame, horizon: int = 2, keys: list[str] | No
     return g.select(*keys, rows.alias("r")).select(*keys, "r.*").withColumn("status", F.when(c("invalid") == 0, "PASS").otherwise("FAIL"))
 
 
+def comparator_invariance(sets: dict[str, DataFrame], horizon: int = 2, expected: int = 2) -> DataFrame:
+    """(check, value, status) over sets of matched decisions that are to be compared: whether all have the same columns in
+    the same order, whether the horizon is the expected one, the seven rules of ``decision_contract`` for each set, and all
+    of them together. A set without rows has no rules, so that the whole fails."""
+    shapes = [[(x.name, x.dataType) for x in df.schema] for df in sets.values()]
+    rules = decision_contract(_sources(sets), horizon, ["source"]).select(F.concat_ws("_", "source", "check").alias("check"), "value", "status")
+    fixed = {"comparator_schema_exact_match": all(s == shapes[0] for s in shapes), "fixed_horizon_contract_constant": horizon == expected}
+    one = rules.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.lit(float(ok)).alias("value"), F.lit("PASS" if ok else "FAIL").alias("status")) for k, ok in fixed.items()))).alias("r")).select("r.*")
+    checks = rules.unionByName(one)
+    whole = (F.count("*") == len(fixed) + 7 * len(sets)) & (count_if(F.col("status") == "FAIL") == 0)
+    overall = checks.agg(F.when(whole, 1.0).otherwise(0.0).alias("value")).select(F.lit("comparator_invariance_overall").alias("check"), "value", F.when(F.col("value") == 1, "PASS").otherwise("FAIL").alias("status"))
+    return checks.unionByName(overall)
+
+
+def _sources(sets: dict[str, DataFrame]) -> DataFrame:
+    columns = ["race", "driver", "lapNumber", "suggestionLabel", "matchedPitLap", "pitInWindow", "outcome", "exclusionReason"]
+    return _stack([df.select(F.lit(name).alias("source"), *columns) for name, df in sets.items()])
+
+
+def comparator_details(sets: dict[str, DataFrame]) -> DataFrame:
+    """(section, name, value): rows of each set, scored, excluded and matched ones, and the largest and smallest distance of a
+    match (null without matches). A set without rows is not listed."""
+    c = F.col
+    outcome, far = S.normalize_label(c("outcome")), c("matchedPitLap") - c("lapNumber")
+    facts = {"rows_total": F.count("*"), "rows_scored": count_if(outcome.isin("0", "1")), "rows_excluded": count_if(outcome == "EXCLUDED"), "rows_matched": F.count("matchedPitLap"), "max_match_distance": F.max(far), "min_match_distance": F.min(far)}
+    g = _sources(sets).groupBy(c("source").alias("section")).agg(*(v.cast("double").alias(k) for k, v in facts.items()))
+    return g.select("section", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), c(k).alias("value")) for k in facts))).alias("r")).select("section", "r.*")
+
+
 def judged(checks: DataFrame) -> DataFrame:
     """``checks`` (layer, check, value, threshold, direction gte or lte, strict, hold) with margin and status: PASS within
     the threshold (not at it, if strict), HOLD within ``hold`` (null: no such band), else FAIL, also without a value."""

@@ -2,11 +2,78 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from . import laps as L
 from .decisions import count_if, ratio
 
+#: Modes and the columns that each needs, and profiles with their mode and the features they leave out. Fixed values.
+MODES: dict[str, tuple[str, ...]] = {
+    "off": (),
+    "track_agnostic_v1": ("trackTemp_expanding_z", "airTemp_expanding_z", "humidity_expanding_z", "speedTrap_expanding_z", "lapTime_expanding_z"),
+    "track_percentage_v1": ("race_progress_pct", "lapTime_vs_driver_prev_mean_pct"),
+    "track_percentage_team_v1": ("race_progress_pct", "lapTime_vs_driver_prev_mean_pct", "lapTime_vs_team_prev_lapbucket_mean_pct"),
+    "track_percentage_race_team_v1": ("race_progress_pct", "lapTime_vs_driver_prev_mean_pct", "lapTime_vs_team_prev_lapbucket_mean_pct", "lapTime_vs_race_prev_lapbucket_mean_pct"),
+}
+AUTO = "auto"
+MEDIUM = ("team", "rainfall", "hasGapAhead", "hasGapBehind")
+PROFILES: dict[str, tuple[str, tuple[str, ...]]] = {
+    "baseline": ("off", ()),
+    "drop_medium_v1": ("off", MEDIUM),
+    "drop_aggressive_v1_candidate": ("off", (*MEDIUM, "pitLoss", "pace_trend", "has_drop_zone_data")),
+    "track_agnostic_v1": ("track_agnostic_v1", MEDIUM),
+    "percent_conservative_v1": ("track_percentage_v1", MEDIUM),
+    "percent_team_v1": ("track_percentage_team_v1", MEDIUM),
+    "percent_race_team_v1": ("track_percentage_race_team_v1", MEDIUM),
+    "percent_race_team_v1_strict": ("track_percentage_race_team_v1", (*MEDIUM, "lapTime")),
+    "percent_race_team_aggressive_v1": ("track_percentage_race_team_v1", (*MEDIUM, "lapTime", "pitLoss", "pace_trend", "has_drop_zone_data")),
+}
+
+
+@dataclass(frozen=True)
+class Plan:
+    profile: str
+    excludes: tuple[str, ...]
+    mode: str
+
+
+def profile_plan(profile: str, excludes: list[str] | tuple[str, ...] = (), mode: str = AUTO) -> Plan:
+    """The plan of a named profile: its own excludes, then those given (an item may hold several, joined by commas), once each
+    and in order; ``auto`` is the profile's mode. Unknown names are errors."""
+    if profile.strip() not in PROFILES:
+        raise ValueError(f"unknown feature profile: {profile}; known: {', '.join(PROFILES)}")
+    if mode.strip() not in (AUTO, *MODES):
+        raise ValueError(f"unknown mode: {mode}; known: {', '.join((AUTO, *MODES))}")
+    own, left_out = PROFILES[profile.strip()]
+    given = [x.strip() for item in excludes for x in item.split(",")]
+    return Plan(profile.strip(), tuple(dict.fromkeys(x for x in (*left_out, *given) if x)), own if mode.strip() == AUTO else mode.strip())
+
+
+def with_mode(laps: DataFrame, mode: str) -> DataFrame:
+    """``laps`` with the columns that ``mode`` needs, all from the past only. Where a column to derive from is missing, so is
+    what is derived from it (``planned`` then says so)."""
+    out = laps
+    for name in MODES[mode]:
+        source = name.removesuffix("_expanding_z")
+        if source != name:
+            out = L.expanding_z(out, source, name) if source in laps.columns else out
+        elif name == "race_progress_pct":
+            out = out.withColumn(name, F.least(F.lit(1.5), F.try_divide(F.col("lapNumber").cast("double"), F.col("totalLaps").cast("double"))))
+        elif name == "lapTime_vs_driver_prev_mean_pct":
+            out = out.withColumn(name, S.clip_ratio(F.col("lapTime") / F.avg("lapTime").over(L.race_driver().rowsBetween(L.UNBOUNDED, -1)), 1.0, 0.5, 2.0))
+        else:
+            out = L.bucket_prev_ratio(out, ["race", "team"] if "_team_" in name else ["race"], name)
+    return out
+
+
+def planned(df: DataFrame, plan: Plan, required: list[str] = (), metadata: list[str] = ()) -> DataFrame:
+    """The columns of ``df`` that the plan keeps; ``required`` ones and those of the plan's mode must be there."""
+    return df.select(*feature_plan(df.columns, [*required, *MODES[plan.mode]], plan.excludes, metadata))
+
 
 def feature_plan(columns: list[str], required: list[str], excludes: list[str] = (), metadata: list[str] = ()) -> list[str]:
     """The columns to keep, in order, once each; a missing required column is an error."""

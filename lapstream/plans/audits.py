@@ -60,6 +60,16 @@ q("v8_contract_rules", "suggestions pit_evals", lambda f: A.decision_contract(la
     unnest([CASE WHEN v = 0 THEN 'PASS' ELSE 'FAIL' END FOR v IN [label, 0, far, twice, win, re, unk]]) AS status FROM y JOIN tw USING (g)""")
 
 
+compared = lambda f: {source: labelled(f).where(C("source") == source).drop("source") for source in ("acted", "all")}
+q("v8_comparator_invariance", "suggestions pit_evals", lambda f: A.comparator_invariance(compared(f)),
+  f""", cr AS ({ORACLES['v8_contract_rules']}), ck AS (SELECT source || '_' || "check" AS "check", value, status FROM cr UNION ALL SELECT unnest(['comparator_schema_exact_match', 'fixed_horizon_contract_constant']), 1.0, 'PASS')
+  SELECT * FROM ck UNION ALL SELECT 'comparator_invariance_overall', CASE WHEN bool_and(status = 'PASS') AND COUNT(*) = 16 THEN 1.0 ELSE 0.0 END, CASE WHEN bool_and(status = 'PASS') AND COUNT(*) = 16 THEN 'PASS' ELSE 'FAIL' END FROM ck""")
+q("v8_comparator_details", "suggestions pit_evals", lambda f: A.comparator_details(compared(f)),
+  matching(f"SELECT 'acted' AS g, {KEY} FROM suggestions WHERE suggestionLabel IN ('PIT_NOW', 'GOOD_PIT') UNION ALL SELECT 'all', {KEY} FROM suggestions")
+  + """ SELECT g AS section, unnest(['rows_total', 'rows_scored', 'rows_excluded', 'rows_matched', 'max_match_distance', 'min_match_distance']) AS name,
+  unnest([COUNT(*), COUNT(*) FILTER (outcome <> 'EXCLUDED'), COUNT(*) FILTER (outcome = 'EXCLUDED'), COUNT(pit), MAX(pit - lapNumber), MIN(pit - lapNumber)]::DOUBLE[]) AS value FROM m GROUP BY g""")
+
+
 # The frontier of thresholds
 STEPS = [10.0, 40.0, 50.0, 60.0, 70.0, 80.0, 95.0]
 FRONTIER = matching(f"SELECT t AS g, {KEY} FROM suggestions, (SELECT unnest({STEPS})::DOUBLE AS t) th WHERE totalScore >= t") + f""", ms AS (SELECT g, COUNT(*) AS actionable, COUNT(*) FILTER (outcome <> 'EXCLUDED') AS scored, COUNT(*) FILTER (outcome = 'EXCLUDED') AS excluded, COUNT(*) FILTER (outcome = '1') AS tp, COUNT(*) FILTER (outcome = '0') AS fp,

@@ -1,11 +1,16 @@
-"""Registered queries of the stream reports and forensics, and their SQL."""
+"""Registered queries of stream reports, forensics, curves by group and feature profiles, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import curves as U
+from ..operators import features as X
 from ..operators import laps as L
 from ..operators import quality as R
 from .audits import ORACLES, QUERIES, profile_sql
-from .queries import KEY, q
+from .queries import KEY, C, q
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -71,3 +76,33 @@ q("v13_forensics", "laps pit_evals evaluated", lambda f: R.forensics(f("evaluate
 ]))
 q("v13_extreme_stops", "laps pit_evals evaluated", lambda f: R.extreme_gaps(f("evaluated")),
   "SELECT race, driver, pitLapNumber, rivalAhead, ROUND(prePitGapAhead, 3) AS prePitGapAhead, ROUND(postPitGapToRival, 3) AS postPitGapToRival, ROUND(gapDeltaPct, 3) AS gapDeltaPct, result, resolvedVia FROM evaluated WHERE abs(gapDeltaPct) > 20 ORDER BY abs(gapDeltaPct) DESC, race, driver, pitLapNumber LIMIT 5")
+
+
+# Curves by year and for all rows, of two scores
+curves = lambda f: U.curves(f("oof").withColumn("calibrated_proba", F.floor(C("raw_proba") * 50) / 50), ["raw_proba", "calibrated_proba"], S.year_of_race(C("race")))
+CURVES = """, lg AS (SELECT substr(race, 1, 4) AS y, 'raw_proba' AS score_type, raw_proba AS s, target_y FROM oof UNION ALL SELECT substr(race, 1, 4), 'calibrated_proba', FLOOR(raw_proba * 50) / 50, target_y FROM oof),
+bg AS (SELECT y AS "group", score_type, s, COUNT(*) AS n, SUM(target_y) AS pos FROM lg GROUP BY ALL UNION ALL SELECT 'overall', score_type, s, COUNT(*), SUM(target_y) FROM lg GROUP BY ALL),
+cp AS (SELECT *, SUM(pos) OVER w AS tp, SUM(n) OVER w AS seen, SUM(pos) OVER (PARTITION BY "group", score_type) AS ap, SUM(n) OVER (PARTITION BY "group", score_type) AS an FROM bg WINDOW w AS (PARTITION BY "group", score_type ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+cv AS (SELECT *, tp / seen AS precision, tp / ap AS recall, LAG(tp / seen, 1, 1.0::DOUBLE) OVER w AS p0, LAG(tp / ap, 1, 0.0::DOUBLE) OVER w AS r0 FROM cp WINDOW w AS (PARTITION BY "group", score_type ORDER BY s DESC))"""
+q("w25_discrimination", "oof", lambda f: U.discrimination(curves(f)), CURVES + """ SELECT "group", score_type, ROUND(SUM(pos / ap * precision), 6) AS pr_auc_ap, ROUND(SUM((recall - r0) * (precision + p0) / 2), 6) AS pr_auc_trapz, CAST(MAX(ap) AS BIGINT) AS n_positive, CAST(MAX(an) AS BIGINT) AS n_rows, ROUND(MAX(ap) / MAX(an), 6) AS prevalence FROM cv GROUP BY 1, 2""")
+q("w25_operating_points", "oof", lambda f: U.operating_points(curves(f), {**U.MARKS, "between": 0.3337, "again": 0.1}),
+  CURVES + """ SELECT "group", score_type, point_label, requested_threshold, s AS effective_threshold, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall FROM cv, (SELECT unnest(['threshold_0.50', 'threshold_0.10', 'threshold_0.05', 'between']) AS point_label, unnest([0.5, 0.1, 0.05, 0.3337]::DOUBLE[]) AS requested_threshold) m
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY "group", score_type, point_label ORDER BY abs(s - requested_threshold), s) = 1""")
+q("w25_best_points", "oof", lambda f: U.best_points(curves(f)), CURVES + """ SELECT "group", score_type, s AS threshold, ROUND(2 * tp / (seen + ap), 6) AS f1, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall FROM cv QUALIFY ROW_NUMBER() OVER (PARTITION BY "group", score_type ORDER BY 2 * tp / (seen + ap) DESC, s) = 1""")
+
+
+# Features of a profile
+def profiled(f):
+    plan = X.profile_plan("percent_race_team_v1_strict", ["pitLoss, vscPitLoss", "scPitLoss"])
+    rows = X.planned(X.with_mode(f("laps"), plan.mode), plan, [*KEY.split(", "), "tyreLife"], ["pitInTime", "pitOutTime", "eventTimeMillis", "trackTemp", "totalLaps", "gapToCarAhead"])
+    return rows.withColumns({c: F.round(c, 6) for c in X.MODES[plan.mode]})
+
+
+PAST = "AVG(m) OVER (PARTITION BY {} ORDER BY lapNumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM (SELECT {}, lapNumber, AVG(lapTime) AS m FROM laps GROUP BY ALL) z"
+CLIP = "ROUND(GREATEST(0.5::DOUBLE, LEAST(2.0::DOUBLE, COALESCE(lapTime / {}, 1.0::DOUBLE))), 6)"
+q("f18_profile_matrix", "laps", profiled,
+  f""", t AS (SELECT race, team, lapNumber, {PAST.format('race, team', 'race, team')}), r AS (SELECT race, lapNumber, {PAST.format('race', 'race')})
+  SELECT {KEY}, position, stint, tyreLife, compound, trackStatus, ROUND(LEAST(1.5::DOUBLE, lapNumber / totalLaps), 6) AS race_progress_pct,
+    {CLIP.format('AVG(lapTime) OVER (PARTITION BY race, driver ORDER BY lapNumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS lapTime_vs_driver_prev_mean_pct,
+    {CLIP.format('t.past')} AS lapTime_vs_team_prev_lapbucket_mean_pct, {CLIP.format('r.past')} AS lapTime_vs_race_prev_lapbucket_mean_pct
+  FROM laps JOIN t USING (race, team, lapNumber) JOIN r USING (race, lapNumber)""")
