@@ -8,9 +8,10 @@ from ..functions import scalars as S
 from ..operators import curves as U
 from ..operators import features as X
 from ..operators import laps as L
+from ..operators import pace as W
 from ..operators import quality as R
 from .audits import ORACLES, QUERIES, profile_sql
-from .queries import KEY, C, q
+from .queries import CLEANQ, KEY, C, q
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -106,3 +107,18 @@ q("f18_profile_matrix", "laps", profiled,
     {CLIP.format('AVG(lapTime) OVER (PARTITION BY race, driver ORDER BY lapNumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS lapTime_vs_driver_prev_mean_pct,
     {CLIP.format('t.past')} AS lapTime_vs_team_prev_lapbucket_mean_pct, {CLIP.format('r.past')} AS lapTime_vs_race_prev_lapbucket_mean_pct
   FROM laps JOIN t USING (race, team, lapNumber) JOIN r USING (race, lapNumber)""")
+
+
+# Pace against the car ahead, and against the leader
+ahead = lambda f: f("laps").alias("a").join(f("laps").alias("b"), (C("a.race") == C("b.race")) & (C("a.lapNumber") == C("b.lapNumber")) & (C("a.position") == C("b.position") + 1)).select("a.race", "a.driver", C("b.driver").alias("rival"), "a.lapNumber")
+q("w20_relative_pace", "laps", lambda f: W.relative_pace_gap(f("laps"), ahead(f)).withColumn("paceGap", F.round("paceGap", 6)),
+  f""", lp AS (SELECT race, driver, lapNumber + o AS a, AVG(lapTime) AS pace FROM laps, (SELECT unnest([0, 1, 2, 3]) AS o) s WHERE {CLEANQ} GROUP BY ALL HAVING COUNT(*) >= 2),
+  pr AS (SELECT a.race, a.driver, b.driver AS rival, a.lapNumber FROM laps a JOIN laps b ON a.race = b.race AND a.lapNumber = b.lapNumber AND a.position = b.position + 1),
+  tr AS (SELECT pr.*, r, CAST(pr.lapNumber + d AS INT) AS anchor FROM pr, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS r, unnest([0, -1, 1, -2, 2, -3, 3]) AS d) s),
+  fd AS (SELECT tr.*, x.pace - y.pace AS g FROM tr JOIN lp x ON x.race = tr.race AND x.driver = tr.driver AND x.a = tr.anchor JOIN lp y ON y.race = tr.race AND y.driver = tr.rival AND y.a = tr.anchor WHERE anchor > 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY tr.race, tr.driver, tr.rival, tr.lapNumber ORDER BY r) = 1)
+  SELECT pr.race, pr.driver, pr.rival, pr.lapNumber, fd.anchor, ROUND(fd.g, 6) AS paceGap FROM pr LEFT JOIN fd USING (race, driver, rival, lapNumber)""")
+q("w20_leader_pace", "laps", lambda f: W.leader_pace_gap(f("laps")).select(*KEY.split(", "), *(F.round(c, 6).alias(c) for c in ("pace", "reference", "paceGap"))),
+  f""", cl AS (SELECT race, driver, lapNumber, position, lapTime, AVG(lapTime) OVER (PARTITION BY race, driver ORDER BY lapNumber ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM laps WHERE {CLEANQ}),
+  pc AS (SELECT {KEY}, (SELECT arg_max(m, cl.lapNumber) FROM cl WHERE cl.race = l.race AND cl.driver = l.driver AND cl.lapNumber <= l.lapNumber) AS pace, (SELECT arg_max(m, cl.lapNumber) FROM cl WHERE cl.race = l.race AND cl.driver = l.driver AND cl.lapNumber < l.lapNumber) AS before,
+    (SELECT arg_max(lapTime, cl.lapNumber) FROM cl WHERE cl.race = l.race AND cl.position = 1 AND cl.lapNumber BETWEEN l.lapNumber - 2 AND l.lapNumber) AS led FROM laps l)
+  SELECT {KEY}, ROUND(pace, 6) AS pace, ROUND(COALESCE(led, before), 6) AS reference, ROUND(pace - COALESCE(led, before), 6) AS paceGap FROM pc""")
