@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .quantiles import with_quantiles
 
 KEY = ["race", "driver", "lapNumber"]
 
@@ -125,9 +126,14 @@ def feature_effects(rows: DataFrame, columns: list[str], positive: Column) -> Da
     """For each feature: size, mean, spread, median and outer tenths among true and false positives, and Cohen's d."""
     long = rows.select(positive.alias("tp"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("f")).select("tp", "f.*")
     of = lambda t, f: f(F.when(F.col("tp") == t, F.col("v")))
-    g = long.groupBy("feature").agg(of(True, F.count).alias("n_tp"), of(False, F.count).alias("n_fp"), of(True, F.avg).alias("m1"), of(False, F.avg).alias("m0"), of(True, F.var_pop).alias("v1"), of(False, F.var_pop).alias("v0"), *(of(t, lambda c, p=p: F.round(F.percentile(c, p), 6)).alias(f"{n}_{k}") for t, k in ((True, "tp"), (False, "fp")) for n, p in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))))
+    sides, tenths = (("tp", True), ("fp", False)), {"median": 0.5, "p10": 0.1, "p90": 0.9}
+    g = long.groupBy("feature").agg(of(True, F.count).alias("n_tp"), of(False, F.count).alias("n_fp"), of(True, F.avg).alias("m1"), of(False, F.avg).alias("m0"), of(True, F.var_pop).alias("v1"), of(False, F.var_pop).alias("v0"))
+    spine = rows.sparkSession.createDataFrame([(c, t) for c in columns for _, t in sides], "feature string, tp boolean")
+    both = with_quantiles(spine, long.where("tp is not null"), ["feature", "tp"], F.col("v"), tenths)
+    wide = both.groupBy("feature").agg(*(F.max(F.when(F.col("tp") == t, F.round(n, 6))).alias(f"{n}_{k}") for k, t in sides for n in tenths))
     d = F.try_divide(F.col("m1") - F.col("m0"), F.sqrt((F.col("v1") + F.col("v0")) / 2))
-    return g.select("feature", "n_tp", "n_fp", F.round("m1", 6).alias("mean_tp"), F.round("m0", 6).alias("mean_fp"), F.round(F.sqrt("v1"), 6).alias("std_tp"), F.round(F.sqrt("v0"), 6).alias("std_fp"), F.round(d, 6).alias("cohens_d"), *(f"{n}_{k}" for k in ("tp", "fp") for n in ("median", "p10", "p90")))
+    means = g.select("feature", "n_tp", "n_fp", F.round("m1", 6).alias("mean_tp"), F.round("m0", 6).alias("mean_fp"), F.round(F.sqrt("v1"), 6).alias("std_tp"), F.round(F.sqrt("v0"), 6).alias("std_fp"), F.round(d, 6).alias("cohens_d"))
+    return means.join(wide, "feature")
 
 
 def emit_gate(scores: DataFrame, least: float = 40.0, delta: float = 10.0, repeat: int = 2, peak: float = 70.0, slow: float = 0.005) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decisions import count_if, ratio
+from .quantiles import numbered, with_quantiles
 
 Y, P = "target_y", "raw_proba"
 
@@ -125,8 +126,10 @@ def decision_curve(df: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
-    q = lambda p: F.round(F.percentile(column, p), 3)
-    return df.groupBy(*(keys or [])).agg(F.count(column).alias("n"), F.round(F.min(column), 3).alias("min"), F.round(F.avg(column), 3).alias("mean"), q(0.5).alias("median"), q(0.9).alias("p90"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.round(F.max(column), 3).alias("max"))
+    keys = keys or []
+    g = df.groupBy(*keys).agg(F.count(column).alias("n"), F.round(F.min(column), 3).alias("min"), F.round(F.avg(column), 3).alias("mean"), F.round(F.max(column), 3).alias("max"))
+    q = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    return with_quantiles(g, df, keys, F.col(column), q).select(*keys, "n", "min", "mean", *(F.round(k, 3).alias(k) for k in q), "max")
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -150,8 +153,9 @@ def latency_summary(df: DataFrame, components: list[str], total: str, warmup: in
     of good events, and the component's share of the total time."""
     ok = F.col("status") == "ok"
     long = df.where(F.col("event_index") > warmup).select(*keys, ok.alias("ok"), F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.when(ok, F.col(c).cast("double")).alias("v"), F.when(ok, F.col(total).cast("double")).alias("all")) for c in components))).alias("x")).select(*keys, "ok", "x.*")
-    q = lambda p: F.round(F.percentile("v", p), 3)
-    return long.groupBy(*keys, "component").agg(F.count("v").alias("n"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.round(F.avg("v"), 3).alias("mean"), F.round(F.max("v"), 3).alias("max"), ratio(count_if(F.col("ok")), F.count("*")).alias("availability"), F.round(F.sum("v") / F.sum("all"), 6).alias("share"))
+    g = long.groupBy(*keys, "component").agg(F.count("v").alias("n"), F.round(F.avg("v"), 3).alias("mean"), F.round(F.max("v"), 3).alias("max"), ratio(count_if(F.col("ok")), F.count("*")).alias("availability"), F.round(F.sum("v") / F.sum("all"), 6).alias("share"))
+    q = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return with_quantiles(g, long, [*keys, "component"], F.col("v"), q).select(*keys, "component", "n", *(F.round(k, 3).alias(k) for k in q), "mean", "max", "availability", "share")
 
 
 def duplicate_key_stats(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,32 +184,6 @@ def mcnemar_exact(only_a: int, only_b: int) -> float:
     return 1.0 if n == 0 else min(1.0, 2.0 * sum(math.comb(n, i) for i in range(k + 1)) / 2.0**n)
 
 
-def numbered(df: DataFrame, by: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """``df`` with ``__i``, the place from 1 in its timeline ``by``, and for each of ``sums`` the sum up to the row.
-
-    Rows are ranged over all timelines, summed range by range, and moved up by what earlier ranges of the timeline hold,
-    so a timeline of any length is summed in as many places as it has ranges. The ranges are fixed (``settled``) before
-    they are read twice."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settled(df.withColumns({"__i": F.lit(1).cast("long"), **sums}).repartitionByRange(tasks, by, *order).withColumn("__range", F.spark_partition_id()))
-    names, w = ["__i", *sums], Window.partitionBy(by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    held = ranged.groupBy(by, "__range").agg(*(F.sum(c).alias(c) for c in names))
-    held = held.select(by, "__range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_held") for c in names))
-    inside = ranged.withColumns({c: F.sum(c).over(w) for c in names}).join(held, [by, "__range"])
-    return inside.withColumns({c: F.col(c) + F.col(f"{c}_held") for c in names}).drop("__range", *(f"{c}_held" for c in names))
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows for good: a checkpoint in the session's folder for them where it has one, else kept in memory and
-    on disk (a local session)."""
-    spark = df.sparkSession
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(given)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
-
-
 def rolling_agreement(df: DataFrame, by: str, order: list[str], window: int, least: int) -> DataFrame:
     """Accuracy and Cohen's kappa of predictions over the last ``window`` rows of each timeline.
 

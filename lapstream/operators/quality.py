@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .audits import stream_checks, stream_profile
 from .decisions import count_if
-from .evaluation import duplicate_rows, numbered, settled, top_nulls
+from .evaluation import duplicate_rows, top_nulls
+from .quantiles import exact_quantiles, settled
 
 #: Stops on these tyres are wet; a change of a gap beyond this per cent of a lap is extreme. Fixed values.
 WET = ("INTERMEDIATE", "WET")
@@ -39,20 +40,6 @@ class Numbers:
     needs: tuple[str, ...] = field(default=())
 
 
-def exact_quantiles(counts: DataFrame, by: str, value: str, n: str, quantiles: dict[str, float]) -> DataFrame:
-    """(by, statistic, value): quantiles of each ``by`` from (by, value, n), n rows having the value; between two values
-    the quantile lies on the line. Places come from prefix sums over ranges (``numbered``), so a group of any
-    number of values is in as many tasks as it has ranges. A group without values has no row."""
-    x = numbered(counts.select(by, F.col(value).alias("__v"), F.col(n).cast("long").alias("__c")), by, ["__v"], {"__upto": F.col("__c")})
-    total = x.groupBy(by).agg(F.max("__upto").alias("__all"))
-    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("statistic"), F.lit(float(p)).alias("p")) for k, p in quantiles.items())))
-    x = x.join(total, by).withColumn("q", wanted).withColumn("__at", F.col("q.p") * (F.col("__all") - 1))
-    holds = lambda place: (place >= F.col("__upto") - F.col("__c")) & (place < F.col("__upto"))
-    low, high = holds(F.floor("__at")), holds(F.ceil("__at"))
-    g = x.where(low | high).groupBy(by, "q.statistic").agg(F.max(F.when(low, F.col("__v"))).alias("lo"), F.max(F.when(high, F.col("__v"))).alias("hi"), F.max("__at").alias("at"))
-    return g.select(by, "statistic", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("value"))
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
