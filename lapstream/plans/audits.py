@@ -11,6 +11,7 @@ from ..operators import features as X
 from ..operators import laps as L
 from ..operators import parity as V
 from ..operators import policies as Y
+from ..operators.quantiles import with_quantiles
 from .queries import KEY, NEG, ORACLES, POS, QUERIES, C, matched, q, scored
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -92,7 +93,8 @@ def gate_checks(f):
     low, high = (E.binary_metrics(f("oof"), t).select((C("tp") + C("fp")).alias(f"n{i}"), C("tp").alias(f"k{i}")) for i, t in enumerate((0.3, 0.6)))
     both = low.crossJoin(F.broadcast(high))  # one row each
     ok = C("status") == "ok"
-    time = f("timings").agg(F.percentile(F.when(ok, C("total_ms")).cast("double"), 0.95).alias("p95"), (D.count_if(ok) / F.count("*")).alias("up"), D.count_if(~ok).alias("down"))
+    time = f("timings").agg((D.count_if(ok) / F.count("*")).alias("up"), D.count_if(~ok).alias("down"))
+    time = with_quantiles(time, f("timings").where(ok), [], C("total_ms"), {"p95": 0.95})
     free = matched(f).where("outcome = 'EXCLUDED'").agg(F.avg((C("exclusionReason") == "NO_MATCH_WITHIN_HORIZON").cast("double")).alias("v"))
     parity = X.feature_parity(f("laps"), f("laps").withColumn("lapTime", F.round("lapTime", 1)), D.KEY, ["lapTime"], 0.05)
     row = lambda df, layer, check, value, threshold, direction, strict=False, hold=None: df.select(F.lit(layer).alias("layer"), F.lit(check).alias("check"), F.round(value.cast("double"), 6).alias("value"), F.lit(float(threshold)).alias("threshold"), F.lit(direction).alias("direction"), F.lit(strict).alias("strict"), F.lit(hold).cast("double").alias("hold"))
