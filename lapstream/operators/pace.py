@@ -26,15 +26,18 @@ def relative_pace_gap(laps: DataFrame, pairs: DataFrame, span: int = SPAN, least
     """``pairs`` (race, driver, rival, lapNumber), each once, with ``anchor`` and ``paceGap``: the difference of both cars' local
     paces at the lap, or else at the nearest of ``search`` laps before and after (before first) where both have one;
     null where there is none."""
-    key = ["race", "driver", "rival", "lapNumber"]
+    c, key = F.col, ["race", "driver", "rival", "lapNumber"]
     steps = [0, *(s * d for d in range(1, search + 1) for s in (-1, 1))]
-    order = F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(s).alias("step")) for i, s in enumerate(steps))))
     asked = pairs.select(*key).distinct()
-    tried = asked.withColumn("o", order).select(*key, "o.rank", (F.col("lapNumber") + F.col("o.step")).alias("anchor")).where("anchor > 0")
-    pace = local_pace(laps, span, least).withColumnRenamed("lapNumber", "anchor")
-    both = tried.join(pace.withColumnRenamed("pace", "own"), ["race", "driver", "anchor"]).join(pace.select("race", F.col("driver").alias("rival"), "anchor", F.col("pace").alias("other")), ["race", "rival", "anchor"])
-    found = both.groupBy(*key).agg(F.min(F.struct("rank", "anchor", (F.col("own") - F.col("other")).alias("paceGap"))).alias("best"))
-    return asked.join(found, key, "left").select(*key, "best.anchor", "best.paceGap")
+    # A car's paces around each lap in one row, made where its laps are: a pair meets two such rows, whatever ``search`` is.
+    shifted = local_pace(laps.repartition("race", "driver"), span, least).withColumn("step", F.explode(F.array(*(F.lit(s) for s in steps)))).withColumn("lapNumber", c("lapNumber") - c("step"))
+    near = shifted.groupBy(*CAR).agg(*(F.max(F.when(c("step") == s, c("pace"))).alias(f"p{i}") for i, s in enumerate(steps)))
+    sides = {"own": "driver", "other": "rival"}
+    for side, car in sides.items():
+        asked = asked.join(near.select("race", c("driver").alias(car), "lapNumber", *(c(f"p{i}").alias(f"{side}{i}") for i in range(len(steps)))), ["race", car, "lapNumber"], "left")
+    anchor = lambda s: c("lapNumber") + s
+    best = F.coalesce(*(F.when((anchor(s) > 0) & c(f"own{i}").isNotNull() & c(f"other{i}").isNotNull(), F.struct(anchor(s).alias("anchor"), (c(f"own{i}") - c(f"other{i}")).alias("paceGap"))) for i, s in enumerate(steps)))
+    return asked.withColumn("best", best).select(*key, "best.anchor", "best.paceGap")
 
 
 def leader_pace_gap(laps: DataFrame, recent: int = RECENT_LAPS, search: int = LEADER_BACK) -> DataFrame:

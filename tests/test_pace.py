@@ -67,3 +67,10 @@ def test_no_laps(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert W.leader_pace_gap(none).count() == 0
     assert W.relative_pace_gap(none, spark.createDataFrame([("R", "A", "B", 3)], "race string, driver string, rival string, lapNumber int")).first()["paceGap"] is None
+
+
+def test_relative_pace_deals_pairs_once(spark):
+    laps = spark.createDataFrame([("R", "A", 1, 80.0, None, None, "1")], "race string, driver string, lapNumber int, lapTime double, pitInTime double, pitOutTime double, trackStatus string")
+    pairs = spark.createDataFrame([("R", "A", "B", 3)], "race string, driver string, rival string, lapNumber int")
+    plan = W.relative_pace_gap(laps, pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # pairs are not multiplied by the laps searched and brought back by a third join
