@@ -213,10 +213,12 @@ def emergence(grids: DataFrame, status) -> DataFrame:
     c = F.col
     each = each.withColumn("loss", S.select_pit_loss(status(each), c("pitLoss"), c("vscPitLoss"), c("scPitLoss")))
     place, here = c("me.place"), c("me")
-    behind = F.filter(F.slice("line", place + 1, F.size("line")), lambda x: x["gapBlock"] == here["gapBlock"])
-    beyond = F.get(F.filter(behind, lambda x: x["gapSum"] - here["gapSum"] >= c("loss")), F.lit(0))
-    inside = F.try_element_at(F.when(beyond.isNull(), behind).otherwise(F.filter(behind, lambda x: x["place"] < beyond["place"])), F.lit(-1))
-    each = each.withColumn("m", F.when(c("loss").isNotNull(), inside)).withColumn("ahead", F.when(place > 1, F.get("line", place - 2))).withColumn("behind", F.get("line", place))
+    each = each.withColumn("behind", F.get("line", place)).withColumn("ahead", F.when(place > 1, F.get("line", place - 2)))
+    # One pass down the line: the last car of the block before the first one that the loss does not reach.
+    none = F.struct(F.lit(False).alias("past"), F.lit(None).cast("int").alias("place"))
+    down = lambda acc, x: F.when(acc["past"] | (x["gapBlock"] != here["gapBlock"]), acc).when(x["gapSum"] - here["gapSum"] >= c("loss"), F.struct(F.lit(True).alias("past"), acc["place"].alias("place"))).otherwise(F.struct(F.lit(False).alias("past"), x["place"].alias("place")))
+    inside = F.aggregate(F.slice("line", place + 1, F.size("line")), none, down)["place"]
+    each = each.withColumn("m", F.when(c("loss").isNotNull(), F.get("line", inside - 1)))
     m = c("m")
     kept = [x for x in each.columns if x not in ("line", "me", "m")]
     return each.select(
@@ -226,8 +228,11 @@ def emergence(grids: DataFrame, status) -> DataFrame:
 
 
 def by_race(laps: DataFrame) -> DataFrame:
-    """Dealt by race once: windows over a race and anything beside it need no exchange of their own."""
-    return laps.repartition("race")
+    """Dealt by race once: windows over a race and anything beside it need no exchange of their own.
+
+    In as many parts as the session shuffles into, which are not put together again: laps are few bytes in a shuffle, but
+    each window of the stage behind it sorts a task's rows in memory of its own."""
+    return laps.repartition(int(laps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "race")
 
 
 def zones_of(grids: DataFrame, least_tyre_life: int = 8) -> DataFrame:
