@@ -6,21 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .laps import CURRENT, UNBOUNDED, baseline_laps, clean, ladder, race_driver, race_lap, rival_at
+from .laps import CURRENT, UNBOUNDED, clean, ladder, race_driver, race_lap
 
 #: Green laps until settled, laps without an evaluation, laps searched around one, laps looked back for the
 #: rival's stop, share of the laps left until strategies count as different, milliseconds and laps of the safety timer.
 SETTLE, WARMUP, SEARCH, LOOKBACK, OFFSET, TIMER, TIMER_LAPS = 4, 2, 3, 6, 0.4, 900_000, 5
 #: Laps and least samples of a pace, laps of a recent pace, least gap and most places of an order that counts.
 SPAN, SAMPLES, RECENT_LAPS, LEAST_GAP, MOST_PLACES = 4, 2, 3, 0.3, 6
+#: Fixed value: baseline without a clean lap of the stint or of the field.
+NO_BASELINE = 95.0
 NEAR = [0, *(s * o for o in range(1, SEARCH + 1) for s in (-1, 1))]
 
 
 def lap_lines(laps: DataFrame) -> DataFrame:
-    """(race, driver, line): a car's laps in order as one array, which a race bounds, with what the evaluation of stops
-    looks up: time, place, stops, green laps so far, ladder of gaps, paces, the leader's lap, traffic ahead, compound."""
+    """(race, driver, line): a car's laps in order as one array ``rows``, which a race bounds, with what the evaluation of
+    stops looks up: time, place, stops, green laps so far, ladder of gaps, paces, traffic ahead, and a stop's own row.
+    Beside it ``laps`` and ``greens`` alone, so that a row is found by its place in an array of integers."""
     c = F.col
-    x = ladder(laps).withColumn("ct", F.when(clean(), c("lapTime"))).withColumn("green", S.is_green(c("trackStatus")))
+    x = ladder(laps).withColumn("traffic", F.coalesce((F.lag("tyreLife").over(race_lap()) >= 25) & (c("gapToCarAhead") < 2.0), F.lit(False)))
+    x = x.withColumn("ct", F.when(clean(), c("lapTime"))).withColumn("green", S.is_green(c("trackStatus")))
     span = race_driver().rangeBetween(-(SPAN - 1), 0)
     so_far = race_driver().rowsBetween(UNBOUNDED, CURRENT)
     x = x.withColumn("mark", c("pitInTime").isNotNull() | F.coalesce(c("stint") > F.lag("stint").over(race_driver()), F.lit(False)))
@@ -29,17 +33,42 @@ def lap_lines(laps: DataFrame) -> DataFrame:
     x = x.withColumn("k", F.count("ct").over(so_far))
     recent = Window.partitionBy("race", "driver").orderBy("k").rangeBetween(-(RECENT_LAPS - 1), 0)
     x = x.withColumn("recent", F.when(c("k") > 0, F.avg("ct").over(recent)))
-    old = F.lag("tyreLife").over(race_lap()) >= 25
-    x = x.withColumn("traffic", F.coalesce(old & (c("gapToCarAhead") < 2.0), F.lit(False)))
-    lead = x.where("position = 1").groupBy("race", "lapNumber").agg(F.max("ct").alias("led")).where("led is not null")
-    known = lead.select("race", "led", F.posexplode(F.array(*(c("lapNumber") + i for i in range(3)))).alias("back", "lapNumber"))
-    x = x.join(known.groupBy("race", "lapNumber").agg(F.min_by("led", "back").alias("leader")), ["race", "lapNumber"], "left")
-    fields = [c("lapNumber").alias("lap"), c("eventTimeMillis").alias("t"), "position", "mark", "pitInTime", "green", "greens", "gapSum", "gapBlock", "pace", "recent", "leader", "traffic", "compound"]
-    return x.groupBy("race", "driver").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("line"))
+    fields = [c("lapNumber").alias("lap"), c("eventTimeMillis").alias("t"), "position", "mark", "pitInTime", "green", "greens", "gapSum", "gapBlock", "pace", "recent", "traffic", "compound", "stint", "ct", "trackStatus", "totalLaps"]
+    x = x.groupBy("race", "driver").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+    line = F.struct("rows", c("rows")["lap"].alias("laps"), c("rows")["greens"].alias("greens")).alias("line")
+    return x.select("race", "driver", line).where("race is not null and driver is not null")
+
+
+def courses(laps: DataFrame) -> DataFrame:
+    """(race, course): arrays by lap of a race: when it began, the leader's last clean time in three laps, the median of clean
+    times, and its cars by position."""
+    c = F.col
+    ct = F.when(clean(), c("lapTime"))
+    x = laps.groupBy("race", "lapNumber").agg(
+        F.collect_list(F.struct("position", "driver")).alias("cars"), F.min("eventTimeMillis").alias("begun"), F.percentile(ct, 0.5).alias("median"), F.max(F.when(c("position") == 1, ct)).alias("led"),
+    )
+    x = x.withColumn("leader", F.last("led", ignorenulls=True).over(Window.partitionBy("race").orderBy("lapNumber").rangeBetween(-2, 0)))
+    x = x.groupBy("race").agg(F.sort_array(F.collect_list(F.struct("lapNumber", "begun", "leader", "median", "cars"))).alias("all"))
+    return x.select("race", F.struct(c("all")["lapNumber"].alias("laps"), *(c("all")[k].alias(k) for k in ("begun", "leader", "median", "cars"))).alias("course"))
+
+
+def on_course(lap: Column, what: str) -> Column:
+    return F.get(F.col("course")[what], (F.array_position(F.col("course")["laps"], lap) - 1).cast("int"))
+
+
+def neighbour(step: int) -> Column:
+    """The driver ``step`` places away on the stop's lap, else on the lap before, never the driver itself."""
+    c = F.col
+    there = lambda cars: F.transform(F.filter(cars, lambda x: x["position"] == c("position") + step), lambda x: x["driver"])
+    others = lambda cars: F.array_max(F.filter(there(cars), lambda d: d != c("driver")))
+    now, past = on_course(c("pitLap"), "cars"), on_course(c("pitLap") - 1, "cars")
+    either = F.when(F.exists(there(now), lambda d: d.isNull() | (d == c("driver"))), F.greatest(others(now), others(past)))
+    return either.otherwise(F.coalesce(others(now), others(past)))
 
 
 def at(line: Column, lap: Column) -> Column:
-    return F.get(F.filter(line, lambda x: x["lap"] == lap), F.lit(0))
+    """The row of a lap, null if there is none."""
+    return F.get(line["rows"], (F.array_position(line["laps"], lap) - 1).cast("int"))
 
 
 def first_of(values: Column) -> Column:
@@ -51,26 +80,28 @@ def gap_of(own: Column, rival: Column) -> Column:
     return F.when((own["gapBlock"] == rival["gapBlock"]) & (F.abs(own["position"] - rival["position"]) <= MOST_PLACES), F.round(own["gapSum"] - rival["gapSum"], 3))
 
 
-def near(lap: Column, offsets: list[int], value, until: Column | None = None) -> Column:
-    """The first known value(own, rival) on the laps ``lap`` + offset, in that order; rows after ``until`` are not seen."""
+def near(lap: Column, offsets: list[int], value, until: Column | None = None, rival: str = "rivalLine") -> Column:
+    """The first known value(own, rival) on the laps ``lap`` + offset, in that order; rows after ``until`` are not seen.
+    Both rows of each lap are looked up once, before ``value`` reads their fields."""
+    pairs = F.array(*(F.struct(at(F.col("line"), lap + o).alias("a"), at(F.col(rival), lap + o).alias("b")) for o in offsets))
 
-    def one(o: Column) -> Column:
-        a, b = at(F.col("line"), lap + o), at(F.col("rivalLine"), lap + o)
+    def one(p: Column) -> Column:
+        a, b = p["a"], p["b"]
         return value(a, b) if until is None else F.when((a["t"] <= until) & (b["t"] <= until), value(a, b))
 
-    return first_of(F.transform(F.array(*(F.lit(o) for o in offsets)), one))
+    return first_of(F.transform(pairs, one))
 
 
 def settle_lap(line: Column, pit: Column) -> Column:
-    """The row of the fourth green lap after a stop."""
-    since = at(line, pit)["greens"]
-    return F.get(F.filter(line, lambda x: x["green"] & (x["lap"] > pit) & (x["greens"] >= since + SETTLE)), F.lit(0))
+    """The row of the fourth green lap after a stop: the first one with four more green laps so far."""
+    return F.get(line["rows"], (F.array_position(line["greens"], at(line, pit)["greens"] + SETTLE) - 1).cast("int"))
 
 
 def rival_pit_search(line: Column, pit: Column) -> tuple[Column, Column]:
     """The rival's first stop in the laps before (the stop's own included), and its first one after."""
-    before = F.get(F.filter(line, lambda x: x["pitInTime"].isNotNull() & x["lap"].between(pit - LOOKBACK, pit)), F.lit(0))["lap"]
-    return before, F.get(F.filter(line, lambda x: x["mark"] & (x["lap"] > pit)), F.lit(0))["lap"]
+    rows = line["rows"]
+    before = F.get(F.filter(rows, lambda x: x["pitInTime"].isNotNull() & x["lap"].between(pit - LOOKBACK, pit)), F.lit(0))["lap"]
+    return before, F.get(F.filter(rows, lambda x: x["mark"] & (x["lap"] > pit)), F.lit(0))["lap"]
 
 
 def pct_of(pre: Column, post: Column, baseline: Column) -> Column:
@@ -90,8 +121,8 @@ def not_pending(stops: DataFrame) -> DataFrame:
         taken = F.struct(s["resolvedAt"].alias("open"), F.concat(acc["laps"], F.array(s["pitLap"])).alias("laps"))
         return F.when(free, taken).otherwise(acc)
 
-    kept = stops.groupBy("race", "driver").agg(F.aggregate(F.array_sort(F.collect_list(stop)), start, step)["laps"].alias("__laps"))
-    return stops.join(kept, ["race", "driver"]).where(F.array_contains("__laps", F.col("pitLap"))).drop("__laps")
+    kept = F.aggregate(F.array_sort(F.collect_list(stop).over(Window.partitionBy("race", "driver"))), start, step)["laps"]
+    return stops.withColumn("__laps", kept).where(F.array_contains("__laps", F.col("pitLap"))).drop("__laps")
 
 
 def pit_cycles(laps: DataFrame) -> DataFrame:
@@ -104,38 +135,41 @@ def pit_cycles(laps: DataFrame) -> DataFrame:
     the change of relative pace stands for it (.._PACE_SHIFT), then a change of order (POSITIONAL_FALLBACK); without any
     rival, pace against the leader (REFERENCE_FALLBACK). Else EARLY_LAP_FILTER or INSUFFICIENT_DATA.
 
-    A stop while the driver's last one is still open is not evaluated (``not_pending``). A car's laps become one array, so
-    two joins bring a stop all it looks up; a lap that has no row has no pace. Laps with neither race nor driver are left
+    A stop while the driver's last one is still open is not evaluated (``not_pending``). A race becomes one
+    row of its cars' laps, which a race bounds: a stop and all it looks up are in it, and nothing that carries laps is dealt
+    again. A lap that has no row has no pace. Laps with neither race nor driver are left
     out.
     """
     c, lit = F.col, F.lit
-    key = ["race", "driver", "lapNumber"]
-    lines = lap_lines(laps)
-    stops = laps.where("pitInTime is not null").select(*key, "position", "trackStatus", "totalLaps", c("eventTimeMillis").alias("t0"))
-    for step, name in ((-1, "ahead"), (1, "behind")):
-        stops = stops.join(rival_at(laps, step).withColumnRenamed("rival", name), key, "left")
-    stops = stops.join(baseline_laps(laps), key, "left").withColumnRenamed("lapNumber", "pitLap").join(lines, ["race", "driver"])
+    race = lap_lines(laps).groupBy("race").agg(F.collect_list(F.struct("driver", "line")).alias("cars")).join(courses(laps), "race")
+    stopped_at = lambda car: F.transform(F.filter(car["line"]["rows"], lambda x: x["pitInTime"].isNotNull()), lambda x: F.struct(car["driver"].alias("driver"), x.alias("row")))
+    line_of = lambda driver: F.get(F.filter("cars", lambda car: car["driver"] == driver), lit(0))["line"]
+    s = race.select("race", "cars", "course", F.explode(F.flatten(F.transform("cars", stopped_at))).alias("stop"))
+    s = s.select("race", "stop.driver", "cars", "course", c("stop.row.lap").alias("pitLap"), "stop.row.position", "stop.row.trackStatus", "stop.row.totalLaps", c("stop.row.t").alias("t0"), "stop.row.stint", line_of(c("stop.driver")).alias("line"))
+    s = s.withColumn("ahead", neighbour(-1)).withColumn("behind", neighbour(1))
+    s = s.select("*", line_of(c("ahead")).alias("aheadLine"), line_of(c("behind")).alias("behindLine")).drop("cars")
     pit = c("pitLap")
+    best = F.array_min(F.transform(F.filter(c("line")["rows"], lambda x: x["stint"] == c("stint")), lambda x: x["ct"]))
+    s = s.withColumn("baseline", F.coalesce(best, on_course(pit, "median"), lit(NO_BASELINE)))
 
-    # Both neighbours with the gap before the stop; the first one whose gap is known is the rival.
-    both = stops.select("*", F.posexplode_outer(F.array_compact(F.array("ahead", "behind"))).alias("turn", "rival"))
-    both = both.join(lines.select("race", c("driver").alias("rival"), c("line").alias("rivalLine")), ["race", "rival"], "left").withColumn("preGap", near(pit, NEAR, gap_of))
-    one = Window.partitionBy("race", "driver", "pitLap").orderBy(c("preGap").isNull(), "turn")
-    s = both.withColumn("__r", F.row_number().over(one)).where("__r = 1").drop("__r", "turn", "ahead", "behind")
+    # Of both neighbours the first one whose gap before the stop is known is the rival, else the first one.
+    s = s.withColumn("gapAhead", near(pit, NEAR, gap_of, rival="aheadLine")).withColumn("gapBehind", near(pit, NEAR, gap_of, rival="behindLine"))
+    turned = c("ahead").isNull() | (c("gapAhead").isNull() & c("gapBehind").isNotNull())
+    pick = lambda a, b: F.when(turned, c(b)).otherwise(c(a))
+    s = s.select("*", pick("ahead", "behind").alias("rival"), pick("aheadLine", "behindLine").alias("rivalLine"), pick("gapAhead", "gapBehind").alias("preGap")).drop("ahead", "behind", "aheadLine", "behindLine", "gapAhead", "gapBehind")
 
     before, after = rival_pit_search(c("rivalLine"), pit)
     s = s.withColumn("own", settle_lap(c("line"), pit)).withColumn("settled", F.coalesce(c("own")["lap"], pit + SETTLE)).withColumn("before", before).withColumn("after", after)
     s = s.withColumn("offsetLap", F.greatest(pit + F.ceil(F.greatest(lit(1), c("totalLaps") - pit) * OFFSET), c("own")["lap"]).cast("int"))
     s = s.withColumn("answered", c("before").isNotNull() | F.coalesce(c("after") <= c("offsetLap"), lit(False))).withColumn("rivalPitLap", F.coalesce("before", "after"))
     s = s.withColumn("other", F.when(c("answered"), settle_lap(c("rivalLine"), c("rivalPitLap"))))
-    laps_begin = laps.groupBy("race", "lapNumber").agg(F.min("eventTimeMillis").alias("begun")).withColumnRenamed("lapNumber", "offsetLap")
-    s = s.join(laps_begin, ["race", "offsetLap"], "left")
+    s = s.withColumn("begun", on_course(c("offsetLap"), "begun"))
     due, own_t = c("t0") + TIMER, c("own")["t"]
     ready = F.when(c("own").isNotNull() & c("other").isNotNull(), F.greatest(own_t, c("other")["t"]))
     timeout = F.when(c("own").isNotNull() & c("begun").isNotNull(), F.greatest(own_t, c("begun")))
     case = F.when(pit <= WARMUP, "early").when(c("preGap").isNull(), "alone").when(c("answered") & (ready <= due), "rival").when(~c("answered") & (timeout <= due), "offset").otherwise("timer")
     s = s.withColumn("case", case).withColumn("resolvedAt", F.when(case == "early", c("t0")).when(case == "alone", F.coalesce(F.least(own_t, due), due)).when(case == "rival", ready).when(case == "offset", timeout).otherwise(due))
-    s = not_pending(s).withColumn("seen", F.when(c("case") == "rival", ready).otherwise(timeout))
+    s = s.withColumn("seen", F.when(c("case") == "rival", ready).otherwise(timeout))
     is_ = lambda name: c("case") == name
     s = s.withColumn("compareLap", F.when(is_("rival"), F.greatest(c("own")["lap"], c("other")["lap"])).when(is_("offset"), c("offsetLap")).otherwise(c("settled")))
 
@@ -145,15 +179,16 @@ def pit_cycles(laps: DataFrame) -> DataFrame:
     apart = lambda a, b: a["pace"] - b["pace"]
     s = s.withColumn("gap", gap).withColumn("paceBefore", near(F.greatest(lit(1), pit - 1), NEAR, apart)).withColumn("paceAfter", near(lap, NEAR, apart))
     mine = lambda n: at(c("line"), n)
-    against = lambda n: mine(n)["recent"] - F.coalesce(mine(n)["leader"], mine(n - 1)["recent"])
+    against = lambda n: mine(n)["recent"] - F.coalesce(on_course(n, "leader"), mine(n - 1)["recent"])
     s = s.withColumn("refBefore", F.when(is_("alone"), against(F.greatest(lit(1), pit - 1)))).withColumn("refAfter", F.when(is_("alone"), against(lap)))
     places = near(lap, NEAR, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct((a["position"] < b["position"]).alias("ahead"), (a["green"] & b["green"] & (F.abs(a["position"] - b["position"]) <= MOST_PLACES)).alias("fair"))))
     stopped = c("before").isNotNull() | F.coalesce(c("after") <= lap + SEARCH, lit(False))
     flipped = places["fair"] & (F.abs(c("preGap")) >= LEAST_GAP) & ((c("preGap") < 0) != places["ahead"]) & (is_("rival") | (is_("timer") & stopped))
     s = s.withColumn("flip", F.when(flipped, places["ahead"]))
 
-    base, traffic = c("baseline"), F.coalesce(mine(c("settled"))["traffic"], lit(False))
-    compound = F.get(F.filter(c("line"), lambda x: x["lap"] > pit), lit(0))["compound"]
+    base, traffic, compound = c("baseline"), c("traffic"), c("compound")
+    after_stop = F.get(F.filter(c("line")["rows"], lambda x: x["lap"] > pit), lit(0))["compound"]
+    s = s.withColumn("traffic", F.coalesce(mine(c("settled"))["traffic"], lit(False))).withColumn("compound", after_stop)
     s = s.withColumn("byGap", pct_of(c("preGap"), c("gap"), base)).withColumn("byPace", pct_of(c("paceBefore"), c("paceAfter"), base)).withColumn("byRef", pct_of(c("refBefore"), c("refAfter"), base))
     first = c("answered") & (pit <= c("rivalPitLap"))
     stop = lambda pre, post: S.classify_stop(pre, post, base, first, c("trackStatus"), compound, traffic)
@@ -178,7 +213,8 @@ def pit_cycles(laps: DataFrame) -> DataFrame:
         .otherwise(lacking("UNRESOLVED_MISSING_POST_GAP"))
     )
     s = s.withColumn("got", got)
+    s = not_pending(s.select("race", "driver", "pitLap", "t0", "resolvedAt", "rival", "answered", "rivalPitLap", "compareLap", "preGap", "got", is_("offset").alias("offset"), first.alias("first")))
     return s.select(
         "race", "driver", "pitLap", "rival", F.when(c("answered"), c("rivalPitLap")).alias("rivalPitLap"), "compareLap", "preGap", F.round("got.post", 3).alias("postGap"), F.round("got.delta", 4).alias("gapDeltaPct"),
-        F.col("got.how").alias("resolution"), is_("offset").alias("offsetStrategy"), F.coalesce(first, lit(False)).alias("pittedFirst"), F.col("got.result").alias("result"),
+        F.col("got.how").alias("resolution"), c("offset").alias("offsetStrategy"), F.coalesce("first", lit(False)).alias("pittedFirst"), F.col("got.result").alias("result"),
     )

@@ -88,3 +88,9 @@ def test_caution_laps_do_not_settle(spark):
     assert stop_of(spark, caution((27,)))["compareLap"] == 30
     late = stop_of(spark, caution((27, 28)))  # lap 31 is 902 seconds after the stop
     assert (late["compareLap"], late["resolution"]) == (24, "SAFETY_TIMER")
+
+
+def test_laps_are_read_twice_and_dealt_without_lines(spark):
+    plan = pit_cycles(spark.createDataFrame(undercut(), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "driver" in x and "lapNumber" in x]
