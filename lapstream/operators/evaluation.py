@@ -233,18 +233,28 @@ def hash_draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") / 4294967296.0
 
 
+#: Repetitions of a bootstrap that are summed side by side.
+AT_ONCE = 20
+
+
 def ap_bootstrap(df: DataFrame, other: str, reps: int, seed: int = 12345) -> DataFrame:
     """Average-precision difference of two scores for each repetition of a bootstrap over races.
 
     Draws come from hashes of the repetition and the draw, so reruns agree; a repetition weighs each race by how often
-    it was drawn, so the work is reps times the per-race score histograms, never reps times the rows.
+    it was drawn, so the work is reps times the per-race score histograms, never reps times the rows. ``AT_ONCE`` repetitions
+    are summed in one row: a histogram meets its race's weights as arrays, and races are numbered over ranges.
     """
-    races = df.select("race").distinct().withColumn("i", F.row_number().over(Window.orderBy("race")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    draws = races.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).select("rep", hash_draw(F.lit(seed), F.col("rep"), F.col("i")).alias("u"), "n")
-    weights = draws.select("rep", F.floor(F.col("u") * F.col("n")).cast("int").alias("i")).groupBy("rep", "i").agg(F.count("*").alias("w")).join(races, "i")
+    races = numbered(df.select(F.lit(0).alias("all"), "race").distinct(), "all", ["race"], {}).select("race", (F.col("__i") - 1).alias("i"))
+    draws = races.crossJoin(F.broadcast(races.agg(F.count("*").alias("n")))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    drawn = draws.select("rep", F.floor(hash_draw(F.lit(seed), F.col("rep"), F.col("i")) * F.col("n")).cast("int").alias("i"))
+    weight = lambda k: F.sum((F.col("rep") % AT_ONCE == k).cast("long"))
+    weights = drawn.groupBy("i", F.floor(F.col("rep") / AT_ONCE).alias("block")).agg(F.array(*(weight(k) for k in range(AT_ONCE))).alias("w")).join(races, "i")
     long = df.select("race", Y, F.explode(F.array(*(F.struct(F.lit(n).alias("model"), F.col(c).alias("s")) for n, c in (("a", P), ("b", other))))).alias("m")).select("race", Y, "m.*")
     hist = long.groupBy("race", "model", "s").agg(F.count("*").alias("n"), F.sum(Y).alias("pos"))
-    g = hist.join(weights.select("rep", "race", "w"), "race").groupBy("rep", "model", "s").agg(F.sum(F.col("n") * F.col("w")).alias("n"), F.sum(F.col("pos") * F.col("w")).alias("pos"))
+    sums = [F.sum(F.col(v) * F.get("w", F.lit(k))).alias(f"{v}{k}") for v in ("n", "pos") for k in range(AT_ONCE)]
+    g = hist.join(weights.select("block", "race", "w"), "race").groupBy("block", "model", "s").agg(*sums)
+    each = F.array(*(F.struct((F.col("block") * AT_ONCE + k).alias("rep"), F.col(f"n{k}").alias("n"), F.col(f"pos{k}").alias("pos")) for k in range(AT_ONCE)))
+    g = g.select("model", "s", F.explode(each).alias("g")).select("model", "s", "g.*").where("n > 0")
     w = Window.partitionBy("rep", "model").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = g.withColumn("precision", F.sum("pos").over(w) / F.sum("n").over(w))
     ap = x.groupBy("rep").agg(*(F.sum(F.when(F.col("model") == m, F.col("pos") * F.col("precision"))).alias(f"s{m}") for m in "ab"), *(F.sum(F.when(F.col("model") == m, F.col("pos"))).alias(f"p{m}") for m in "ab"))
