@@ -287,8 +287,9 @@ def pit_scores(laps: DataFrame, status: DataFrame, of: tuple[str, ...] = ("lap",
     """``scores_of`` the grids at the moments of these kinds.
 
     ``status`` (race, eventTimeMillis, status) is the track's status, green before its first; a car's own laps decide
-    on its pace and on the rivals' stops."""
-    return scores_of(snapshots(pace_state(by_race(laps)), status, of), least_tyre_life)
+    on its pace and on the rivals' stops. Paces are settled before races are dealt: their sorts are in tasks of their own,
+    which Spark cuts by size."""
+    return scores_of(snapshots(by_race(pace_state(laps)), status, of), least_tyre_life)
 
 
 def rival_at(laps: DataFrame, step: int) -> DataFrame:
