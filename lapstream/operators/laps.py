@@ -157,21 +157,26 @@ def snapshots(laps: DataFrame, status: DataFrame | None = None, of: tuple[str, .
     kinds, a caution called in the millisecond of a new lap is no moment of its own.
 
     Laps are dealt by race once; every window and the grouping behind it hold on to that. A race is one array in order of
-    time, a row of which counts until the driver's next one, so a moment's grid is a filter of that array."""
+    time, a row of which counts until the driver's next one. A moment's grid is a filter of the part of that array from
+    where the race first came to the grid's lowest lap (``climbs``) up to the moment: no row before it has such a lap."""
     c = F.col
     own, timed = Window.partitionBy("race", "driver").orderBy("eventTimeMillis", "lapNumber"), Window.partitionBy("race").orderBy("eventTimeMillis")
     worn = Window.partitionBy("race", "compound").orderBy("eventTimeMillis").rangeBetween(UNBOUNDED, -1)
     rows = [x for x in laps.columns if x not in ("__until", "__top", "__longest")]
     x = laps.withColumn("__until", F.lead("eventTimeMillis").over(own)).withColumn("__top", F.max("lapNumber").over(timed.rangeBetween(UNBOUNDED, CURRENT))).withColumn("__before", F.max("lapNumber").over(timed.rangeBetween(UNBOUNDED, -1))).withColumn("__longest", F.max("tyreLife").over(worn))
+    x = x.withColumn("__n", F.count("*").over(timed.rangeBetween(UNBOUNDED, CURRENT)).cast("int")).withColumn("__first", F.count("*").over(timed.rangeBetween(UNBOUNDED, -1)).cast("int"))
     real = c("driver").isNotNull() & (c("lapNumber") > 0)
     raised = real & (c("lapNumber") > F.coalesce("__before", F.lit(0))) & (c("lapNumber") > 1) & (c("lapNumber") == c("__top"))
+    undated = c("eventTimeMillis").isNull()  # first in order
+    climbs = (c("lapNumber") == c("__top")) & (undated | c("__before").isNull() | (c("lapNumber") > c("__before")))
     older = c("compound").isNotNull() & (c("tyreLife") > F.coalesce("__longest", F.lit(-1)))
     when = c("eventTimeMillis").alias("t")
     race = x.groupBy("race").agg(
-        F.collect_list(F.struct(when, c("__until").alias("until"), F.struct(*rows).alias("row"))).alias("rows"),
-        F.array_distinct(F.collect_list(F.when(raised, F.struct(when, c("lapNumber").alias("lap"))))).alias("raised"),
+        F.sort_array(F.collect_list(F.struct(when, c("__until").alias("until"), F.struct(*rows).alias("row")))).alias("rows"),
+        F.array_distinct(F.collect_list(F.when(raised, F.struct(when, c("lapNumber").alias("lap"), c("__n").alias("n"))))).alias("raised"),
+        F.array_distinct(F.collect_list(F.when(climbs, F.struct(c("lapNumber").alias("lap"), F.when(undated, 0).otherwise(c("__first")).alias("first"))))).alias("climbs"),
         F.collect_list(F.when(older, F.struct("compound", when, c("tyreLife").alias("n")))).alias("older"),
-        F.array_sort(F.array_distinct(F.collect_list(F.struct(when, c("__top").alias("lap"))))).alias("tops"),
+        F.array_sort(F.array_distinct(F.collect_list(F.struct(when, c("__top").alias("lap"), c("__n").alias("n"))))).alias("tops"),
     )
     if status is None:
         race = race.withColumn("calls", F.array().cast("array<struct<t:bigint,s:string>>"))
@@ -179,20 +184,22 @@ def snapshots(laps: DataFrame, status: DataFrame | None = None, of: tuple[str, .
         calls = status.groupBy("race").agg(F.array_sort(F.collect_list(F.struct(when, c("status").alias("s")))).alias("calls"))
         race = race.join(calls, "race", "left")
     last = lambda xs, t: F.try_element_at(F.filter(xs, lambda e: e["t"] <= t), F.lit(-1))
-    moment = lambda kind, t, lap: F.struct(F.lit(kind).alias("kind"), t.alias("t"), lap.alias("lap"))
-    on_lap = F.transform("raised", lambda m: moment("lap", m["t"], m["lap"]))
+    moment = lambda kind, t, lap, n: F.struct(F.lit(kind).alias("kind"), t.alias("t"), lap.alias("lap"), n.alias("n"))
+    on_lap = F.transform("raised", lambda m: moment("lap", m["t"], m["lap"], m["n"]))
     called = F.array_distinct(F.transform(F.filter("calls", lambda e: S.is_caution(e["s"])), lambda e: e["t"]))
-    on_call = F.filter(F.transform(called, lambda t: moment("caution", t, last(c("tops"), t)["lap"] - 1)), lambda m: m["lap"] > 0)
+    on_call = F.filter(F.transform(F.transform(called, lambda t: F.struct(t.alias("t"), last(c("tops"), t).alias("top"))), lambda m: moment("caution", m["t"], m["top"]["lap"] - 1, m["top"]["n"])), lambda m: m["lap"] > 0)
     if "lap" in of:  # events of one millisecond are one moment, under the status called then
         on_call = F.filter(on_call, lambda m: ~F.exists("raised", lambda r: r["t"] == m["t"]))
-    moments = F.concat(*([on_lap] if "lap" in of else []), *([F.coalesce(on_call, F.array().cast("array<struct<kind:string,t:bigint,lap:int>>"))] if "caution" in of else []))
+    moments = F.concat(*([on_lap] if "lap" in of else []), *([F.coalesce(on_call, F.array().cast("array<struct<kind:string,t:bigint,lap:int,n:int>>"))] if "caution" in of else []))
     each = race.withColumn("m", F.explode(moments))
     t, floor = c("m.t"), c("m.lap") - RECENT
-    cars = F.transform(F.filter("rows", lambda r: (r["t"] <= t) & (r["until"].isNull() | (r["until"] > t)) & (r["row"]["lapNumber"] >= floor)), lambda r: F.struct(r["row"]["position"].alias("p"), r["row"]["driver"].alias("d"), r["row"].alias("row")))
+    first = F.coalesce(F.array_min(F.transform(F.filter("climbs", lambda e: e["lap"] >= floor), lambda e: e["first"])), F.lit(0))
+    recent = F.slice("rows", first + 1, F.greatest(c("m.n") - first, F.lit(0)))
+    cars = F.transform(F.filter(recent, lambda r: (r["t"] <= t) & (r["until"].isNull() | (r["until"] > t)) & (r["row"]["lapNumber"] >= floor)), lambda r: F.struct(r["row"]["position"].alias("p"), r["row"]["driver"].alias("d"), r["row"].alias("row")))
     by_then = F.filter("older", lambda e: e["t"] <= t)
     seen = F.map_from_entries(F.transform(F.array_distinct(F.transform(by_then, lambda e: e["compound"])), lambda k: F.struct(k, F.array_max(F.transform(F.filter(by_then, lambda e: e["compound"] == k), lambda e: e["n"])))))
     now = S.normalize_or_green(last(c("calls"), t)["s"])
-    return each.select("race", c("m.kind").alias("kind"), t.alias("snapMillis"), c("m.lap").alias("snapLap"), now.alias("now"), seen.alias("seen"), F.transform(F.array_sort(cars), lambda r: r["row"]).alias("cars"))
+    return each.select("race", c("m.kind").alias("kind"), t.alias("snapMillis"), c("m.lap").alias("snapLap"), now.alias("now"), seen.alias("seen"), F.transform(F.sort_array(cars), lambda r: r["row"]).alias("cars"))
 
 
 def emergence(grids: DataFrame, status) -> DataFrame:
@@ -200,27 +207,28 @@ def emergence(grids: DataFrame, status) -> DataFrame:
 
     A grid is at most a field of cars; gaps are summed down it until they reach the loss of a stop under ``status`` (a
     function of a car) or one is unknown. Only row by row: a stream may ask this of its grids as well."""
-    gap = lambda x: F.coalesce(x["gapToCarAhead"], F.lit(0.0))
-    upto = lambda i: F.slice("cars", F.lit(1), i + 1)
-    slim = lambda x, i: F.struct(
-        (i + 1).alias("place"), x["position"].alias("position"), x["driver"].alias("driver"), x["lapNumber"].alias("lapNumber"),
-        F.round(F.aggregate(upto(i), F.lit(0.0), lambda acc, y: acc + gap(y)), 6).alias("gapSum"), F.size(F.filter(upto(i), lambda y: y["gapToCarAhead"].isNull())).alias("gapBlock"),
+    # One pass down the grid for the sums of gaps and the number of unknown ones; arrays are made before they are exploded,
+    # so that none is made again for a condition on what it gives.
+    tail = lambda acc, k, zero: F.coalesce(F.try_element_at(acc, F.lit(-1))[k], zero)
+    add = lambda acc, x: F.struct((F.size(acc) + 1).alias("place"), (tail(acc, "gap", F.lit(0.0)) + F.coalesce(x["gapToCarAhead"], F.lit(0.0))).alias("gap"), (tail(acc, "open", F.lit(0)) + x["gapToCarAhead"].isNull().cast("int")).alias("open"))
+    sums = F.aggregate("cars", F.array().cast("array<struct<place:int,gap:double,open:int>>"), lambda acc, x: F.concat(acc, F.array(add(acc, x))))
+    slim = lambda x, upto: F.struct(
+        upto["place"].alias("place"), x["position"].alias("position"), x["driver"].alias("driver"), x["lapNumber"].alias("lapNumber"), F.round(upto["gap"], 6).alias("gapSum"), upto["open"].alias("gapBlock"),
         x["compound"].alias("compound"), x["tyreLife"].alias("tyreLife"), x["pitInTime"].isNotNull().alias("boxed"),
     )
     others = [x for x in grids.columns if x not in ("race", "cars")]
-    each = grids.withColumn("line", F.transform("cars", slim)).select(*others, "line", F.posexplode("cars").alias("i", "car"))
+    each = grids.withColumn("line", F.zip_with("cars", sums, slim)).select(*others, "line", F.posexplode_outer("cars").alias("i", "car")).where("i is not null")
     each = each.select(*others, "line", "car.*", F.get("line", F.col("i")).alias("me"))
     c = F.col
     each = each.withColumn("loss", S.select_pit_loss(status(each), c("pitLoss"), c("vscPitLoss"), c("scPitLoss")))
     place, here = c("me.place"), c("me")
     each = each.withColumn("behind", F.get("line", place)).withColumn("ahead", F.when(place > 1, F.get("line", place - 2)))
-    # One pass down the line: the last car of the block before the first one that the loss does not reach.
-    none = F.struct(F.lit(False).alias("past"), F.lit(None).cast("int").alias("place"))
-    down = lambda acc, x: F.when(acc["past"] | (x["gapBlock"] != here["gapBlock"]), acc).when(x["gapSum"] - here["gapSum"] >= c("loss"), F.struct(F.lit(True).alias("past"), acc["place"].alias("place"))).otherwise(F.struct(F.lit(False).alias("past"), x["place"].alias("place")))
-    inside = F.aggregate(F.slice("line", place + 1, F.size("line")), none, down)["place"]
-    each = each.withColumn("m", F.when(c("loss").isNotNull(), F.get("line", inside - 1)))
+    # The last car of the block before the first one that the loss does not reach.
+    ends = F.filter(F.slice("line", place + 1, F.size("line")), lambda x: (x["gapBlock"] != here["gapBlock"]) | (x["gapSum"] - here["gapSum"] >= c("loss")))
+    inside = F.coalesce(F.get(ends, F.lit(0))["place"], F.size("line") + 1) - 1
+    each = each.withColumn("inside", F.when(c("loss").isNotNull(), inside)).select("*", F.explode_outer(F.when(c("inside") > place, F.slice("line", c("inside"), F.lit(1)))).alias("m"))
     m = c("m")
-    kept = [x for x in each.columns if x not in ("line", "me", "m")]
+    kept = [x for x in each.columns if x not in ("line", "me", "inside", "m")]
     return each.select(
         *kept, here["gapSum"].alias("gapSum"), here["gapBlock"].alias("gapBlock"), m["driver"].alias("carAhead"), m["compound"].alias("carCompound"), m["tyreLife"].alias("carTyreLife"),
         F.coalesce(m["position"] + 1, c("position")).alias("emergencePosition"), (c("loss") - (m["gapSum"] - here["gapSum"])).alias("gapToCar"),

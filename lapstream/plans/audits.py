@@ -142,7 +142,7 @@ q("v12_stream_profiles", "laps telemetry pit_evals suggestions",
       profile_sql("drop_zones", "dz", KEY, {"negative_positions_lost": "positionsLost < 0", "negative_gap_to_car": "gapToCar < 0", "positions_lost_mismatch": "emergencePosition - position <> positionsLost", "non_green": "status <> '1'"}),
       profile_sql("lift_coast", "lc", "race, driver, brakeMillis", {"bad_time_order": "NOT (startMillis < liftMillis AND liftMillis < brakeMillis)", "missing_time": "liftMillis IS NULL"}),
       profile_sql("tire_drops", "td", KEY, {"negative_delta": "delta < 0", "very_early": "COALESCE(tyreLife, 0) <= 3", "non_green": "trackStatus <> '1'"}),
-  ]))
+  ]), once="laps")
 
 # Difference of two scores, bootstrapped over races
 BOOT = """, rc AS (SELECT race, ROW_NUMBER() OVER (ORDER BY race) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT race FROM oof) x),

@@ -132,9 +132,13 @@ def with_clause(*names: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def fixture(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The named table, from the supplied ones and those of ``given`` (others that it needs, by name)."""
+    given = given or {}
+    if name in given:
+        return given[name]
     inputs = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "lineitem") if f"FROM {t}" in SQL[name]}
-    inputs |= {n: fixture(spark, sf_dir, n) for n in NEEDS.get(name, [])}
+    inputs |= {n: fixture(spark, sf_dir, n, given) for n in NEEDS.get(name, [])}
     text = SQL[name]
     for t in inputs:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +24,18 @@ ORACLES: dict[str, str] = {}
 C = F.col
 
 
-def q(name: str, names: str, build: Callable, sql: str | None = None) -> None:
-    """names: the fixtures read; sql may begin with a comma to add to the WITH list."""
-    QUERIES[name] = lambda spark, sf_dir: build(lambda n: fixture(spark, sf_dir, n))
+def q(name: str, names: str, build: Callable, sql: str | None = None, once: str | None = None) -> None:
+    """names: the fixtures read; sql may begin with a comma to add to the WITH list; once: a fixture of which the query has
+    many readers: it is derived once and kept on disk for them."""
+
+    def run(spark, sf_dir):
+        given = {once: fixture(spark, sf_dir, once)} if once else {}
+        out = build(lambda n: fixture(spark, sf_dir, n, given))
+        for df in given.values():  # not before: fixtures read it as a temporary view, and Spark forgets rows kept for a dropped one
+            df.persist(StorageLevel.DISK_ONLY)
+        return out
+
+    QUERIES[name] = run
     if sql:
         ORACLES[name] = with_clause(*names.split()) + "\n" + sql
 
