@@ -198,29 +198,86 @@ def kept_terms(chunks: DataFrame, least: int, width: int = FIRST_WIDTH) -> DataF
         before, width, sieve = width, 2 * width, sieve_of(longer)
 
 
-def term_counts(chunks: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n): how often each kept term stands in each group that has it."""
+def _joined(cells: list[tuple]) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Several (terms, sources, term, source, n), the latter three a cell each, as one in which no cell comes twice."""
+    (term, terms), (source, sources) = (_numbers(pa.concat_arrays([c[k] for c in cells])) for k in (0, 1))
+    before = [np.cumsum([0, *(len(c[k]) for c in cells)]) for k in (0, 1)]
+    term = np.concatenate([term[a + c[2]] for a, c in zip(before[0], cells)])
+    source = np.concatenate([source[a + c[3]] for a, c in zip(before[1], cells)])
+    key, n = summed(term * len(sources) + source, np.concatenate([c[4] for c in cells]))
+    return terms, sources, key // max(len(sources), 1), key % max(len(sources), 1), n
+
+
+def _dealt(held: dict[str, list[tuple]], blocks: int, tiles: int) -> Iterator[pa.RecordBatch]:
+    """A row for each language, block of terms and tile of sources of what several chunks of a task gave."""
+    out = []
+    for lang, cells in held.items():
+        terms, sources, term, source, n = _joined(cells)
+        block, tile = (np.array([zlib.crc32(x) for x in xs.cast(pa.binary()).to_pylist()], dtype=np.int64) % k for xs, k in ((terms, blocks), (sources, tiles)))
+        group = block[term] * tiles + tile[source]
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else []
+        for pick in np.split(order, cuts[1:]) if len(order) else []:
+            (own, of), (names, at) = (np.unique(x[pick], return_inverse=True) for x in (term, source))
+            row = (lang, int(block[own[0]]), int(tile[names[0]]), terms.take(pa.array(own)).to_pylist(), sources.take(pa.array(names)).to_pylist())
+            out.append((*row, *(x.tobytes() for x in (of.astype(np.int32), at.astype(np.int32), n[pick]))))
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_CELLS)], schema=_CELLS)
+
+
+_CELLS = pa.schema([("lang", pa.string()), ("block", pa.int32()), ("tile", pa.int32()), ("terms", pa.list_(pa.binary())), ("sources", pa.list_(pa.string())), ("of", pa.binary()), ("source", pa.binary()), ("n", pa.binary())])
+CELLS = "lang string, block int, tile int, terms array<binary>, sources array<string>, of binary, source binary, n binary"
+
+
+def term_counts(chunks: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, source, term, n): how often each kept term stands in each of ``groups`` (lang, source) that has it.
+
+    A task adds up its chunks and deals out blocks of some 512 terms and 64 sources, each block a row with its terms once
+    and its counts as cells (4 bytes term, 4 source, 8 count); behind the shuffle a task holds one block at a time."""
     sieve = sieve_of(kept)
+    most = lambda df: df.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    blocks, tiles = -(-most(kept) // BLOCK_TERMS), -(-most(groups) // TILE)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
         for batch in batches:
             for chunk in _rows_of(batch):
-                of, source, n = chunk["of"].to_numpy(), chunk["source"].to_numpy(), chunk["n"].to_numpy()
-                ok = np.flatnonzero(_passes(sieve, chunk["lang"], chunk["terms"].to_pylist())[of])
-                ok = ok[np.argsort(source[ok], kind="stable")]
-                cuts = np.searchsorted(source[ok], np.arange(len(chunk["sources"]) + 1))
-                for name, i, j in zip(chunk["sources"].to_pylist(), cuts[:-1], cuts[1:]):
-                    if j > i:
-                        held.setdefault((chunk["lang"], name), []).append((chunk["terms"].take(pa.array(of[ok[i:j]])), n[ok[i:j]]))
-                size += len(ok)
+                keep = _passes(sieve, chunk["lang"], chunk["terms"].to_pylist())
+                of, source, n = (chunk[k].to_numpy() for k in ("of", "source", "n"))
+                ok = np.flatnonzero(keep[of])
+                if len(ok):
+                    held.setdefault(chunk["lang"], []).append((chunk["terms"].filter(pa.array(keep)), chunk["sources"], (np.cumsum(keep) - 1)[of[ok]], source[ok], n[ok]))
+                    size += len(ok)
                 if size >= MERGED:
-                    yield from _merged(held, ["lang", "term", "source", "n"])
+                    yield from _dealt(held, blocks, tiles)
                     held, size = {}, 0
-        yield from _merged(held, ["lang", "term", "source", "n"])
+        yield from _dealt(held, blocks, tiles)
 
-    read = chunks.select("lang", "terms", "sources", "of", "source", "n")
-    out = read.mapInArrow(count, "lang string, term binary, source string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    def counted(lang: str, cells: list[tuple]) -> pa.RecordBatch:
+        terms, sources, term, source, n = _joined(cells)
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(n)), sources.take(pa.array(source)), terms.take(pa.array(term)), pa.array(n)], ["lang", "source", "term", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size, limit = None, [], 0, MERGED
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lang, block, tile, terms, sources, *cells = (c[k] for c in batch.columns)
+                key = (lang.as_py(), block.as_py(), tile.as_py())
+                if held and key != at:
+                    yield counted(at[0], held)
+                    held, size, limit = [], 0, MERGED
+                if size >= limit:
+                    held = [_joined(held)]
+                    limit = MERGED + 2 * len(held[0][4])
+                    size = len(held[0][4])
+                of, source, n = (np.frombuffer(c.as_py(), kind) for c, kind in zip(cells, (np.int32, np.int32, np.int64)))
+                at, size = key, size + len(n)
+                held.append((terms.values, sources.values, of, source, n))
+        if held:
+            yield counted(at[0], held)
+
+    key = ["lang", "block", "tile"]
+    dealt = chunks.select("lang", "terms", "sources", "of", "source", "n").mapInArrow(deal, CELLS)
+    out = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(add, "lang string, source string, term binary, n long")
     return out.join(kept.select("lang", F.col("prefix").alias("term")), ["lang", "term"]).select("lang", "source", "term", "n")
 
 
@@ -280,8 +337,8 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     """
     chunks = term_chunks(docs)
     kept = written(kept_terms(chunks, least))
-    counts = written(term_counts(chunks, kept), at_a_time=CHUNKS_AT_A_TIME)
-    groups = chunks.select("lang", F.explode("sources").alias("source")).distinct()
+    groups = written(chunks.select("lang", F.explode("sources").alias("source")).distinct())
+    counts = written(term_counts(chunks, kept, groups), at_a_time=CHUNKS_AT_A_TIME)
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     v = kept.groupBy("lang").agg(F.count("*").alias("v"))
     ranked = groups.join(sums, ["lang", "source"], "left").join(v, "lang", "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"), (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("ix"))
